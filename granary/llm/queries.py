@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from granary.llm import boilerplate, copies
-from granary.session import table
+from granary.llm import boilerplate, bpe, copies, mixture, packing, tokens
+from granary.session import materialize, table
 
 
 def p1_found(spark: SparkSession, where: str) -> DataFrame:
@@ -18,6 +19,20 @@ def p1_distinct(spark: SparkSession, where: str) -> DataFrame:
     return copies.distinct_records(table(spark, where, "raw_records"))
 
 
+def p2_token_cube(spark: SparkSession, where: str) -> DataFrame:
+    ledger = tokens.update(table(spark, where, "raw_records"), table(spark, where, "source_targets"))
+    return tokens.with_totals(materialize(ledger.cube, "cube"))
+
+
+def p4_pack(spark: SparkSession, where: str) -> DataFrame:
+    return packing.pack(table(spark, where, "raw_records"), table(spark, where, "pack_settings"))
+
+
+def p4_fill(spark: SparkSession, where: str) -> DataFrame:
+    settings = table(spark, where, "pack_settings")
+    return packing.block_fill(packing.pack(table(spark, where, "raw_records"), settings), settings)
+
+
 def p5_found(spark: SparkSession, where: str) -> DataFrame:
     return boilerplate.repeated_lines(table(spark, where, "raw_records")).select("doc_ord", "line_no")
 
@@ -26,6 +41,25 @@ def p5_clean_texts(spark: SparkSession, where: str) -> DataFrame:
     return boilerplate.without_lines(table(spark, where, "raw_records"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_distinct, p5_found, p5_clean_texts)}
+def p6_mix(spark: SparkSession, where: str) -> DataFrame:
+    return mixture.mix(table(spark, where, "raw_records"), table(spark, where, "source_targets"))[0]
+
+
+def p6_shares(spark: SparkSession, where: str) -> DataFrame:
+    return mixture.mix(table(spark, where, "raw_records"), table(spark, where, "source_targets"))[1]
+
+
+def p7_ids(spark: SparkSession, where: str) -> DataFrame:
+    return bpe.encode(table(spark, where, "documents"))
+
+
+def p7_round_trip(spark: SparkSession, where: str) -> DataFrame:
+    """How many texts come back from their ids as they were."""
+    docs = table(spark, where, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("was"))
+    back = bpe.decode(bpe.encode(docs.withColumnRenamed("was", "text")))
+    return back.join(docs, "doc_id").groupBy((F.col("text") == F.col("was")).alias("same")).agg(F.count("*").alias("n_docs"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_distinct, p2_token_cube, p4_pack, p4_fill, p5_found, p5_clean_texts, p6_mix, p6_shares, p7_ids, p7_round_trip)}
 
 SQL: dict[str, str] = {}
