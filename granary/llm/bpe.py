@@ -29,7 +29,10 @@ def let(x: Column, body: Callable[[Column], Column]) -> Column:
 
 
 class Lookup:
-    """A map as a literal: an array of small maps, one per bucket of the key's hash, so that a look-up doesn't scan all keys."""
+    """A bounded map as a literal: an array of small maps, one per bucket of the key's hash, so that a look-up doesn't scan all keys.
+
+    The array is the one row of a small table. As a scalar subquery it is read once per query and becomes a literal in the
+    tasks; written into the plan itself, some 100,000 entries would be printed with each description of the plan."""
 
     def __init__(self, spark: SparkSession, rows: DataFrame, kind: str):
         """`rows`: (key string, value of type `kind`), of a bounded number, read to the driver."""
@@ -38,10 +41,17 @@ class Lookup:
         table: list[dict] = [{} for _ in range(self.buckets)]
         for r in got:
             table[r["h"] & (self.buckets - 1)][r["key"]] = r["value"]
-        self.table = F.from_json(F.lit(json.dumps(table)), f"array<map<string,{kind}>>")
+        one = spark.createDataFrame([(json.dumps(table),)], "j string").select(F.from_json("j", f"array<map<string,{kind}>>").alias("t"))
+        self.row = materialize(one, "lookup")
+
+    def beside(self, df: DataFrame, name: str) -> DataFrame:
+        """`df` with the table as column `name`. It must be used once, as the value of a `let`: Catalyst then moves the
+        subquery into that expression, and no row carries the table."""
+        return df.withColumn(name, self.row.select("t").scalar())
 
-    def __call__(self, key: Column) -> Column:
-        return F.element_at(F.element_at(self.table, (F.xxhash64(key).bitwiseAND(F.lit(self.buckets - 1)) + 1).cast("int")), key)
+    def get(self, table: Column, key: Column) -> Column:
+        """The value of `key` in `table`, the variable of a `let`."""
+        return F.element_at(F.element_at(table, (F.xxhash64(key).bitwiseAND(F.lit(self.buckets - 1)) + 1).cast("int")), key)
 
 
 def as_bytes(word: Column) -> Column:
@@ -49,8 +59,8 @@ def as_bytes(word: Column) -> Column:
     return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
 
 
-def fold(word: Column, rank: Lookup) -> Column:
-    """The ids of one word: its bytes, of which again and again the leftmost pair of the lowest rank is merged, until no pair has a rank."""
+def fold(word: Column, rank: Callable[[Column], Column]) -> Column:
+    """The ids of one word, where `rank` gives the rank of some bytes or null: its bytes, of which again and again the leftmost pair of the lowest rank is merged, until no pair has a rank."""
     none = F.lit(_NONE)
 
     def step(parts: Column) -> Column:
@@ -99,8 +109,13 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str =
     plain, odd = rows.filter(~F.col("t").rlike(_LONG)), rows.filter(F.col("t").rlike(_LONG))
     counted = plain.select(F.explode(words(F.col("t"))).alias("word")).groupBy("word").count()
     top = materialize(counted.filter(F.octet_length("word") <= CACHED_BYTES).orderBy(F.desc("count"), "word").limit(cached), "words")
-    known = Lookup(spark, top.repartition(spark.sparkContext.defaultParallelism).select(F.col("word").alias("key"), fold(F.col("word"), rank).alias("value")), "array<int>")
-    done = plain.select("k", F.flatten(F.transform(words(F.col("t")), lambda w: F.coalesce(known(w), fold(w, rank)))).alias("ids"))
+    folded = let(F.col("_rank"), lambda r: fold(F.col("word"), lambda x: rank.get(r, x)))
+    known = Lookup(spark, rank.beside(top.repartition(spark.sparkContext.defaultParallelism), "_rank").select(F.col("word").alias("key"), folded.alias("value")), "array<int>")
+
+    def ids_of(r: Column, k: Column) -> Column:
+        return F.flatten(F.transform(words(F.col("t")), lambda w: F.coalesce(known.get(k, w), fold(w, lambda x: rank.get(r, x)))))
+
+    done = known.beside(rank.beside(plain, "_rank"), "_known").select("k", let(F.col("_rank"), lambda r: let(F.col("_known"), lambda k: ids_of(r, k))).alias("ids"))
     enc = Encoder(spark, name, folder)
 
     def by_library(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,6 +131,7 @@ def decode(ids: DataFrame, key: str = "doc_id", name: str = DEFAULT, folder: str
     pieces = [""] * (1 + max(parse_ranks(read_ranks(name, folder)).values()))
     for b, i in parse_ranks(read_ranks(name, folder)).items():
         pieces[i] = b.decode("latin-1")
-    table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    joined = F.array_join(F.transform("ids", lambda i: F.element_at(table, i + 1)), "")
-    return ids.select(key, F.decode(F.encode(joined, "ISO-8859-1"), "UTF-8").alias("text"))
+    spark = ids.sparkSession
+    table = materialize(spark.createDataFrame([(pieces,)], "t array<string>"), "pieces").scalar()
+    joined = let(F.col("_pieces"), lambda t: F.array_join(F.transform("ids", lambda i: F.element_at(t, i + 1)), ""))
+    return ids.withColumn("_pieces", table).select(key, F.decode(F.encode(joined, "ISO-8859-1"), "UTF-8").alias("text"))
