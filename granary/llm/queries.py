@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import boilerplate, bpe, copies, mixture, packing, tokens
+from granary.llm import boilerplate, bpe, copies, leaks, mixture, packing, residue, tokens
 from granary.session import materialize, table
 
 
@@ -60,6 +60,23 @@ def p7_round_trip(spark: SparkSession, where: str) -> DataFrame:
     return back.join(docs, "doc_id").groupBy((F.col("text") == F.col("was")).alias("same")).agg(F.count("*").alias("n_docs"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_distinct, p2_token_cube, p4_pack, p4_fill, p5_found, p5_clean_texts, p6_mix, p6_shares, p7_ids, p7_round_trip)}
+def p8_found(spark: SparkSession, where: str) -> DataFrame:
+    return leaks.leaks(table(spark, where, "documents"), table(spark, where, "eval_items"))
+
+
+def p8_leaked_items(spark: SparkSession, where: str) -> DataFrame:
+    """The items that leaked, with the number of documents that hold each."""
+    return p8_found(spark, where).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+
+
+def p9_found(spark: SparkSession, where: str) -> DataFrame:
+    return residue.residue(table(spark, where, "documents")).select("doc_id")
+
+
+def p9_kinds(spark: SparkSession, where: str) -> DataFrame:
+    return residue.residue(table(spark, where, "documents")).select("doc_id", F.explode("kinds").alias("kind"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_distinct, p2_token_cube, p4_pack, p4_fill, p5_found, p5_clean_texts, p6_mix, p6_shares, p7_ids, p7_round_trip, p8_found, p8_leaked_items, p9_found, p9_kinds)}
 
 SQL: dict[str, str] = {}
