@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import boilerplate, bpe, copies, leaks, mixture, packing, residue, tokens
+from granary.llm import boilerplate, bpe, copies, defects, leaks, mixture, packing, residue, tokens
 from granary.session import materialize, table
 
 
@@ -24,6 +24,10 @@ def p2_token_cube(spark: SparkSession, where: str) -> DataFrame:
     return tokens.with_totals(materialize(ledger.cube, "cube"))
 
 
+def p3_found(spark: SparkSession, where: str) -> DataFrame:
+    return defects.defects(table(spark, where, "pairs"))
+
+
 def p4_pack(spark: SparkSession, where: str) -> DataFrame:
     return packing.pack(table(spark, where, "raw_records"), table(spark, where, "pack_settings"))
 
@@ -77,6 +81,6 @@ def p9_kinds(spark: SparkSession, where: str) -> DataFrame:
     return residue.residue(table(spark, where, "documents")).select("doc_id", F.explode("kinds").alias("kind"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_distinct, p2_token_cube, p4_pack, p4_fill, p5_found, p5_clean_texts, p6_mix, p6_shares, p7_ids, p7_round_trip, p8_found, p8_leaked_items, p9_found, p9_kinds)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_distinct, p2_token_cube, p3_found, p4_pack, p4_fill, p5_found, p5_clean_texts, p6_mix, p6_shares, p7_ids, p7_round_trip, p8_found, p8_leaked_items, p9_found, p9_kinds)}
 
 SQL: dict[str, str] = {}
