@@ -33,3 +33,34 @@ def rejoin(u: DataFrame, by: list[str], min_doc: int = MIN_DOC, joint: str = "\n
     """The kept units of each document joined again in order; documents under `min_doc` characters are dropped."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_pos", "unit"))), lambda x: x["unit"]), joint)
     return u.filter("kept").groupBy(*by).agg(text.alias("text"), F.count("*").alias("n_units")).filter(F.length("text") >= min_doc)
+
+
+def stats(u: DataFrame, by: str = "source", doc: str = "doc_id", min_doc: int = MIN_DOC) -> DataFrame:
+    """Per source and in total (`by` null, is_total 1): documents in and out, kept and dropped characters, dropped share, unique long units.
+
+    Documents are summed up first, so that the counts per source need no distinct."""
+    n = F.length("unit").cast("bigint")
+    size = lambda is_: F.sum(F.when(is_, n).otherwise(0))
+    per = u.groupBy(by, doc).agg(
+        size(F.col("kept")).alias("kept_chars"),
+        size(~F.col("kept")).alias("dropped_chars"),
+        F.sum(F.when(F.col("kept") & F.col("norm").isNotNull(), 1).otherwise(0)).alias("unique_units"),
+        F.sum(F.when(F.col("kept"), n + 2).otherwise(0)).alias("_joined"),
+    )
+    total = F.sum("kept_chars") + F.sum("dropped_chars")
+    return per.rollup(by).agg(
+        F.grouping(by).cast("int").alias("is_total"),
+        F.count("*").alias("docs_in"),
+        F.sum((F.col("_joined") - 2 >= min_doc).cast("bigint")).alias("docs_out"),
+        F.sum("kept_chars").alias("kept_chars"),
+        F.sum("dropped_chars").alias("dropped_chars"),
+        F.round(100.0 * F.sum("dropped_chars") / total, 6).alias("dropped_pct"),
+        F.sum("unique_units").alias("unique_units"),
+    )
+
+
+def count_guard(raw: DataFrame, read: DataFrame, by: str = "source") -> DataFrame:
+    """(source, n_raw, n_read, n_missing): documents of each source before and after a step; a null source is '(none)'."""
+    side = lambda df, name: df.groupBy(F.coalesce(by, F.lit("(none)")).alias(by)).agg(F.count("*").alias(name))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return side(raw, "n_raw").join(side(read, "n_read"), by, "full").select(by, zero("n_raw"), zero("n_read")).withColumn("n_missing", F.col("n_raw") - F.col("n_read"))

@@ -1,31 +1,6 @@
 """The queries of the core, with their SQL for DuckDB."""
 
-from __future__ import annotations
+from granary.plans import corpus  # noqa: F401
+from granary.plans.registry import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from granary.operators import dedup
-from granary.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query()
-def near_dedup_docs(spark: SparkSession, where: str) -> DataFrame:
-    u = dedup.units(table(spark, where, "documents").filter("text is not null"), ["source", "doc_id"])
-    return dedup.rejoin(dedup.mark_first(u, ["source", "doc_id"]), ["source", "doc_id"])
+__all__ = ["QUERIES", "SQL"]
