@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.session import materialize
+from granary.session import materialize, small
 
 
 def running(df: DataFrame, order: list[Column], values: dict[str, Column], parts: int | None = None) -> DataFrame:
@@ -30,3 +30,10 @@ def running(df: DataFrame, order: list[Column], values: dict[str, Column], parts
 def ranked(df: DataFrame, order: list[Column], name: str = "rank", parts: int | None = None) -> DataFrame:
     """`df` with its rows numbered from 1 in `order`."""
     return running(df, order, {name: F.lit(1).cast("bigint")}, parts).withColumn(name, F.col(name) + 1)
+
+
+def rank_within(df: DataFrame, by: str, order: list[Column], name: str = "rank", parts: int | None = None) -> DataFrame:
+    """`df` with the rows of each `by` numbered from 1 in `order`; a group with a third of all rows is cut into ranges like the rest. Rows with a null `by` are left out."""
+    r = ranked(df.filter(F.col(by).isNotNull()), [F.col(by), *order], "_rank", parts)
+    starts = r.groupBy(by).agg((F.min("_rank") - 1).alias("_start"))
+    return r.join(small(starts), by).withColumn(name, F.col("_rank") - F.col("_start")).drop("_rank", "_start")

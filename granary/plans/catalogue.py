@@ -1,6 +1,6 @@
 """The queries of the core, with their SQL for DuckDB."""
 
-from granary.plans import corpus  # noqa: F401
+from granary.plans import corpus, pairs  # noqa: F401
 from granary.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
