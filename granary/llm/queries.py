@@ -84,3 +84,44 @@ def p9_kinds(spark: SparkSession, where: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_distinct, p2_token_cube, p3_found, p4_pack, p4_fill, p5_found, p5_clean_texts, p6_mix, p6_shares, p7_ids, p7_round_trip, p8_found, p8_leaked_items, p9_found, p9_kinds)}
 
 SQL: dict[str, str] = {}
+
+_KEY = r"regexp_replace(upper({}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+_PIECES = r"list_filter(string_split_regex(text, '{}'), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]'))"
+_IS_LABEL = r"regexp_matches(x, '^[^\p{L}\p{N}]*\p{L}[^:=]{0,59}[:=]')"
+
+
+def _labels(pieces: str) -> str:
+    """The sorted normalised pairs of labelled pieces, or null."""
+    key, value = _KEY.format("regexp_extract(x, '^([^:=]*)[:=]', 1)"), _KEY.format("regexp_replace(x, '^[^:=]*[:=]', '')")
+    return f"case when len({pieces}) > 1 and len(list_filter({pieces}, lambda x: not {_IS_LABEL})) = 0 then list_sort(list_transform({pieces}, lambda x: {key} || chr(31) || {value})) end"
+
+
+_JSON = r"trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))"
+_ROOT = "'$.\"' || k || '\"'"
+
+#: Records by their key: pairs in sorted order for labelled ones, else the letters and digits.
+_RECORDS = rf"""with r as (select doc_ord, text, case when regexp_matches({_JSON}, '^\{{.*\}}$') and json_valid({_JSON}) then {_JSON} end as j from raw_records where regexp_matches(text, '[\p{{L}}\p{{N}}]')),
+f as (select doc_ord, text, case when j is not null then list_sort(list_transform(json_keys(j), lambda k: {_KEY.format("k")} || chr(31) || {_KEY.format(f"json_extract_string(j, {_ROOT})")})) else coalesce({_labels(_PIECES.format("[\\n\\r;|]+"))}, {_labels(_PIECES.format("[\\n\\r]+"))}) end as l from r),
+k as (select doc_ord, case when len(l) > 1 then 'F' || array_to_string(l, chr(30)) else 'P' || {_KEY.format("text")} end as key from f),
+g as (select doc_ord, min(doc_ord) over (partition by key) as kept_ord from k)"""
+
+SQL["p1_found"] = _RECORDS + " select kept_ord, doc_ord as copy_ord from g where kept_ord <> doc_ord"
+SQL["p1_distinct"] = _RECORDS + " select r.doc_ord, count(*) as n_copies from (select coalesce(kept_ord, raw_records.doc_ord) as doc_ord from raw_records left join g using (doc_ord)) r group by r.doc_ord"
+
+_LINES = r"""l as (select doc_ord, source, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) + 1 as line_no from raw_records where text is not null and source is not null),
+n as (select *, trim(regexp_replace(regexp_replace(regexp_replace(lower(line), '\p{Nd}+', '#', 'g'), '[^\p{L}\p{N}_#\s\x0B\p{Z}\x1c-\x1f\x{85}]+', '', 'g'), '[\s\x0B\p{Z}\x1c-\x1f\x{85}]+', ' ', 'g')) as norm from l),
+h as (select source, norm from n where norm <> '' group by source, norm having count(distinct doc_ord) >= 10)"""
+
+SQL["p5_found"] = f"with {_LINES} select doc_ord, line_no from n join h using (source, norm)"
+
+SQL["p5_clean_texts"] = f"""with {_LINES}, g as (select doc_ord, line_no from n join h using (source, norm)),
+k as (select n.doc_ord, string_agg(case when g.line_no is null then line end, chr(10) order by n.line_no) as text, count(g.line_no) as gone from n left join g on g.doc_ord = n.doc_ord and g.line_no = n.line_no group by n.doc_ord)
+select r.doc_ord, case when k.gone > 0 then coalesce(k.text, '') else r.text end as text, coalesce(k.gone, 0)::integer as n_removed from raw_records r left join k using (doc_ord)"""
+
+_WINDOWS = r"""d as (select doc_id, regexp_extract_all(upper(text), '[\p{L}\p{N}]+') as w from documents), i as (select item_id, regexp_extract_all(upper(text), '[\p{L}\p{N}]+') as w from eval_items),
+iw as (select item_id, least(len(w), 12) as n, unnest(list_transform(range(len(w) - least(len(w), 12) + 1), lambda k: array_to_string(w[k + 1:k + least(len(w), 12)], ' '))) as win from i where len(w) > 0),
+ns as (select distinct n from iw), dw as (select doc_id, n, unnest(list_transform(range(len(w) - n + 1), lambda k: array_to_string(w[k + 1:k + n], ' '))) as win from d, ns where len(w) >= n)"""
+
+SQL["p8_found"] = f"with {_WINDOWS} select distinct doc_id, item_id from dw join iw using (n, win)"
+SQL["p8_leaked_items"] = f"with {_WINDOWS} select item_id, count(distinct doc_id) as n_docs from dw join iw using (n, win) group by item_id"
+SQL["p7_round_trip"] = "select true as same, count(*) as n_docs from documents"
