@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.text import head_key, order_key, snap_head, snap_tail, torn, without_controls
-from granary.operators.ranges import ranked
+from granary.functions.columns import let
+from granary.functions.text import head_key, order_key, pieces, snap_head, snap_tail, torn, without_controls
+from granary.operators.ranges import ranked, running
 
 
 def shuffled(df: DataFrame, seed: int, *key: str) -> DataFrame:
@@ -31,17 +32,15 @@ def quota(df: DataFrame, strata: str, quotas: dict[str, int], seed: int, *key: s
     return first.withColumn("_rn", F.row_number().over(Window.partitionBy(strata).orderBy(*order))).filter(F.col("_rn") <= max(quotas.values())).filter("_rn <= _quota").drop("_rn", "_part", "_quota")
 
 
-def windows(docs: DataFrame, size: int, key: str, text: str = "text") -> DataFrame:
+def windows(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
     """(other columns, window_no, chunk): consecutive windows of `size` characters, so that a document has as many as its length asks."""
-    n = F.greatest(F.ceil(F.length(text) / F.lit(size)).cast("int") - 1, F.lit(0))
     keep = [c for c in docs.columns if c != text]
-    return docs.filter(F.length(text) > 0).select(*keep, F.col(text), F.explode(F.sequence(F.lit(0), n)).alias("window_no")).select(*keep, "window_no", F.substring(F.col(text), F.col("window_no") * size + 1, F.lit(size)).alias("chunk"))
+    return docs.filter(F.length(text) > 0).select(*keep, F.posexplode(pieces(F.col(text), size)).alias("window_no", "chunk"))
 
 
-def clean_chunk(c: Column, head: bool = True) -> Column:
+def clean_chunk(c: Column) -> Column:
     """A window snapped to white space, without control characters; null if it is torn."""
-    snapped = snap_tail(snap_head(c)) if head else snap_tail(c)
-    return F.when(~torn(snapped), F.trim(without_controls(snapped)))
+    return let(let(c, lambda x: snap_head(x)), lambda h: let(snap_tail(h), lambda s: F.when(~torn(s), F.trim(without_controls(s)))))
 
 
 def distinct_heads(chunks: DataFrame, order: list[str], chunk: str = "chunk", size: int = 512) -> DataFrame:
@@ -85,8 +84,6 @@ def round_robin(docs: DataFrame, by: str, order: list[str], size: Column, per_so
     stops at its budget, which bounds what a later step sees."""
     w = Window.partitionBy(by).orderBy(*order)
     own = docs.withColumn("turn", F.row_number().over(w)).withColumn("_own", F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("_own") < per_source)
-    from granary.operators.ranges import running
-
     return running(own.drop("_own"), [F.col("turn"), F.col(by), *(F.col(o) for o in order)], {"before": size}).filter(F.col("before") < total)
 
 

@@ -138,8 +138,8 @@ x as (select doc_id, domain, window_no, trim(regexp_replace(c2, '[\\x00-\\x08\\x
 
 def _chunks(spark: SparkSession, where: str) -> DataFrame:
     docs = table(spark, where, "documents").filter("domain is not null").select("doc_id", "domain", "text")
-    w = sampling.windows(docs, 600, "doc_id").withColumn("window_no", F.col("window_no").cast("bigint")).withColumn("chunk", sampling.clean_chunk(F.col("chunk")))
-    return sampling.distinct_heads(w.filter(F.length("chunk") >= 400), ["doc_id", "window_no"])
+    w = sampling.windows(docs, 600).withColumn("window_no", F.col("window_no").cast("bigint")).withColumn("chunk", sampling.clean_chunk(F.col("chunk")))
+    return sampling.distinct_heads(materialize(w.filter(F.length("chunk") >= 400), "chunks"), ["doc_id", "window_no"])
 
 
 @query(
