@@ -12,19 +12,19 @@ def running(df: DataFrame, order: list[Column], values: dict[str, Column], parts
     """`df` with, for each name in `values`, the sum of that value over all rows that come before in `order`, which should be unique.
 
     The table is cut into ranges of the order and written; each range is summed; the sums of the ranges (one row each) are
-    summed in order and broadcast; within a range a window adds the rest. Null values count 0."""
+    summed in order and broadcast; within a range a window adds the rest. Null values count 0. A column of `df` with the name
+    of a value is replaced; other names can't clash, as the row travels as one struct. An empty table stays empty."""
     spark = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.select("*", *(F.coalesce(v, F.lit(0)).alias(f"_v_{k}") for k, v in values.items()), F.struct(*order).alias("_order"))
-    keyed = materialize(keyed.repartitionByRange(n, "_order").withColumn("_range", F.spark_partition_id()), "ranges")
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row per range
-    sums = keyed.groupBy("_range").agg(*(F.sum(f"_v_{k}").alias(f"_s_{k}") for k in values))
-    sums = sums.select("_range", *(F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in values))
-    inside = Window.partitionBy("_range").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
-    out = keyed.join(F.broadcast(sums), "_range")
-    for k in values:
-        out = out.withColumn(k, F.col(f"_b_{k}") + F.coalesce(F.sum(f"_v_{k}").over(inside), F.lit(0)))
-    return out.drop("_range", "_order", *(f"_{x}_{k}" for k in values for x in "vb"))
+    keep = [c for c in df.columns if c not in values]
+    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.struct(*order).alias("order"), F.struct(*(F.coalesce(v, F.lit(0)).alias(k) for k, v in values.items())).alias("v"))
+    keyed = materialize(keyed.repartitionByRange(n, "order").withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over one row per range
+    sums = keyed.groupBy("range").agg(*(F.sum(f"v.{k}").alias(k) for k in values))
+    sums = sums.select("range", F.struct(*(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in values)).alias("b"))
+    inside = Window.partitionBy("range").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
+    out = keyed.join(F.broadcast(sums), "range")
+    return out.select("row.*", *((F.col(f"b.{k}") + F.coalesce(F.sum(f"v.{k}").over(inside), F.lit(0))).alias(k) for k in values))
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank", parts: int | None = None) -> DataFrame:
