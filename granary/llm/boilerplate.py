@@ -57,6 +57,9 @@ def summary(lines: DataFrame, least: int = LEAST, width: int = WIDTH) -> list[by
     Each task sends its counters once, in compressed parts; each part is merged by one task, so that what is merged in one
     place has the fixed size width / PARTS."""
 
+    if width < 8 * PARTS or width & (width - 1):
+        raise ValueError(f"the width must be a power of two of at least {8 * PARTS}")
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [np.zeros(width, np.uint8) for _ in range(2)]
         for batch in batches:

@@ -40,6 +40,23 @@ _REFUSALS = {
     "other": ["Es tut mir leid, dabei kann ich nicht helfen", "Leider kann ich diese Frage nicht beantworten", "Tut mir leid, ich kann Ihnen dabei nicht helfen", "Ich kann dazu keine Auskunft geben", "Dazu darf ich mich nicht äußern", "Als KI-Sprachmodell kann ich keine Fragen zu x beantworten", "Ich bin nicht in der Lage, diese Anfrage zu beantworten", "Entschuldigung, das liegt außerhalb meiner Möglichkeiten", "Ich habe keinen Zugriff auf dieses Dokument", "Diese Anfrage kann ich leider nicht bearbeiten", "Je suis désolé, je ne peux pas répondre à cette demande", "Désolé, je ne peux pas vous aider avec cette question", "Je ne suis pas en mesure de répondre à cette question", "Malheureusement, je ne peux pas fournir cette information", "En tant que modèle de langage, je ne peux pas parler de x", "Je n'ai pas accès à ce document", "Je préfère ne pas répondre", "Il m'est impossible de répondre à cela", "Je dois refuser de commenter x", "Cette demande dépasse ce que je suis autorisé à traiter", "Lo siento, no puedo ayudar con esa solicitud", "Lo siento, pero no puedo responder a esa pregunta", "Lamentablemente, no puedo proporcionar esa información", "No estoy en condiciones de responder a esta pregunta", "Como modelo de lenguaje, no puedo hablar de x", "No tengo acceso a ese documento", "Prefiero no responder", "Disculpe, eso queda fuera de mi alcance", "Debo negarme a comentar sobre x", "Mis directrices no me permiten hablar de x"],
 }
 _PARTIES = ["x may refuse any request and shall then say why it cannot help.", "x declined to comment on the award.", "x said that it was sorry for the delay and could not deliver the report.", "x is unable to provide any assurance that the event will not recur.", "x must decline any offer below the price and is not permitted to discuss it.", "The witness said “I cannot answer that” when asked about x.", "x hat die Zahlung verweigert und kann die Frist nicht einhalten.", "x lehnt das Angebot ab.", "x refuse de payer et ne peut pas livrer le rapport.", "x se niega a pagar y no puede entregar el informe."]
+# Sound pairs that are added to a small sample.
+_SOUND = [
+    ("When does the lease of the warehouse end?", "The lease ends on 31 May 2021, unless the tenant renews it in writing at least 60 days before. The deposit is then returned."),
+    ("Who pays for repairs under the agreement?", "The landlord pays for repairs of the roof and the walls. All other repairs are paid by the tenant."),
+    ("How did revenue change in 2019, and why?", "Revenue rose by 12.4% to $31.5 million in 2019, mainly because two new stores opened in the north."),
+    ("What did the court decide about the claim?", "The court dismissed the claim, as the notice had not been served on the defendant within the period of 30 days."),
+    ("Wann endet der Vertrag mit dem Lieferanten?", "Der Vertrag endet am 31. Mai 2021, wenn er nicht von einer der Parteien schriftlich verlängert wird."),
+    ("Warum hat die Gesellschaft einen Verlust ausgewiesen?", "Die Gesellschaft hat im Jahr 2019 einen Verlust ausgewiesen, weil die Kosten für Energie stark gestiegen sind."),
+    ("Quand le contrat avec le fournisseur prend-il fin ?", "Le contrat prend fin le 31 mai 2021, sauf si une des parties le renouvelle par écrit dans les délais prévus."),
+    ("Pourquoi la société a-t-elle déclaré une perte ?", "La société a déclaré une perte pour l'exercice 2019, car le prix de l'énergie a fortement augmenté dans la région."),
+    ("¿Cuándo termina el contrato con el proveedor?", "El contrato termina el 31 de mayo de 2021, salvo que una de las partes lo renueve por escrito dentro del plazo."),
+    ("¿Por qué declaró la empresa una pérdida?", "La empresa declaró una pérdida en el ejercicio 2019, porque los costes de la energía subieron con fuerza en toda la región."),
+    ("Is the buyer bound by the clause on arbitration?", "Yes. The buyer signed the agreement on 4 March 2018, and the clause on arbitration binds both parties and their successors."),
+    ("Which risks does the company disclose?", "The company depends on three suppliers, and the loss of any of them would harm its results. It also faces risks from currency effects."),
+]
+#: A sample with fewer usable rows is filled up with them.
+LEAST_ROWS = 200
 _PREFIX = regex.compile(r"^\s*\[(?:QUERY|PASSAGE)\]\s?", regex.I)
 _WORD = regex.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _MARK = regex.compile(r"^\W*(?:n\W?a|none|null|nil|nan|undefined|empty|blank|tbd|no (?:answer|response)(?: (?:given|provided|available))?|not (?:available|applicable|answered)|unanswered|deleted|removed|no text|keine (?:antwort|angabe)|sans réponse|(?:pas de|aucune) réponse|sin respuesta|néant|no aplica)?\W*$", regex.I)
@@ -234,7 +251,9 @@ def train(pairs: list[tuple[str, str]], seed: int = SEED) -> Model:
     """The model for some pairs. They are taken as sound at first; those that a first model finds rather defective than not
     (thresholds 0, so that little is missed) are left out for the second, whose thresholds are then set on sound rows."""
     rng = random.Random(seed)
-    pairs = [(a, p) for a, p in pairs if a is not None and p is not None and len(body(p)) > 0] or [("[QUERY] What is due?", "[PASSAGE] The fee is due on 1 May 2020, payable in full.")]
+    pairs = [(a, p) for a, p in pairs if a is not None and p is not None and len(body(p)) > 0]
+    if len(pairs) < LEAST_ROWS:
+        pairs = pairs + [(f"[QUERY] {q}", f"[PASSAGE] {b}") for q, b in _SOUND] * -(-(LEAST_ROWS - len(pairs)) // len(_SOUND))
     sound = pairs
     m = None
     for steps in ROUNDS:

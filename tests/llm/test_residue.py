@@ -1,0 +1,39 @@
+import pytest
+
+from granary.llm import queries
+from granary.llm.residue import Rules, residue
+from tests.oracle import DATA
+
+CASES = {
+    "placeholder": ["Dear {{ first_name }}, hello.", "Signed by [[party_a]] today.", "The term begins on ${startDate}.", "Pay %%amount%% now.", "Paid by @@CLIENT@@ in full.", "I live in [INSERT CITY].", "Between <your company here> and us.", "Between <<PartyA>> and «Client».", "Name: ________", "Dear ,\nThank you for your letter of .", "The sum of TBD-AMOUNT is due.", "Paid on XX/XX/XXXX in cash.", "By ((fiscal year)) at last.", "For &lt;party_a&gt; only.", "<?php echo $x; ?>", "TODO: add the summary", "The court in {jurisdiction} heard it."],
+    "filler": ["Lorem ipsum dolor sit amet consectetur adipiscing elit.", "Your text goes here.", "This is placeholder text for the page.", "test test test test", "asdf asdf qwer", "[object Object]", "NaN NaN null", "Blindtext Blindtext, hier folgt der Inhalt.", "Texte à remplacer.", "Coming soon."],
+    "message": ["404 Not Found", "HTTP Error 503. The service is unavailable.", "Access Denied.", "Traceback (most recent call last):\n  File", "Your session has expired. Please log in again to view this.", "Seite nicht gefunden.", "Página no encontrada.", "Page introuvable.", "Something went wrong on our end.", "Verify you are human by completing the action below.", "Fatal error: Uncaught exception in /srv/a.php on line 3"],
+    "script": ["Please enable JavaScript to view this page.", "This content requires JavaScript.", "Veuillez activer JavaScript pour continuer.", "Bitte aktivieren Sie JavaScript, um zu lesen.", "To read this, switch on scripts and allow cookies.", "Your browser does not support scripts."],
+}
+SOUND = [
+    None, "", "   ", "The witness said “404 Not Found” was all she saw.", "The form says “insert the name of the owner”; she did so.", "The proof still carried the words lorem ipsum when it went out.", "Item 3. [Reserved]", "He was called “the the witness” [sic] by counsel.", "See [2014] 3 PLR 26.", "The price is [***] per unit.", "[REDACTED] signed.",
+    "The client works when JavaScript is turned off, and shall enable scripts only on request.", "The tariff reported an error in code 503.", "Under Section 404 the auditor found no control that was not found before.", "def f(x):\n    return {k: v for k, v in x.items()}", "```\n{{ name }}\n```", "He spent 17.7% of it, and 3% more.", "In the template language, for example, {{ name }} stands for a value.", "The portal had shown a 404 page for nine days.", "ALL CAPS TEXT (A) (B)", "| 2021 | (4,310) |", "§§ 12–14, № 7, ©®™ …", "x < y and y > z",
+]
+
+
+@pytest.mark.parametrize("kind, text", [(k, t) for k, ts in CASES.items() for t in ts])
+def test_cases(kind, text):
+    assert kind in Rules().kinds(text, True), text
+    assert kind in Rules().kinds(f"The tribunal heard the appeal of both sides in May.\n{text}\nCounsel for the buyer spoke at length about the lease.", True), text
+
+
+@pytest.mark.parametrize("text", [t for t in SOUND if t])
+def test_no_cases(text):
+    assert Rules().kinds(text, True) == []
+
+
+def test_rows(spark, rows):
+    data = [(i, t, "z") for i, t in enumerate(SOUND)] + [(100, "404 Not Found", "z"), (100, "404 Not Found", "z"), (101, "fine words " * 50_000 + "\nPage introuvable.", "z")]
+    got = residue(rows("doc_id bigint, text string, kinds string", data)).collect()
+    assert sorted(r["doc_id"] for r in got) == [100, 100, 101] and got[0]["kinds"] == ["message"]
+    assert residue(rows("doc_id bigint, text string", [])).count() == 0
+
+
+@pytest.mark.parametrize("name", ["p9_found", "p9_kinds"])
+def test_queries_run(spark, name):
+    assert queries.QUERIES[name](spark, DATA).count() > 0
