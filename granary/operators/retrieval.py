@@ -84,7 +84,7 @@ def scan(vectors: DataFrame, dims: list[int], k: int, key: str = "vec_id", label
                         keep = np.arange(len(q)) - np.searchsorted(q, q) < n
                         best[d, kind] = [q[keep], dd[keep], sc[keep], sm[keep]]
             for (d, kind), (q, dd, sc, sm) in best.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), d, np.int32)), pa.array(ids[q]), pa.array(dd), pa.array(sc), pa.array(sm.astype(bool)), pa.array([kind] * len(q))], names=["dim", "query", "doc", "score", "same", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), d, np.int32)), pa.array(ids[q]), pa.array(dd), pa.array(sc), pa.array(sm.astype(bool)), pa.array([kind] * len(q), pa.string())], names=["dim", "query", "doc", "score", "same", "kind"])
 
         parts.append(rows.mapInArrow(near, _HITS))
     return _all(parts, vectors, _HITS)

@@ -19,8 +19,10 @@ def jsonl(spark: SparkSession, path: str | list[str], schema: str = RECORD) -> t
     """(records, broken): JSON lines of a known schema, plain or gzip by their ending, lines of any length; and the lines that
     can't be read, which are kept apart and never dropped unseen. Blank lines are neither."""
     wanted = StructType.fromDDL(schema)
-    r = spark.read.schema(StructType([*wanted.fields, StructField(_BROKEN, StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BROKEN).json(path)
-    return r.filter(F.col(_BROKEN).isNull()).drop(_BROKEN), r.filter(F.col(_BROKEN).isNotNull()).select(_BROKEN)
+    full = StructType([*wanted.fields, StructField(_BROKEN, StringType())])
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    r = lines.select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}).alias("r"))
+    return r.filter(f"r.{_BROKEN} is null").select(*(F.col(f"r.{c}").alias(c) for c in wanted.names)), r.filter(f"r.{_BROKEN} is not null").select(F.col(f"r.{_BROKEN}").alias(_BROKEN))
 
 
 def shards(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
