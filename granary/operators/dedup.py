@@ -1,50 +1,60 @@
-"""Near-duplicate units: the first occurrence wins."""
+"""Near-duplicate units: the first occurrence wins. Only keys move; texts stay with their documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.text import collapse, normalise_runs
+from granary.functions.text import PARAGRAPH, collapse, normalise_runs
+from granary.session import materialize, small
 
 #: Units under MIN_UNIT characters are kept without comparison; documents under MIN_DOC after removal are dropped.
 MIN_UNIT, MIN_DOC = 120, 200
-PARAGRAPH, LINE = r"\n\s*\n", r"\n"
 
 
-def units(docs: DataFrame, order: list[str], text: str = "text", split: str = PARAGRAPH, key=normalise_runs, min_unit: int = MIN_UNIT) -> DataFrame:
-    """One row per non-blank unit of a document: the columns `order`, unit_pos, unit (collapsed), norm (null if the unit is short)."""
-    u = docs.select(*order, F.posexplode(F.split(F.col(text), split)).alias("unit_pos", "unit")).withColumn("unit", collapse(F.col("unit"))).filter(F.col("unit") != "")
-    return u.withColumn("norm", F.when(F.length("unit") >= min_unit, key(F.col("unit"))))
+def unit_array(text: Column, split: str = PARAGRAPH) -> Column:
+    """The units of a text, collapsed; blank ones stay as empty strings, so that places are those of the split."""
+    return F.transform(F.split(text, split), lambda u: collapse(u))
 
 
-def mark_first(u: DataFrame, order: list[str]) -> DataFrame:
-    """Adds `kept`: short units, and of equal units the first by (`order`, unit_pos).
+def marks(docs: DataFrame, order: list[str], *keep: str, text: str = "text", split: str = PARAGRAPH, key=normalise_runs, min_unit: int = MIN_UNIT) -> DataFrame:
+    """(keep, order, unit_pos, n_chars, is_short, kept): one row per non-blank unit, without its text.
 
-    The first is found by a minimum with map-side combination, not by a window: a unit that a third of all documents
-    share is pre-aggregated before it moves. Short units never enter the exchange."""
-    rank = F.struct(*order, "unit_pos")
-    long = u.filter(F.col("norm").isNotNull())
-    first = long.groupBy(F.xxhash64("norm").alias("_h"), F.md5("norm").alias("_m")).agg(F.min(rank).alias("_r")).select("_r.*", F.lit(True).alias("_first"))
-    return u.join(first, [*order, "unit_pos"], "left").withColumn("kept", F.col("norm").isNull() | F.col("_first").isNotNull()).drop("_first")
+    Short units are kept; of units with the same key the first by (`order`, unit_pos), which should be unique and not null.
+    The first is found by a minimum with map-side combination, so that a unit that a third of all documents share is
+    pre-aggregated before it moves, and is joined back by its place, which no two rows share. Short units never enter the
+    exchange of keys. Null texts have no units."""
+    u = docs.filter(F.col(text).isNotNull()).select(*keep, *order, F.posexplode(unit_array(F.col(text), split)).alias("unit_pos", "_u")).filter(F.col("_u") != "")
+    norm = F.when(F.length("_u") >= min_unit, key(F.col("_u")))
+    u = u.select(*keep, *order, "unit_pos", F.length("_u").cast("bigint").alias("n_chars"), norm.alias("_n")).select(*keep, *order, "unit_pos", "n_chars", F.xxhash64("_n").alias("_h"), F.unhex(F.md5("_n")).alias("_m"))
+    u = materialize(u, "units")
+    place = [*order, "unit_pos"]
+    first = u.filter("_m is not null").groupBy("_h", "_m").agg(F.min(F.struct(*place)).alias("_r")).select("_r.*", F.lit(True).alias("_first"))
+    short = F.col("_m").isNull()
+    return u.join(first, place, "left").select(*keep, *place, "n_chars", short.alias("is_short"), (short | F.col("_first").isNotNull()).alias("kept"))
 
 
-def rejoin(u: DataFrame, by: list[str], min_doc: int = MIN_DOC, joint: str = "\n\n") -> DataFrame:
-    """The kept units of each document joined again in order; documents under `min_doc` characters are dropped."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_pos", "unit"))), lambda x: x["unit"]), joint)
-    return u.filter("kept").groupBy(*by).agg(text.alias("text"), F.count("*").alias("n_units")).filter(F.length("text") >= min_doc)
+def documents(docs: DataFrame, marked: DataFrame, order: list[str], text: str = "text", split: str = PARAGRAPH, min_doc: int = MIN_DOC, joint: str = "\n\n") -> DataFrame:
+    """`docs` with only the kept units of each text, joined again, and n_units; documents under `min_doc` characters are dropped.
 
+    Dropped places are gathered per document and joined to the texts: by broadcast if few documents lose a unit, else in the
+    one exchange of texts that there is."""
+    gone = marked.filter("not kept").groupBy(*order).agg(F.collect_list("unit_pos").alias("_gone"))
+    left = F.filter(unit_array(F.col(text), split), lambda u, i: (u != "") & ~F.coalesce(F.array_contains("_gone", i), F.lit(False)))
+    out = docs.filter(F.col(text).isNotNull()).join(small(materialize(gone, "gone")), order, "left").withColumn("_left", left)
+    return out.withColumn(text, F.array_join("_left", joint)).withColumn("n_units", F.size("_left").cast("bigint")).filter((F.length(text) >= min_doc) & (F.col("n_units") > 0)).drop("_gone", "_left")
 
-def stats(u: DataFrame, by: str = "source", doc: str = "doc_id", min_doc: int = MIN_DOC) -> DataFrame:
+
+def stats(marked: DataFrame, by: str = "source", doc: str = "doc_id", min_doc: int = MIN_DOC) -> DataFrame:
     """Per source and in total (`by` null, is_total 1): documents in and out, kept and dropped characters, dropped share, unique long units.
 
     Documents are summed up first, so that the counts per source need no distinct."""
-    n = F.length("unit").cast("bigint")
+    n = F.col("n_chars")
     size = lambda is_: F.sum(F.when(is_, n).otherwise(0))
-    per = u.groupBy(by, doc).agg(
+    per = marked.groupBy(by, doc).agg(
         size(F.col("kept")).alias("kept_chars"),
         size(~F.col("kept")).alias("dropped_chars"),
-        F.sum(F.when(F.col("kept") & F.col("norm").isNotNull(), 1).otherwise(0)).alias("unique_units"),
+        F.sum(F.when(F.col("kept") & ~F.col("is_short"), 1).otherwise(0)).alias("unique_units"),
         F.sum(F.when(F.col("kept"), n + 2).otherwise(0)).alias("_joined"),
     )
     total = F.sum("kept_chars") + F.sum("dropped_chars")

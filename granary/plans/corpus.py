@@ -23,22 +23,23 @@ k as (select *, norm is null or row_number() over (partition by norm order by sr
 
 
 def _marked(spark: SparkSession, where: str, split: str, key=T.normalise_runs) -> DataFrame:
-    return dedup.mark_first(dedup.units(documents(spark, where).select("source", *ORDER, "text"), ["source", *ORDER], split=split, key=key), ORDER)
+    return dedup.marks(documents(spark, where), ORDER, "source", split=split, key=key)
 
 
 @query(_units(_PARAGRAPH) + " select doc_id, unit_pos, kept, norm is null as is_short from k")
 def near_dedup_units(spark: SparkSession, where: str) -> DataFrame:
-    return _marked(spark, where, T.PARAGRAPH).select("doc_id", F.col("unit_pos").cast("bigint").alias("unit_pos"), "kept", F.isnull("norm").alias("is_short"))
+    return _marked(spark, where, T.PARAGRAPH).select("doc_id", F.col("unit_pos").cast("bigint").alias("unit_pos"), "kept", "is_short")
 
 
 @query(_units(_PARAGRAPH) + " select source, doc_id, string_agg(unit, chr(10) || chr(10) order by unit_pos) as text, count(*) as n_units from k where kept group by source, doc_id having length(string_agg(unit, chr(10) || chr(10) order by unit_pos)) >= 200")
 def near_dedup_docs(spark: SparkSession, where: str) -> DataFrame:
-    return dedup.rejoin(_marked(spark, where, T.PARAGRAPH), ["source", "doc_id"])
+    docs = documents(spark, where).select("source", *ORDER, "text")
+    return dedup.documents(docs, dedup.marks(docs, ORDER), ORDER).select("source", "doc_id", "text", "n_units")
 
 
 @query(_units(r"\n") + " select doc_id, unit_pos, kept, norm is null as is_short from k")
 def near_dedup_lines(spark: SparkSession, where: str) -> DataFrame:
-    return _marked(spark, where, T.LINE).select("doc_id", F.col("unit_pos").cast("bigint").alias("unit_pos"), "kept", F.isnull("norm").alias("is_short"))
+    return _marked(spark, where, T.LINE).select("doc_id", F.col("unit_pos").cast("bigint").alias("unit_pos"), "kept", "is_short")
 
 
 _DIGITS = r"lower(regexp_replace(trim(regexp_replace(regexp_replace(unit, '[^\p{L}\p{Nd}\s]', '', 'g'), '\s+', ' ', 'g')), '\p{Nd}', '#', 'g'))"
@@ -46,7 +47,7 @@ _DIGITS = r"lower(regexp_replace(trim(regexp_replace(regexp_replace(unit, '[^\p{
 
 @query(_units(_PARAGRAPH, _DIGITS) + " select doc_id, unit_pos, kept, norm is null as is_short from k")
 def near_dedup_digit_mode(spark: SparkSession, where: str) -> DataFrame:
-    return _marked(spark, where, T.PARAGRAPH, T.normalise_digits).select("doc_id", F.col("unit_pos").cast("bigint").alias("unit_pos"), "kept", F.isnull("norm").alias("is_short"))
+    return _marked(spark, where, T.PARAGRAPH, T.normalise_digits).select("doc_id", F.col("unit_pos").cast("bigint").alias("unit_pos"), "kept", "is_short")
 
 
 @query(
@@ -68,7 +69,7 @@ select coalesce(a.source, '(none)') as source, coalesce(n_raw, 0) as n_raw, coal
 )
 def dedup_doc_count_guard(spark: SparkSession, where: str) -> DataFrame:
     docs = documents(spark, where)
-    read = dedup.units(docs, ["source", *ORDER]).select("source", "doc_id").distinct()
+    read = docs.filter(F.exists(dedup.unit_array(F.col("text")), lambda u: u != ""))
     return dedup.count_guard(docs, read)
 
 

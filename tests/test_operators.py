@@ -39,26 +39,34 @@ def test_salted_join_of_a_hot_key(spark, rows):
     assert len(got) == 1001 and {r["v"] for r in got} == {"H", "A"} and set(got[0].asDict()) == {"k", "i", "n", "v"}
 
 
+ORDER = ["src_rank", "doc_id"]
+
+
 def test_first_occurrence_wins_by_priority(spark, rows):
     t = LONG.format(3)
-    docs = rows("src_rank int, doc_id bigint, text string", [(2, 1, t + "\n\nshort"), (1, 9, "x\n\n" + t.upper()), (1, 5, "short"), (3, 7, None), (3, 8, " \n\n ")])
-    u = dedup.mark_first(dedup.units(docs.filter("text is not null"), ["src_rank", "doc_id"]), ["src_rank", "doc_id"])
-    kept = {(r["doc_id"], r["unit_pos"]): r["kept"] for r in u.collect()}
-    assert kept == {(1, 0): False, (1, 1): True, (9, 0): True, (9, 1): True, (5, 0): True}
-    out = dedup.rejoin(u, ["doc_id"], 0)
+    docs = rows("src_rank int, doc_id bigint, text string, kept string", [(2, 1, t + "\n\nshort", "x"), (1, 9, "x\n\n" + t.upper(), "x"), (1, 5, "short", "x"), (3, 7, None, "x"), (3, 8, " \n\n ", "x")])
+    m = dedup.marks(docs, ORDER)
+    assert {(r["doc_id"], r["unit_pos"]): r["kept"] for r in m.collect()} == {(1, 0): False, (1, 1): True, (9, 0): True, (9, 1): True, (5, 0): True}
+    out = dedup.documents(docs, m, ORDER, min_doc=0)
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: "short", 9: "x\n\n" + t.upper(), 5: "short"}
+    assert dedup.documents(docs.limit(0), dedup.marks(docs.limit(0), ORDER), ORDER).count() == 0
 
 
 def test_a_dropped_document_still_counts_as_seen(spark, rows):
-    t = LONG.format(1)
-    u = dedup.mark_first(dedup.units(rows("src_rank int, doc_id bigint, text string", [(1, 1, t), (2, 2, t)]), ["src_rank", "doc_id"]), ["src_rank", "doc_id"])
-    assert dedup.rejoin(u, ["doc_id"], 10_000).count() == 0 and {r["doc_id"]: r["kept"] for r in u.collect()} == {1: True, 2: False}
+    docs = rows("src_rank int, doc_id bigint, text string", [(1, 1, LONG.format(1)), (2, 2, LONG.format(1))])
+    m = dedup.marks(docs, ORDER)
+    assert dedup.documents(docs, m, ORDER, min_doc=10_000).count() == 0 and {r["doc_id"]: r["kept"] for r in m.collect()} == {1: True, 2: False}
+
+
+def test_a_unit_that_all_documents_share(spark, rows):
+    docs = rows("src_rank int, doc_id bigint, text string", [(1, i, LONG.format(7) + f"\n\nown {i}") for i in range(500)])
+    m = dedup.marks(docs, ORDER).filter("not is_short").collect()
+    assert [r["doc_id"] for r in m if r["kept"]] == [0] and len(m) == 500
 
 
 def test_thresholds_of_length(spark, rows):
     docs = rows("src_rank int, doc_id bigint, text string", [(1, n, "é" * n) for n in (119, 120, 121)])
-    u = {r["doc_id"]: r["norm"] is None for r in dedup.units(docs, ["src_rank", "doc_id"]).collect()}
-    assert u == {119: True, 120: False, 121: False}
+    assert {r["doc_id"]: r["is_short"] for r in dedup.marks(docs, ORDER).collect()} == {119: True, 120: False, 121: False}
     assert {r["i"] for r in ingest.long_enough(rows("i int, text string", [(n, "ü" * n) for n in (199, 200, 201)] + [(0, None)])).collect()} == {200, 201}
 
 
