@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.columns import let
 from granary.functions.text import PARAGRAPH, collapse, normalise_runs
 from granary.session import materialize, small
 
@@ -24,9 +25,10 @@ def marks(docs: DataFrame, order: list[str], *keep: str, text: str = "text", spl
     The first is found by a minimum with map-side combination, so that a unit that a third of all documents share is
     pre-aggregated before it moves, and is joined back by its place, which no two rows share. Short units never enter the
     exchange of keys. Null texts have no units."""
-    u = docs.filter(F.col(text).isNotNull()).select(*keep, *order, F.posexplode(unit_array(F.col(text), split)).alias("unit_pos", "_u")).filter(F.col("_u") != "")
-    norm = F.when(F.length("_u") >= min_unit, key(F.col("_u")))
-    u = u.select(*keep, *order, "unit_pos", F.length("_u").cast("bigint").alias("n_chars"), norm.alias("_n")).select(*keep, *order, "unit_pos", "n_chars", F.xxhash64("_n").alias("_h"), F.unhex(F.md5("_n")).alias("_m"))
+    # within the array, so that each unit's key is computed once, however often it is used below
+    keyed = F.transform(unit_array(F.col(text), split), lambda u: F.struct(F.length(u).cast("bigint").alias("n"), F.when(F.length(u) >= min_unit, key(u)).alias("k")))
+    hashed = F.transform(keyed, lambda u: F.struct(u["n"].alias("n_chars"), F.when(u["k"].isNotNull(), F.xxhash64(u["k"])).alias("_h"), F.unhex(F.md5(u["k"])).alias("_m")))
+    u = docs.filter(F.col(text).isNotNull()).select(*keep, *order, F.posexplode(hashed).alias("unit_pos", "_u")).filter("_u.n_chars > 0").select(*keep, *order, "unit_pos", "_u.*")
     u = materialize(u, "units")
     place = [*order, "unit_pos"]
     first = u.filter("_m is not null").groupBy("_h", "_m").agg(F.min(F.struct(*place)).alias("_r")).select("_r.*", F.lit(True).alias("_first"))
@@ -41,8 +43,11 @@ def documents(docs: DataFrame, marked: DataFrame, order: list[str], text: str =
     one exchange of texts that there is."""
     gone = marked.filter("not kept").groupBy(*order).agg(F.collect_list("unit_pos").alias("_gone"))
     left = F.filter(unit_array(F.col(text), split), lambda u, i: (u != "") & ~F.coalesce(F.array_contains("_gone", i), F.lit(False)))
-    out = docs.filter(F.col(text).isNotNull()).join(small(materialize(gone, "gone")), order, "left").withColumn("_left", left)
-    return out.withColumn(text, F.array_join("_left", joint)).withColumn("n_units", F.size("_left").cast("bigint")).filter((F.length(text) >= min_doc) & (F.col("n_units") > 0)).drop("_gone", "_left")
+    joined = let(left, lambda x: F.struct(F.array_join(x, joint).alias(text), F.size(x).cast("bigint").alias("n_units")))
+    rest = [c for c in docs.columns if c not in (text, "n_units")]
+    out = docs.filter(F.col(text).isNotNull()).join(small(materialize(gone, "gone")), order, "left")
+    # as a generator, since Catalyst would compute the texts twice for a filter on them
+    return out.select(*rest, F.explode(F.filter(F.array(joined), lambda s: (F.length(s[text]) >= min_doc) & (s["n_units"] > 0))).alias("_s")).select(*rest, "_s.*")
 
 
 def stats(marked: DataFrame, by: str = "source", doc: str = "doc_id", min_doc: int = MIN_DOC) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions import text as T
 from granary.operators import dedup, ingest, pack, probes, ranges, sampling
 from granary.plans.registry import DOCUMENTS, SPACE, collapsed, documents, query, runs_key, tokens
-from granary.session import materialize, small, table
+from granary.session import materialize, table, texts
 
 ORDER = ["src_rank", "doc_id"]
 _PARAGRAPH = r"\n[\s\x0B]*\n"
@@ -79,7 +79,7 @@ from documents where length(trim(text)) >= 200 and source is not null) select do
 )
 def ingest_min_length_budget(spark: SparkSession, where: str) -> DataFrame:
     """Each source up to 40,000 characters. Its running sums come from one sorted pass per source range, keyed by source first."""
-    docs = ingest.long_enough(table(spark, where, "documents").filter("source is not null")).withColumn("n", F.length("text").cast("bigint"))
+    docs = ingest.long_enough(texts(spark, where, "documents").filter("source is not null")).withColumn("n", F.length("text").cast("bigint"))
     return ingest.budget_per_source(docs, "source", ["doc_id"], F.col("n"), 40_000).select("doc_id", "source", F.col("n").alias("n_chars"), "before")
 
 
@@ -88,7 +88,7 @@ def ingest_min_length_budget(spark: SparkSession, where: str) -> DataFrame:
 f as (select *, coalesce(sum(n) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as before from e) select doc_id, source, cast(before as bigint) as before from f where before < 30000"""
 )
 def ingest_two_sources(spark: SparkSession, where: str) -> DataFrame:
-    docs = ingest.long_enough(table(spark, where, "documents")).select("doc_id", "source", F.length("text").cast("bigint").alias("n"))
+    docs = ingest.long_enough(texts(spark, where, "documents")).select("doc_id", "source", F.length("text").cast("bigint").alias("n"))
     halves = ingest.union_of_halves(docs.filter("source = 'web_essays'"), docs.filter("source = 'web_forums'"), [F.col("doc_id")], F.col("n"), 60_000)
     return halves.select("doc_id", "source", "before")
 
@@ -107,7 +107,7 @@ def filing_texts(spark: SparkSession, where: str) -> DataFrame:
 cast(coalesce(max(length(text)), 0) as bigint) as longest, cast(grouping(source) as integer) as is_total from documents group by rollup (source)"""
 )
 def corpus_stats(spark: SparkSession, where: str) -> DataFrame:
-    return ingest.corpus_stats(table(spark, where, "documents"))
+    return ingest.corpus_stats(texts(spark, where, "documents"))
 
 
 @query(
@@ -116,7 +116,7 @@ select doc_id, piece_no, length(substr(text, piece_no * 1000 + 1, 1000)) as n_ch
 )
 def split_long_documents(spark: SparkSession, where: str) -> DataFrame:
     """Pieces of 1,000 characters, since the test texts rarely have 50,000."""
-    cut = pack.split_long(table(spark, where, "documents").select("doc_id", "text"), 1000)
+    cut = pack.split_long(texts(spark, where, "documents").select("doc_id", "text"), 1000)
     return cut.select("doc_id", F.col("piece_no").cast("bigint").alias("piece_no"), F.length("piece").cast("bigint").alias("n_chars"), F.md5("piece").alias("digest"))
 
 
@@ -125,7 +125,7 @@ def split_long_documents(spark: SparkSession, where: str) -> DataFrame:
 regexp_matches(text, '\\[nrtu"]') or contains(text, chr(65533)) as is_torn from documents where text is not null"""
 )
 def control_characters(spark: SparkSession, where: str) -> DataFrame:
-    d = table(spark, where, "documents").filter("text is not null")
+    d = texts(spark, where, "documents").filter("text is not null")
     return d.select("doc_id", (F.length("text") - F.length(T.without_controls(F.col("text")))).cast("bigint").alias("n_controls"), T.torn(F.col("text")).alias("is_torn"))
 
 
@@ -138,7 +138,7 @@ x as (select doc_id, domain, window_no, trim(regexp_replace(c2, '[\\x00-\\x08\\x
 
 
 def _chunks(spark: SparkSession, where: str) -> DataFrame:
-    docs = table(spark, where, "documents").filter("domain is not null").select("doc_id", "domain", "text")
+    docs = texts(spark, where, "documents").filter("domain is not null").select("doc_id", "domain", "text")
     w = sampling.windows(docs, 600).withColumn("window_no", F.col("window_no").cast("bigint")).withColumn("chunk", sampling.clean_chunk(F.col("chunk")))
     return sampling.distinct_heads(materialize(w.filter(F.length("chunk") >= 400), "chunks"), ["doc_id", "window_no"])
 
@@ -158,7 +158,7 @@ p as (select doc_id, text, h % (greatest(length(text) - 500, 0) + 1) as start fr
 )
 def passage_sample_with_offset(spark: SparkSession, where: str) -> DataFrame:
     start, passage = sampling.passage(F.col("text"), F.col("doc_id"), 9, 500)
-    return table(spark, where, "documents").filter("text is not null").select("doc_id", start.alias("start"), passage.alias("passage"))
+    return texts(spark, where, "documents").filter("text is not null").select("doc_id", start.alias("start"), passage.alias("passage"))
 
 
 @query(
@@ -166,7 +166,7 @@ def passage_sample_with_offset(spark: SparkSession, where: str) -> DataFrame:
 select doc_id, round(-ln((h + 1.0) / 4294967297.0) / length(text), 12)::double as weight_key from s order by weight_key, doc_id limit 100"""
 )
 def length_biased_sample(spark: SparkSession, where: str) -> DataFrame:
-    return sampling.by_length(table(spark, where, "documents"), 5, 100, "doc_id").select("doc_id", "weight_key")
+    return sampling.by_length(texts(spark, where, "documents"), 5, 100, "doc_id").select("doc_id", "weight_key")
 
 
 @query(
@@ -175,28 +175,28 @@ from documents where text is not null and source is not null), b as (select *, c
 select doc_id, source, turn, cast(before as bigint) as before from b where before < 400000"""
 )
 def tokenizer_round_robin_sample(spark: SparkSession, where: str) -> DataFrame:
-    docs = table(spark, where, "documents").filter("text is not null and source is not null").select("doc_id", "source", F.length("text").cast("bigint").alias("n"))
+    docs = texts(spark, where, "documents").filter("text is not null and source is not null").select("doc_id", "source", F.length("text").cast("bigint").alias("n"))
     return sampling.round_robin(docs, "source", ["doc_id"], F.col("n"), 30_000, 400_000).select("doc_id", "source", F.col("turn").cast("bigint").alias("turn"), "before")
 
 
 @query("select doc_id, case when row_number() over (order by md5('3|' || doc_id), doc_id) <= 50 then 'val' else 'train' end as split from documents")
 def holdout_split(spark: SparkSession, where: str) -> DataFrame:
-    return sampling.holdout(table(spark, where, "documents").select("doc_id"), 3, 50, "doc_id")
+    return sampling.holdout(texts(spark, where, "documents").select("doc_id"), 3, 50, "doc_id")
 
 
 @query("select doc_id, case when row_number() over (order by md5('4|' || doc_id), doc_id) <= ceil(0.02 * (select count(*) from documents)) then 'test' else 'train' end as split from documents")
 def fraction_split(spark: SparkSession, where: str) -> DataFrame:
-    return sampling.fraction(table(spark, where, "documents").select("doc_id"), 4, 0.02, "doc_id")
+    return sampling.fraction(texts(spark, where, "documents").select("doc_id"), 4, 0.02, "doc_id")
 
 
 @query("select doc_id, row_number() over (order by md5('1|' || doc_id), doc_id) as rank from documents")
 def global_shuffle(spark: SparkSession, where: str) -> DataFrame:
-    return ranges.ranked(sampling.shuffled(table(spark, where, "documents").select("doc_id"), 1, "doc_id"), [F.col("place"), F.col("doc_id")]).drop("place")
+    return ranges.ranked(sampling.shuffled(texts(spark, where, "documents").select("doc_id"), 1, "doc_id"), [F.col("place"), F.col("doc_id")]).drop("place")
 
 
 @query("select doc_id from documents order by md5('2|' || doc_id), doc_id limit 64")
 def seeded_head(spark: SparkSession, where: str) -> DataFrame:
-    return sampling.head(table(spark, where, "documents").select("doc_id"), 2, 64, "doc_id").select("doc_id")
+    return sampling.head(texts(spark, where, "documents").select("doc_id"), 2, 64, "doc_id").select("doc_id")
 
 
 _TOKENS = f"w as (select unnest({tokens('text')}) as token from documents where text is not null), f as (select token, count(*) as n from w group by token)"
@@ -204,7 +204,7 @@ _TOKENS = f"w as (select unnest({tokens('text')}) as token from documents where
 
 @query(f"with {_TOKENS}, p as (select n / (sum(n) over ())::double as p, n from f) select cast(sum(n) as bigint) as n_tokens, count(*) as n_types, round(-sum(p * ln(p)), 9) as entropy, round(exp(-sum(p * ln(p))), 6) as perplexity, round(ln(count(*)), 9) as uniform from p")
 def token_counts_entropy(spark: SparkSession, where: str) -> DataFrame:
-    return probes.entropy(probes.token_counts(table(spark, where, "documents")))
+    return probes.entropy(probes.token_counts(texts(spark, where, "documents")))
 
 
 @query(
@@ -212,7 +212,7 @@ def token_counts_entropy(spark: SparkSession, where: str) -> DataFrame:
 select case when rank <= 100 then 'top_100' when rank <= 1000 then '100_1k' when rank <= 10000 then '1k_10k' else '10k_up' end as bucket, count(*) as n_types, cast(sum(n) as bigint) as n_tokens, round(sum(n * ln(rank)) / sum(n), 9) as mean_log_rank from r group by 1"""
 )
 def token_frequency_buckets(spark: SparkSession, where: str) -> DataFrame:
-    return probes.frequency_buckets(probes.token_counts(table(spark, where, "documents")))
+    return probes.frequency_buckets(probes.token_counts(texts(spark, where, "documents")))
 
 
 _STREAM = f"""with s as (select doc_id, source, coalesce(source, '') as src, text, case when text is null then 0 else len({tokens("text")}) + 2 end as n_tokens from documents),
@@ -220,7 +220,7 @@ o as (select *, coalesce(sum(n_tokens) over (order by src, doc_id rows between u
 
 
 def _stream(spark: SparkSession, where: str) -> DataFrame:
-    return pack.stream(table(spark, where, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("src"), "text"), [F.col("src"), F.col("doc_id")])
+    return pack.stream(texts(spark, where, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("src"), "text"), [F.col("src"), F.col("doc_id")])
 
 
 @query(_STREAM + " select doc_id, cast(n_tokens as bigint) as n_tokens, cast(token_start as bigint) as token_start from o")
@@ -234,7 +234,7 @@ def token_offsets(spark: SparkSession, where: str) -> DataFrame:
 select cast(pos // 512 as bigint) as block_id, array_to_string(list(token order by pos), ' ') as tokens from t group by 1 having count(*) = 512"""
 )
 def pack_blocks(spark: SparkSession, where: str) -> DataFrame:
-    docs = table(spark, where, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("src"), "text")
+    docs = texts(spark, where, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("src"), "text")
     return pack.blocks(docs, [F.col("src"), F.col("doc_id")], 512).select("block_id", F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -279,17 +279,17 @@ def domain_term_contexts(spark: SparkSession, where: str) -> DataFrame:
 )
 def domain_term_counts(spark: SparkSession, where: str) -> DataFrame:
     low = F.lower("text")
-    return table(spark, where, "documents").filter("text is not null").select("doc_id", *(F.regexp_count(low, F.lit(rf"\b{t}\b")).cast("bigint").alias(f"n_{t}") for t in _TERMS[:4]))
+    return texts(spark, where, "documents").filter("text is not null").select("doc_id", *(F.regexp_count(low, F.lit(rf"\b{t}\b")).cast("bigint").alias(f"n_{t}") for t in _TERMS[:4]))
 
 
 @query("select doc_id, cast(('0x' || substr(md5('8|' || doc_id), 1, 8)) as bigint) % 1000 < 300 as is_masked from documents")
 def token_mask(spark: SparkSession, where: str) -> DataFrame:
-    return sampling.masked(table(spark, where, "documents").select("doc_id"), 8, 300, "doc_id")
+    return sampling.masked(texts(spark, where, "documents").select("doc_id"), 8, 300, "doc_id")
 
 
 @query("select domain, count(distinct source) as n_sources, count(distinct md5(text)) as n_texts, count(distinct lang) as n_langs from documents group by domain")
 def distinct_counts(spark: SparkSession, where: str) -> DataFrame:
-    return table(spark, where, "documents").groupBy("domain").agg(F.countDistinct("source").alias("n_sources"), F.countDistinct(F.md5("text")).alias("n_texts"), F.countDistinct("lang").alias("n_langs"))
+    return texts(spark, where, "documents").groupBy("domain").agg(F.countDistinct("source").alias("n_sources"), F.countDistinct(F.md5("text")).alias("n_texts"), F.countDistinct("lang").alias("n_langs"))
 
 
 @query(
@@ -298,5 +298,5 @@ select coalesce(domain, '(none)') as domain, cast(sum(n) as bigint) as loss, cou
 )
 def loss_by_domain(spark: SparkSession, where: str) -> DataFrame:
     """Weighted loss and accuracy per domain, with a text's length in the place of a loss."""
-    d = table(spark, where, "documents").filter("text is not null").select(F.coalesce("domain", F.lit("(none)")).alias("domain"), F.length("text").cast("bigint").alias("loss"), (F.length("text") > 1000).alias("hit"))
+    d = texts(spark, where, "documents").filter("text is not null").select(F.coalesce("domain", F.lit("(none)")).alias("domain"), F.length("text").cast("bigint").alias("loss"), (F.length("text") > 1000).alias("hit"))
     return probes.weighted_loss(d, ["domain"])

@@ -9,7 +9,7 @@ from granary.functions import text as T
 from granary.operators import monitor as M
 from granary.operators import synth
 from granary.plans.registry import query
-from granary.session import table
+from granary.session import table, texts
 
 _DAILY = "e as (select event_type, date_diff('day', timestamp '2000-01-01', date_trunc('day', ts::timestamp)) as day, avg(value) as loss from events group by all)"
 
@@ -114,7 +114,7 @@ def power_law_fit(spark: SparkSession, where: str) -> DataFrame:
 
 @query("select count(*) as n_lines, cast(count(*) filter (where regexp_matches(text, '(?i)\\b(error|exception|traceback|out of memory)\\b')) as bigint) as n_errors from (select unnest(string_split(text, chr(10))) as text from documents)")
 def error_line_count(spark: SparkSession, where: str) -> DataFrame:
-    return M.error_lines(table(spark, where, "documents").filter("text is not null").select(F.explode(F.split("text", "\n")).alias("text")), "text")
+    return M.error_lines(texts(spark, where, "documents").filter("text is not null").select(F.explode(F.split("text", "\n")).alias("text")), "text")
 
 
 _REPLY = """'Here you are:' || chr(10) || '```json' || chr(10) || '{"passage": "' || repeat('Clause ' || event_type || ' ', cast(event_id % 30 as integer)) || '", "queries": ["short", "what does event ' || event_id || ' say?", "' || repeat('long ', 70) || '"]' || case when event_id % 3 = 0 then '' else ', "hard_negative": "' || repeat('Other ', cast(event_id % 41 as integer)) || '"' end || case when event_id % 7 = 0 then '' else '}' end || chr(10) || '```'"""

@@ -9,7 +9,7 @@ from granary.functions import text as T
 from granary.operators import batching, bm25
 from granary.operators import pairs as P
 from granary.plans.registry import SPACE, collapsed, query, tokens
-from granary.session import table
+from granary.session import table, texts
 
 
 def _strip(c: str) -> str:
@@ -18,12 +18,12 @@ def _strip(c: str) -> str:
 
 @query(f"select id, {_strip('anchor')} as anchor, {_strip('positive')} as positive from pairs")
 def pairs_without_prefixes(spark: SparkSession, where: str) -> DataFrame:
-    return P.bare(table(spark, where, "pairs")).select("id", "anchor", "positive")
+    return P.bare(texts(spark, where, "pairs")).select("id", "anchor", "positive")
 
 
 @query(f"select id, '[QUERY] ' || {collapsed(_strip('anchor'))} as anchor, '[PASSAGE] ' || {collapsed('substr(' + _strip('positive') + ', 1, 200)')} as positive, label from pairs where length({_strip('anchor')}) > 5 and length({_strip('positive')}) > 20 and source <> 'clause_match'")
 def qa_pairs_asymmetric(spark: SparkSession, where: str) -> DataFrame:
-    p = P.bare(table(spark, where, "pairs")).filter("length(anchor) > 5 and length(positive) > 20 and source <> 'clause_match'")
+    p = P.bare(texts(spark, where, "pairs")).filter("length(anchor) > 5 and length(positive) > 20 and source <> 'clause_match'")
     return p.select("id", T.query_text(F.col("anchor")).alias("anchor"), T.passage_text(F.substring("positive", 1, 200)).alias("positive"), "label")
 
 
@@ -32,7 +32,7 @@ def qa_pairs_asymmetric(spark: SparkSession, where: str) -> DataFrame:
 select label, min(case when rank % 2 = 1 then id end) as first, min(case when rank % 2 = 0 then id end) as second from r group by label, (rank + 1) // 2 having count(*) = 2"""
 )
 def label_pairs_symmetric(spark: SparkSession, where: str) -> DataFrame:
-    return P.label_pairs(table(spark, where, "pairs"), "label", "id", 6)
+    return P.label_pairs(texts(spark, where, "pairs"), "label", "id", 6)
 
 
 @query(
@@ -45,7 +45,7 @@ def section_unpivot_pairs(spark: SparkSession, where: str) -> DataFrame:
 
 @query("select id, source, label from pairs where label in (select label from pairs group by label having count(*) >= 2)")
 def pairs_of_shared_labels(spark: SparkSession, where: str) -> DataFrame:
-    return P.with_members(table(spark, where, "pairs").filter("label is not null"), "label").select("id", "source", "label")
+    return P.with_members(texts(spark, where, "pairs").filter("label is not null"), "label").select("id", "source", "label")
 
 
 @query(
@@ -56,7 +56,7 @@ select o.id, """
     + " from o left join j on o.id = j.id group by o.id"
 )
 def negatives_pivot(spark: SparkSession, where: str) -> DataFrame:
-    return P.negatives(table(spark, where, "pairs"), table(spark, where, "mined_negatives"))
+    return P.negatives(texts(spark, where, "pairs"), table(spark, where, "mined_negatives"))
 
 
 def _bm25(toks, idf: str, unique: bool) -> str:
@@ -75,12 +75,12 @@ _OKAPI = "case when ln((n - df + 0.5) / (df + 0.5)) < 0 then 0.25 * avg(ln((n -
 
 @query(_bm25(tokens, _IDF, True) + ", r as (select *, row_number() over (partition by query order by score desc, doc) as rank from s where score > 0) select query, rank, doc, round(score, 6) as score from r where rank <= 10")
 def bm25_scores_topk(spark: SparkSession, where: str) -> DataFrame:
-    return bm25.top(P.bare(table(spark, where, "pairs"))).select("query", F.col("rank").cast("bigint").alias("rank"), "doc", F.round("score", 6).alias("score"))
+    return bm25.top(P.bare(texts(spark, where, "pairs"))).select("query", F.col("rank").cast("bigint").alias("rank"), "doc", F.round("score", 6).alias("score"))
 
 
 @query(_bm25(_SPACED, _OKAPI, False) + ", r as (select *, row_number() over (partition by query order by score desc, doc) as rank from s where score > 0) select query, rank, doc, round(score, 6) as score from r where rank <= 10")
 def bm25_okapi_rank(spark: SparkSession, where: str) -> DataFrame:
-    return bm25.okapi(P.bare(table(spark, where, "pairs"))).select("query", F.col("rank").cast("bigint").alias("rank"), "doc", F.round("score", 6).alias("score"))
+    return bm25.okapi(P.bare(texts(spark, where, "pairs"))).select("query", F.col("rank").cast("bigint").alias("rank"), "doc", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -92,7 +92,7 @@ c as (select el.query, el.doc, coalesce(case when s.score > 0 then s.score end,
 r as (select *, row_number() over (partition by query order by score desc, case when score > 0 then '' else o end, doc) as rank from c) select query, rank, doc, round(score, 6) as score from r where rank <= 2"""
 )
 def bm25_hard_negatives(spark: SparkSession, where: str) -> DataFrame:
-    found = bm25.hard_negatives(P.bare(table(spark, where, "pairs")))
+    found = bm25.hard_negatives(P.bare(texts(spark, where, "pairs")))
     return found.select("query", F.col("rank").cast("bigint").alias("rank"), "doc", F.round("score", 6).alias("score"))
 
 

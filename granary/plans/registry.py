@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.session import small, table
+from granary.session import small, table, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,7 +44,7 @@ def tokens(c: str) -> str:
 def documents(spark: SparkSession, where: str) -> DataFrame:
     """Documents with a text, and the rank of their source (999 without one)."""
     ranks = small(table(spark, where, "source_targets").select("source", "src_rank"))
-    return table(spark, where, "documents").filter("text is not null").join(ranks, "source", "left").withColumn("src_rank", F.coalesce("src_rank", F.lit(999)))
+    return texts(spark, where, "documents").filter("text is not null").join(ranks, "source", "left").withColumn("src_rank", F.coalesce("src_rank", F.lit(999)))
 
 
 DOCUMENTS = "d as (select documents.*, coalesce(src_rank, 999) as src_rank from documents left join source_targets using (source) where text is not null)"

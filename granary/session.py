@@ -79,3 +79,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def table(spark: SparkSession, where: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{where}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where its files give fewer partitions than that, as a small table in one file does; else as it is.
+
+    A large table has more splits than cores, so that it is never shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def texts(spark: SparkSession, where: str, name: str) -> DataFrame:
+    """A table of texts, over all cores."""
+    return spread(table(spark, where, name))
