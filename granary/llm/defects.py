@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 CLASSES = ["empty", "copied", "refusal", "language", "truncated"]
 #: Rows of the pairs that the classifier is fitted on at most; those of the smallest hash of their id.
-SAMPLE = 3000
+SAMPLE = 2000
 #: Places of the hashed n-grams.
 PLACES = 1 << 15
 SEED = 30

@@ -8,64 +8,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import boilerplate, bpe, copies, defects, leaks, mixture, packing, residue, tokens
-from granary.session import materialize, table
+from granary.session import materialize, table, texts
 
 
 def p1_found(spark: SparkSession, where: str) -> DataFrame:
-    return copies.copies(table(spark, where, "raw_records"))
+    return copies.copies(texts(spark, where, "raw_records"))
 
 
 def p1_distinct(spark: SparkSession, where: str) -> DataFrame:
-    return copies.distinct_records(table(spark, where, "raw_records"))
+    return copies.distinct_records(texts(spark, where, "raw_records"))
 
 
 def p2_token_cube(spark: SparkSession, where: str) -> DataFrame:
-    ledger = tokens.update(table(spark, where, "raw_records"), table(spark, where, "source_targets"))
+    ledger = tokens.update(texts(spark, where, "raw_records"), table(spark, where, "source_targets"))
     return tokens.with_totals(materialize(ledger.cube, "cube"))
 
 
 def p3_found(spark: SparkSession, where: str) -> DataFrame:
-    return defects.defects(table(spark, where, "pairs"))
+    return defects.defects(texts(spark, where, "pairs"))
 
 
 def p4_pack(spark: SparkSession, where: str) -> DataFrame:
-    return packing.pack(table(spark, where, "raw_records"), table(spark, where, "pack_settings"))
+    return packing.pack(texts(spark, where, "raw_records"), table(spark, where, "pack_settings"))
 
 
 def p4_fill(spark: SparkSession, where: str) -> DataFrame:
     settings = table(spark, where, "pack_settings")
-    return packing.block_fill(packing.pack(table(spark, where, "raw_records"), settings), settings)
+    return packing.block_fill(packing.pack(texts(spark, where, "raw_records"), settings), settings)
 
 
 def p5_found(spark: SparkSession, where: str) -> DataFrame:
-    return boilerplate.repeated_lines(table(spark, where, "raw_records")).select("doc_ord", "line_no")
+    return boilerplate.repeated_lines(texts(spark, where, "raw_records")).select("doc_ord", "line_no")
 
 
 def p5_clean_texts(spark: SparkSession, where: str) -> DataFrame:
-    return boilerplate.without_lines(table(spark, where, "raw_records"))
+    return boilerplate.without_lines(texts(spark, where, "raw_records"))
 
 
 def p6_mix(spark: SparkSession, where: str) -> DataFrame:
-    return mixture.mix(table(spark, where, "raw_records"), table(spark, where, "source_targets"))[0]
+    return mixture.mix(texts(spark, where, "raw_records"), table(spark, where, "source_targets"))[0]
 
 
 def p6_shares(spark: SparkSession, where: str) -> DataFrame:
-    return mixture.mix(table(spark, where, "raw_records"), table(spark, where, "source_targets"))[1]
+    return mixture.mix(texts(spark, where, "raw_records"), table(spark, where, "source_targets"))[1]
 
 
 def p7_ids(spark: SparkSession, where: str) -> DataFrame:
-    return bpe.encode(table(spark, where, "documents"))
+    return bpe.encode(texts(spark, where, "documents"))
 
 
 def p7_round_trip(spark: SparkSession, where: str) -> DataFrame:
     """How many texts come back from their ids as they were."""
-    docs = table(spark, where, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("was"))
+    docs = texts(spark, where, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("was"))
     back = bpe.decode(bpe.encode(docs.withColumnRenamed("was", "text")))
     return back.join(docs, "doc_id").groupBy((F.col("text") == F.col("was")).alias("same")).agg(F.count("*").alias("n_docs"))
 
 
 def p8_found(spark: SparkSession, where: str) -> DataFrame:
-    return leaks.leaks(table(spark, where, "documents"), table(spark, where, "eval_items"))
+    return leaks.leaks(texts(spark, where, "documents"), table(spark, where, "eval_items"))
 
 
 def p8_leaked_items(spark: SparkSession, where: str) -> DataFrame:
@@ -74,11 +74,11 @@ def p8_leaked_items(spark: SparkSession, where: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, where: str) -> DataFrame:
-    return residue.residue(table(spark, where, "documents")).select("doc_id")
+    return residue.residue(texts(spark, where, "documents")).select("doc_id")
 
 
 def p9_kinds(spark: SparkSession, where: str) -> DataFrame:
-    return residue.residue(table(spark, where, "documents")).select("doc_id", F.explode("kinds").alias("kind"))
+    return residue.residue(texts(spark, where, "documents")).select("doc_id", F.explode("kinds").alias("kind"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_distinct, p2_token_cube, p3_found, p4_pack, p4_fill, p5_found, p5_clean_texts, p6_mix, p6_shares, p7_ids, p7_round_trip, p8_found, p8_leaked_items, p9_found, p9_kinds)}
