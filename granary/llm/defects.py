@@ -66,7 +66,9 @@ _ABBREVIATED = regex.compile(r"(?<![^\W_])(?:no|nos|sec|secs|art|arts|par|para|c
 _LISTED = regex.compile(r"\((?:[ivx]+|[a-z]|\d)\)\W*$", regex.I)
 #: Of the function words those of one language only.
 _SETS = {k: frozenset(v.split()) - {w for j, u in FUNCTION_WORDS.items() if j != k for w in u.split()} for k, v in FUNCTION_WORDS.items()}
-DENSE = 40
+#: Letters that of the four languages only one has.
+_LETTERS = [frozenset(), frozenset("äöüß"), frozenset("çœêèàâîôûë"), frozenset("ñáíóú")]
+DENSE = 56
 
 
 def body(text: str | None) -> str:
@@ -75,8 +77,8 @@ def body(text: str | None) -> str:
 
 
 def languages(words: list[str]) -> np.ndarray:
-    """For each language the share of the words that are its function words."""
-    return np.array([sum(w in s for w in words) for s in _SETS.values()], float) / max(1, len(words))
+    """For each language the share of the words that are its function words, or (half) have a letter that is its own."""
+    return np.array([sum(w in s for w in words) + 0.5 * sum(not own.isdisjoint(w) for w in words) for s, own in zip(_SETS.values(), _LETTERS)], float) / max(1, len(words))
 
 
 def features(anchor: str | None, positive: str | None) -> tuple[np.ndarray, list[int]]:
@@ -126,6 +128,8 @@ def features(anchor: str | None, positive: str | None) -> tuple[np.ndarray, list
     x[33] = bool(x[26]) and float(lp.max()) > 0.15 and len(wp) > 8
     x[38] = bool(x[10]) and bool(x[11]) and len(wp) < 30
     x[39] = bool(x[25]) and not x[6] and not x[10]
+    if la.max() > 0 and lp.max() > 0 and len(wp) > 3:  # which language answers which
+        x[40 + 4 * la.argmax() + lp.argmax()] = 1
     grams = wp[:24] + ["<end>"]
     names = [*("1" + w for w in grams), *("2" + u + " " + v for u, v in zip(["<s>", *grams], grams)), *("3" + " ".join(t) for t in zip(grams, grams[1:], grams[2:]))]
     if len(wp) <= 4:
