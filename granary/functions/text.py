@@ -140,3 +140,14 @@ def pick(options: list[str], *key: Column) -> Column:
 def order_key(seed: int, *cols: Column) -> Column:
     """A place in a seeded order that is the same in every engine and partitioning."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(c.cast("string") for c in cols)))
+
+
+def commas(n: Column) -> Column:
+    """A whole number with thousands separators."""
+    return F.format_number(n, 0)
+
+
+def term_hits(c: Column, terms: list[str]) -> Column:
+    """All occurrences of some terms, the longest first where several fit, whatever the case; a term counts only as whole words."""
+    alternatives = "|".join(r"\Q" + t + r"\E" for t in sorted(terms, key=lambda t: (-len(t), t)))
+    return F.transform(F.regexp_extract_all(c, F.lit(rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{alternatives})(?![\p{{L}}\p{{N}}])"), F.lit(0)), lambda x: F.lower(x))

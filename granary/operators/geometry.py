@@ -124,3 +124,14 @@ def linear_probe(vectors: DataFrame, label: str = "label", key: str = "vec_id",
         r = model.transform(rows.filter(F.col("fold") == f)).agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a")).first()
         out.append((f, r["n"], r["a"], 1 / classes))
     return vectors.sparkSession.createDataFrame(out, "fold int, n bigint, accuracy double, chance double")
+
+
+def mean_pool(states: DataFrame, by: str, mask: str, vector: str) -> DataFrame:
+    """(by, pos, mean): the mean of the unmasked state vectors of each text, one row per coordinate."""
+    return coordinates(states.filter(F.col(mask)), by, vector=vector).groupBy(by, "pos").agg(F.avg("x").alias("mean"))
+
+
+def sparse_pool(logits: DataFrame, by: str, term: str, logit: str, mask: str | None = None) -> DataFrame:
+    """(by, term, weight): per text and term the highest log(1 + max(logit, 0)) over its unmasked positions; zero weights are left out."""
+    rows = logits if mask is None else logits.filter(F.col(mask))
+    return rows.groupBy(by, term).agg(F.max(F.log1p(F.greatest(F.col(logit), F.lit(0.0)))).alias("weight")).filter("weight > 0")

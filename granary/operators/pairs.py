@@ -64,3 +64,18 @@ def common_columns(rows: DataFrame, prefix: str = "negative_") -> list[str]:
 def bare(pairs: DataFrame) -> DataFrame:
     """Anchors and positives without their prefixes; empty ones are null."""
     return pairs.withColumn("anchor", without_prefixes(F.col("anchor"))).withColumn("positive", without_prefixes(F.col("positive")))
+
+
+def corpus(pairs: DataFrame, mined: DataFrame) -> DataFrame:
+    """(corpus_id, text): the passages to search, positives 'p<id>' and mined negatives 'n<id>-<place>', without empty ones."""
+    own = pairs.select(F.concat(F.lit("p"), "id").alias("corpus_id"), F.col("positive").alias("text"))
+    at = mined.dropDuplicates(["id"]).select("id", F.posexplode("negatives").alias("pos", "other"))
+    other = at.join(pairs.select(F.col("id").alias("other"), F.col("positive").alias("text")), "other").select(F.concat(F.lit("n"), "id", F.lit("-"), "pos").alias("corpus_id"), "text")
+    return own.unionByName(other).filter(F.length("text") > 0)
+
+
+def by_row(rows: DataFrame, *beside: DataFrame, key: str = "row_id") -> DataFrame:
+    """Tables that belong together row by row, joined on an explicit row number; rows that one of them lacks are left out."""
+    for b in beside:
+        rows = rows.join(b, key)
+    return rows

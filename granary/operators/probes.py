@@ -82,3 +82,18 @@ def class_ranks(scores: DataFrame, term: str, label: str, best: str = "score") -
 def concept_rollup(ranks: DataFrame, by: str = "label") -> DataFrame:
     """(label, n, median_rank, top1, top5) per label and in total (label null, is_total 1)."""
     return ranks.rollup(by).agg(F.grouping(by).cast("int").alias("is_total"), F.count("*").alias("n"), F.median("rank").alias("median_rank"), F.round(F.avg((F.col("rank") <= 1).cast("double")), 9).alias("top1"), F.round(F.avg((F.col("rank") <= 5).cast("double")), 9).alias("top5"))
+
+
+def by_position(rows: DataFrame, pos: str, length: int) -> DataFrame:
+    """(quarter, n, mean_loss, top1): losses by the quarter of a block in which their position is."""
+    return weighted_loss(rows.withColumn("quarter", position_quarter(F.col(pos), F.lit(length))), ["quarter"])
+
+
+def unmasked(rows: DataFrame, label: str = "label", ignored: int = -100) -> DataFrame:
+    """Rows whose label counts."""
+    return rows.filter(F.col(label) != ignored)
+
+
+def without_tasks(results: DataFrame, contaminated: DataFrame, task: str = "task") -> DataFrame:
+    """Results of tasks that no training data touched."""
+    return results.join(F.broadcast(contaminated.select(task).distinct()), task, "left_anti")

@@ -90,3 +90,9 @@ def round_robin(docs: DataFrame, by: str, order: list[str], size: Column, per_so
 def masked(positions: DataFrame, seed: int, per_mille: int, *key: str) -> DataFrame:
     """Adds `is_masked` for about `per_mille` of 1,000 positions."""
     return positions.withColumn("is_masked", F.pmod(F.conv(F.substring(order_key(seed, *(F.col(k) for k in key)), 1, 8), 16, 10).cast("bigint"), F.lit(1000)) < per_mille)
+
+
+def stride(df: DataFrame, order: list[Column], every: int, most: int | None = None) -> DataFrame:
+    """Every `every`-th row in order, from the first on; at most `most` rows."""
+    r = ranked(df, order, "_at").filter(F.col("_at") % every == 1 % every)
+    return (r if most is None else r.filter(F.col("_at") <= (most - 1) * every + 1)).drop("_at")

@@ -300,3 +300,27 @@ def loss_by_domain(spark: SparkSession, where: str) -> DataFrame:
     """Weighted loss and accuracy per domain, with a text's length in the place of a loss."""
     d = texts(spark, where, "documents").filter("text is not null").select(F.coalesce("domain", F.lit("(none)")).alias("domain"), F.length("text").cast("bigint").alias("loss"), (F.length("text") > 1000).alias("hit"))
     return probes.weighted_loss(d, ["domain"])
+
+
+@query("select doc_id, coalesce(source, '') as src from (select doc_id, source, row_number() over (order by coalesce(source, ''), doc_id) as n from documents) where n % 7 = 1 and n <= 7 * 99 + 1")
+def stride_sample(spark: SparkSession, where: str) -> DataFrame:
+    docs = texts(spark, where, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("src"))
+    return sampling.stride(docs, [F.col("src"), F.col("doc_id")], 7, 100)
+
+
+@query(
+    f"""with {DOCUMENTS}, t as (select unnest({tokens("text")}) as token, unnest(range(len({tokens("text")}))) % 512 as pos from d)
+select cast(floor(pos * 4 / 512) as integer) + 1 as quarter, cast(sum(length(token)) as bigint) as loss, count(*) as n, round(sum(length(token)) / count(*)::double, 6) as mean_loss, round(avg(case when length(token) > 4 then 1.0 else 0.0 end), 6)::double as top1 from t group by 1"""
+)
+def loss_by_position(spark: SparkSession, where: str) -> DataFrame:
+    """A token's length in the place of its loss, by the quarter of a block of 512."""
+    t = texts(spark, where, "documents").filter("text is not null").select(F.posexplode(T.lexical_tokens(F.col("text"))).alias("i", "token"))
+    return probes.by_position(t.select((F.col("i") % 512).alias("pos"), F.length("token").cast("bigint").alias("loss"), (F.length("token") > 4).alias("hit")), "pos", 512)
+
+
+@query(
+    "select doc_id, term, count(*) as n from (select doc_id, lower(unnest(regexp_extract_all(text, '(?i)\\b(" + "|".join(sorted(_TERMS, key=lambda t: (-len(t), t))) + ")\\b'))) as term from documents where text is not null) group by all"
+)
+def domain_term_hits(spark: SparkSession, where: str) -> DataFrame:
+    hits = texts(spark, where, "documents").filter("text is not null").select("doc_id", F.explode(T.term_hits(F.col("text"), _TERMS)).alias("term"))
+    return hits.groupBy("doc_id", "term").agg(F.count("*").alias("n"))

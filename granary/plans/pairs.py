@@ -103,3 +103,15 @@ select vec_id, label, batch_round, (k - 1) // 8 as batch_no from n where (k - 1)
 )
 def label_free_batches(spark: SparkSession, where: str) -> DataFrame:
     return batching.label_free(table(spark, where, "embeddings"), "label", "vec_id", 8, 12)
+
+
+@query(
+    """with o as (select id, any_value(negatives) as negatives from (select distinct id, negatives from mined_negatives where negatives is not null and id not in (select id from mined_negatives group by id having count(*) > 1)) group by id),
+e as (select id, unnest(negatives) as other, unnest(range(len(negatives))) as pos from o)
+select 'p' || id as corpus_id, length(positive) as n_chars from pairs where length(positive) > 0 union all select 'n' || e.id || '-' || pos, length(positive) from e join pairs on pairs.id = other where length(positive) > 0"""
+)
+def retrieval_corpus(spark: SparkSession, where: str) -> DataFrame:
+    """Passages to search, from ids that were mined once."""
+    m = table(spark, where, "mined_negatives")
+    once = m.join(m.groupBy("id").count().filter("count = 1").select("id"), "id")
+    return P.corpus(texts(spark, where, "pairs"), once).select("corpus_id", F.length("text").cast("bigint").alias("n_chars"))

@@ -226,3 +226,20 @@ def margin_mse(spark: SparkSession, where: str) -> DataFrame:
 @query(f"with {_COORD} select label, pos::integer as pos, round(avg(x), 7) as mean from x group by label, pos")
 def mean_pooling(spark: SparkSession, where: str) -> DataFrame:
     return geometry.centroids(_vectors(spark, where)).select("label", "pos", F.round("c", 7).alias("mean"))
+
+
+@query(f"with {_COORD} select label, pos::integer as pos, round(max(ln(1 + greatest(x, 0))), 7) as weight from x where vec_id % 2 = 0 group by all having max(x) > 0")
+def splade_activation(spark: SparkSession, where: str) -> DataFrame:
+    """Coordinates in the place of logits, a label in that of a text; odd rows are masked."""
+    x = geometry.coordinates(_vectors(spark, where).withColumn("is_on", F.col("vec_id") % 2 == 0), "label", "is_on")
+    return geometry.sparse_pool(x, "label", "pos", "x", "is_on").select("label", "pos", F.round("weight", 7).alias("weight"))
+
+
+@query("select e.vec_id, e.label, round(sqrt(list_dot_product(list_transform(embedding, lambda x: x::double), list_transform(embedding, lambda x: x::double))), 6) as length, user_id from embeddings e join events on event_id = vec_id")
+def positional_join(spark: SparkSession, where: str) -> DataFrame:
+    """Vectors beside the rows with the same number."""
+    from granary.operators.pairs import by_row
+
+    v = _vectors(spark, where).select(F.col("vec_id").alias("row_id"), "label", F.round(V.norm(F.col("embedding")), 6).alias("length"))
+    e = table(spark, where, "events").select(F.col("event_id").alias("row_id"), "user_id")
+    return by_row(v, e).withColumnRenamed("row_id", "vec_id")
