@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space of any kind; Java's \s alone is ASCII.
 SPACE = r"[\s\p{Z}]+"
+#: The same, but for single spaces, which need no replacing.
+_UNEVEN = r" [\s\p{Z}]+|[\s\p{Z}&&[^ ]][\s\p{Z}]*"
 PARAGRAPH, LINE = r"\n\s*\n", r"\n"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
 QUERY, PASSAGE = "[QUERY] ", "[PASSAGE] "
@@ -14,17 +16,22 @@ QUERY, PASSAGE = "[QUERY] ", "[PASSAGE] "
 
 def collapse(c: Column) -> Column:
     """White space of any kind as single spaces, trimmed."""
-    return F.trim(F.regexp_replace(c, SPACE, " "))
+    return F.trim(F.regexp_replace(c, _UNEVEN, " "))
 
 
 def normalise_runs(c: Column) -> Column:
     """Near-duplicate key, first mode: collapsed, lower case, each run of digits as one #, only word characters, white space and # kept."""
-    return F.regexp_replace(F.regexp_replace(F.lower(collapse(c)), "[0-9]+", "#"), r"[^\p{L}\p{N}_\s#]", "")
+    return runs_of_collapsed(collapse(c))
+
+
+def runs_of_collapsed(c: Column) -> Column:
+    """`normalise_runs` of a text that is collapsed already."""
+    return F.regexp_replace(F.regexp_replace(F.lower(c), "[0-9]+", "#"), r"[^\p{L}\p{N}_\s#]+", "")
 
 
 def normalise_digits(c: Column) -> Column:
     """Near-duplicate key, second mode: letters, digits and spaces only, collapsed after the dropping, each digit as #, lower case."""
-    kept = F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{Nd}\s]", ""), r"\s+", " ")
+    kept = F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{Nd}\s]+", ""), r"\s+", " ")
     return F.lower(F.regexp_replace(F.trim(kept), r"\p{Nd}", "#"))
 
 

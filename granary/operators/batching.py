@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -26,29 +25,18 @@ def label_free(rows: DataFrame, label: str, key: str, size: int, seed: int) -> D
 
 
 def greedy(order: list[tuple[int, str]], size: int, seed: int) -> Iterator[list[int]]:
-    """The exact greedy filling, for a stream that one machine holds: a row whose label is in the open batch is put off; rows
-    put off come once more at the end in shuffled order, and are dropped if they collide again. A short last batch is dropped."""
-    batch: list[int] = []
-    used: set[str] = set()
-    later: dict[str, list[int]] = defaultdict(list)
-    label_of = dict(order)
-
-    def take(i: int) -> list[int] | None:
-        nonlocal batch, used
-        batch.append(i)
-        used.add(label_of[i])
-        if len(batch) == size:
-            full, batch, used = batch, [], set()
-            return full
-        return None
-
-    for i, lab in order:
-        if lab in used:
-            later[lab].append(i)
-        elif full := take(i):
-            yield full
-    rest = [i for ids in later.values() for i in ids]
-    random.Random(seed).shuffle(rest)
-    for i in rest:
-        if label_of[i] not in used and (full := take(i)):
-            yield full
+    """The exact greedy filling, for a stream that one machine holds: the open batch has one row per label; a row whose label it
+    has is put off to a second round, in shuffled order, and left out if it collides there too. A short last batch is dropped."""
+    open_: dict[str, int] = {}
+    put_off: list[tuple[int, str]] = []
+    for second in (False, True):
+        if second:
+            random.Random(seed).shuffle(put_off)
+        for key, label in list(put_off) if second else order:
+            if label not in open_:
+                open_[label] = key
+                if len(open_) == size:
+                    yield list(open_.values())
+                    open_ = {}
+            elif not second:
+                put_off.append((key, label))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.columns import let
-from granary.functions.text import PARAGRAPH, collapse, normalise_runs
+from granary.functions.text import PARAGRAPH, collapse, runs_of_collapsed
 from granary.session import materialize, small
 
 #: Units under MIN_UNIT characters are kept without comparison; documents under MIN_DOC after removal are dropped.
@@ -18,10 +18,10 @@ def unit_array(text: Column, split: str = PARAGRAPH) -> Column:
     return F.transform(F.split(text, split), lambda u: collapse(u))
 
 
-def marks(docs: DataFrame, order: list[str], *keep: str, text: str = "text", split: str = PARAGRAPH, key=normalise_runs, min_unit: int = MIN_UNIT) -> DataFrame:
+def marks(docs: DataFrame, order: list[str], *keep: str, text: str = "text", split: str = PARAGRAPH, key=runs_of_collapsed, min_unit: int = MIN_UNIT) -> DataFrame:
     """(keep, order, unit_pos, n_chars, is_short, kept): one row per non-blank unit, without its text.
 
-    Short units are kept; of units with the same key the first by (`order`, unit_pos), which should be unique and not null.
+    `key` gets a collapsed unit. Short units are kept; of units with the same key the first by (`order`, unit_pos), which should be unique and not null.
     The first is found by a minimum with map-side combination, so that a unit that a third of all documents share is
     pre-aggregated before it moves, and is joined back by its place, which no two rows share. Short units never enter the
     exchange of keys. Null texts have no units."""

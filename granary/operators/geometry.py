@@ -35,10 +35,9 @@ def variances(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
 def nesting(var: DataFrame, dims: list[int]) -> DataFrame:
     """(k, var_fraction, concentration): the share of the variance in the first k coordinates, and that over k / D. One row per coordinate goes in."""
     run = var.withColumn("_c", F.sum("variance").over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    total = var.agg(F.sum("variance").alias("_t"), F.count("*").alias("_d"))
-    at = run.withColumn("k", F.col("pos") + 1).filter(F.col("k").isin(dims)).withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
-    share = F.col("_c") / F.col("_t")
-    return at.select("k", F.round(share, 9).alias("var_fraction"), F.round(share / (F.col("k") / F.col("_d")), 9).alias("concentration"))
+    share = F.col("_c") / var.agg(F.sum("variance")).scalar()
+    at = run.withColumn("k", F.col("pos") + 1).filter(F.col("k").isin(dims)).select("k", share.alias("s"), var.agg(F.count("*")).scalar().alias("d"))
+    return at.select("k", F.round("s", 9).alias("var_fraction"), F.round(F.col("s") / (F.col("k") / F.col("d")), 9).alias("concentration"))
 
 
 def gini(var: DataFrame) -> DataFrame:
@@ -64,9 +63,8 @@ def fisher(vectors: DataFrame, label: str = "label", key: str = "vec_id", vector
     """One row: n_classes, within (mean over classes of the mean distance to the centroid), between (mean distance of two centroids), fisher = between / within."""
     c = centroids(vectors, label, vector)
     d = coordinates(vectors, key, label, vector=vector).join(small(c), [label, "pos"]).groupBy(label, key).agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("c"), 2))).alias("d"))
-    within = d.groupBy(label).agg(F.avg("d").alias("d")).agg(F.avg("d").alias("within"), F.count("*").alias("n_classes")).withColumn("_one", F.lit(1))
-    between = centroid_pairs(c, label).agg(F.avg("distance").alias("between")).withColumn("_one", F.lit(1))
-    both = within.join(F.broadcast(between), "_one")
+    within = d.groupBy(label).agg(F.avg("d").alias("d")).agg(F.avg("d").alias("within"), F.count("*").alias("n_classes"))
+    both = within.select("n_classes", "within", centroid_pairs(c, label).agg(F.avg("distance")).scalar().alias("between"))
     return both.select("n_classes", F.round("within", 8).alias("within"), F.round("between", 8).alias("between"), F.round(F.col("between") / F.greatest("within", F.lit(1e-9)), 8).alias("fisher"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.operators.ranges import running
+from granary.session import small
 
 MIN_CHARS = 200
 
@@ -51,7 +52,7 @@ def corpus_stats(docs: DataFrame, by: str = "source", text: str = "text") -> Dat
 
 def budget_per_source(docs: DataFrame, by: str, order: list[str], size: Column, budget: int) -> DataFrame:
     """The prefix of each source, in order, until its running size reaches the budget. One pass for all sources: the running
-    sum over (source, order) less what stands before the source (one row per source, broadcast)."""
+    sum over (source, order) less what stands before the source (one row per source)."""
     run = running(docs, [F.col(by), *(F.col(o) for o in order)], {"before": size})
     starts = run.groupBy(by).agg(F.min("before").alias("_start"))
-    return run.join(F.broadcast(starts), by).withColumn("before", F.col("before") - F.col("_start")).drop("_start").filter(F.col("before") < budget)
+    return run.join(small(starts), by).withColumn("before", F.col("before") - F.col("_start")).drop("_start").filter(F.col("before") < budget)

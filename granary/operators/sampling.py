@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions.columns import let
 from granary.functions.text import head_key, order_key, pieces, snap_head, snap_tail, torn, without_controls
 from granary.operators.ranges import ranked, running
+from granary.session import small
 
 
 def shuffled(df: DataFrame, seed: int, *key: str) -> DataFrame:
@@ -65,9 +66,8 @@ def by_length(df: DataFrame, seed: int, n: int, key: str, text: str = "text") ->
 
 def holdout(df: DataFrame, seed: int, n: int, *key: str) -> DataFrame:
     """Adds `split`: 'val' for the first n rows of the seeded order, else 'train'."""
-    limit = head(df, seed, n, *key).agg(F.max(F.struct("place", *key)).alias("_last"), F.lit(1).alias("_one"))
-    r = shuffled(df, seed, *key).withColumn("_one", F.lit(1)).join(F.broadcast(limit), "_one", "left")  # one row
-    return r.withColumn("split", F.when(F.struct("place", *key) <= F.col("_last"), "val").otherwise("train")).drop("_last", "_one", "place")
+    last = head(df, seed, n, *key).agg(F.max(F.struct("place", *key))).scalar()
+    return shuffled(df, seed, *key).withColumn("split", F.when(F.struct("place", *key) <= last, "val").otherwise("train")).drop("place")
 
 
 def fraction(df: DataFrame, seed: int, share: float, *key: str) -> DataFrame:
@@ -80,11 +80,12 @@ def fraction(df: DataFrame, seed: int, share: float, *key: str) -> DataFrame:
 def round_robin(docs: DataFrame, by: str, order: list[str], size: Column, per_source: int, total: int) -> DataFrame:
     """Rows in turn from each source, until a source has given `per_source` and all together `total`; rows that cross a limit are kept.
 
-    Adds `turn` (a row's number within its source) and `before` (the size given before it). Within a source the running sum
-    stops at its budget, which bounds what a later step sees."""
-    w = Window.partitionBy(by).orderBy(*order)
-    own = docs.withColumn("turn", F.row_number().over(w)).withColumn("_own", F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("_own") < per_source)
-    return running(own.drop("_own"), [F.col("turn"), F.col(by), *(F.col(o) for o in order)], {"before": size}).filter(F.col("before") < total)
+    Adds `turn` (a row's number within its source) and `before` (the size given before it). Numbers and sums within a source
+    are those over the order of all sources less what stands before the source, so that a large one is cut into ranges."""
+    run = running(docs.filter(F.col(by).isNotNull()), [F.col(by), *(F.col(o) for o in order)], {"turn": F.lit(1).cast("bigint"), "before": size})
+    starts = small(run.groupBy(by).agg(F.min("turn").alias("_t"), F.min("before").alias("_b")))
+    own = run.join(starts, by).withColumn("turn", F.col("turn") - F.col("_t") + 1).filter(F.col("before") - F.col("_b") < per_source).drop("_t", "_b")
+    return running(own, [F.col("turn"), F.col(by), *(F.col(o) for o in order)], {"before": size}).filter(F.col("before") < total)
 
 
 def masked(positions: DataFrame, seed: int, per_mille: int, *key: str) -> DataFrame:

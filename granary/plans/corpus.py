@@ -22,7 +22,7 @@ n as (select *, case when length(unit) >= 120 then {key} end as norm from c wher
 k as (select *, norm is null or row_number() over (partition by norm order by src_rank, doc_id, unit_pos) = 1 as kept from n)"""
 
 
-def _marked(spark: SparkSession, where: str, split: str, key=T.normalise_runs) -> DataFrame:
+def _marked(spark: SparkSession, where: str, split: str, key=T.runs_of_collapsed) -> DataFrame:
     return dedup.marks(documents(spark, where), ORDER, "source", split=split, key=key)
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
-#: Rows that a table may have at most to be broadcast.
-BROADCAST_ROWS = 100_000
+#: What a table may have at most to be broadcast: rows, and bytes as JSON.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
 def build_session(app: str = "granary", master: str | None = None, **conf: str) -> SparkSession:
@@ -73,8 +73,9 @@ atexit.register(release)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with the hint to broadcast it if it has at most `rows` rows, else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """`df` with the hint to broadcast it if it has at most `rows` rows and BROADCAST_BYTES bytes, else as it is, for a shuffled join."""
+    r = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if r["n"] <= rows and r["b"] <= BROADCAST_BYTES else df
 
 
 def table(spark: SparkSession, where: str, name: str) -> DataFrame:
