@@ -21,11 +21,15 @@ WIDTH, PARTS = 1 << 22, 32
 SET_ROWS = 1_000_000
 
 
+_BLANK = r"[\s\p{Z}\x1c-\x1f\x85&&[^\n]]"
+
+
 def normal_lines(text: Column) -> Column:
     """The lines of a text under normalisation P1, trimmed and collapsed again; a line without letters or digits is empty."""
     t = F.regexp_replace(F.lower(text), r"\p{Nd}+", "#")
     t = F.regexp_replace(t, r"[^\p{L}\p{N}_#\s\p{Z}\x1c-\x1f\x85]+", "")
-    t = F.regexp_replace(t, r"[\s\p{Z}\x1c-\x1f\x85&&[^\n]]+", " ")
+    # runs of white space but for single spaces
+    t = F.regexp_replace(t, rf" {_BLANK}+|{_BLANK[:-1]}&&[^ ]]{_BLANK}*", " ")
     return F.transform(F.split(t, "\n"), lambda x: F.trim(x))
 
 

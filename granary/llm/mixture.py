@@ -122,6 +122,5 @@ def mix(records: DataFrame, targets: DataFrame, total: float | None = None, key:
     all_ = targets.join(F.broadcast(own), "source", "left").join(F.broadcast(used), "source", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     shares = all_.select("source", "domain", "target_share", "max_repeats", zero("n_records"), zero("own_tokens"), zero("mix_tokens"), zero("most_times"))
-    mass = F.broadcast(used.agg(F.sum("mix_tokens").alias("_all")).withColumn("_one", F.lit(1)))
-    shares = shares.withColumn("_one", F.lit(1)).join(mass, "_one").withColumn("actual_share", F.round(F.coalesce(F.col("mix_tokens") / F.col("_all"), F.lit(0.0)), 9)).drop("_all", "_one")
-    return chosen, shares
+    mass = used.agg(F.sum("mix_tokens")).scalar()
+    return chosen, shares.withColumn("actual_share", F.round(F.coalesce(F.col("mix_tokens") / mass, F.lit(0.0)), 9))
