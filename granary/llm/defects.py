@@ -130,7 +130,13 @@ def features(anchor: str | None, positive: str | None) -> tuple[list[float], lis
         names.append("=" + p.lower())
     last = p[-80:].split()[-2:]
     names += ["e" + " ".join(last[-1:]).lower()[-12:], "f" + " ".join(last).lower()[-20:]]
-    return [float(v) for v in x] + pairing, [zlib.crc32(n.encode()) & (PLACES - 1) for n in names]
+    return [float(v) for v in x] + pairing, [zlib.crc32(n.encode()) & (PLACES - 1) for n in dict.fromkeys(names)]
+
+
+def _scale(n: np.ndarray) -> np.ndarray:
+    """The weight of each of n n-grams: they add up as a root of their number, and in texts of over 300 only as their mean."""
+    n = np.maximum(n, 1)
+    return np.minimum(1 / np.sqrt(n), np.sqrt(300) / n)
 
 
 class Model:
@@ -143,7 +149,7 @@ class Model:
         n = np.array([len(s) for _, s in rows])
         x, at = np.array([d for d, _ in rows]).reshape(len(rows), DENSE), np.array([i for _, s in rows for i in s], np.int64)
         of = np.repeat(np.arange(len(rows)), n)
-        scale = 1 / np.sqrt(np.maximum(n, 1))
+        scale = _scale(n)
         return x @ self.dense + np.stack([np.bincount(of, self.sparse[at, c], len(rows)) * scale for c in range(len(CLASSES))], axis=1)
 
     def label(self, rows: list[tuple[list[float], list[int]]]) -> list[str | None]:
@@ -159,7 +165,7 @@ def fit(rows: list[tuple[list[float], list[int]]], y: np.ndarray, steps: int, l2
     """Logistic regression by full gradient steps with adaptive rates; the same rows give the same model."""
     n = np.array([len(s) for _, s in rows])
     x, at = np.array([d for d, _ in rows]), np.array([i for _, s in rows for i in s], np.int64)
-    of, weight = np.repeat(np.arange(len(rows)), n), np.repeat(1 / np.sqrt(np.maximum(n, 1)), n)[:, None]
+    of, weight = np.repeat(np.arange(len(rows)), n), np.repeat(_scale(n), n)[:, None]
     by_place = np.argsort(at, kind="stable")  # the same entries, once by row and once by place
     places, first = np.unique(at[by_place], return_index=True)
     starts, of_place, weight_place = np.cumsum(n) - n, of[by_place], weight[by_place]
