@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.plans.registry import query
-from granary.session import shared_dir, table
+from granary.session import scratch, table
 from granary.streaming import loops
 
 
-def _place(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/granary-stream-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, where: str, name: str) -> DataFrame:
     # a table may be one file or a folder of files; the pattern fits both
     return loops.files(spark, f"{where}/{name}.parque[t]", table(spark, where, name).schema)
@@ -24,7 +18,7 @@ def _stream(spark: SparkSession, where: str, name: str) -> DataFrame:
 @query("select event_id, user_id, event_type from events")
 def stream_append_publish(spark: SparkSession, where: str) -> DataFrame:
     """Events appended as JSON lines by a stream that ends with what is there."""
-    at = _place(spark)
+    at = scratch(spark)
     loops.append(_stream(spark, where, "events").select("event_id", "user_id", "event_type"), f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.schema("event_id bigint, user_id bigint, event_type string").json(f"{at}/out")
 
@@ -32,7 +26,7 @@ def stream_append_publish(spark: SparkSession, where: str) -> DataFrame:
 @query("select distinct md5(text) as digest from documents where text is not null")
 def stream_dedup(spark: SparkSession, where: str) -> DataFrame:
     """The distinct texts of a stream of documents; which row of equal ones comes first is open."""
-    at = _place(spark)
+    at = scratch(spark)
     s = loops.distinct(_stream(spark, where, "documents").filter("text is not null").select(F.md5("text").alias("digest")), "digest")
     s.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("digest string").parquet(f"{at}/out")

@@ -49,21 +49,27 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared folder, deleted by `release`."""
+    path = f"{shared_dir(spark)}/granary-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes `df` as a table in the shared folder and reads it back: lineage ends there, and the loss of an executor costs nothing before it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/granary-{uuid.uuid4().hex}/{name}"
+    path = f"{scratch(spark)}/{name}"
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release() -> None:
-    """Deletes the tables of `materialize`. Runs by itself when the program ends."""
+    """Deletes the folders of `scratch`, and so the tables of `materialize`. Runs by itself when the program ends."""
     while _WRITTEN:
         spark, path = _WRITTEN.pop()
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the JVM may be gone already
             return
