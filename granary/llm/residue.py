@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from math import prod
 
 import ahocorasick
 import pyarrow as pa
@@ -22,86 +25,89 @@ _ASK = r"(?:please\s+)?(?:insert|enter|your|add|type|fill\s+in|name\s+of|date\s+
 #: What stands in brackets by an editor or a censor.
 _EDITED = r"(?:sic|reserved|redacted|omitted|deleted|confidential|sealed?|illegible|inaudible|emphasis|citations?|internal|footnotes?|signed|seal|blank|unclear|withheld|translation|note|applause|laughter|recess|exhibit|page|table|figure|image|photo|chart|video|map|intentionally|privileged|classified|names?\s+(?:redacted|withheld|omitted))"
 
-#: Each rule has the strings of which a text must hold one, in lower case, and a regular expression. The first list has one
-#: grammar for each pair of delimiters.
+#: Each rule is a regular expression, tried on each line or sentence. The first list has one grammar for each pair of delimiters.
 PLACEHOLDERS = [
-    (["{{"], r"\{\{[^{}\n]{0,80}\}\}"),
-    (["{%"], r"\{%[^{}\n]{0,80}%\}"),
-    (["${", "#{"], r"[$#]\{[^{}\n]{1,60}\}"),
-    (["<%"], r"<%[^\n]{0,80}?%>"),
-    (["<?"], r"<\?(?:php|=)[^\n]{0,120}"),
-    (["[["], rf"\[\[\s*(?:{_NAME}|{_SNAKE}|{_ASK}\b[^\[\]\n]{{0,60}})\s*\]\]"),
-    (["(("], rf"\(\(\s*(?:{_NAME}|{_SNAKE}|{_ASK}\b[^()\n]{{0,60}})\s*\)\)"),
-    (["<<"], rf"<<\s*(?:{_NAME}|{_SNAKE}|{_CAMEL}|{_ASK}\b[^<>\n]{{0,60}})\s*>>"),
-    (["«"], rf"«(?:{_NAME}|{_SNAKE}|(?-i:{_CAMEL})|{_ASK}\b[^«»\n]{{0,60}})»"),
-    (["re:<[a-z]"], rf"<(?:{_SNAKE}|{_ASK}\b[^<>\n]{{0,60}}|(?-i:[A-Z][A-Z _]{{2,40}})|{_NAME})>"),
-    (["&lt;"], rf"&lt;\s*(?:{_NAME}|{_SNAKE}|{_ASK}\b[^&\n]{{0,60}})\s*&gt;"),
-    (["{"], rf"(?<![\w{{$#%])\{{(?:{_NAME}|{_SNAKE})\}}(?!\}})"),
-    (["re:\\[(?!sic\\]|reserved\\]|[0-9.…*])"], rf"\[\s*{_ASK}\b[^\[\]\n]{{0,60}}\]"),
-    (["re:\\[(?!sic\\]|reserved\\]|[0-9.…*])"], rf"\[(?!\s*{_EDITED}\b)(?:{_SNAKE}|(?-i:[A-Z][A-Z]+(?:[ _\-][A-Z]+){{0,4}})|{_NAME})\]"),
-    (["re:\\[(?!sic\\]|reserved\\]|[0-9.…*])"], r"\[\s*[_•●]{2,}\s*\]|\[[ \t]{2,}\]"),
-    (["@"], r"@@[\p{L}_]+@@|(?<![\w@])@(?-i:[A-Z_]{2,})@(?![\w@])"),
-    (["re:%[a-z_]+%"], r"%%[\p{L}_]+%%|(?<![\w%])%(?-i:[A-Z]+(?:_[A-Z]+)*)%(?![\w%])|(?<![\w%])%\p{L}+(?:_\p{L}+)+%"),
-    (["tbd", "tbc", "tba"], r"(?-i:\bTB[DCA][-_:][A-Z_]{2,})"),
-    (["todo", "fixme", "tktk"], r"(?-i:(?:^|[\s(])(?:TODO|FIXME|TKTK)\b\s*[:(\-])"),
-    (["____"], r"_{4,}"),
-    (["xx"], r"(?-i:\bX{2,}[/.\-]X{2,}[/.\-]X{2,}|[$€£]\s?X{1,3}(?:,X{3})+|[$€£]\s?X{2,})"),
-    (["dear &  ,", "dear &  :", "hello ,", "hi ,", "cher ,", "chère ,", "estimado ,", "estimada ,", "sehr geehrte& ,"], r"(?:^|\s)(?:dear|hello|hi|cher|chère|estimad[oa]|sehr geehrte[rs]?)(?: (?:mr|mrs|ms|dr|herr|frau)\.?)? [,:](?:\s|$)"),
-    (["letter & .", "letter & ,& of ,", "mail & .", "order & .", "invoice & .", "message & .", "call & .", "schreiben & .", "lettre & .", "carta & ."], r"\b(?:letter|e-?mail|order|invoice|message|call|schreiben|lettre|carta) (?:of|from|dated|vom|du|de|del) [.,](?:\s|$)"),
+    r"\{\{[^{}\n]{0,80}\}\}",
+    r"\{%[^{}\n]{0,80}%\}",
+    r"[$#]\{[^{}\n]{1,60}\}",
+    r"<%[^\n]{0,80}?%>",
+    r"<\?(?:php|=)[^\n]{0,120}",
+    rf"\[\[\s*(?:{_NAME}|{_SNAKE}|{_ASK}\b[^\[\]\n]{{0,60}})\s*\]\]",
+    rf"\(\(\s*(?:{_NAME}|{_SNAKE}|{_ASK}\b[^()\n]{{0,60}})\s*\)\)",
+    rf"<<\s*(?:{_NAME}|{_SNAKE}|{_CAMEL}|{_ASK}\b[^<>\n]{{0,60}})\s*>>",
+    rf"«(?:{_NAME}|{_SNAKE}|(?-i:{_CAMEL})|{_ASK}\b[^«»\n]{{0,60}})»",
+    rf"<(?:{_SNAKE}|{_ASK}\b[^<>\n]{{0,60}}|(?-i:[A-Z][A-Z _]{{2,40}})|{_NAME})>",
+    rf"&lt;\s*(?:{_NAME}|{_SNAKE}|{_ASK}\b[^&\n]{{0,60}})\s*&gt;",
+    rf"(?<![\w{{$#%])\{{(?:{_NAME}|{_SNAKE})\}}(?!\}})",
+    rf"\[\s*{_ASK}\b[^\[\]\n]{{0,60}}\]",
+    rf"\[(?!\s*{_EDITED}\b)(?:{_SNAKE}|(?-i:[A-Z][A-Z]+(?:[ _\-][A-Z]+){{0,4}})|{_NAME})\]",
+    r"\[\s*[_•●]{2,}\s*\]|\[[ \t]{2,}\]",
+    r"@@[\p{L}_]+@@|(?<![\w@])@(?-i:[A-Z_]{2,})@(?![\w@])",
+    r"%%[\p{L}_]+%%|(?<![\w%])%(?-i:[A-Z]+(?:_[A-Z]+)*)%(?![\w%])|(?<![\w%])%\p{L}+(?:_\p{L}+)+%",
+    r"(?-i:\bTB[DCA][-_:][A-Z_]{2,})",
+    r"(?-i:(?:^|[\s(])(?:TODO|FIXME|TKTK)\b\s*[:(\-])",
+    r"_{4,}",
+    r"(?-i:\bX{2,}[/.\-]X{2,}[/.\-]X{2,}|[$€£]\s?X{1,3}(?:,X{3})+|[$€£]\s?X{2,})",
+    r"(?:^|\s)(?:dear|hello|hi|cher|chère|estimad[oa]|sehr geehrte[rs]?)(?: (?:mr|mrs|ms|dr|herr|frau)\.?)? [,:](?:\s|$)",
+    r"\b(?:letter|e-?mail|order|invoice|message|call|schreiben|lettre|carta) (?:of|from|dated|vom|du|de|del) [.,](?:\s|$)",
 ]
 _MASH = r"(?:asdf\w*|qwer\w*|hjkl\w*|jkl[oöñ]?|foo|bar|baz|bla+|xxx+|abc)"
 #: A word four times in a row.
 REPEATED = r"(?<![\p{L}\d])(\p{L}{3,14})(?:[\s,]+\1(?![\p{L}\d])){3,}"
+#: Six dummy words in a row. Those of four letters or more are its hints; a run of shorter ones is a rule of its own.
+LOREM_RUN = r"(?:\b(?:" + "|".join(LOREM) + r")\b[\s,.;]*){6,}"
+SHORT_LOREM = r"\b(?:" + "|".join(w for w in LOREM if len(w) < 4) + r")\b(?:[\s,.;]+(?:" + "|".join(w for w in LOREM if len(w) < 4) + r")\b){5}"
 FILLER = [
-    (["ipsum", "dolor", "eiusmod", "nostrud", "adipiscing", "consectetur", "incididunt", "ullamco", "exercitation", "veniam", "minim "], r"(?:\b(?:" + "|".join(LOREM) + r")\b[\s,.;]*){6,}"),
-    ([], REPEATED),
-    (["asdf", "qwer", "hjkl", "jkl", "foo bar", "foo foo", "bla bla", "xxx xxx", "abc abc"], rf"\b{_MASH}(?:[\s,]+{_MASH}(?![\p{{L}}\d])){{2,}}"),
-    (["this is &placeholder ", "this is &sample ", "this is &dummy ", "this is &filler ", "this is &example ", "this is &default "], r"\bthis is (?:a |the )?(?:placeholder|sample|dummy|filler|example|default) (?:text|content|page|paragraph|post)\b"),
-    (["placeholder", "dummy", "filler"], r"\b(?:placeholder|dummy|filler) (?:text|content|copy) (?:for|here|goes|only)\b"),
-    (["text& here", "content& here", "description& here", "summary& here", "title& here", "copy& here", "paragraph& here", "detail& here"], r"\b(?:your|insert|add|enter|type|put|write) (?:your |the |some |a |body |main |more )*(?:text|content|description|summary|title|copy|paragraph|details?)\b[^.!?\n]{0,40}\bhere\b"),
-    (["goes here", "to go here", "will go here", "comes here", "come here", "appear here", "added here", "inserted here", "supplied here", "added later", "inserted later", "supplied later", "come soon", "added soon"], r"\b(?:text|content|copy|description|details?) (?:goes|to go|will go|comes|to come|will appear|to be (?:added|inserted|supplied)) (?:here|later|soon)"),
-    (["add & here"], r"(?:^|[.:]\s+)\W*add (?:[\p{L}]+ ){1,6}here\b"),
-    (["coming soon", "under construction", "en construction", "bald verfügbar", "demnächst", "bientôt", "próximamente", "construcción"], r"^\W*(?:coming soon|(?:page )?under construction|content coming soon|bald verfügbar|demnächst|bientôt disponible|próximamente|en construction|en construcción)\W*$"),
-    (["coming soon", "content coming", "details coming"], r"\bcoming soon[.!…]|\bmore (?:content|details) coming[.!…]"),
-    (["blindtext", "blind text", "hier folgt", "hier steht", "hier kommt", "platzhalter"], r"\bblind ?text\b[\s,]+blind ?text\b|\bhier (?:folgt|steht|kommt) (?:später |bald |noch )?(?:der |ein |ihr )?(?:text|inhalt|blindtext)|\bplatzhalter(?:text)?\b[\s,.:]+(?:platzhalter|für|hier)"),
-    (["texte à", "texte de", "texte d'", "texte d’", "texte ici", "texte fact", "texte fict", "textes ", "faux texte", "faux-texte"], r"\btexte? (?:à remplacer|de remplacement|à insérer|d['’]exemple|factice|fictif)|\b(?:votre|insérez (?:votre|le)) texte ici|\bfaux[- ]texte\b"),
-    (["texto de", "texto a", "contenido aquí", "va el contenido", "va su contenido", "va el texto", "va su texto"], r"\btexto (?:de (?:relleno|ejemplo|muestra|prueba)|a (?:reemplazar|sustituir|completar))|\b(?:su|inserte (?:su|el)|escriba (?:su|el)|aquí va (?:el|su)) (?:texto|contenido) aquí|\baquí va (?:el|su) (?:texto|contenido)"),
-    (["[object", "nan nan", "nan null", "nan, ", "undefined", "null null", "null nan", "null, ", "none none", "none null"], r"\[object object\]|\b(?:nan|undefined|null|none)(?:[\s,/]+(?:nan|undefined|null)){1,}\b"),
-    (["click&to edit", "click&to add", "click&to change", "tap&to edit"], r"\b(?:click|tap|double-?click) (?:here )?to (?:edit|add|change) (?:this |your )?(?:text|title|content)"),
+    LOREM_RUN,
+    SHORT_LOREM,
+    REPEATED,
+    rf"\b{_MASH}(?:[\s,]+{_MASH}(?![\p{{L}}\d])){{2,}}",
+    r"\bthis is (?:a |the )?(?:placeholder|sample|dummy|filler|example|default) (?:text|content|page|paragraph|post)\b",
+    r"\b(?:placeholder|dummy|filler) (?:text|content|copy) (?:for|here|goes|only)\b",
+    r"\b(?:your|insert|add|enter|type|put|write) (?:your |the |some |a |body |main |more )*(?:text|content|description|summary|title|copy|paragraph|details?)\b[^.!?\n]{0,40}\bhere\b",
+    r"\b(?:text|content|copy|description|details?) (?:goes|to go|will go|comes|to come|will appear|to be (?:added|inserted|supplied)) (?:here|later|soon)",
+    r"(?:^|[.:]\s+)\W*add (?:[\p{L}]+ ){1,6}here\b",
+    r"^\W*(?:coming soon|(?:page )?under construction|content coming soon|bald verfügbar|demnächst|bientôt disponible|próximamente|en construction|en construcción)\W*$",
+    r"\bcoming soon[.!…]|\bmore (?:content|details) coming[.!…]",
+    r"\bblind ?text\b[\s,]+blind ?text\b|\bhier (?:folgt|steht|kommt) (?:später |bald |noch )?(?:der |ein |ihr )?(?:text|inhalt|blindtext)|\bplatzhalter(?:text)?\b[\s,.:]+(?:platzhalter|für|hier)",
+    r"\btexte? (?:à remplacer|de remplacement|à insérer|d['’]exemple|factice|fictif)|\b(?:votre|insérez (?:votre|le)) texte ici|\bfaux[- ]texte\b",
+    r"\btexto (?:de (?:relleno|ejemplo|muestra|prueba)|a (?:reemplazar|sustituir|completar))|\b(?:su|inserte (?:su|el)|escriba (?:su|el)|aquí va (?:el|su)) (?:texto|contenido) aquí|\baquí va (?:el|su) (?:texto|contenido)",
+    r"\[object object\]|\b(?:nan|undefined|null|none)(?:[\s,/]+(?:nan|undefined|null)){1,}\b",
+    r"\b(?:click|tap|double-?click) (?:here )?to (?:edit|add|change) (?:this |your )?(?:text|title|content)",
 ]
 MESSAGES = [
-    (["not found", "forbidden", "gateway", "server error", "unavailable", "bad request", "unauthori", "too many requests", "method not allowed", "410 gone", "time-out", "timeout"], r"\b[45]\d\d[\s:–—-]{1,3}(?:page |file )?(?:not found|forbidden|bad gateway|internal server error|service (?:temporarily )?unavailable|gateway time-?out|bad request|unauthori[sz]ed|too many requests|method not allowed|gone\b|request time-?out)"),
-    (["http error", "http status", "error 4", "error 5", "error code"], r"\bhttp (?:error|status)\W{0,3}(?:code )?[45]\d\d|(?:^|\W)error (?:code )?[45]\d\d\s*[–—:\-(]|^\W*error (?:code )?[45]\d\d\W*$"),
-    (["denied", "forbidden", "not found", "gateway", "server error", "unavailable", "unauthori", "too many requests", "bad request", "unexpected error", "timeout", "time-out", "connection refused", "connection timed", "connection reset"], r"^\W*(?:access denied|permission denied|forbidden|not found|page not found|bad gateway|internal server error|service unavailable|gateway time-?out|unauthori[sz]ed|too many requests|bad request|server error|unexpected error|request time-?out|connection (?:refused|timed out|reset))\W*$"),
-    (["t have permission", "t have access", "t have author", "t have the permission", "t have the author", "t have the access"], r"\byou (?:don['’]t|do not) have (?:the )?(?:permission|access|authori[sz]ation)s? to (?:access|view|see|open)"),
-    (["be found", "be located", "be displayed", "be loaded", "not found"], r"\b(?:requested )?(?:url|page|document|resource|file|address|object|link)\b[^.!?\n]{0,60}\b(?:was not|could not be|cannot be|can['’]t be|wasn['’]t|couldn['’]t be) (?:found|located|displayed|loaded)(?: on this (?:server|site)|\W*$)|\brequested url\b[^!?\n]{0,80}\bwas not found"),
-    (["requested url", "requested page", "requested document", "requested resource"], r"\b(?:the )?requested (?:url|page|document|resource)\b[^.!?\n]{0,60}\b(?:not found|no longer|does not exist|doesn['’]t exist|unavailable)"),
-    (["find the page", "find that page", "find this page", "were looking for", "are looking for", "t available", "not available", "longer available", "not currently available"], r"\b(?:we )?(?:can['’]t|cannot|couldn['’]t|could not) find (?:the|that|this) page\b|\bthe page you (?:are|were) looking for\b|\bthis (?:page|site|website)\b[^.!?\n]{0,20}\b(?:isn['’]t|is not|is no longer|is currently not) available"),
-    (["be reached", "be displayed", "be loaded", "to respond", "not respond", "t respond", "server&be found", "dns&be found", "connection was", "connection has", "err_"], r"\b(?:site|website|page) (?:can['’]t|cannot|can not) be (?:reached|displayed|loaded)|\btook too long to respond\W*$|\bserver did(?: not|n['’]t) respond|\b(?:dns|server) (?:address )?could not be found|^\W*(?:the |your )?connection (?:was|has been) (?:reset|refused|timed out)\b|\berr_[a-z_]{4,}"),
-    (["database error", "database connection", "sql error", "sql exception", "sql syntax", "sqlexception", "ora-0", "ora-1", "ora-2", "pdoexception", "pdo exception"], r"\bdatabase (?:connection )?error\W{1,3}|\berror establishing (?:a )?database connection|\b(?:sql|mysql|pdo)\W?(?:syntax )?(?:error|exception)\b|\bora-\d{5}"),
-    (["fatal error", "parse error", "exception", "unhandled", "uncaught", "traceback", "stack trace", "segmentation", "error:", "error at", "error in", "on line ", "\tat ", "  at "], r"\bfatal error\s*:|\bparse error\s*:|\buncaught (?:exception|\w*error)|\bunhandled exception|\btraceback \(most recent call last\)|\bstack trace\s*:|\b\w+(?:exception|error) (?:at|in) [\w./\\]+[:(]\d+|\bexception in thread\b|^\s*at [\w.$]+\([\w.]+:\d+\)|\bsegmentation fault\b|\b(?:key|name|type|value|index|attribute|reference|syntax)error\s*:|\bnullpointerexception\b|^\W*(?:warning|notice|deprecated)\s*:[^\n]{0,120}\bon line \d+"),
-    (["too many requests", "rate limit", "rate-limit", "retry after"], r"^\W*too many requests\b|\byou (?:have been|are being|are) rate[- ]limited|\brate limit exceeded|\bretry after \d+ ?s"),
-    (["your session", "your login", "your token", "your link", "please log", "please sign"], r"\byour (?:session|login|token|link) (?:has |is )?(?:expired|timed out)|\bplease (?:log|sign) ?in (?:again )?to (?:view|continue|read|see|access)"),
-    (["for maintenance", "scheduled maintenance", "routine maintenance", "planned maintenance", "back at", "back online at"], r"\b(?:we are|we['’]re|site is|service is|system is) (?:currently )?(?:down|offline|closed) for (?:scheduled |routine |planned )?maintenance|^\W*(?:scheduled|planned) maintenance\W|\bback (?:online )?at \d+[:.]\d\d"),
-    (["is unavailable", "is temporarily", "is currently", "temporarily unavailable", "currently unavailable", "is overloaded"], r"^\W*the service is (?:temporarily |currently )?(?:unavailable|overloaded)|\bservice (?:temporarily|currently) unavailable"),
-    (["went wrong", "oops", "error occur", "error has occur", "try again later", "please refresh", "please reload"], r"^\W*something went wrong\b|\boops[!,.]|\b(?:an?|unexpected|unknown) (?:unexpected |unknown |internal )?error (?:has )?occurr?ed[.!]|\bplease try again later|\bplease (?:refresh|reload) (?:the|this|your) (?:page|browser)"),
-    (["your browser", "you are human", "are a human", "re human", "a robot", "captcha", "ddos protection", "ray id"], r"\bchecking your browser\b|\bverify (?:that )?you are (?:a )?human|\bverifying you are human|\bprove you(?:['’]re| are) (?:not a robot|human)|\b(?:are you|i['’]?a?m not) a robot\b|\bcomplet(?:e|ing) (?:the|this) captcha|\bddos protection by\b|\bray id\s*:"),
-    (["file may be", "file is", "file appears", "file might", "cannot display", "cannot render", "cannot load", "cannot open", "t display", "t render", "t load", "t open", "not display", "not render", "not load", "not open", "to display", "to render", "to load", "to open"], r"^\W*(?:the |this )?file (?:may be|is|appears to be|might be) (?:corrupt(?:ed)?|damaged|expired)|^\W*(?:cannot|can['’]t|could not|failed to|unable to) (?:display|render|load|open) (?:the |this )?(?:document|page|file|resource|image|content|pdf)"),
-    (["blocker", "block detected", "blocking detected", "disable it"], r"\b(?:ad|script|content)[- ]?block(?:er|ing)?(?: or [\p{L} ]{0,20}block(?:er|ing)?)? (?:was |has been )?detected|\bdisable (?:your|the) (?:ad|script|content)[- ]?blocker|^\W*disable it to (?:see|view|read|continue)"),
-    (["page introuvable", "demandé", "service &indisponible", "une erreur ", "accès refusé", "accès interdit", "erreur du serveur", "erreur interne", "votre session"], r"\bpage introuvable|\b(?:le|la) (?:document|page|fichier) demandée?\b[^.\n]{0,20}\bn['’](?:existe|est|a)\b|\bservice (?:momentanément |temporairement )?indisponible|\bune erreur (?:est survenue|s['’]est produite)|^\W*accès (?:refusé|interdit)\W*$|\berreur (?:interne )?du serveur|\bvotre session (?:a )?expiré"),
-    (["nicht gefunden", "angefordert", "gesucht", "wartungsarbeiten", "nicht erreichbar", "nicht verfügbar", "fehler aufgetreten", "serverfehler", "zugriff verweigert", "ihre sitzung"], r"\bseite (?:wurde )?nicht gefunden|\b(?:angeforderte|gesuchte)\w* (?:seite|eintrag|dokument|datei|ressource)\b[^.\n]{0,40}\b(?:nicht|existiert)|\bwartungsarbeiten\s*[:!]|\b(?:anwendung|seite|server|dienst|website) ist (?:zurzeit|zur zeit|derzeit|momentan|vorübergehend) nicht (?:erreichbar|verfügbar)|\bes ist ein (?:unerwarteter )?fehler aufgetreten|^\W*zugriff verweigert|\binterner serverfehler|\bihre sitzung ist abgelaufen"),
-    (["no encontrada", "solicitado", "la página", "servicio &no disponible", "producido un error", "acceso denegado", "error del servidor", "error interno del", "su sesión"], r"\bpágina no encontrada|\bel (?:documento|archivo|recurso) solicitado\b[^.\n]{0,30}\b(?:no|ya no)\b|\bno se (?:ha )?(?:encontró|encontrado|pudo encontrar) la página|\bservicio (?:temporalmente )?no disponible|\bse ha producido un error|^\W*acceso denegado\W*$|\berror (?:interno )?del servidor|\bsu sesión ha (?:caducado|expirado)"),
+    r"\b[45]\d\d[\s:–—-]{1,3}(?:page |file )?(?:not found|forbidden|bad gateway|internal server error|service (?:temporarily )?unavailable|gateway time-?out|bad request|unauthori[sz]ed|too many requests|method not allowed|gone\b|request time-?out)",
+    r"\bhttp (?:error|status)\W{0,3}(?:code )?[45]\d\d|(?:^|\W)error (?:code )?[45]\d\d\s*[–—:\-(]|^\W*error (?:code )?[45]\d\d\W*$",
+    r"^\W*(?:access denied|permission denied|forbidden|not found|page not found|bad gateway|internal server error|service unavailable|gateway time-?out|unauthori[sz]ed|too many requests|bad request|server error|unexpected error|request time-?out|connection (?:refused|timed out|reset))\W*$",
+    r"\byou (?:don['’]t|do not) have (?:the )?(?:permission|access|authori[sz]ation)s? to (?:access|view|see|open)",
+    r"\b(?:requested )?(?:url|page|document|resource|file|address|object|link)\b[^.!?\n]{0,60}\b(?:was not|could not be|cannot be|can['’]t be|wasn['’]t|couldn['’]t be) (?:found|located|displayed|loaded)(?: on this (?:server|site)|\W*$)|\brequested url\b[^!?\n]{0,80}\bwas not found",
+    r"\b(?:the )?requested (?:url|page|document|resource)\b[^.!?\n]{0,60}\b(?:not found|no longer|does not exist|doesn['’]t exist|unavailable)",
+    r"\b(?:we )?(?:can['’]t|cannot|couldn['’]t|could not) find (?:the|that|this) page\b|\bthe page you (?:are|were) looking for\b|\bthis (?:page|site|website)\b[^.!?\n]{0,20}\b(?:isn['’]t|is not|is no longer|is currently not) available",
+    r"\b(?:site|website|page) (?:can['’]t|cannot|can not) be (?:reached|displayed|loaded)|\btook too long to respond\W*$|\bserver did(?: not|n['’]t) respond|\b(?:dns|server) (?:address )?could not be found|^\W*(?:the |your )?connection (?:was|has been) (?:reset|refused|timed out)\b|\berr_[a-z_]{4,}",
+    r"\bdatabase (?:connection )?error\W{1,3}|\berror establishing (?:a )?database connection|\b(?:sql|mysql|pdo)\W?(?:syntax )?(?:error|exception)\b|\bora-\d{5}",
+    r"\bfatal error\s*:|\bparse error\s*:|\buncaught (?:exception|\w*error)|\bunhandled exception|\btraceback \(most recent call last\)|\bstack trace\s*:|\b\w+(?:exception|error) (?:at|in) [\w./\\]+[:(]\d+|\bexception in thread\b|^\s*at [\w.$]+\([\w.]+:\d+\)|\bsegmentation fault\b|\b(?:key|name|type|value|index|attribute|reference|syntax)error\s*:|\bnullpointerexception\b|^\W*(?:warning|notice|deprecated)\s*:[^\n]{0,120}\bon line \d+",
+    r"^\W*too many requests\b|\byou (?:have been|are being|are) rate[- ]limited|\brate limit exceeded|\bretry after \d+ ?s",
+    r"\byour (?:session|login|token|link) (?:has |is )?(?:expired|timed out)|\bplease (?:log|sign) ?in (?:again )?to (?:view|continue|read|see|access)",
+    r"\b(?:we are|we['’]re|site is|service is|system is) (?:currently )?(?:down|offline|closed) for (?:scheduled |routine |planned )?maintenance|^\W*(?:scheduled|planned) maintenance\W|\bback (?:online )?at \d+[:.]\d\d",
+    r"^\W*the service is (?:temporarily |currently )?(?:unavailable|overloaded)|\bservice (?:temporarily|currently) unavailable",
+    r"^\W*something went wrong\b|\boops[!,.]|\b(?:an?|unexpected|unknown) (?:unexpected |unknown |internal )?error (?:has )?occurr?ed[.!]|\bplease try again later|\bplease (?:refresh|reload) (?:the|this|your) (?:page|browser)",
+    r"\bchecking your browser\b|\bverify (?:that )?you are (?:a )?human|\bverifying you are human|\bprove you(?:['’]re| are) (?:not a robot|human)|\b(?:are you|i['’]?a?m not) a robot\b|\bcomplet(?:e|ing) (?:the|this) captcha|\bddos protection by\b|\bray id\s*:",
+    r"^\W*(?:the |this )?file (?:may be|is|appears to be|might be) (?:corrupt(?:ed)?|damaged|expired)|^\W*(?:cannot|can['’]t|could not|failed to|unable to) (?:display|render|load|open) (?:the |this )?(?:document|page|file|resource|image|content|pdf)",
+    r"\b(?:ad|script|content)[- ]?block(?:er|ing)?(?: or [\p{L} ]{0,20}block(?:er|ing)?)? (?:was |has been )?detected|\bdisable (?:your|the) (?:ad|script|content)[- ]?blocker|^\W*disable it to (?:see|view|read|continue)",
+    r"\bpage introuvable|\b(?:le|la) (?:document|page|fichier) demandée?\b[^.\n]{0,20}\bn['’](?:existe|est|a)\b|\bservice (?:momentanément |temporairement )?indisponible|\bune erreur (?:est survenue|s['’]est produite)|^\W*accès (?:refusé|interdit)\W*$|\berreur (?:interne )?du serveur|\bvotre session (?:a )?expiré",
+    r"\bseite (?:wurde )?nicht gefunden|\b(?:angeforderte|gesuchte)\w* (?:seite|eintrag|dokument|datei|ressource)\b[^.\n]{0,40}\b(?:nicht|existiert)|\bwartungsarbeiten\s*[:!]|\b(?:anwendung|seite|server|dienst|website) ist (?:zurzeit|zur zeit|derzeit|momentan|vorübergehend) nicht (?:erreichbar|verfügbar)|\bes ist ein (?:unerwarteter )?fehler aufgetreten|^\W*zugriff verweigert|\binterner serverfehler|\bihre sitzung ist abgelaufen",
+    r"\bpágina no encontrada|\bel (?:documento|archivo|recurso) solicitado\b[^.\n]{0,30}\b(?:no|ya no)\b|\bno se (?:ha )?(?:encontró|encontrado|pudo encontrar) la página|\bservicio (?:temporalmente )?no disponible|\bse ha producido un error|^\W*acceso denegado\W*$|\berror (?:interno )?del servidor|\bsu sesión ha (?:caducado|expirado)",
 ]
 _TECH = r"(?:java ?script|scripts?|scripting|cookies)"
 SCRIPTS = [
-    (["script", "cookie", "skript"], rf"\b(?:please |must |need to |have to |to (?:use|view|read|see|continue)[^.\n]{{0,40}}, )(?:first )?(?:enable|activate|turn on|switch on|allow|accept|re-?enable)\b[^.!?\n]{{0,30}}\b{_TECH}\b"),
-    (["script", "cookie", "skript"], rf"(?:^|[.!?:]\s+)\W*(?:enable|activate|turn on|switch on|allow|accept)\b[^.!?\n]{{0,30}}\b{_TECH}\b"),
-    (["script", "cookie", "skript"], rf"\b(?:this|the|our) (?:site|page|website|content|app|application|document|viewer|feature|form)\b[^.!?\n]{{0,20}}\b(?:requires?|needs?|relies on|uses|works best with|depends on)\b[^.!?\n]{{0,20}}\b(?:java ?script|cookies|scripts)\b"),
-    (["script", "cookie", "skript"], r"\bjava ?script (?:is|must be|has to be|needs to be|seems to be|appears to be) (?:required|disabled|enabled|not enabled|turned off|switched off|off|needed|blocked|not available)(?: in your browser| to | for |[.!]|$)"),
-    (["script", "cookie", "skript"], rf"\byour browser (?:does not|doesn['’]t|has|is|must|needs)\b[^.!?\n]{{0,40}}\b{_TECH}\b|\b{_TECH} (?:is|are|has been|have been) (?:switched|turned) off in your browser|\b{_TECH} (?:is|are) (?:disabled|blocked|off) in your browser|\bcookies (?:must be|are) (?:enabled|required|disabled|blocked)\b|\bwithout (?:java ?script|cookies)\b[^.!?\n]{{0,30}}\b(?:cannot|can['’]t|will not|won['’]t) (?:work|load|display)"),
-    (["script", "cookie", "skript"], r"\bactiv(?:ez|er) (?:le |les )?(?:java ?script|scripts|cookies)|\b(?:java ?script|cookies) (?:est|sont|doit|doivent)\b[^.\n]{0,20}\b(?:désactivés?|requis|nécessaires?|activés?)"),
-    (["script", "cookie", "skript"], r"\b(?:aktivieren sie|schalten sie|erlauben sie|akzeptieren sie)\b[^.\n]{0,20}\b(?:java ?script|skripte|scripts|cookies)|\b(?:java ?script|cookies) (?:ist|sind|muss|müssen)\b[^.\n]{0,20}\b(?:deaktiviert|aktiviert|erforderlich|notwendig)|\bbenötigt (?:java ?script|cookies)"),
-    (["script", "cookie", "skript"], r"\b(?:active|habilite|permita|acepte|debe (?:activar|habilitar)|es necesario (?:activar|habilitar))\b[^.\n]{0,20}\b(?:java ?script|scripts|cookies)|\b(?:java ?script|cookies) (?:está|están|debe|deben)\b[^.\n]{0,20}\b(?:desactivad[oa]s?|habilitad[oa]s?|activad[oa]s?)|\bnecesita (?:java ?script|cookies)|\brequiere (?:java ?script|cookies)"),
+    rf"\b(?:please |must |need to |have to |to (?:use|view|read|see|continue)[^.\n]{{0,40}}, )(?:first )?(?:enable|activate|turn on|switch on|allow|accept|re-?enable)\b[^.!?\n]{{0,30}}\b{_TECH}\b",
+    rf"(?:^|[.!?:]\s+)\W*(?:enable|activate|turn on|switch on|allow|accept)\b[^.!?\n]{{0,30}}\b{_TECH}\b",
+    rf"\b(?:this|the|our) (?:site|page|website|content|app|application|document|viewer|feature|form)\b[^.!?\n]{{0,20}}\b(?:requires?|needs?|relies on|uses|works best with|depends on)\b[^.!?\n]{{0,20}}\b(?:java ?script|cookies|scripts)\b",
+    r"\bjava ?script (?:is|must be|has to be|needs to be|seems to be|appears to be) (?:required|disabled|enabled|not enabled|turned off|switched off|off|needed|blocked|not available)(?: in your browser| to | for |[.!]|$)",
+    rf"\byour browser (?:does not|doesn['’]t|has|is|must|needs)\b[^.!?\n]{{0,40}}\b{_TECH}\b|\b{_TECH} (?:is|are|has been|have been) (?:switched|turned) off in your browser|\b{_TECH} (?:is|are) (?:disabled|blocked|off) in your browser|\bcookies (?:must be|are) (?:enabled|required|disabled|blocked)\b|\bwithout (?:java ?script|cookies)\b[^.!?\n]{{0,30}}\b(?:cannot|can['’]t|will not|won['’]t) (?:work|load|display)",
+    r"\bactiv(?:ez|er) (?:le |les )?(?:java ?script|scripts|cookies)|\b(?:java ?script|cookies) (?:est|sont|doit|doivent)\b[^.\n]{0,20}\b(?:désactivés?|requis|nécessaires?|activés?)",
+    r"\b(?:aktivieren sie|schalten sie|erlauben sie|akzeptieren sie)\b[^.\n]{0,20}\b(?:java ?script|skripte|scripts|cookies)|\b(?:java ?script|cookies) (?:ist|sind|muss|müssen)\b[^.\n]{0,20}\b(?:deaktiviert|aktiviert|erforderlich|notwendig)|\bbenötigt (?:java ?script|cookies)",
+    r"\b(?:active|habilite|permita|acepte|debe (?:activar|habilitar)|es necesario (?:activar|habilitar))\b[^.\n]{0,20}\b(?:java ?script|scripts|cookies)|\b(?:java ?script|cookies) (?:está|están|debe|deben)\b[^.\n]{0,20}\b(?:desactivad[oa]s?|habilitad[oa]s?|activad[oa]s?)|\bnecesita (?:java ?script|cookies)|\brequiere (?:java ?script|cookies)",
 ]
 
 #: Prose that reports a message or names a word: a speaker, a duty or a quotation around it. The first kind also holds for placeholders.
@@ -110,57 +116,136 @@ _REPORTED = _NAMED + r"|\b(?:shall|warrants?|warranted|told|tells|testif\w+|argu
 _QUOTED = r"(?:[“\"„«]|(?<!\p{L})['‘`])[^“”\"„‘’`«»\n]{0,120}$"
 _CODE = r"^\s*(?:```|~~~|def |class |return\b|import |from \S+ import|for \S+ in |while |if .*:\s*$|elif |else:|try:|except|print\(|var |let |const |function\b|#include|public |private |static |SELECT |INSERT |\$ |>>> |[\w.]+\s*[+\-*/]?=\s*\S+;?\s*$|[})\]];?\s*$)|=>|[;{]\s*$|\w+\([^)]*\)\s*[;{]|\{\w+:\s*\w+ for "
 
-#: Hints are plain strings; "a&b" is a, and later b; "re:" begins an expression that starts with a plain character.
-def _first(hint: str) -> str:
-    return hint[3:].removeprefix("\\")[0] if hint.startswith("re:") else regex.split(r"&(?!lt;)", hint)[0]
+#: At most so many strings are kept as the hints of a pattern.
+_MOST = 400
 
 
-def _whole(hint: str, low: str) -> bool:
-    if hint.startswith("re:"):
-        return regex.search(hint[3:], low) is not None
-    return all(x in low for x in regex.split(r"&(?!lt;)", hint))
+def _cost(hints: set[str]) -> float:
+    """About how often one of the strings comes in a text."""
+    return sum(prod(0.06 if c.isalnum() else 0.2 if c == " " else 0.01 for c in h) for h in hints)
+
+
+def _cheapest(*sets: set[str] | None) -> set[str] | None:
+    return min((x for x in sets if x and "" not in x), key=_cost, default=None)
+
+
+def _required(items) -> tuple[set[str] | None, set[str] | None]:
+    """Of a parsed pattern: all the strings it matches, if they are few, and strings of which each match holds one. Both in lower case."""
+    run, exact, best = {""}, True, None
+    for op, arg in items:
+        op = str(op)
+        again: set[str] | None = None  # what stands at the end of an open repetition
+        if op == "LITERAL":
+            every, some = {fold(chr(arg))}, None
+        elif op in ("AT", "ASSERT", "ASSERT_NOT"):
+            every, some = {""}, None
+        elif op == "IN" and all(str(o) == "LITERAL" or str(o) == "RANGE" and x[1] - x[0] < 8 for o, x in arg):
+            every, some = {fold(chr(c)) for o, x in arg for c in ([x] if str(o) == "LITERAL" else range(x[0], x[1] + 1))}, None
+        elif op == "SUBPATTERN":
+            every, some = _required(arg[3])
+        elif op == "BRANCH":
+            parts = [_required(x) for x in arg[1]]
+            every = set().union(*(e for e, _ in parts)) if all(e is not None for e, _ in parts) else None
+            of = [_cheapest(*x) for x in parts]
+            some = set().union(*of) if all(of) else None
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            least, most, inner = arg
+            one, part = _required(inner)
+            times = [{""}]
+            while one and len(times) <= min(most, 4) and len(times[-1]) * len(one) <= _MOST:
+                times.append({x + y for x in times[-1] for y in one})
+            every = set().union(*times[least : most + 1]) if most < len(times) else None
+            again = times[min(least, len(times) - 1)] if one else None
+            some = _cheapest(part, again) if least else None
+            again = again if least else None
+        else:  # any character, a class, a back reference
+            every, some = None, None
+        if every is not None and len(run) * len(every) <= _MOST:
+            run = {x + y for x in run for y in every}
+            continue
+        exact = False
+        if again and len(run) * len(again) <= _MOST:
+            best = _cheapest(best, {x + y for x in run for y in again})
+        best = _cheapest(best, run, some, every)
+        run = every or again or {""}
+    return (run if exact else None), _cheapest(best, run)
+
+
+def fold(text: str) -> str:
+    """Lower case, character by character, also of those that a pattern equals to a Latin letter though they aren't its upper case."""
+    return text.replace("İ", "i").lower().replace("ı", "i").replace("ſ", "s")
+
+
+def hints(pattern: str) -> set[str] | None:
+    """Strings in lower case of which every match of the pattern holds one, by its own grammar; None if there are no such strings."""
+    found = _cheapest(*_required(re._parser.parse(regex.sub(r"\\p\{\w+\}", r"\\w", pattern), re.I)))
+    return found and {h for h in found if not any(x != h and x in h for x in found)}
+
+
+def alternatives(pattern: str) -> list[str]:
+    """A pattern's alternatives outside of all brackets."""
+    out, depth, inside, k = [""], 0, False, 0
+    while k < len(pattern):
+        c = pattern[k : k + 2] if pattern[k] == "\\" else pattern[k]
+        depth += 0 if inside else (c == "(") - (c == ")")
+        inside = c == "[" or inside and c != "]"
+        if c == "|" and not depth and not inside:
+            out.append("")
+        else:
+            out[-1] += c
+        k += len(c)
+    return out
 
 
 class Rules:
-    """The rules behind one automaton, which finds all hints of a text in a single pass, however many rules there are."""
+    """The rules behind one automaton, which finds all hints of a text in a single pass, however many rules there are. The hints
+    follow from the rules' patterns, each alternative of a rule for itself; only sentences with a hint are tried."""
 
     def __init__(self):
         self.rules = []
-        self.always = []
-        hints: dict[str, list[tuple[int, str]]] = {}
+        self.always, self.again = [], []
+        words: dict[str, list[int]] = {}
         for kind, rules, prose in (("placeholder", PLACEHOLDERS, _NAMED), ("filler", FILLER, _REPORTED), ("message", MESSAGES, _REPORTED), ("script", SCRIPTS, _REPORTED)):
-            for given, pattern in rules:
+            for pattern in (x for r in rules for x in alternatives(r)):
                 n = len(self.rules)
                 self.rules.append((kind, regex.compile("(?im)" + pattern), regex.compile("(?i)" + prose)))
-                self.always += [n] * (not given)
-                for h in given:
-                    hints.setdefault(_first(h), []).append((n, h))
+                of = None if pattern in (REPEATED, SHORT_LOREM) else {w for w in LOREM if len(w) > 3} if pattern == LOREM_RUN else hints(pattern)
+                if of is None:
+                    (self.again if pattern == REPEATED else self.always).append(n)
+                for h in of or ():
+                    words.setdefault(h, []).append(n)
         self.found = ahocorasick.Automaton()
-        for first, of in hints.items():
-            self.found.add_word(first, of)
+        for h, of in words.items():
+            self.found.add_word(h, of)
         self.found.make_automaton()
-        self.cut, self.code, self.quoted = regex.compile(r"\n|(?<=[.!?…])[ \t\p{Z}]+(?=[^\p{Ll}\s])"), regex.compile(_CODE), regex.compile(_QUOTED)
+        self.cut, self.code, self.quoted = regex.compile(r"\n|(?<=[.!?…])[ \t\p{Z}]+(?=[^\p{Ll}\s,;:])"), regex.compile(_CODE), regex.compile(_QUOTED)
         self.fence = regex.compile(r"(?s)```.*?```|~~~.*?~~~")
 
     def kinds(self, text: str, repeated: bool) -> list[str]:
-        """`repeated`: whether the rules without hints need to be tried."""
+        """`repeated`: whether the rule for repeated words needs to be tried."""
         if "```" in text or "~~~" in text:
             text = self.fence.sub(" ", text)
-        low = text.lower()
-        tried = {x for _, of in self.found.iter(low) for x in of}
-        left = sorted({n for n, h in tried if _whole(h, low)} | set(self.always if repeated else ()))
+        at: dict[int, list[int]] = {}
+        for end, of in self.found.iter(fold(text)):
+            for n in of:
+                at.setdefault(n, []).append(end)
+        whole = [n for n in self.always + self.again * repeated if self.rules[n][1].search(text)]
+        if not at and not whole:
+            return []
+        cuts = [m.span() for m in self.cut.finditer(text)]
+        starts = [0, *(b for _, b in cuts)]
+        seg = [text[a:b] for a, b in zip(starts, [*(a for a, _ in cuts), len(text)])]
         out: list[str] = []
-        seg = None
-        for n in left:
+        for n in sorted({*at, *whole}):
             kind, pattern, prose = self.rules[n]
-            inside = kind == "placeholder"
-            if kind in out or (inside or n in self.always) and not pattern.search(text):
+            if kind in out:
                 continue
-            seg = [s for s in self.cut.split(text) if s.strip()] if seg is None else seg
-            for s in seg:
+            inside = kind == "placeholder"
+            for s in map(seg.__getitem__, sorted({bisect_right(starts, end) - 1 for end in at[n]}) if n in at else range(len(seg))):
                 m = pattern.search(s)
                 if m and not prose.search(s) and not self.quoted.search(s[: m.start()]) and not (inside and self.code.search(s)):
-                    if not (inside and 2 * sum(1 for x in seg if self.code.search(x)) > len(seg)):
+                    full = [x for x in seg if x.strip()]
+                    if not (inside and 2 * sum(1 for x in full if self.code.search(x)) > len(full)):
                         out.append(kind)
                     break
         return out
@@ -182,6 +267,6 @@ def residue(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             found = [(i, k) for i, (t, again) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())) if (k := rules.kinds(t, again))]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i for i, _ in found], pa.int64())), pa.array([k for _, k in found], pa.list_(pa.string()))], names=["k", "kinds"])
 
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(text).rlike("(?i)" + REPEATED).alias("again")).filter(F.length("t") > 0)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(text).rlike("(?iu)" + REPEATED.replace(r"\s", r"\s\p{Z}\x0B\x1c-\x1f\x85")).alias("again")).filter(F.length("t") > 0)
     kind = rows.schema["k"].dataType.simpleString()
     return rows.mapInArrow(search, f"k {kind}, kinds array<string>").withColumnRenamed("k", key)

@@ -1,7 +1,12 @@
+import random
+import re
+
 import pytest
+import regex
 
 from granary.llm import queries
-from granary.llm.residue import Rules, residue
+from granary.llm import residue as module
+from granary.llm.residue import Rules, alternatives, fold, hints, residue
 from tests.oracle import DATA
 
 CASES = {
@@ -37,3 +42,45 @@ def test_rows(spark, rows):
 @pytest.mark.parametrize("name", ["p9_found", "p9_kinds"])
 def test_queries_run(spark, name):
     assert queries.QUERIES[name](spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize(
+    "kind, text",
+    [("filler", "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."), ("filler", "ut et in ea ex id"), ("message", "The page you requested wasn't found on this server."), ("message", "The document was not located."), ("placeholder", "Dear ,"), ("placeholder", "Dear Mr. ,"), ("placeholder", "Sehr geehrter Herr ,")],
+)
+def test_hints_of_every_alternative(kind, text):
+    assert Rules().kinds(text, False) == [kind]
+
+
+def _sample(items, r):
+    """A random string of a parsed pattern, without regard to look-around."""
+    out = ""
+    for op, arg in items:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            some = [c for o, x in arg for c in ([chr(x)] if str(o) == "LITERAL" else [chr(x[0]), chr(x[1])] if str(o) == "RANGE" else {"CATEGORY_DIGIT": "7", "CATEGORY_SPACE": " ", "CATEGORY_NOT_WORD": " "}.get(str(x), "q"))]
+            out += r.choice(" q7:" if str(arg[0][0]) == "NEGATE" else some)
+        elif op in ("SUBPATTERN", "BRANCH"):
+            out += _sample(arg[3] if op == "SUBPATTERN" else r.choice(arg[1]), r)
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(_sample(arg[2], r) for _ in range(r.randint(arg[0], min(arg[1], arg[0] + 2))))
+    return out
+
+
+def test_hints_hold_all_matches():
+    r, n = random.Random(9), 0
+    for pattern in (a for rules in (module.PLACEHOLDERS, module.FILLER, module.MESSAGES, module.SCRIPTS) for p in rules for a in alternatives(p)):
+        of, whole = hints(pattern), regex.compile("(?im)" + pattern)
+        parsed = re._parser.parse(regex.sub(r"\\p\{\w+\}", r"\\w", pattern))
+        for _ in range(300 if of else 0):
+            if m := whole.search(_sample(parsed, r)):
+                n += 1
+                assert any(h in fold(m.group()) for h in of), (pattern, m.group())
+    assert n > 10_000
+
+
+def test_repeated_words_beyond_ascii(spark, rows):
+    texts = ["Über über über über", "test\u00a0test\u00a0test\u00a0test", "one two one two"]
+    assert sorted(r["doc_id"] for r in residue(rows("doc_id bigint, text string", list(enumerate(texts)))).collect()) == [0, 1]
