@@ -110,9 +110,15 @@ SCRIPTS = [
     r"\b(?:active|habilite|permita|acepte|debe (?:activar|habilitar)|es necesario (?:activar|habilitar))\b[^.\n]{0,20}\b(?:java ?script|scripts|cookies)|\b(?:java ?script|cookies) (?:está|están|debe|deben)\b[^.\n]{0,20}\b(?:desactivad[oa]s?|habilitad[oa]s?|activad[oa]s?)|\bnecesita (?:java ?script|cookies)|\brequiere (?:java ?script|cookies)",
 ]
 
-#: Prose that reports a message or names a word: a speaker, a duty or a quotation around it. The first kind also holds for placeholders.
-_NAMED = r"\b(?:the words|the word|the phrase|the (?:message|notice|string|text|form|field|sign|banner|page|screen) (?:said|says|read|reads|stating|saying|named|called|[“\"'‘])|says [“\"'‘]|said [“\"'‘]|reads [“\"'‘]|reading [“\"'‘]|marked [“\"'‘]|labell?ed [“\"'‘]|called [“\"'‘]|for example|e\.g\.|for instance|syntax|tutorial|in this example|stands for|zum beispiel|z\.\s?B\.|par exemple|por ejemplo)"
-_REPORTED = _NAMED + r"|\b(?:shall|warrants?|warranted|told|tells|testif\w+|argued|alleg\w+|complain\w+|claims that|stated|explained|explains|wrote|writes|recalled|witness|had shown|had displayed|displayed|showed|was shown|reported an error|known as|still carried|screenplay|such as|means that|is written|dijo que|declaró que|erklärte|a déclaré)"
+#: Prose that reports a message or names a word: a speaker, a duty or a quotation around it, never the words of the hit itself.
+#: The first kind also holds for placeholders, on both sides of the hit.
+_NAMED = r"\b(?:the words|the word|the phrase|the (?:message|notice|string|text|form|field|sign|banner|page|screen) (?:said|says|read|reads|stating|saying|named|called|[“\"'‘])|says [“\"'‘]|said [“\"'‘]|reads [“\"'‘]|reading [“\"'‘]|marked [“\"'‘]|labell?ed [“\"'‘]|called [“\"'‘]|for example|e\.g\.|for instance|(?:the|a|this|that|its|their|in|with|template) (?:\p{L}+ ){0,2}syntax\b(?! error)|(?:the|a|this|our|in) (?:\p{L}+ )?tutorial\b|in this example|stands for|zum beispiel|z\.\s?B\.|par exemple|por ejemplo)"
+_PASSIVE = r"(?<!\b(?:be|is|are|was|were|been|being|as|not) )"
+_SPEECH = r"(?:told|tells|testif(?:y|ied|ies|ying)|argue[ds]|alleg(?:e|ed|es|ing)|complain(?:ed|s|ing)|stated|explain(?:ed|s)|wrote|writes|recall(?:ed|s))\b"
+#: Before the hit, in the same sentence: someone says, owes or is shown it.
+_BEFORE = rf"(?:(?<=[\p{{L}},)] ){_PASSIVE}{_SPEECH}|\b(?:was|were|been) told (?:that|the|of|it|by)\b|\b(?:claims|means) that\b|\bwitness(?:es)? (?:\p{{L}}+ ){{0,3}}?(?:said|saw|read|described|remembered)\b|(?<=[\p{{L}},)] )(?<!\b(?:you|users|visitors|readers) )(?:shall|warrants?|warranted)\b|{_PASSIVE}\b(?:displayed|showed|shown) (?:(?:him|her|them|me|us|only|just|visitors|users) )*(?:(?:an?|the|this|that|another|one)\b|[“\"'‘\d])|\b(?:was|were|been) shown (?:an?|the)\b|\breported an error|\bknown as\b|\bsuch as\b|\bstill carried\b|\b(?:the|a|his|her|their) (?:\p{{L}}+ )?screenplay\b|\bdijo que\b|\bdeclaró que\b|\p{{L}} erklärte\b|\ba déclaré\b)(?:(?![.!?…][”\"'’»]?\s)[^\n])*$"
+#: After the hit, in the same sentence: who said it, to whom it was shown.
+_AFTER = rf"^(?:(?![.!?…][”\"'’»]?(?:\s|$))[^\n])*?(?:(?<=[,”\"'’»] )(?:[\p{{L}}.]+ ){{1,4}}(?:said|says|{_SPEECH})|\b(?:was|were|is|are|had been|has been) (?:shown|displayed) (?:to|on|in|when|whenever|for|if|by)\b|\bis written (?:in|on|as|over|across|under)\b)"
 _QUOTED = r"(?:[“\"„«]|(?<!\p{L})['‘`])[^“”\"„‘’`«»\n]{0,120}$"
 _CODE = r"^\s*(?:```|~~~|def |class |return\b|import |from \S+ import|for \S+ in |while |if .*:\s*$|elif |else:|try:|except|print\(|var |let |const |function\b|#include|public |private |static |SELECT |INSERT |\$ |>>> |[\w.]+\s*[+\-*/]?=\s*\S+;?\s*$|[})\]];?\s*$)|=>|[;{]\s*$|\w+\([^)]*\)\s*[;{]|\{\w+:\s*\w+ for "
 
@@ -205,10 +211,10 @@ class Rules:
         self.rules = []
         self.always, self.again = [], []
         words: dict[str, list[int]] = {}
-        for kind, rules, prose in (("placeholder", PLACEHOLDERS, _NAMED), ("filler", FILLER, _REPORTED), ("message", MESSAGES, _REPORTED), ("script", SCRIPTS, _REPORTED)):
+        for kind, rules in (("placeholder", PLACEHOLDERS), ("filler", FILLER), ("message", MESSAGES), ("script", SCRIPTS)):
             for pattern in (x for r in rules for x in alternatives(r)):
                 n = len(self.rules)
-                self.rules.append((kind, regex.compile("(?im)" + pattern), regex.compile("(?i)" + prose)))
+                self.rules.append((kind, regex.compile("(?im)" + pattern)))
                 of = None if pattern in (REPEATED, SHORT_LOREM) else {w for w in LOREM if len(w) > 3} if pattern == LOREM_RUN else hints(pattern)
                 if of is None:
                     (self.again if pattern == REPEATED else self.always).append(n)
@@ -219,8 +225,13 @@ class Rules:
             self.found.add_word(h, of)
         self.found.make_automaton()
         self.cut, self.code, self.quoted = regex.compile(r"\n|(?<=[.!?…])[ \t\p{Z}]+(?=[^\p{Ll}\s,;:])"), regex.compile(_CODE), regex.compile(_QUOTED)
+        self.named, self.before, self.after = (regex.compile("(?i)" + x) for x in (_NAMED, _BEFORE, _AFTER))
         self.fence = regex.compile(r"(?s)```.*?```|~~~.*?~~~")
 
+    def reported(self, before: str, after: str, inside: bool) -> bool:
+        """Whether the words around a hit report it; of a placeholder, whether they name it."""
+        return bool(self.named.search(before) or self.named.search(after) or not inside and (self.before.search(before) or self.after.search(after)))
+
     def kinds(self, text: str, repeated: bool) -> list[str]:
         """`repeated`: whether the rule for repeated words needs to be tried."""
         if "```" in text or "~~~" in text:
@@ -237,13 +248,13 @@ class Rules:
         seg = [text[a:b] for a, b in zip(starts, [*(a for a, _ in cuts), len(text)])]
         out: list[str] = []
         for n in sorted({*at, *whole}):
-            kind, pattern, prose = self.rules[n]
+            kind, pattern = self.rules[n]
             if kind in out:
                 continue
             inside = kind == "placeholder"
             for s in map(seg.__getitem__, sorted({bisect_right(starts, end) - 1 for end in at[n]}) if n in at else range(len(seg))):
                 m = pattern.search(s)
-                if m and not prose.search(s) and not self.quoted.search(s[: m.start()]) and not (inside and self.code.search(s)):
+                if m and not self.reported(s[: m.start()], s[m.end() :], inside) and not self.quoted.search(s[: m.start()]) and not (inside and self.code.search(s)):
                     full = [x for x in seg if x.strip()]
                     if not (inside and 2 * sum(1 for x in full if self.code.search(x)) > len(full)):
                         out.append(kind)

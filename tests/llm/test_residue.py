@@ -84,3 +84,20 @@ def test_hints_hold_all_matches():
 def test_repeated_words_beyond_ascii(spark, rows):
     texts = ["Über über über über", "test\u00a0test\u00a0test\u00a0test", "one two one two"]
     assert sorted(r["doc_id"] for r in residue(rows("doc_id bigint, text string", list(enumerate(texts)))).collect()) == [0, 1]
+
+
+@pytest.mark.parametrize("text", ["The page cannot be displayed.", "This page can't be displayed", "The requested document could not be displayed on this server.", "Parse error: syntax error, unexpected end of file", "SQL syntax error"])
+def test_messages_in_words_of_reports(text):
+    assert Rules().kinds(text, False) == ["message"]
+
+
+def test_duty_of_an_earlier_sentence():
+    assert Rules().kinds("Each holder shall keep a forecast and show it on request. xxx xxx xxx xxx", True) == ["filler"]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["She testified that the page cannot be displayed.", "The site displayed a 404 Not Found page for a week.", "He was told that the page could not be found on this server.", "Errors such as 404 Not Found are logged.", "The page cannot be displayed, the witness explained.", "The vendor warrants that no 500 Internal Server Error comes up.", "A 404 Not Found page was shown to visitors.", "The witness complained of a fatal error: the clerk was away."],
+)
+def test_reported_messages(text):
+    assert Rules().kinds(text, False) == []
