@@ -119,7 +119,8 @@ _SPEECH = r"(?:told|tells|testif(?:y|ied|ies|ying)|argue[ds]|alleg(?:e|ed|es|ing
 _BEFORE = rf"(?:(?<=[\p{{L}},)] ){_PASSIVE}{_SPEECH}|\b(?:was|were|been) told (?:that|the|of|it|by)\b|\b(?:claims|means) that\b|\bwitness(?:es)? (?:\p{{L}}+ ){{0,3}}?(?:said|saw|read|described|remembered)\b|(?<=[\p{{L}},)] )(?<!\b(?:you|users|visitors|readers) )(?:shall|warrants?|warranted)\b|{_PASSIVE}\b(?:displayed|showed|shown) (?:(?:him|her|them|me|us|only|just|visitors|users) )*(?:(?:an?|the|this|that|another|one)\b|[“\"'‘\d])|\b(?:was|were|been) shown (?:an?|the)\b|\breported an error|\bknown as\b|\bsuch as\b|\bstill carried\b|\b(?:the|a|his|her|their) (?:\p{{L}}+ )?screenplay\b|\bdijo que\b|\bdeclaró que\b|\p{{L}} erklärte\b|\ba déclaré\b)(?:(?![.!?…][”\"'’»]?\s)[^\n])*$"
 #: After the hit, in the same sentence: who said it, to whom it was shown.
 _AFTER = rf"^(?:(?![.!?…][”\"'’»]?(?:\s|$))[^\n])*?(?:(?<=[,”\"'’»] )(?:[\p{{L}}.]+ ){{1,4}}(?:said|says|{_SPEECH})|\b(?:was|were|is|are|had been|has been) (?:shown|displayed) (?:to|on|in|when|whenever|for|if|by)\b|\bis written (?:in|on|as|over|across|under)\b)"
-_QUOTED = r"(?:[“\"„«]|(?<!\p{L})['‘`])[^“”\"„‘’`«»\n]{0,120}$"
+#: Quotation marks; an apostrophe within a word is none.
+_MARKS = r"[“”\"„‘’`«»]|(?<!\p{L})'|'(?!\p{L})"
 _CODE = r"^\s*(?:```|~~~|def |class |return\b|import |from \S+ import|for \S+ in |while |if .*:\s*$|elif |else:|try:|except|print\(|var |let |const |function\b|#include|public |private |static |SELECT |INSERT |\$ |>>> |[\w.]+\s*[+\-*/]?=\s*\S+;?\s*$|[})\]];?\s*$)|=>|[;{]\s*$|\w+\([^)]*\)\s*[;{]|\{\w+:\s*\w+ for "
 
 #: At most so many strings are kept as the hints of a pattern.
@@ -203,6 +204,23 @@ def alternatives(pattern: str) -> list[str]:
     return out
 
 
+def quoted(before: str, marks: list[tuple[int, str]], most: int = 120) -> bool:
+    """Whether a quotation is open at the end of a text, begun at most so many characters before it. marks: the text's quotation
+    marks and their places. A straight one opens or closes by their number, a single one also by what stands beside it."""
+    since: dict[str, int] = {}
+    for k, c in marks:
+        of = {"“": '"', "”": '"', "„": '"', "‘": "'", "’": "'", "«": "«", "»": "«"}.get(c, c)
+        word = k > 0 and before[k - 1].isalnum()
+        if c in "”»" or c == "“" and of in since or c in "'’" and (of in since or word):
+            if not (c in "'’" and word and before[k + 1 : k + 2].isalpha()):
+                since.pop(of, None)
+        elif c in '"`' and of in since:
+            del since[of]
+        elif c != "’":
+            since[of] = k
+    return any(len(before) - k <= most + 1 for k in since.values())
+
+
 class Rules:
     """The rules behind one automaton, which finds all hints of a text in a single pass, however many rules there are. The hints
     follow from the rules' patterns, each alternative of a rule for itself; only sentences with a hint are tried."""
@@ -224,10 +242,15 @@ class Rules:
         for h, of in words.items():
             self.found.add_word(h, of)
         self.found.make_automaton()
-        self.cut, self.code, self.quoted = regex.compile(r"\n|(?<=[.!?…])[ \t\p{Z}]+(?=[^\p{Ll}\s,;:])"), regex.compile(_CODE), regex.compile(_QUOTED)
+        self.cut, self.code, self.marks = regex.compile(r"\n|(?<=[.!?…])[ \t\p{Z}]+(?=[^\p{Ll}\s,;:])"), regex.compile(_CODE), regex.compile(_MARKS)
         self.named, self.before, self.after = (regex.compile("(?i)" + x) for x in (_NAMED, _BEFORE, _AFTER))
         self.fence = regex.compile(r"(?s)```.*?```|~~~.*?~~~")
 
+    def counts(self, s: str, m: regex.Match, inside: bool) -> bool:
+        """Whether a hit in a sentence is neither quoted nor reported."""
+        before = s[: m.start()]
+        return not quoted(before, [(x.start(), x.group()) for x in self.marks.finditer(s, 0, m.start())]) and not self.reported(before, s[m.end() :], inside)
+
     def reported(self, before: str, after: str, inside: bool) -> bool:
         """Whether the words around a hit report it; of a placeholder, whether they name it."""
         return bool(self.named.search(before) or self.named.search(after) or not inside and (self.before.search(before) or self.after.search(after)))
@@ -253,8 +276,7 @@ class Rules:
                 continue
             inside = kind == "placeholder"
             for s in map(seg.__getitem__, sorted({bisect_right(starts, end) - 1 for end in at[n]}) if n in at else range(len(seg))):
-                m = pattern.search(s)
-                if m and not self.reported(s[: m.start()], s[m.end() :], inside) and not self.quoted.search(s[: m.start()]) and not (inside and self.code.search(s)):
+                if not (inside and self.code.search(s)) and any(self.counts(s, m, inside) for m in pattern.finditer(s)):
                     full = [x for x in seg if x.strip()]
                     if not (inside and 2 * sum(1 for x in full if self.code.search(x)) > len(full)):
                         out.append(kind)

@@ -101,3 +101,16 @@ def test_duty_of_an_earlier_sentence():
 )
 def test_reported_messages(text):
     assert Rules().kinds(text, False) == []
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['The "Company" agrees to pay {{amount}}', "The 'Buyer' pays [INSERT AMOUNT]", 'The form names "{{ buyer }}" but the price is {{ price }}.', "The Sellers' agent pays [INSERT AMOUNT]", "The “Company” pays {{amount}}", "Die „Firma“ zahlt {{betrag}}", "It's {{amount}} in all", "The 'Buyer's Agent' pays [INSERT AMOUNT]"],
+)
+def test_closed_quotations(text):
+    assert Rules().kinds(text, False) == ["placeholder"]
+
+
+@pytest.mark.parametrize("text", ['The form names "{{ buyer }}" only.', "The form names 'the {{ buyer }}' only.", 'The "Company" filled in "{{ buyer }}".', "Das Feld „{{ name }}“ bleibt.", "Le champ « {{ nom }} » reste.", "The client's field '{{ buyer }}' stays."])
+def test_open_quotations(text):
+    assert Rules().kinds(text, False) == []
