@@ -244,7 +244,7 @@ class Rules:
         self.found.make_automaton()
         self.cut, self.code, self.marks = regex.compile(r"\n|(?<=[.!?…])[ \t\p{Z}]+(?=[^\p{Ll}\s,;:])"), regex.compile(_CODE), regex.compile(_MARKS)
         self.named, self.before, self.after = (regex.compile("(?i)" + x) for x in (_NAMED, _BEFORE, _AFTER))
-        self.fence = regex.compile(r"(?s)```.*?```|~~~.*?~~~")
+        self.fence = regex.compile(r"(?ms)^[ \t>]*(?:(```)[^`\n]*|(~~~)[^\n]*)$.*?^[ \t>]*(?:\1|\2)|^[ \t>]*```[^`\n]*```")
 
     def counts(self, s: str, m: regex.Match, inside: bool) -> bool:
         """Whether a hit in a sentence is neither quoted nor reported."""
@@ -257,8 +257,6 @@ class Rules:
 
     def kinds(self, text: str, repeated: bool) -> list[str]:
         """`repeated`: whether the rule for repeated words needs to be tried."""
-        if "```" in text or "~~~" in text:
-            text = self.fence.sub(" ", text)
         at: dict[int, list[int]] = {}
         for end, of in self.found.iter(fold(text)):
             for n in of:
@@ -269,16 +267,18 @@ class Rules:
         cuts = [m.span() for m in self.cut.finditer(text)]
         starts = [0, *(b for _, b in cuts)]
         seg = [text[a:b] for a, b in zip(starts, [*(a for a, _ in cuts), len(text)])]
+        fenced = [m.span() for m in self.fence.finditer(text)] if "```" in text or "~~~" in text else []
+        plain = [x for x, a in zip(seg, starts) if x.strip() and not any(b <= a < e for b, e in fenced)]
         out: list[str] = []
         for n in sorted({*at, *whole}):
             kind, pattern = self.rules[n]
             if kind in out:
                 continue
             inside = kind == "placeholder"
-            for s in map(seg.__getitem__, sorted({bisect_right(starts, end) - 1 for end in at[n]}) if n in at else range(len(seg))):
-                if not (inside and self.code.search(s)) and any(self.counts(s, m, inside) for m in pattern.finditer(s)):
-                    full = [x for x in seg if x.strip()]
-                    if not (inside and 2 * sum(1 for x in full if self.code.search(x)) > len(full)):
+            for k in sorted({bisect_right(starts, end) - 1 for end in at[n]}) if n in at else range(len(seg)):
+                s = seg[k]
+                if not (inside and (self.code.search(s) or any(b <= starts[k] < e for b, e in fenced))) and any(self.counts(s, m, inside) for m in pattern.finditer(s)):
+                    if not (inside and 2 * sum(1 for x in plain if self.code.search(x)) > len(plain)):
                         out.append(kind)
                     break
         return out
@@ -287,10 +287,10 @@ class Rules:
 def residue(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, kinds): the documents that hold residue, with its kinds: 'placeholder', 'filler', 'message' or 'script'.
 
-    Method: an automaton searches each text once for the rules' hints (plain strings); the few with one are cut into lines
-    and sentences, to which grammars for each pair of delimiters and patterns for filler, messages and script notices are
-    applied. A hit is discounted where the sentence reports or quotes it; a placeholder also inside code (fences,
-    statements) and in texts of which half or more is code. Texts pass in Arrow batches and never move. (As Spark
+    Method: an automaton searches each text once for the rules' hints (strings that each match of a rule must hold); the
+    lines and sentences with one are tried with grammars for each pair of delimiters and patterns for filler, messages and
+    script notices. A hit is discounted where the words around it report or quote it; a placeholder also inside code
+    (fences, statements) and in texts of which half or more is code. Texts pass in Arrow batches and never move. (As Spark
     expressions the same rules took five times the CPU: Java tries every alternative at every place.) Null and empty texts
     hold none; repeated rows give repeated rows."""
 

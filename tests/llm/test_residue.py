@@ -114,3 +114,12 @@ def test_closed_quotations(text):
 @pytest.mark.parametrize("text", ['The form names "{{ buyer }}" only.', "The form names 'the {{ buyer }}' only.", 'The "Company" filled in "{{ buyer }}".', "Das Feld „{{ name }}“ bleibt.", "Le champ « {{ nom }} » reste.", "The client's field '{{ buyer }}' stays."])
 def test_open_quotations(text):
     assert Rules().kinds(text, False) == []
+
+
+@pytest.mark.parametrize("mark", ["```", "~~~"])
+def test_fences_hide_placeholders_only(mark):
+    kinds = lambda t: Rules().kinds(t, False)
+    assert kinds(f"The log of the night.\n{mark}\nTraceback (most recent call last):\n{mark}\nIt ends here.") == ["message"]
+    assert kinds(f"The page of the firm.\n{mark}\nYour text goes here.\n{mark}\nIt ends here.") == ["filler"]
+    assert kinds(f"The letter of the firm.\n{mark}html\nDear {{{{ name }}}}, hello\n{mark}\nIt ends here.") == []
+    assert kinds(f"The {mark} stands in a line.\nDear {{{{ name }}}}, hello\nAnd {mark} again.") == ["placeholder"]
