@@ -81,8 +81,8 @@ CELL = ["source", "lang", "domain"]
 
 @dataclass
 class Ledger:
-    """counts: (content, tokenizer, n_tokens), one row per text ever encoded. docs: (key, content, source, lang, domain) of the
-    snapshot. cube: (source, lang, domain, n_docs, n_tokens)."""
+    """counts: (content, tokenizer, n_tokens), one row per text ever encoded. docs: (key, content, source, lang, domain, tokenizer)
+    of the snapshot. cube: (source, lang, domain, n_docs, n_tokens, tokenizer)."""
 
     counts: DataFrame
     docs: DataFrame
@@ -95,14 +95,16 @@ def update(records: DataFrame, targets: DataFrame, old: Ledger | None = None, ke
     Only texts whose (content, tokenizer) is not in the count table are encoded. Documents that came count +1, those that
     went or changed -1 under their old content and cell; these signs are summed by content and cell before any join, so that
     a text with a third of all rows is a few rows there. Null and empty texts count as documents of no tokens; rows
-    delivered twice count twice; sources without a target have a null domain; null sources are a cell of their own."""
+    delivered twice count twice; sources without a target have a null domain; null sources are a cell of their own. Documents
+    and cells of another tokenizer are left out of the old ledger, so that all documents come anew; its counts are kept. A
+    delta whose content has no count, as when a part of the old ledger is lost, is an error."""
     spark, tok = records.sparkSession, tokenizer_hash(name, folder)
     of_source = small(targets.filter("source is not null").groupBy("source").agg(F.min("domain").alias("domain")))
     rows = records.select(F.col(key).alias("key"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("content"), "source", language(F.col("lang")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = rows.drop("text").join(of_source, "source", "left").select("key", "content", *CELL)
     one = docs.withColumn("sign", F.lit(1).cast("bigint"))
     if old is not None:
-        gone = old.docs.withColumn("sign", F.lit(-1).cast("bigint"))
+        gone = old.docs.filter(F.col("tokenizer") == tok).drop("tokenizer").withColumn("sign", F.lit(-1).cast("bigint"))
         one = one.unionByName(gone).groupBy("key", "content", *CELL).agg(F.sum("sign").alias("sign")).filter("sign <> 0")
     deltas = one.groupBy("content", *CELL).agg(F.sum("sign").alias("sign")).filter("sign <> 0")
     texts = rows.select("content", "text")
@@ -114,10 +116,11 @@ def update(records: DataFrame, targets: DataFrame, old: Ledger | None = None, ke
     fresh = token_counts(texts, "content", "text", name, folder).groupBy("content").agg(F.max("n_tokens").alias("n_tokens")).withColumn("tokenizer", F.lit(tok)).select("content", "tokenizer", "n_tokens")
     fresh = materialize(fresh, "counts")
     counts = fresh if old is None else old.counts.unionByName(fresh)
-    change = deltas.join(counts.filter(F.col("tokenizer") == tok), "content").groupBy(*CELL).agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
+    n = F.coalesce("n_tokens", F.raise_error(F.concat(F.lit("the ledger has no count of the content "), F.hex("content"))).cast("bigint"))
+    change = deltas.join(counts.filter(F.col("tokenizer") == tok), "content", "left").groupBy(*CELL).agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * n).alias("n_tokens"))
     if old is not None:
-        change = old.cube.unionByName(change).groupBy(*CELL).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    return Ledger(counts, docs, change.filter("n_docs <> 0"))
+        change = old.cube.filter(F.col("tokenizer") == tok).drop("tokenizer").unionByName(change).groupBy(*CELL).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    return Ledger(counts, docs.withColumn("tokenizer", F.lit(tok)), change.filter("n_docs <> 0").withColumn("tokenizer", F.lit(tok)))
 
 
 def with_totals(cube: DataFrame) -> DataFrame:

@@ -126,3 +126,27 @@ def test_mix_keeps_repeats_and_shares(spark, rows):
 @pytest.mark.parametrize("name", ["p2_token_cube", "p4_pack", "p4_fill", "p6_mix", "p6_shares", "p7_ids"])
 def test_queries_run(spark, name):
     assert queries.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_updates_with_another_tokenizer(spark, rows):
+    targets = rows(TARGETS, [("a", "D", 1, 0.5, 1)])
+    other = {"name": "byte_bpe_multi_50k"}
+    v1 = rows(RAW, [(1, "naïve façade œuvre", "a", "en", 0), (2, "合同双方同意。", "a", "en", 0), (3, "gone", "b", "en", 0)])
+    v2 = rows(RAW, [(1, "naïve façade œuvre", "a", "en", 0), (2, "合同双方", "a", "en", 0)])
+    want = _cube(tokens.update(v2, targets, **other))
+    assert want != _cube(tokens.update(v2, targets))
+    old = tokens.update(v1, targets)
+    assert _cube(tokens.update(v2, targets, old, **other)) == want
+    assert _cube(tokens.update(v2, targets, tokens.update(v1, targets, old, **other))) == _cube(tokens.update(v2, targets))
+
+
+def test_a_lost_count_is_an_error(spark, rows):
+    targets = rows(TARGETS, [("a", "D", 1, 0.5, 1)])
+    old = tokens.update(rows(RAW, [(1, "stays", "a", "en", 0), (2, "gone", "a", "en", 0)]), targets)
+    lost = tokens.Ledger(old.counts.filter("n_tokens < 0"), old.docs, old.cube)
+    with pytest.raises(Exception, match="no count of the content"):
+        tokens.update(rows(RAW, [(1, "stays", "a", "en", 0)]), targets, lost).cube.collect()
+
+
+def test_update_query_equals_a_new_ledger(spark):
+    assert actual(queries.p2_token_update(spark, DATA)) == actual(queries.p2_token_cube(spark, DATA))
