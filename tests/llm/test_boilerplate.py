@@ -1,4 +1,4 @@
-import re
+import unicodedata
 from collections import defaultdict
 
 import pytest
@@ -9,19 +9,27 @@ from tests.oracle import DATA, actual, expected
 SCHEMA = "a int, doc_ord bigint, text string, source string, line_no string"
 
 
-def brute(data, least):
-    def norm(line):
-        line = re.sub(r"\d+", "#", " ".join(line.split()).lower())
-        return " ".join(re.sub(r"[^\w\s#]", "", line).split())
+def norm(line):
+    """Normalisation P1 by a walk over the characters."""
+    out = []
+    for c in line.lower():
+        if c.isspace():
+            c = " "
+        elif c.isdigit() and unicodedata.category(c) == "Nd":
+            c = "#"
+        elif not (c.isalnum() or c in "_#"):
+            continue
+        if not (out and c == out[-1] and c in " #"):
+            out.append(c)
+    return "".join(out).strip()
+
 
-    docs, occ = defaultdict(set), defaultdict(list)
+def brute(data, least):
+    places = defaultdict(list)
     for _, o, t, s, _ in data:
-        if t is not None and s is not None:
-            for i, line in enumerate(t.split("\n")):
-                if norm(line):
-                    docs[s, norm(line)].add(o)
-                    occ[s, norm(line)].append((o, i + 1))
-    return sorted(x for k, v in docs.items() if len(v) >= least for x in occ[k])
+        for i, line in enumerate([] if t is None or s is None else t.split("\n"), 1):
+            places[s, norm(line)].append((o, i))
+    return sorted(x for (_, line), at in places.items() if line and len({o for o, _ in at}) >= least for x in at)
 
 
 def _data():
@@ -30,9 +38,9 @@ def _data():
     return data + [(0, 300, ("Share this page 1\n" * 5000), "s", "x")]
 
 
-@pytest.mark.parametrize("least, width", [(10, 1 << 22), (10, 1 << 8), (2, 1 << 10)])
-def test_equals_brute_force_at_any_width(spark, rows, least, width):
-    got = boilerplate.repeated_lines(rows(SCHEMA, _data()), least=least, width=width).select("doc_ord", "line_no").collect()
+@pytest.mark.parametrize("least, cells", [(10, boilerplate.CELLS), (10, 1 << 5), (2, 1 << 10)])
+def test_equals_brute_force_with_any_cells(spark, rows, least, cells):
+    got = boilerplate.repeated_lines(rows(SCHEMA, _data()), least=least, cells=cells).select("doc_ord", "line_no").collect()
     assert sorted(map(tuple, got)) == brute(_data(), least)
 
 
@@ -42,11 +50,25 @@ def test_large_sets_are_joined_with_salts(spark, rows, monkeypatch):
     assert sorted(map(tuple, got)) == brute(_data(), 10)
 
 
-def test_texts_without_lines(spark, rows):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_texts_without_lines(spark, rows, most, monkeypatch):
+    monkeypatch.setattr(boilerplate, "SET_ROWS", most)
     got = {r["doc_ord"]: (r["text"], r["n_removed"]) for r in boilerplate.without_lines(rows(SCHEMA, _data())).collect()}
     assert got[3] == ("Own line ddd3\n", 2) and got[200] == (None, 0) and got[201] == ("", 0) and got[300] == ("", 5000) and got[100][1] == 0
 
 
+@pytest.mark.parametrize("size", [200, 2_000, 20_000])
+def test_candidates_stay_few_at_any_size(spark, size):
+    r = spark.range(size).selectExpr("id as doc_ord", "concat('own ', cast(sha2(cast(id as string), 256) as string), '\nshare ', char(97 + id % 2), '\nother ', sha2(cast(-id as string), 256)) as text", "if(id % 3 = 0, 's', 't') as source")
+    found, heavy = boilerplate.confirmed(r)
+    assert found.count() == size and heavy.count() <= 40  # of 3 * size lines
+
+
+def test_texts_are_cut_where_they_lie(spark):
+    plan = queries.p5_clean_texts(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.replace("REPARTITION_BY_NUM", "").split("MapInArrow")[0] and "Join" not in plan
+
+
 def test_nothing(spark, rows):
     assert boilerplate.repeated_lines(rows(SCHEMA, [])).count() == 0 and boilerplate.without_lines(rows(SCHEMA, [])).count() == 0
 
