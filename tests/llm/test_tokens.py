@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +22,34 @@ def test_ids_equal_the_library(spark):
     assert back == {i: t or "" for i, t in enumerate(ODD)}
 
 
+def test_ids_of_long_runs_equal_the_library(spark):
+    """Runs that are folded in pieces, some of which meet by the first cut, some by the second, some not at all."""
+    rng = random.Random(1)
+    of = lambda lo, hi, n: "".join(chr(rng.randint(lo, hi)) for _ in range(n))
+    texts = ["x" * 10_000, "-" * 10_000, "…" * 3_000, "abc" * 3_333, of(0x4E00, 0x9FA5, 10_000), of(0x0E01, 0x0E2E, 10_000), of(97, 122, 10_000), " " * 5_000 + "x", "合同双方同意" * 1_000]
+    enc = tokens.Encoder(spark)
+    for cached in (bpe.CACHED, 0):
+        got = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), cached=cached).collect()
+        assert {r["doc_id"]: list(r["ids"]) for r in got} == {i: enc.encode(t) for i, t in enumerate(texts)}
+
+
+def test_each_distinct_word_is_folded_once(spark):
+    counted = spark.createDataFrame([("one", 3), (" two", 1), ("z" * 700, 2)], "word string, n bigint")
+    got = bpe.fold_words(counted).collect()
+    enc = tokens.Encoder(spark)
+    assert {r["word"]: list(r["ids"]) for r in got} == {w: enc.encode(w) for w in ("one", " two", "z" * 700)} and len(got) == 3
+
+
+def test_most_frequent_words_are_never_more(spark):
+    counted = spark.range(5000).selectExpr("concat('w', id) as word", "int(20000 / (id + 1)) + 1 as n").persist()
+    for most in (0, 1, 10, 1000, 4000, 6000):
+        top = counted.filter(bpe.most_frequent(counted, most))
+        n = top.count()
+        assert n <= most and (n >= 0.6 * min(most, 5000) - 60)
+        if n:
+            assert top.agg(F.min("n")).first()[0] * 1.2 + 2 >= counted.exceptAll(top).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
 def test_ids_of_nothing_and_of_repeated_rows(spark):
     df = spark.createDataFrame([(1, "same words"), (1, "same words")], "doc_id bigint, text string")
     assert bpe.encode(df).count() == 2 and bpe.encode(df.limit(0)).count() == 0
