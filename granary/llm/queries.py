@@ -79,7 +79,7 @@ def p7_round_trip(spark: SparkSession, where: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, where: str) -> DataFrame:
-    return leaks.leaks(texts(spark, where, "documents"), table(spark, where, "eval_items"))
+    return leaks.leaks(texts(spark, where, "documents"), table(spark, where, "eval_items")).select("doc_id", "item_id")
 
 
 def p8_leaked_items(spark: SparkSession, where: str) -> DataFrame:
