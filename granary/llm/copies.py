@@ -70,20 +70,24 @@ def copies(records: DataFrame, key: str = "doc_ord", text: str = "text") -> Data
     """(kept_ord, copy_ord): for each group of same records one row per record but the first (by `key`).
 
     Method: commutative multiset hash of the normalised fields, grouping by that fingerprint, then comparison of each
-    member's fields with those of the group's first record. Members that only share the fingerprint are grouped among
-    themselves by their whole set of digests. Texts leave their partition only as digests. `key` should be unique: of rows
-    with the same key and text, one is the first, and the others are its copies only if the key differs. Other columns
-    don't matter; null texts, texts without letters or digits and an empty table give no rows."""
-    rec = materialize(fingerprints(records, key, text), "fingerprints")
-    groups = rec.groupBy("fp_a", "fp_b").agg(F.min(F.struct("ord", "digests")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    groups = materialize(groups, "groups")
-    member = salted_join(rec, groups, ["fp_a", "fp_b"], "n", "ord").filter(F.col("ord") != F.col("first.ord"))
-    checked = member.select("fp_a", "fp_b", "ord", "digests", F.col("first.ord").alias("kept"), same_fields(F.col("digests"), F.col("first.digests")).alias("same"))
-    checked = materialize(checked.select("ord", "kept", "same", F.when(~F.col("same"), F.struct("fp_a", "fp_b", F.array_sort("digests").alias("digests"))).alias("other")), "checked")
-    other = checked.filter(~F.col("same"))
-    firsts = other.groupBy("other").agg(F.min("ord").alias("kept_ord"), F.count("*").alias("n")).filter("n > 1")
-    rest = salted_join(other.select("ord", "other"), firsts, ["other"], "n", "ord").filter("ord <> kept_ord").select("kept_ord", F.col("ord").alias("copy_ord"))
-    return checked.filter("same").select(F.col("kept").alias("kept_ord"), F.col("ord").alias("copy_ord")).unionByName(rest)
+    member's fields with those of the group's first record. Members that only share the fingerprint are grouped and compared
+    again among themselves, as often as there are different records of one fingerprint; nothing is sorted. Texts leave their
+    partition only as digests. `key` should be unique: of rows with the same key and text, one is the first, and the others
+    are its copies only if the key differs. Other columns don't matter; null texts, texts without letters or digits and an
+    empty table give no rows."""
+    rest, out = materialize(fingerprints(records, key, text), "fingerprints"), None
+    while True:
+        groups = rest.groupBy("fp_a", "fp_b").agg(F.min(F.struct("ord", "digests")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+        groups = materialize(groups, "groups")
+        member = salted_join(rest, groups, ["fp_a", "fp_b"], "n", "ord").filter(F.col("ord") != F.col("first.ord"))
+        same = same_fields(F.col("digests"), F.col("first.digests"))
+        other = F.when(~same, F.struct("ord", "digests", "fp_a", "fp_b"))
+        checked = materialize(member.select(F.col("first.ord").alias("kept_ord"), F.col("ord").alias("copy_ord"), other.alias("other")), "checked")
+        found = checked.filter("other is null").drop("other")
+        out = found if out is None else out.unionByName(found)
+        rest = checked.filter("other is not null").select("other.*")
+        if rest.isEmpty():
+            return out
 
 
 def distinct_records(records: DataFrame, key: str = "doc_ord", text: str = "text") -> DataFrame:
