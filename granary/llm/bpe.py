@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from granary.functions.columns import let
 from granary.llm.tokens import DEFAULT, FOLDER, parse_ranks, read_ranks
 from granary.operators.skew import salted_join
-from granary.session import materialize
+from granary.session import materialize, spread
 
 #: The tokenizer's pattern with white space as Unicode has it (Java's plain \s is ASCII), the most frequent branches first:
 #: of the first four no two can match at one place, but for the third, which comes before the fourth as in the original.
@@ -128,7 +128,7 @@ def _in_pieces(of: DataFrame, rank: Lookup, stride: int, overlap: int) -> DataFr
 def fold_words(counted: DataFrame, name: str = DEFAULT, folder: str = FOLDER, rank: Lookup | None = None) -> DataFrame:
     """(word, n) with h (16 bytes of the word's hash) and ids: each distinct word is folded once, whatever its length. Written."""
     rank = rank or rank_lookup(counted.sparkSession, name, folder)
-    rest = counted.select("word", "n", F.unhex(F.md5("word")).alias("h"), F.encode("word", "UTF-8").alias("b"))
+    rest = spread(counted).select("word", "n", F.unhex(F.md5("word")).alias("h"), F.encode("word", "UTF-8").alias("b"))
     most = sum(CUTS[0])
     done = materialize(_whole(rest.filter(F.length("b") <= most), rank).select("word", "n", "h", "ids"), "folded")
     rest = rest.filter(F.length("b") > most)
