@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.tokens import DEFAULT, FOLDER, language, token_counts
 from granary.session import materialize
 
 SEED = 60
-#: Hash ranges that each leaf's order of records is cut into, so that its prefix is found without sorting the leaf in one task.
-RANGES = 1024
+#: Records that a hash range of a leaf's order has at most, or nearly: only the range where a leaf's prefix ends is sorted.
+RANGE_ROWS = 20_000
 #: Leaves of the tree (sources times languages) that may be read to the driver.
 MAX_LEAVES = 100_000
 LEAF = ["domain", "lang", "source"]
@@ -78,14 +78,15 @@ def _sized(records: DataFrame, targets: DataFrame, key: str, text: str, name: st
     return counted.join(F.broadcast(known.select("source", "t.*")), "source")
 
 
-def _part(order: str) -> object:
-    """The hash range of a record: the upper bits of its place in the seeded order."""
-    return F.shiftright(F.col(order), 53) + F.lit(RANGES // 2)
+def _part(order: str, bits: int) -> Column:
+    """The hash range of a record, one of 2 ** bits: the upper bits of its place in the seeded order."""
+    return F.shiftright(F.col(order), 64 - bits) + F.lit(1 << (bits - 1))
 
 
 def mix(records: DataFrame, targets: DataFrame, total: float | None = None, key: str = "doc_ord", text: str = "text", seed: int = SEED, name: str = DEFAULT, folder: str = FOLDER) -> tuple[DataFrame, DataFrame]:
     """(chosen, shares). chosen: (doc_ord, source, lang, domain, n_tokens, times), one row per record that is used, with how often.
-    shares: (source, domain, target_share, max_repeats, n_records, own_tokens, mix_tokens, actual_share, most_times).
+    shares: (source, domain, target_share, max_repeats, n_records, own_tokens, mix_tokens, most_times, actual_share, largest_total), the last
+    being the largest total at which each source that has tokens meets its target.
 
     Method: the target shares flow down a tree of domains, languages and sources; what a leaf can't give (its tokens times
     max_repeats) is taken over by its siblings, and only then by other languages and domains. A leaf gives its whole set as
@@ -95,18 +96,19 @@ def mix(records: DataFrame, targets: DataFrame, total: float | None = None, key:
     Records of sources without a target, of null source or without tokens are never chosen; sources without records have
     0 in shares; a record delivered twice under another key is another record; equal hashes go by key."""
     sized = materialize(_sized(records, targets, key, text, name, folder), "sized")
-    stats = sized.groupBy(*LEAF, "share", "repeats").agg(F.sum("n_tokens").alias("tokens")).limit(MAX_LEAVES + 1).collect()
+    stats = sized.groupBy(*LEAF, "share", "repeats").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")).limit(MAX_LEAVES + 1).collect()
     if len(stats) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves")
     spark = records.sparkSession
+    bits = max(4, (max((r["rows"] for r in stats), default=0) // RANGE_ROWS).bit_length())
     rows = []
     for x in plan([r.asDict() for r in stats], total):
         whole = min(int(x["budget"] // x["tokens"]), x["repeats"]) if x["tokens"] else 0
         rows.append((x["domain"], x["lang"], x["source"], whole, float(x["budget"] - whole * x["tokens"]) if whole < x["repeats"] else 0.0))
     leaves = F.broadcast(spark.createDataFrame(rows, "domain string, lang string, source string, whole int, rest double"))
     # an epoch's order depends on its number; the last, partial one of each leaf is number `whole`
-    r = sized.filter("n_tokens > 0").join(leaves, LEAF).withColumn("_at", F.xxhash64(F.lit(seed), "whole", key)).withColumn("_range", _part("_at").cast("int"))
-    ranges = r.groupBy(*LEAF, "_range").agg(F.sum("n_tokens").alias("n"))  # at most leaves x RANGES rows
+    r = sized.filter("n_tokens > 0").join(leaves, LEAF).withColumn("_at", F.xxhash64(F.lit(seed), "whole", key)).withColumn("_range", _part("_at", bits).cast("int"))
+    ranges = r.groupBy(*LEAF, "_range").agg(F.sum("n_tokens").alias("n"))  # at most a row per leaf and range
     before = Window.partitionBy(*LEAF).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = materialize(ranges.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))), "ranges")
     ends = ranges.join(leaves, LEAF).filter("_before < rest").groupBy(*LEAF).agg(F.max("_range").alias("_end"), F.max("_before").alias("_before"))
@@ -123,4 +125,9 @@ def mix(records: DataFrame, targets: DataFrame, total: float | None = None, key:
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     shares = all_.select("source", "domain", "target_share", "max_repeats", zero("n_records"), zero("own_tokens"), zero("mix_tokens"), zero("most_times"))
     mass = used.agg(F.sum("mix_tokens")).scalar()
-    return chosen, shares.withColumn("actual_share", F.round(F.coalesce(F.col("mix_tokens") / mass, F.lit(0.0)), 9))
+    have: dict[str, float] = {}
+    for x in stats:
+        if x["share"] > 0 and x["tokens"]:
+            have[x["source"]] = have.get(x["source"], 0) + x["tokens"] * x["repeats"] / x["share"]
+    largest = F.lit(int(min(have.values(), default=0))).cast("bigint").alias("largest_total")
+    return chosen, shares.withColumn("actual_share", F.round(F.coalesce(F.col("mix_tokens") / mass, F.lit(0.0)), 9)).select("*", largest)
