@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import boilerplate, bpe, copies, defects, leaks, mixture, packing, residue, tokens
-from granary.session import materialize, table, texts
+from granary.session import scratch, table, texts
 
 
 def p1_found(spark: SparkSession, where: str) -> DataFrame:
@@ -21,21 +21,26 @@ def p1_distinct(spark: SparkSession, where: str) -> DataFrame:
 
 def p2_token_cube(spark: SparkSession, where: str) -> DataFrame:
     ledger = tokens.update(texts(spark, where, "raw_records"), table(spark, where, "source_targets"))
-    return tokens.with_totals(materialize(ledger.cube, "cube"))
+    return tokens.with_totals(ledger.cube)
 
 
 def p2_token_update(spark: SparkSession, where: str) -> DataFrame:
-    """The cube after an update from an earlier snapshot, in which a tenth of the records each was not there yet, had half of its
-    text, had another language, or stood twice, under a key that is gone now."""
-    now, targets = texts(spark, where, "raw_records"), table(spark, where, "source_targets")
+    """The cube of a ledger that is kept in a folder, after an update from an earlier snapshot, in which a tenth of the records each
+    was not there yet, had half of its text, had another language, or stood twice, under a key that is gone now."""
+    now, targets, path = texts(spark, where, "raw_records"), table(spark, where, "source_targets"), scratch(spark)
     part = F.pmod(F.xxhash64("doc_ord"), F.lit(10))
     half = F.when(part == 1, F.expr("substring(text, 1, length(text) div 2)")).otherwise(F.col("text"))
     before = now.filter(part != 0).withColumns({"text": half, "lang": F.when(part == 2, F.lit("it")).otherwise(F.col("lang"))})
     keys = F.when(part == 3, F.array(F.col("doc_ord"), -F.col("doc_ord") - 1)).otherwise(F.array("doc_ord"))
-    before = before.withColumn("doc_ord", F.explode(keys))
-    old = tokens.update(before, targets)
-    old = tokens.Ledger(old.counts, materialize(old.docs, "docs"), materialize(old.cube, "cube"))
-    return tokens.with_totals(materialize(tokens.update(now, targets, old).cube, "cube"))
+    tokens.update_at(path, before.withColumn("doc_ord", F.explode(keys)), targets)
+    return tokens.with_totals(tokens.update_at(path, now, targets).cube)
+
+
+def p2_delta(spark: SparkSession, where: str) -> DataFrame:
+    """Whether the updated cube of p2_token_update and a new one are the same, and the number of their cells."""
+    one, other = p2_token_update(spark, where).withColumn("side", F.lit(1)), p2_token_cube(spark, where).withColumn("side", F.lit(-1))
+    cells = one.unionByName(other).groupBy([c for c in one.columns if c != "side"]).agg(F.sum("side").alias("off"))
+    return cells.agg((F.max(F.abs("off")) == 0).alias("same"), F.count(F.when(F.col("level") == "cell", 1)).alias("n_cells"))
 
 
 def p3_found(spark: SparkSession, where: str) -> DataFrame:
@@ -95,7 +100,7 @@ def p9_kinds(spark: SparkSession, where: str) -> DataFrame:
     return residue.residue(texts(spark, where, "documents")).select("doc_id", F.explode("kinds").alias("kind"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_distinct, p2_token_cube, p2_token_update, p3_found, p4_pack, p4_fill, p5_found, p5_clean_texts, p6_mix, p6_shares, p7_ids, p7_round_trip, p8_found, p8_leaked_items, p9_found, p9_kinds)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_distinct, p2_token_cube, p2_token_update, p2_delta, p3_found, p4_pack, p4_fill, p5_found, p5_clean_texts, p6_mix, p6_shares, p7_ids, p7_round_trip, p8_found, p8_leaked_items, p9_found, p9_kinds)}
 
 SQL: dict[str, str] = {}
 
@@ -138,4 +143,6 @@ ns as (select distinct n from iw), dw as (select doc_id, n, unnest(list_transfor
 
 SQL["p8_found"] = f"with {_WINDOWS} select distinct doc_id, item_id from dw join iw using (n, win)"
 SQL["p8_leaked_items"] = f"with {_WINDOWS} select item_id, count(distinct doc_id) as n_docs from dw join iw using (n, win) group by item_id"
+_LANG = "coalesce(nullif(trim(lower(split_part(split_part(lang, '-', 1), '_', 1))), ''), 'und')"
+SQL["p2_delta"] = f"select true as same, count(*) as n_cells from (select distinct r.source, {_LANG} as lang, t.domain from raw_records r left join (select source, min(domain) as domain from source_targets group by source) t using (source))"
 SQL["p7_round_trip"] = "select true as same, count(*) as n_docs from documents"

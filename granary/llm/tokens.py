@@ -20,6 +20,9 @@ DEFAULT = "byte_bpe_50k"
 #: How byte_bpe_50k cuts a text into words (fixed value of that public tokenizer).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Characters of texts that a task remembers the counts of.
+REMEMBERED = 1 << 24
+
 
 def read_ranks(name: str = DEFAULT, folder: str = FOLDER) -> bytes:
     """The vocabulary file of a byte-level tokenizer: one base64 piece and its rank a line."""
@@ -53,17 +56,23 @@ class Encoder:
 
 
 def token_counts(records: DataFrame, key: str, text: str = "text", name: str = DEFAULT, folder: str = FOLDER) -> DataFrame:
-    """(key, n_tokens): tokens of each text, 0 for an empty or null one. No row leaves its partition; a text is encoded once per batch."""
+    """(key, n_tokens): tokens of each text, 0 for an empty or null one. No row leaves its partition; a text that comes again in
+    the same task is not encoded again, while the texts remembered have at most REMEMBERED characters."""
     enc = Encoder(records.sparkSession, name, folder)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        held = 0
         for batch in batches:
-            seen: dict[str, int] = {}
             out = []
             for t in batch.column(1).to_pylist():
                 n = seen.get(t)
                 if n is None:
-                    n = seen[t] = len(enc.encode(t)) if t else 0
+                    n = len(enc.encode(t)) if t else 0
+                    held += len(t or "")
+                    if held > REMEMBERED:
+                        seen, held = {}, len(t or "")
+                    seen[t] = n
                 out.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["k", "n_tokens"])
 
@@ -82,11 +91,48 @@ CELL = ["source", "lang", "domain"]
 @dataclass
 class Ledger:
     """counts: (content, tokenizer, n_tokens), one row per text ever encoded. docs: (key, content, source, lang, domain, tokenizer)
-    of the snapshot. cube: (source, lang, domain, n_docs, n_tokens, tokenizer)."""
+    of the snapshot. cube: (source, lang, domain, n_docs, n_tokens, tokenizer). fresh: the counts that the last update added.
+    All are written tables, so that they hold when the records' table is overwritten."""
 
     counts: DataFrame
     docs: DataFrame
     cube: DataFrame
+    fresh: DataFrame
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def version(spark: SparkSession, path: str) -> int:
+    """The number of the last complete version of a ledger in a folder, 0 if there is none."""
+    return spark.read.parquet(f"{path}/done").agg(F.coalesce(F.max("version"), F.lit(0))).first()[0] if _exists(spark, f"{path}/done") else 0
+
+
+def load(spark: SparkSession, path: str) -> Ledger | None:
+    """The last complete version of a ledger; None if there is none. What an update that failed has left is not read."""
+    n = version(spark, path)
+    if not n:
+        return None
+    counts = spark.read.parquet(*(f"{path}/counts/{i}" for i in range(1, n + 1)))
+    return Ledger(counts, spark.read.parquet(f"{path}/docs/{n}"), spark.read.parquet(f"{path}/cube/{n}"), spark.read.parquet(f"{path}/counts/{n}"))
+
+
+def save(ledger: Ledger, path: str) -> None:
+    """Writes a ledger as the next version of that in a folder: its fresh counts beside the older ones, its documents and its cube,
+    and last the mark that the version is complete. `ledger` must come from an update of the folder's last version."""
+    spark = ledger.cube.sparkSession
+    n = version(spark, path) + 1
+    for name, df in (("counts", ledger.fresh), ("docs", ledger.docs), ("cube", ledger.cube)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}/{n}")
+    spark.range(1).select(F.lit(n).cast("bigint").alias("version")).coalesce(1).write.mode("append").parquet(f"{path}/done")
+
+
+def update_at(path: str, records: DataFrame, targets: DataFrame, **conf: str) -> Ledger:
+    """Brings the ledger in a folder up to a new snapshot of the records, or begins one there, and returns it as it is then."""
+    save(update(records, targets, load(records.sparkSession, path), **conf), path)
+    return load(records.sparkSession, path)
 
 
 def update(records: DataFrame, targets: DataFrame, old: Ledger | None = None, key: str = "doc_ord", text: str = "text", name: str = DEFAULT, folder: str = FOLDER) -> Ledger:
@@ -101,7 +147,7 @@ def update(records: DataFrame, targets: DataFrame, old: Ledger | None = None, ke
     spark, tok = records.sparkSession, tokenizer_hash(name, folder)
     of_source = small(targets.filter("source is not null").groupBy("source").agg(F.min("domain").alias("domain")))
     rows = records.select(F.col(key).alias("key"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("content"), "source", language(F.col("lang")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    docs = rows.drop("text").join(of_source, "source", "left").select("key", "content", *CELL)
+    docs = materialize(rows.drop("text").join(of_source, "source", "left").select("key", "content", *CELL), "docs")
     one = docs.withColumn("sign", F.lit(1).cast("bigint"))
     if old is not None:
         gone = old.docs.filter(F.col("tokenizer") == tok).drop("tokenizer").withColumn("sign", F.lit(-1).cast("bigint"))
@@ -120,7 +166,7 @@ def update(records: DataFrame, targets: DataFrame, old: Ledger | None = None, ke
     change = deltas.join(counts.filter(F.col("tokenizer") == tok), "content", "left").groupBy(*CELL).agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * n).alias("n_tokens"))
     if old is not None:
         change = old.cube.filter(F.col("tokenizer") == tok).drop("tokenizer").unionByName(change).groupBy(*CELL).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    return Ledger(counts, docs.withColumn("tokenizer", F.lit(tok)), change.filter("n_docs <> 0").withColumn("tokenizer", F.lit(tok)))
+    return Ledger(counts, docs.withColumn("tokenizer", F.lit(tok)), materialize(change.filter("n_docs <> 0").withColumn("tokenizer", F.lit(tok)), "cube"), fresh)
 
 
 def with_totals(cube: DataFrame) -> DataFrame:

@@ -149,6 +149,7 @@ def test_mix_keeps_repeats_and_shares(spark, rows):
     again = mixture.mix(raw.repartition(7), targets, total=9000)[0]
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, chosen.collect()))
     assert chosen.filter(F.col("times") > 2).count() == 0
+    assert {r["largest_total"] for r in s.values()} == {min(int(s["big"]["own_tokens"] / 0.3), int(2 * s["small"]["own_tokens"] / 0.6))}
     empty_chosen, empty_shares = mixture.mix(raw.limit(0), targets)
     assert empty_chosen.count() == 0 and empty_shares.count() == 3
 
@@ -173,10 +174,27 @@ def test_updates_with_another_tokenizer(spark, rows):
 def test_a_lost_count_is_an_error(spark, rows):
     targets = rows(TARGETS, [("a", "D", 1, 0.5, 1)])
     old = tokens.update(rows(RAW, [(1, "stays", "a", "en", 0), (2, "gone", "a", "en", 0)]), targets)
-    lost = tokens.Ledger(old.counts.filter("n_tokens < 0"), old.docs, old.cube)
+    lost = tokens.Ledger(old.counts.filter("n_tokens < 0"), old.docs, old.cube, old.fresh)
     with pytest.raises(Exception, match="no count of the content"):
         tokens.update(rows(RAW, [(1, "stays", "a", "en", 0)]), targets, lost).cube.collect()
 
 
 def test_update_query_equals_a_new_ledger(spark):
-    assert actual(queries.p2_token_update(spark, DATA)) == actual(queries.p2_token_cube(spark, DATA))
+    assert actual(queries.p2_delta(spark, DATA)) == expected(queries.SQL["p2_delta"])
+
+
+def test_a_ledger_lasts(spark, rows, tmp_path):
+    """It is kept in a folder, holds when the records' table is overwritten, and leaves out what a failed update has left."""
+    path, source = f"file://{tmp_path}/ledger", f"file://{tmp_path}/records"
+    targets = rows(TARGETS, [("a", "D", 1, 0.5, 1)])
+    v1 = [(1, "one two", "a", "en", 0), (2, "gone", "b", "en", 0), (2, "gone", "b", "en", 0), (3, None, None, None, 0)]
+    v2 = [(1, "one two three", "a", "en", 0), (4, "gone", "b", "de", 0), (3, None, None, None, 0)]
+    assert tokens.load(spark, path) is None
+    rows(RAW, v1).write.parquet(source)
+    first = tokens.update_at(path, spark.read.parquet(source), targets)
+    rows(RAW, v2).write.mode("overwrite").parquet(source)
+    assert _cube(first) == _cube(tokens.update(rows(RAW, v1), targets))
+    rows(RAW, v1).select("text").write.parquet(f"{path}/docs/2")  # a failed update
+    second = tokens.update_at(path, spark.read.parquet(source), targets)
+    assert _cube(second) == _cube(tokens.update(rows(RAW, v2), targets)) and tokens.version(spark, path) == 2
+    assert [r["n_tokens"] for r in spark.read.parquet(f"{path}/counts/2").collect()] == [3]
