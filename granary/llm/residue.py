@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The words of the customary dummy text.
-LOREM = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum vestibulum pellentesque".split()
+LOREM = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum vestibulum pellentesque aenean aliquam ante arcu auctor augue bibendum blandit condimentum congue cras curabitur cursus dapibus diam dictum dignissim donec egestas eget eleifend elementum erat eros etiam euismod facilisis faucibus felis fermentum feugiat fringilla fusce gravida hendrerit iaculis imperdiet interdum justo lacinia lacus laoreet lectus libero ligula lobortis luctus maecenas massa mattis mauris metus molestie morbi nec neque nibh nisl nullam nunc odio orci ornare pharetra phasellus placerat porttitor posuere praesent proin pulvinar purus quam quisque rhoncus risus rutrum sagittis sapien scelerisque semper sodales sollicitudin suscipit suspendisse tellus tempus tincidunt tortor tristique turpis ullamcorper ultrices urna varius vehicula vel venenatis vitae vivamus viverra volutpat vulputate perspiciatis unde omnis iste natus voluptatem".split()
 
 #: Fields that forms leave open; a single word between doubtful delimiters counts only if it is one of them.
-FIELD = r"(?:first|last|full|given|family|company|client|customer|party|parties|counterparty|vendor|supplier|buyer|seller|landlord|tenant|borrower|lender|employee|employer|name|title|position|address|street|city|town|state|country|county|jurisdiction|court|zip|postcode|date|day|month|year|fiscal|effective|amount|price|purchase|sum|total|currency|number|no|case|case_no|docket|invoice|account|reference|ref|signatory|signature|email|e-mail|phone|telephone|fax|website|url|subject|description|text|content|body|placeholder|product|project|department|nombre|fecha|importe|dirección|direccion|ciudad|empresa|cliente|nom|prénom|prenom|montant|adresse|ville|société|societe|vorname|nachname|betrag|datum|anschrift|ort|firma|kunde)"
+FIELD = r"(?:first|last|full|given|family|company|client|customer|party|parties|counterparty|vendor|supplier|buyer|seller|landlord|tenant|borrower|lender|employee|employer|name|title|position|address|street|city|town|state|country|county|jurisdiction|court|zip|postcode|date|day|month|year|fiscal|effective|amount|price|purchase|sum|total|currency|number|no|case|case_no|docket|invoice|account|reference|ref|signatory|signature|email|e-mail|phone|telephone|fax|website|url|subject|description|text|content|body|placeholder|product|project|department|recipient|sender|user|username|organi[sz]ation|location|venue|deadline|salary|percentage|nombre|fecha|importe|dirección|direccion|ciudad|empresa|cliente|nom|prénom|prenom|montant|adresse|ville|société|societe|vorname|nachname|betrag|datum|anschrift|ort|firma|kunde|destinataire|expéditeur|destinatario|remitente|empfänger|absender|monto|lieu|lugar|unterschrift)"
 _NAME = rf"(?:{FIELD}(?:[ _.\-]+[\p{{L}}\d]+){{0,4}}|(?:[\p{{L}}\d]+[ _.\-]+){{0,4}}{FIELD})"
 _SNAKE = r"[\p{L}][\p{L}\d]*(?:_[\p{L}\d]+)+"
 _CAMEL = r"[\p{Lu}][\p{Ll}\d]+(?:[\p{Lu}][\p{Ll}\d]*)+"
@@ -41,7 +41,12 @@ PLACEHOLDERS = [
     rf"(?<![\w{{$#%])\{{(?:{_NAME}|{_SNAKE})\}}(?!\}})",
     rf"\[\s*{_ASK}\b[^\[\]\n]{{0,60}}\]",
     rf"\[(?!\s*{_EDITED}\b)(?:{_SNAKE}|(?-i:[A-Z][A-Z]+(?:[ _\-][A-Z]+){{0,4}})|{_NAME})\]",
-    r"\[\s*[_•●]{2,}\s*\]|\[[ \t]{2,}\]",
+    r"\[\s*[_•●▪∙○◦]+\s*\]|\[[ \t]{2,}\]",
+    r"\[%[^\[\]\n]{0,80}%\]|\{#[^{}\n]{0,80}#\}|</?#\w+[^<>\n]{0,60}>|\{[$!]\p{L}[\w.]*\}|\*\|\w+\|\*|##[\p{L}_ ]+##|(?<![\w#])#(?-i:[A-Z_]{3,})#(?!\w)|(?<!\w)__(?-i:[A-Z][A-Z_]+)__(?!\w)",
+    rf"(?<![\w$])\$(?:[a-g]|[h-n]|[o-u]|[v-z])[\p{{L}}_]+\$(?![\w$])|(?<![\w$])\$(?-i:{FIELD})\b|(?<![\w$])\$(?-i:(?:[a-g]|[h-n]|[o-u]|[v-z])[a-z]*(?:_[a-z]+)+)|%\([\p{{L}}_]+\)[sd]|(?<![\w%] )(?<![\w%])%[sd](?!\w)|(?<!\w)@(?-i:Model|ViewBag|ViewData)\.\w+",
+    r"(?:^|\s)(?:dear|hello|hi|hey|bonjour|hola|hallo|liebe[rs]?|estimad[oa]s?|cher|chère|sehr geehrte[rs]?(?: herr| frau)?) (?:\[[^\[\]\n]{1,40}\]|\{[^{}\n]{1,40}\}|<[^<>\n]{1,40}>|«[^«»\n]{1,40}»|%[\p{L}_]{1,40}%)",
+    r"\(\s*(?:please )?(?:insert|fill in|enter|type in)\s+[^()\n]{1,50}\)|\b(?:name|date|signature|signed|place|datum|unterschrift|fecha|firma|nom|lieu)\s*:?\s*\.{5,}",
+    r"(?-i:^\W*(?:TODO|FIXME|TBD|TBC|TBA|TKTK)\W*$)",
     r"@@[\p{L}_]+@@|(?<![\w@])@(?-i:[A-Z_]{2,})@(?![\w@])",
     r"%%[\p{L}_]+%%|(?<![\w%])%(?-i:[A-Z]+(?:_[A-Z]+)*)%(?![\w%])|(?<![\w%])%\p{L}+(?:_\p{L}+)+%",
     r"(?-i:\bTB[DCA][-_:][A-Z_]{2,})",
@@ -54,8 +59,8 @@ PLACEHOLDERS = [
 _MASH = r"(?:asdf\w*|qwer\w*|hjkl\w*|jkl[oöñ]?|foo|bar|baz|bla+|xxx+|abc)"
 #: A word four times in a row.
 REPEATED = r"(?<![\p{L}\d])(\p{L}{3,14})(?:[\s,]+\1(?![\p{L}\d])){3,}"
-#: Six dummy words in a row. Those of four letters or more are its hints; a run of shorter ones is a rule of its own.
-LOREM_RUN = r"(?:\b(?:" + "|".join(LOREM) + r")\b[\s,.;]*){6,}"
+#: Five dummy words in a row, of which one has five letters or more (its hints); a run of short ones is a rule of its own.
+LOREM_RUN = r"(?:\b(?:" + "|".join(LOREM) + r")\b[\s,.;]*){5,}"
 SHORT_LOREM = r"\b(?:" + "|".join(w for w in LOREM if len(w) < 4) + r")\b(?:[\s,.;]+(?:" + "|".join(w for w in LOREM if len(w) < 4) + r")\b){5}"
 FILLER = [
     LOREM_RUN,
@@ -66,7 +71,10 @@ FILLER = [
     r"\b(?:placeholder|dummy|filler) (?:text|content|copy) (?:for|here|goes|only)\b",
     r"\b(?:your|insert|add|enter|type|put|write) (?:your |the |some |a |body |main |more )*(?:text|content|description|summary|title|copy|paragraph|details?)\b[^.!?\n]{0,40}\bhere\b",
     r"\b(?:text|content|copy|description|details?) (?:goes|to go|will go|comes|to come|will appear|to be (?:added|inserted|supplied)) (?:here|later|soon)",
-    r"(?:^|[.:]\s+)\W*add (?:[\p{L}]+ ){1,6}here\b",
+    r"(?:^|[.:]\s+)\W*(?:insert|enter|add|type|write|put|place|paste) (?:[\p{L}]+ ){1,6}here\b",
+    r"^\W*lorem ipsum\b|\blorem ipsum dolor\b",
+    r"^\W*(?:a |some |the )?(?:sample|example|placeholder|dummy|test|filler|default|demo) (?:text|paragraph|content|page|post|document|title|heading|headline|copy|sentence|caption)\W*$",
+    r"\b(?:text|inhalt|beschreibung|titel|name|datum) hier (?:einfügen|eingeben|ergänzen)|\bhier (?:\p{L}+ ){0,3}(?:einfügen|eingeben|ergänzen)\b|\b(?:insérer|insérez|saisir|saisissez|ajouter|ajoutez|écrire|écrivez) (?:\p{L}+ ){0,4}ici\b|\b(?:insertar|escribir|añadir|agregar|introducir|inserte|escriba|añada|agregue|introduzca) (?:\p{L}+ ){0,4}aquí\b",
     r"^\W*(?:coming soon|(?:page )?under construction|content coming soon|bald verfügbar|demnächst|bientôt disponible|próximamente|en construction|en construcción)\W*$",
     r"\bcoming soon[.!…]|\bmore (?:content|details) coming[.!…]",
     r"\bblind ?text\b[\s,]+blind ?text\b|\bhier (?:folgt|steht|kommt) (?:später |bald |noch )?(?:der |ein |ihr )?(?:text|inhalt|blindtext)|\bplatzhalter(?:text)?\b[\s,.:]+(?:platzhalter|für|hier)",
@@ -98,6 +106,26 @@ MESSAGES = [
     r"\bseite (?:wurde )?nicht gefunden|\b(?:angeforderte|gesuchte)\w* (?:seite|eintrag|dokument|datei|ressource)\b[^.\n]{0,40}\b(?:nicht|existiert)|\bwartungsarbeiten\s*[:!]|\b(?:anwendung|seite|server|dienst|website) ist (?:zurzeit|zur zeit|derzeit|momentan|vorübergehend) nicht (?:erreichbar|verfügbar)|\bes ist ein (?:unerwarteter )?fehler aufgetreten|^\W*zugriff verweigert|\binterner serverfehler|\bihre sitzung ist abgelaufen",
     r"\bpágina no encontrada|\bel (?:documento|archivo|recurso) solicitado\b[^.\n]{0,30}\b(?:no|ya no)\b|\bno se (?:ha )?(?:encontró|encontrado|pudo encontrar) la página|\bservicio (?:temporalmente )?no disponible|\bse ha producido un error|^\W*acceso denegado\W*$|\berror (?:interno )?del servidor|\bsu sesión ha (?:caducado|expirado)",
 ]
+#: What a page or a program says of itself: the thing (it or yours), and how it fails.
+_PAGE = r"(?:web ?)?(?:page|site|url|portal)"
+_DETERMINED = rf"(?:this|that|the|your|our) (?:requested )?{_PAGE}"
+_FAILS = r"(?:(?:is|are|was)(?: not|n['’]t| no longer| currently| temporarily)+ (?:available|accessible|working|online|reachable|responding)|(?:is|was) (?:currently |temporarily )?(?:unavailable|unreachable|offline|inaccessible|overloaded)|(?:could|can)(?:not| not|n['’]t) be (?:found|loaded|displayed|reached|opened|accessed|shown)|(?:does not|doesn['’]t|no longer) exists?|(?:failed|refused) to (?:load|connect|respond|open)|has (?:been )?(?:expired|timed out|moved|removed|blocked|suspended))"
+MESSAGES += [
+    rf"^\W*(?:sorry\W+)?{_DETERMINED} (?:you (?:requested|asked for|are looking for|were looking for|want) )?{_FAILS}\b",
+    r"^\W*(?:error|fehler|erreur)\W{0,3}(?:code\W{0,2})?\d{3,5}\b",
+    r"^\W*(?:(?:we['’]re|we are|i['’]?m|so) )?(?:sorry|unfortunately|oops|whoops|uh-oh|it looks like|looks like|hmm)\b[^.!?\n]{0,30}\b(?:something|things) (?:went|has gone|have gone) wrong\b|^\W*(?:whoops|uh[- ]oh|hoppla)\b",
+    r"\b(?:critical|fatal|unexpected|unknown|internal) error on this (?:web ?)?site\b|\baccess to this (?:page|site|resource|website|url|content) (?:has been|is|was) (?:denied|blocked|forbidden|restricted)|\byou (?:are not|aren['’]t) (?:authori[sz]ed|allowed|permitted) to (?:access|view|see|open) this (?:page|site|resource|website|content|directory)",
+    r"\bthis (?:content|video|resource|listing|article|feature) (?:is|isn['’]t|is not) (?:currently |no longer |not )?(?:available|accessible) (?:in your (?:country|region|area)|at this time|right now)\b",
+    r"^\W*(?:the |this )?session (?:has )?(?:expired|timed out|time-?out)\W*$|\bserver encountered (?:an?|some)\b|\bunable to (?:complete|process) your request\b|\bthe request could not be satisfied\b|^\W*(?:sorry\W+)?your request could not be (?:processed|completed)\b",
+    r"\bno such file or directory\b|\bundefined (?:variable|index|offset|function|method|constant|property)\b\W{0,3}[\w$]|\bcannot read propert(?:y|ies)\b|\bmaximum execution time\b|\ballowed memory size\b|\bcore dumped\b|\bfailed to open stream\b|\bheaders already sent\b|\bcall to undefined\b|\bindex out of (?:range|bounds)\b|\beconnrefused\b|\betimedout\b|\benoent\b|\bnet::err",
+    r"(?<!\w)#(?:ref|value|name|div/0|num|null)[!?]",
+    r"\b(?:your|this) browser (?:is|version is) (?:out of date|outdated|not supported|no longer supported|unsupported)|\bunsupported browser\b|\bplease (?:update|upgrade) your browser|\byour connection is not (?:private|secure)\b|\bredirected you too many times\b",
+    r"^\W*(?:loading|redirecting|please wait)\W*$|\b(?:web ?)?(?:site|page|portal|service|server|system)\b[^.!?\n]{0,20}\b(?:is|are) (?:currently )?(?:under|undergoing|in) (?:scheduled |routine |planned |urgent )?maintenance\b|^\W*we(?:['’]ll| will) be (?:right )?back (?:soon|shortly|online)\b",
+    r"^\W*this (?:account|domain|site) (?:has been|is) (?:suspended|parked|disabled)\b|^\W*invalid (?:request|token|session|url|csrf token|parameter)s?\W*$",
+    r"\b(?:diese|die(?: \p{L}+)?) (?:web)?seite\b[^.\n]{0,40}\b(?:nicht (?:gefunden|verfügbar|erreichbar|geladen|angezeigt)|existiert nicht)|\betwas ist schief ?(?:gelaufen|gegangen)|\bsitzung ist abgelaufen|^\W*zu viele anfragen|\bbitte versuchen sie es (?:später|erneut|noch einmal)|\bserver (?:ist überlastet|antwortet nicht)",
+    r"\b(?:cette|la) page (?:demandée|que vous (?:cherchez|recherchez|demandez)|n['’]existe (?:pas|plus)|est introuvable|n['’]est (?:pas|plus) (?:disponible|accessible))|\bquelque chose s['’]est mal passé|^\W*trop de requêtes|\bveuillez réessayer|\bserveur (?:est (?:indisponible|surchargé)|ne répond pas)|\berreur interne\W*$|\bvous n['’](?:êtes pas autorisé|avez pas (?:accès|la permission|l['’]autorisation)) (?:à|d['’]) (?:accéder|afficher|voir)",
+    r"\b(?:esta|la) página (?:solicitada|que (?:busca|buscas|está buscando|solicitó)|no existe|ya no existe|no está disponible|no se (?:encuentra|encontró))|\balgo salió mal|^\W*demasiadas solicitudes|\b(?:inténtelo|inténtalo) (?:de nuevo|más tarde)|\bvuelva a intentarlo|\bservidor (?:no responde|está saturado)|\bno tiene permiso para (?:acceder|ver)",
+]
 _TECH = r"(?:java ?script|scripts?|scripting|cookies)"
 SCRIPTS = [
     rf"\b(?:please |must |need to |have to |to (?:use|view|read|see|continue)[^.\n]{{0,40}}, )(?:first )?(?:enable|activate|turn on|switch on|allow|accept|re-?enable)\b[^.!?\n]{{0,30}}\b{_TECH}\b",
@@ -109,6 +137,12 @@ SCRIPTS = [
     r"\b(?:aktivieren sie|schalten sie|erlauben sie|akzeptieren sie)\b[^.\n]{0,20}\b(?:java ?script|skripte|scripts|cookies)|\b(?:java ?script|cookies) (?:ist|sind|muss|müssen)\b[^.\n]{0,20}\b(?:deaktiviert|aktiviert|erforderlich|notwendig)|\bbenötigt (?:java ?script|cookies)",
     r"\b(?:active|habilite|permita|acepte|debe (?:activar|habilitar)|es necesario (?:activar|habilitar))\b[^.\n]{0,20}\b(?:java ?script|scripts|cookies)|\b(?:java ?script|cookies) (?:está|están|debe|deben)\b[^.\n]{0,20}\b(?:desactivad[oa]s?|habilitad[oa]s?|activad[oa]s?)|\bnecesita (?:java ?script|cookies)|\brequiere (?:java ?script|cookies)",
 ]
+SCRIPTS += [
+    rf"\b(?:turn|switch) {_TECH} (?:back )?on\b|^\W*{_TECH} (?:is |are )?(?:required|disabled|not enabled|not supported|blocked|turned off|switched off|needed)\W*$|\bnoscript\b",
+    rf"\bbitte\b[^.\n]{{0,40}}\b(?:{_TECH}|skripte)\b[^.\n]{{0,30}}\b(?:aktivieren|einschalten|zulassen|erlauben|akzeptieren|freigeben)|^\W*{_TECH} (?:aktivieren|einschalten|zulassen|erlauben|akzeptieren)\b|\b(?:ihr|dein) browser\b[^.\n]{{0,50}}\b(?:{_TECH}|skripte)\b",
+    rf"\bvotre navigateur\b[^.\n]{{0,60}}\b{_TECH}\b|\b(?:autorisez|acceptez|autoriser|accepter) (?:le |les )?(?:java ?script|scripts|cookies)|\b(?:nécessite|requiert|a besoin de|exige) (?:le |les |de |des |que )?(?:java ?script|scripts|cookies)",
+    rf"\b(?:su|tu) navegador\b[^.\n]{{0,60}}\b{_TECH}\b|\b(?:activar|active|habilitar|permitir|aceptar|acepte) (?:el |los |las )?(?:java ?script|scripts|cookies)|\b(?:requiere|necesita|exige) (?:el |los |que )?(?:java ?script|scripts|cookies)",
+]
 
 #: Prose that reports a message or names a word: a speaker, a duty or a quotation around it, never the words of the hit itself.
 #: The first kind also holds for placeholders, on both sides of the hit.
@@ -128,8 +162,8 @@ _MOST = 400
 
 
 def _cost(hints: set[str]) -> float:
-    """About how often one of the strings comes in a text."""
-    return sum(prod(0.06 if c.isalnum() else 0.2 if c == " " else 0.01 for c in h) for h in hints)
+    """About how often one of the strings comes in a text. Short strings of letters are parts of many words."""
+    return sum(max(prod(0.06 if c.isalnum() else 0.2 if c in " $%€" else 0.01 for c in h), 0.3 ** len(h) if h.replace(" ", "").isalnum() else 0) for h in hints)
 
 
 def _cheapest(*sets: set[str] | None) -> set[str] | None:
@@ -233,7 +267,7 @@ class Rules:
             for pattern in (x for r in rules for x in alternatives(r)):
                 n = len(self.rules)
                 self.rules.append((kind, regex.compile("(?im)" + pattern)))
-                of = None if pattern in (REPEATED, SHORT_LOREM) else {w for w in LOREM if len(w) > 3} if pattern == LOREM_RUN else hints(pattern)
+                of = None if pattern in (REPEATED, SHORT_LOREM) else {w for w in LOREM if len(w) > 4} if pattern == LOREM_RUN else hints(pattern)
                 if of is None:
                     (self.again if pattern == REPEATED else self.always).append(n)
                 for h in of or ():
