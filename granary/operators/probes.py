@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.columns import let
 from granary.functions.text import lexical_tokens
 from granary.operators.ranges import ranked
 
@@ -39,16 +40,23 @@ def frequency_buckets(counts: DataFrame) -> DataFrame:
     return r.groupBy(bucket(F.col("rank")).alias("bucket")).agg(F.count("*").alias("n_types"), F.sum("n").alias("n_tokens"), F.round(F.sum(F.col("n") * F.ln("rank")) / F.sum("n"), 9).alias("mean_log_rank"))
 
 
-def term_contexts(placed: DataFrame, terms: list[str], per_term: int, margin: int, text: str = "text") -> DataFrame:
+def term_contexts(docs: DataFrame, placed: DataFrame, terms: list[str], per_term: int, margin: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(term, rn, doc_id, pos): the first `per_term` places of each term in the token stream that have `margin` tokens on both sides.
 
-    Only texts with a term are cut into tokens; of each document and term at most `per_term` places are ranked."""
+    docs: (key, text); placed: their token_start and n_tokens. Terms are found where the texts lie; of each document at most
+    `per_term` places of a term, and no text, go on to the ranking, where each part of the order first keeps its own
+    `per_term`, so that a frequent term is ranked nowhere as a whole."""
     total = placed.agg(F.max(F.col("token_start") + F.col("n_tokens"))).first()[0] or 0
     tok = lexical_tokens(F.col(text))
-    hit = placed.filter(F.arrays_overlap(tok, F.array(*map(F.lit, terms)))).select("doc_id", "token_start", F.posexplode(tok).alias("i", "term")).filter(F.col("term").isin(terms))
-    hit = hit.withColumn("pos", F.col("token_start") + 1 + F.col("i")).filter(F.col("pos").between(margin, total - margin - 1))
-    own = hit.withColumn("_d", F.row_number().over(Window.partitionBy("term", "doc_id").orderBy("pos"))).filter(F.col("_d") <= per_term)
-    return own.withColumn("rn", F.row_number().over(Window.partitionBy("term").orderBy("pos"))).filter(F.col("rn") <= per_term).select("term", "rn", "doc_id", "pos")
+    found = let(tok, lambda t: F.filter(F.transform(t, lambda x, i: F.struct(x.alias("term"), i.alias("i"))), lambda s: s["term"].isin(terms)))
+    hit = docs.select(key, found.alias("f")).filter(F.size("f") > 0).join(placed.select(key, "token_start"), key)
+    place = F.transform("f", lambda s: F.struct(s["term"].alias("term"), (F.col("token_start") + 1 + s["i"]).alias("pos")))
+    inside = F.filter(place, lambda s: s["pos"].between(margin, total - margin - 1))
+    own = F.flatten(F.transform(F.array(*map(F.lit, terms)), lambda t: F.slice(F.filter(inside, lambda s: s["term"] == t), 1, per_term)))
+    at = hit.select(F.col(key).alias("doc_id"), F.explode(own).alias("p")).select("doc_id", "p.*").withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(256)))
+    for by in (["term", "_part"], ["term"]):
+        at = at.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy("pos"))).filter(F.col("rn") <= per_term)
+    return at.select("term", "rn", "doc_id", "pos")
 
 
 def weighted_loss(rows: DataFrame, by: list[str]) -> DataFrame:

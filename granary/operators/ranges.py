@@ -34,6 +34,6 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank", parts: int |
 
 def rank_within(df: DataFrame, by: str, order: list[Column], name: str = "rank", parts: int | None = None) -> DataFrame:
     """`df` with the rows of each `by` numbered from 1 in `order`; a group with a third of all rows is cut into ranges like the rest. Rows with a null `by` are left out."""
-    r = ranked(df.filter(F.col(by).isNotNull()), [F.col(by), *order], "_rank", parts)
+    r = materialize(ranked(df.filter(F.col(by).isNotNull()), [F.col(by), *order], "_rank", parts), "ranked")
     starts = r.groupBy(by).agg((F.min("_rank") - 1).alias("_start"))
     return r.join(small(starts), by).withColumn(name, F.col("_rank") - F.col("_start")).drop("_rank", "_start")

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.columns import let
-from granary.functions.text import head_key, order_key, pieces, snap_head, snap_tail, torn, without_controls
+from granary.functions.text import order_key, pieces, snap_head, snap_tail, torn, without_controls
 from granary.operators.ranges import ranked, running
-from granary.session import small
+from granary.session import materialize, small
 
 
 def shuffled(df: DataFrame, seed: int, *key: str) -> DataFrame:
@@ -44,18 +44,18 @@ def clean_chunk(c: Column) -> Column:
     return let(let(c, lambda x: snap_head(x)), lambda h: let(snap_tail(h), lambda s: F.when(~torn(s), F.trim(without_controls(s)))))
 
 
-def distinct_heads(chunks: DataFrame, order: list[str], chunk: str = "chunk", size: int = 512) -> DataFrame:
-    """Of chunks with the same first characters the first by `order`."""
-    key = chunks.withColumn("_head", head_key(F.col(chunk), size))
-    first = key.groupBy("_head").agg(F.min(F.struct(*order)).alias("_first")).select("_first.*")
+def distinct_heads(chunks: DataFrame, order: list[str], head: str = "head") -> DataFrame:
+    """Of chunks with the same head (a key of their first characters) the first by `order`. The texts need not be there."""
+    first = chunks.groupBy(head).agg(F.min(F.struct(*order)).alias("_first")).select("_first.*")
     return chunks.join(first, order, "left_semi")
 
 
 def passage(c: Column, key: Column, seed: int, size: int) -> tuple[Column, Column]:
-    """(start, passage): a passage of `size` characters from a place that the key's hash chooses; a shorter text as a whole, from 0."""
+    """(start, passage): a passage of `size` characters from a place that the key's hash chooses; a shorter text as a whole, from 0. One that begins within the text is snapped to its first space."""
     span = F.greatest(F.length(c) - size, F.lit(0)) + 1
     start = F.pmod(F.conv(F.substring(order_key(seed, key), 1, 8), 16, 10).cast("bigint"), span.cast("bigint"))
-    return start, F.substring(c, (start + 1).cast("int"), F.lit(size))
+    cut = F.substring(c, (start + 1).cast("int"), F.lit(size))
+    return start, F.when(start > 0, snap_head(cut)).otherwise(cut)
 
 
 def by_length(df: DataFrame, seed: int, n: int, key: str, text: str = "text") -> DataFrame:
@@ -81,11 +81,29 @@ def round_robin(docs: DataFrame, by: str, order: list[str], size: Column, per_so
     """Rows in turn from each source, until a source has given `per_source` and all together `total`; rows that cross a limit are kept.
 
     Adds `turn` (a row's number within its source) and `before` (the size given before it). Numbers and sums within a source
-    are those over the order of all sources less what stands before the source, so that a large one is cut into ranges."""
-    run = running(docs.filter(F.col(by).isNotNull()), [F.col(by), *(F.col(o) for o in order)], {"turn": F.lit(1).cast("bigint"), "before": size})
+    are those over the order of all sources less what stands before the source, so that a large one is cut into ranges. Only
+    the columns of the order, which must be unique, and sizes are summed; the rows that are taken are then read by them."""
+    keys = [by, *order]
+    sized = docs.filter(F.col(by).isNotNull()).select(*keys, size.alias("_size"))
+    run = materialize(running(sized, [F.col(k) for k in keys], {"turn": F.lit(1).cast("bigint"), "before": F.col("_size")}), "run")
     starts = small(run.groupBy(by).agg(F.min("turn").alias("_t"), F.min("before").alias("_b")))
     own = run.join(starts, by).withColumn("turn", F.col("turn") - F.col("_t") + 1).filter(F.col("before") - F.col("_b") < per_source).drop("_t", "_b")
-    return running(own, [F.col("turn"), F.col(by), *(F.col(o) for o in order)], {"before": size}).filter(F.col("before") < total)
+    own = running(own, [F.col("turn"), *(F.col(k) for k in keys)], {"before": F.col("_size")}).filter(F.col("before") < total).drop("_size")
+    return docs.join(small(materialize(own, "taken")), keys)
+
+
+def masked_positions(tokens: Column, seed: int, epoch: int, per_mille: int, key: Column) -> Column:
+    """For each position of a row's tokens whether it is masked in that epoch, about `per_mille` of 1,000, by hash of seed, epoch, key and position."""
+    return F.transform(tokens, lambda _, i: F.pmod(F.conv(F.substring(order_key(seed, F.lit(epoch), key, i), 1, 8), 16, 10).cast("bigint"), F.lit(1000)) < per_mille)
+
+
+def strided_tokens(placed: DataFrame, tokens: Column, every: int, most: int | None = None) -> DataFrame:
+    """(token_ord, token): every `every`-th token of a stream whose rows know the place of their first token (`token_start`), at
+    most `most` of them. Each row picks its own; nothing is sorted."""
+    first = F.pmod(F.lit(every) - F.pmod(F.col("token_start"), F.lit(every)), F.lit(every))
+    own = F.when(F.size(tokens) > first, F.transform(F.sequence(first.cast("int"), F.size(tokens) - 1, F.lit(every)), lambda i: F.struct((F.col("token_start") + i).alias("token_ord"), F.get(tokens, i).alias("token"))))
+    out = placed.select(F.explode(own).alias("x")).select("x.*")
+    return out if most is None else out.filter(F.col("token_ord") < most * every)
 
 
 def masked(positions: DataFrame, seed: int, per_mille: int, *key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions import text as T
 from granary.operators import dedup, ingest, pack, probes, ranges, sampling
 from granary.plans.registry import DOCUMENTS, SPACE, collapsed, documents, query, runs_key, tokens
-from granary.session import materialize, table, texts
+from granary.session import materialize, small, table, texts
 
 ORDER = ["src_rank", "doc_id"]
 _PARAGRAPH = r"\n[\s\x0B]*\n"
@@ -89,7 +89,7 @@ f as (select *, coalesce(sum(n) over (partition by source order by doc_id rows b
 )
 def ingest_two_sources(spark: SparkSession, where: str) -> DataFrame:
     docs = ingest.long_enough(texts(spark, where, "documents")).select("doc_id", "source", F.length("text").cast("bigint").alias("n"))
-    halves = ingest.union_of_halves(docs.filter("source = 'web_essays'"), docs.filter("source = 'web_forums'"), [F.col("doc_id")], F.col("n"), 60_000)
+    halves = ingest.union_of_halves(docs.filter("source = 'web_essays'"), docs.filter("source = 'web_forums'"), ["doc_id"], F.col("n"), 60_000)
     return halves.select("doc_id", "source", "before")
 
 
@@ -104,7 +104,8 @@ def filing_texts(spark: SparkSession, where: str) -> DataFrame:
 
 @query(
     """select source, count(*) as n_docs, count(text) as n_texts, cast(coalesce(sum(length(text)), 0) as bigint) as n_chars, cast(coalesce(sum(strlen(text)), 0) as bigint) as n_bytes,
-cast(coalesce(max(length(text)), 0) as bigint) as longest, cast(grouping(source) as integer) as is_total from documents group by rollup (source)"""
+cast(coalesce(max(length(text)), 0) as bigint) as longest, cast(grouping(source) as integer) as is_total,
+round(coalesce(sum(length(text)), 0) / greatest((select sum(length(text)) from documents), 1)::double, 9) as share from documents group by rollup (source)"""
 )
 def corpus_stats(spark: SparkSession, where: str) -> DataFrame:
     return ingest.corpus_stats(texts(spark, where, "documents"))
@@ -137,10 +138,9 @@ t as (select *, case when instr(reverse(c1), ' ') between 1 and 40 then substr(c
 x as (select doc_id, domain, window_no, trim(regexp_replace(c2, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}]', '', 'g')) as chunk from t where not (regexp_matches(c2, '\\\\[nrtu"]') or contains(c2, chr(65533))))"""
 
 
-def _chunks(spark: SparkSession, where: str) -> DataFrame:
-    docs = texts(spark, where, "documents").filter("domain is not null").select("doc_id", "domain", "text")
-    w = sampling.windows(docs, 600).withColumn("window_no", F.col("window_no").cast("bigint")).withColumn("chunk", sampling.clean_chunk(F.col("chunk")))
-    return sampling.distinct_heads(materialize(w.filter(F.length("chunk") >= 400), "chunks"), ["doc_id", "window_no"])
+def _windows(docs: DataFrame) -> DataFrame:
+    w = sampling.windows(docs.select("doc_id", "domain", "text"), 600)
+    return w.select("doc_id", "domain", F.col("window_no").cast("bigint").alias("window_no"), sampling.clean_chunk(F.col("chunk")).alias("chunk")).filter(F.length("chunk") >= 400)
 
 
 @query(
@@ -149,12 +149,18 @@ q as (select *, row_number() over (partition by domain order by md5('7|' || doc_
 select doc_id, domain, window_no, chunk from q where rn <= case domain {" ".join(f"when '{k}' then {v}" for k, v in _QUOTA.items())} else 0 end"""
 )
 def chunk_sample_stratified(spark: SparkSession, where: str) -> DataFrame:
-    return sampling.quota(_chunks(spark, where), "domain", _QUOTA, 7, "doc_id", "window_no").select("doc_id", "domain", "window_no", "chunk")
+    """Windows are chosen by their numbers and the keys of their heads; only the chosen ones' texts are read again."""
+    docs, order = texts(spark, where, "documents").filter("domain is not null"), ["doc_id", "window_no"]
+    heads = materialize(_windows(docs).select("doc_id", "domain", "window_no", T.head_key(F.col("chunk")).alias("head")), "heads")
+    chosen = materialize(sampling.quota(sampling.distinct_heads(heads, order), "domain", _QUOTA, 7, *order).select(*order), "chosen")
+    own = docs.join(small(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    return _windows(own).join(small(chosen), order).select("doc_id", "domain", "window_no", "chunk")
 
 
 @query(
     """with s as (select doc_id, text, cast(('0x' || substr(md5('9|' || doc_id), 1, 8)) as bigint) as h from documents where text is not null),
-p as (select doc_id, text, h % (greatest(length(text) - 500, 0) + 1) as start from s) select doc_id, start, substr(text, start + 1, 500) as passage from p"""
+p as (select doc_id, h % (greatest(length(text) - 500, 0) + 1) as start, substr(text, start + 1, 500) as cut from s)
+select doc_id, start, case when start > 0 and instr(cut, ' ') between 1 and 40 then substr(cut, instr(cut, ' ') + 1) else cut end as passage from p"""
 )
 def passage_sample_with_offset(spark: SparkSession, where: str) -> DataFrame:
     start, passage = sampling.passage(F.col("text"), F.col("doc_id"), 9, 500)
@@ -219,8 +225,12 @@ _STREAM = f"""with s as (select doc_id, source, coalesce(source, '') as src, tex
 o as (select *, coalesce(sum(n_tokens) over (order by src, doc_id rows between unbounded preceding and 1 preceding), 0) as token_start from s)"""
 
 
+def _docs(spark: SparkSession, where: str) -> DataFrame:
+    return texts(spark, where, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("src"), "text")
+
+
 def _stream(spark: SparkSession, where: str) -> DataFrame:
-    return pack.stream(texts(spark, where, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("src"), "text"), [F.col("src"), F.col("doc_id")])
+    return pack.stream(_docs(spark, where), "doc_id", ["src", "doc_id"])
 
 
 @query(_STREAM + " select doc_id, cast(n_tokens as bigint) as n_tokens, cast(token_start as bigint) as token_start from o")
@@ -234,8 +244,7 @@ def token_offsets(spark: SparkSession, where: str) -> DataFrame:
 select cast(pos // 512 as bigint) as block_id, array_to_string(list(token order by pos), ' ') as tokens from t group by 1 having count(*) = 512"""
 )
 def pack_blocks(spark: SparkSession, where: str) -> DataFrame:
-    docs = texts(spark, where, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("src"), "text")
-    return pack.blocks(docs, [F.col("src"), F.col("doc_id")], 512).select("block_id", F.array_join("tokens", " ").alias("tokens"))
+    return pack.blocks(_docs(spark, where), "doc_id", ["src", "doc_id"], 512).select("block_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query(
@@ -269,7 +278,7 @@ m as (select max(token_start + n_tokens) as total from o), h as (select token as
 r as (select *, row_number() over (partition by term order by pos) as rn from h) select term, rn, doc_id, cast(pos as bigint) as pos from r where rn <= 20"""
 )
 def domain_term_contexts(spark: SparkSession, where: str) -> DataFrame:
-    return probes.term_contexts(_stream(spark, where), _TERMS, 20, 16).select("term", F.col("rn").cast("bigint").alias("rn"), "doc_id", "pos")
+    return probes.term_contexts(_docs(spark, where), _stream(spark, where), _TERMS, 20, 16).select("term", F.col("rn").cast("bigint").alias("rn"), "doc_id", "pos")
 
 
 @query(

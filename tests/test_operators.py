@@ -71,7 +71,7 @@ def test_thresholds_of_length(spark, rows):
 
 
 def test_budget_keeps_the_row_that_crosses(spark, rows):
-    got = ingest.prefix_budget(rows("i int, n bigint", [(i, 10) for i in range(10)]), [F.col("i")], F.col("n"), 25).collect()
+    got = ingest.prefix_budget(rows("i int, n bigint", [(i, 10) for i in range(10)]), ["i"], F.col("n"), 25).collect()
     assert sorted(r["i"] for r in got) == [0, 1, 2]
 
 
@@ -101,9 +101,9 @@ def test_blocks_equal_the_stream(spark, rows):
     for r in sorted(docs.collect()):
         if r["text"] is not None:
             stream += ["<s>", *r["text"].split(), "</s>"]
-    got = [t for r in sorted(pack.blocks(docs, [F.col("doc_id")], 16).collect()) for t in r["tokens"]]
+    got = [t for r in sorted(pack.blocks(docs, "doc_id", ["doc_id"], 16).collect()) for t in r["tokens"]]
     assert got == stream[: len(stream) // 16 * 16]
-    m = pack.meta(pack.stream(docs, [F.col("doc_id")]), 16, 1000, 7).first()
+    m = pack.meta(pack.stream(docs, "doc_id", ["doc_id"]), 16, 1000, 7).first()
     assert m["train_tokens"] == 0 and m["val_blocks"] == len(stream) // 16
 
 
