@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +19,10 @@ from granary.functions.text import lexical_tokens, order_key, space_tokens
 from granary.session import materialize, small
 
 K1, B = 1.5, 0.75
-#: Queries in a block.
-BLOCK = 1024
+#: Queries in a block, some 300 bytes of index each, and pairs (passage, query) that are added up at a time.
+BLOCK, CELLS = 8192, 1 << 21
+#: Passages of a source that are looked at first to fill up a query's negatives.
+POOL = 64
 
 
 def blocks_of(queries: DataFrame, key: str, size: int = BLOCK) -> Iterator[list]:
@@ -37,49 +40,64 @@ def _keep_best(hits: list[tuple[np.ndarray, ...]], k: int) -> list[tuple[np.ndar
     return [(q[place < k], d[place < k], s[place < k])]
 
 
-def scan(passages: DataFrame, queries: list[tuple[int, str, dict[str, float]]], k: int, averages: dict[str, float], banned: bool = False) -> DataFrame:
+def scan(passages: DataFrame, queries: list[tuple[int, str, dict[str, float]]], k: int, averages: dict[str, float], places: dict[tuple[str, str], list[int]] | None = None) -> DataFrame:
     """(query, doc, score): the k best passages of each query within its partition.
 
-    passages: (source, doc, tokens[, banned]), `banned` being the places of queries that may not get the passage. queries:
-    (key, source, weight of each term); only scores over 0 count, rounded to 9 digits, ties by doc."""
-    index: dict[str, dict[str, tuple[np.ndarray, np.ndarray]]] = {}
+    passages: (source, doc, tokens[, banned]), `banned` being labels whose queries may not get the passage, of which `places`
+    has the queries by source and label. queries: (key, source, weight of each term); only scores over 0 count, rounded to 9
+    digits, ties by doc. Each batch is scored source by source: its terms are joined with the queries' postings as arrays, and
+    the products added up by (passage, query)."""
+    of_source: dict[str, dict[str, list]] = {}
     for i, (_, source, weights) in enumerate(queries):
         for term, w in weights.items():
-            index.setdefault(source, {}).setdefault(term, []).append((i, w))
-    for terms in index.values():
-        for term, found in terms.items():
-            terms[term] = (np.array([i for i, _ in found]), np.array([w for _, w in found]))
+            of_source.setdefault(source, {}).setdefault(term, []).append((i, w))
+    index = {}
+    for source, terms in of_source.items():
+        n = np.array([len(x) for x in terms.values()])
+        index[source] = (pa.array(list(terms)), np.cumsum(n) - n, n, np.array([i for x in terms.values() for i, _ in x]), np.array([w for x in terms.values() for _, w in x]))
     keys = np.array([q for q, _, _ in queries], np.int64)
-    shared = passages.sparkSession.sparkContext.broadcast((index, averages, keys))
+    shared = passages.sparkSession.sparkContext.broadcast((index, averages, keys, places))
+
+    def of_batch(b: pa.RecordBatch, index: dict, averages: dict, keys: np.ndarray, places: dict | None) -> Iterator[tuple[np.ndarray, ...]]:
+        docs, tokens = b.column("doc").to_numpy(), b.column("tokens")
+        length = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0))
+        sources = b.column("source").to_pylist()
+        start = np.cumsum(length) - length
+        flat = tokens.flatten()
+        for source in index.keys() & set(sources):
+            terms, first, n, at, weight = index[source]
+            own = np.flatnonzero(np.array([s == source for s in sources]) & (length > 0))
+            for rows in np.array_split(own, max(1, -(-len(own) * len(keys) // CELLS))):
+                row = np.repeat(np.arange(len(rows)), length[rows])
+                take = np.repeat(start[rows] - np.cumsum(length[rows]) + length[rows], length[rows]) + np.arange(len(row))
+                term = pc.fill_null(pc.index_in(flat.take(pa.array(take)), terms), -1).to_numpy()
+                found, tf = np.unique(row[term >= 0] * len(terms) + term[term >= 0], return_counts=True)
+                row, term = found // len(terms), found % len(terms)
+                norm = K1 * (1 - B + B * length[rows][row] / averages[source])
+                m = n[term]
+                post = np.repeat(first[term] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                total = np.bincount(np.repeat(row, m) * len(keys) + at[post], np.repeat(tf * (K1 + 1) / (tf + norm), m) * weight[post], len(rows) * len(keys)).reshape(len(rows), len(keys))
+                if places:
+                    for i, labels in enumerate(b.column("banned").take(pa.array(rows)).to_pylist()):
+                        for label in labels or ():
+                            total[i, places.get((source, label), [])] = 0
+                total = np.round(total, 9)
+                i, q = np.nonzero(total > 0)
+                yield q, docs[rows[i]], total[i, q]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, averages, keys = shared.value
         hits: list[tuple[np.ndarray, ...]] = []
         held = 0
         for b in batches:
-            docs = b.column("doc").to_numpy()
-            not_for = b.column("banned").to_pylist() if banned else None
-            for n, (source, tokens) in enumerate(zip(b.column("source").to_pylist(), b.column("tokens").to_pylist())):
-                terms = index.get(source)
-                if not terms or not tokens:
-                    continue
-                total = np.zeros(len(keys))
-                norm = K1 * (1 - B + B * len(tokens) / averages[source])
-                for term, tf in Counter(tokens).items():
-                    if term in terms:
-                        at, w = terms[term]
-                        total[at] += w * (tf * (K1 + 1) / (tf + norm))
-                if not_for and not_for[n]:
-                    total[not_for[n]] = 0
-                at = np.flatnonzero(np.round(total, 9) > 0)
-                hits.append((at, np.full(len(at), docs[n]), np.round(total[at], 9)))
-                held += len(at)
+            for hit in of_batch(b, *shared.value):
+                hits.append(hit)
+                held += len(hit[0])
                 if held > 500_000:
                     hits = _keep_best(hits, k)
                     held = len(hits[0][0])
         if hits:
             q, d, s = _keep_best(hits, k)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[q]), pa.array(d), pa.array(s)], names=["query", "doc", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value[2][q]), pa.array(d), pa.array(s)], names=["query", "doc", "score"])
 
     return passages.mapInArrow(score, "query bigint, doc bigint, score double")
 
@@ -102,12 +120,12 @@ class Corpus:
         self.n = {r["source"]: r["n"] for r in stats}
         self.avg = {r["source"]: r["avg"] or 1.0 for r in stats}
 
-    def df(self, asked: DataFrame | None = None) -> DataFrame:
-        """(source, term, df), of the terms in `asked` (source, term) if it is given."""
-        terms = self.rows.select("source", F.explode(F.array_distinct("tokens")).alias("term"))
-        if asked is not None:
-            terms = terms.join(small(asked.distinct()), ["source", "term"], "left_semi")
-        return terms.groupBy("source", "term").agg(F.count("*").alias("df"))
+        self.dfs = materialize(self.rows.select("source", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("source", "term").agg(F.count("*").alias("df")), "df")
+
+    def df(self, block: list) -> dict[tuple[str, str], int]:
+        """How many passages of its source have a term, for the terms of one block of queries. The counts of all terms are written once."""
+        asked = self.rows.sparkSession.createDataFrame(sorted({(q["source"], t) for q in block for t in q["tokens"]}), "source string, term string")
+        return {(r["source"], r["term"]): r["df"] for r in self.dfs.join(small(asked), ["source", "term"]).collect()}
 
 
 def weigh(block: list, corpus: Corpus, dfs: dict[tuple[str, str], int], repeated: bool = False, floor: dict[str, float] | None = None) -> list[tuple[int, str, dict[str, float]]]:
@@ -130,75 +148,102 @@ def query_rows(pairs: DataFrame, key: str = "id", text: str = "anchor", every: i
     return pairs.filter((F.col(key) % every == 0) & F.col(text).isNotNull() & F.col("source").isNotNull()).select(F.col(key).alias("query"), "source", "label", tokens(F.col(text)).alias("tokens"))
 
 
-def _dfs(corpus: Corpus, block: list) -> dict[tuple[str, str], int]:
-    spark = corpus.rows.sparkSession
-    asked = spark.createDataFrame(sorted({(q["source"], t) for q in block for t in q["tokens"]}), "source string, term string")
-    return {(r["source"], r["term"]): r["df"] for r in corpus.df(asked).collect()}  # the terms of one block
-
-
 def top(pairs: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """(query, rank, doc, score): for each stated anchor the k positives of its source with the highest BM25. Queries that share no term with their source have no row."""
     corpus, queries = Corpus(pairs), query_rows(pairs, every=every)
-    found = [scan(corpus.rows.select("source", "doc", "tokens"), weigh(b, corpus, _dfs(corpus, b)), k, corpus.avg) for b in blocks_of(queries, "query") if b]
+    found = [scan(corpus.rows.select("source", "doc", "tokens"), weigh(b, corpus, corpus.df(b)), k, corpus.avg) for b in blocks_of(queries, "query") if b]
     return best(_union(found, pairs), k)
 
 
 def okapi(pairs: DataFrame, k: int = 10, every: int = 100, epsilon: float = 0.25) -> DataFrame:
     """(query, rank, doc, score) under the Okapi variant: split at white space, repeated query terms count, and negative idf is raised to epsilon times the mean idf of its source."""
     corpus, queries = Corpus(pairs, tokens=space_tokens), query_rows(pairs, every=every, tokens=space_tokens)
-    df = materialize(corpus.df(), "df")
+    df = corpus.dfs
     n = F.element_at(F.create_map(*(F.lit(x) for kv in corpus.n.items() for x in kv)), F.col("source")) if corpus.n else F.lit(0)
     mean = df.groupBy("source").agg(F.avg(F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("m")).collect()
     floor = {r["source"]: epsilon * r["m"] for r in mean}
     found = []
     for b in blocks_of(queries, "query"):
         if b:
-            asked = pairs.sparkSession.createDataFrame(sorted({(q["source"], t) for q in b for t in q["tokens"]}), "source string, term string")
-            dfs = {(r["source"], r["term"]): r["df"] for r in df.join(small(asked), ["source", "term"]).collect()}
-            found.append(scan(corpus.rows.select("source", "doc", "tokens"), weigh(b, corpus, dfs, True, floor), k, corpus.avg))
+            found.append(scan(corpus.rows.select("source", "doc", "tokens"), weigh(b, corpus, corpus.df(b), True, floor), k, corpus.avg))
     return best(_union(found, pairs), k)
 
 
 def hard_negatives(pairs: DataFrame, k: int = 2, every: int = 100, seed: int = 11, anchors_too: bool = False) -> DataFrame:
     """(query, rank, doc, score): the k best passages of the source that are no positive of the anchor's label.
 
-    Guards: a passage whose text is a positive of any row with the anchor's label in its source (with `anchors_too` also an
-    anchor's text) is banned, which covers the row itself and all rows of its label. A null label is a label of its own.
-    Where fewer than k passages share a term, others of the source fill up in a seeded order, with score -1.
+    Guards: a passage whose text is a positive of any row with the anchor's label in its source is banned, which covers the
+    row itself and all rows of its label; with `anchors_too` also an anchor's text, and rows of the label in all sources. A
+    null label is a label of its own. Where fewer than k passages share a term, others of the source fill up in the source's
+    seeded order, with score -1.
 
-    Equal texts are scored once: of each text of a source the k smallest ids stand for it, found with a top-k per text. A
-    text carries the places of the block's labels that it is a positive of, at most as many as the block has queries."""
-    corpus, queries = Corpus(pairs), query_rows(pairs, every=every)
+    Equal texts are scored once: of each text of a source the k smallest ids stand for it, found with a top-k per text. The
+    labels that may not get a text are written beside it once; each block of queries reads what is written."""
+    corpus, queries = Corpus(pairs), materialize(query_rows(pairs, every=every), "queries")
+    spark = pairs.sparkSession
     w = Window.partitionBy("source", "digest").orderBy("doc")
     copies = corpus.rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k)
     label = F.coalesce("label", F.lit(""))
-    texts = pairs.filter("source is not null and positive is not null").select("source", label.alias("label"), F.md5("positive").alias("digest"))
+    rows = pairs.select("source", label.alias("label"), F.explode(F.array("positive", "anchor") if anchors_too else F.array("positive")).alias("text")).filter("text is not null")
+    asked = queries.select("source", label.alias("label")).distinct()
     if anchors_too:
-        texts = texts.unionByName(pairs.filter("source is not null and anchor is not null").select("source", label.alias("label"), F.md5("anchor").alias("digest")))
-    out = []
+        texts = rows.join(asked.withColumnRenamed("source", "_of"), "label").select(F.col("_of").alias("source"), "label", F.md5("text").alias("digest"))
+    else:
+        texts = rows.filter("source is not null").join(asked, ["source", "label"]).select("source", "label", F.md5("text").alias("digest"))
+    not_for = materialize(texts.distinct().groupBy("source", "digest").agg(F.collect_list("label").alias("banned")), "banned")
+    passages = materialize(copies.join(not_for, ["source", "digest"], "left").select("source", "doc", "tokens", "banned"), "passages")
+    found = []
     for block in blocks_of(queries, "query"):
-        if not block:
-            continue
-        spark = pairs.sparkSession
-        places: dict[tuple[str, str], list[int]] = {}
-        for i, q in enumerate(block):
-            places.setdefault((q["source"], q["label"] or ""), []).append(i)
-        asked = F.broadcast(spark.createDataFrame([(s, l, p) for (s, l), p in places.items()], "source string, label string, places array<int>"))
-        own = texts.join(asked, ["source", "label"]).select("source", "digest", "label", "places").dropDuplicates(["source", "digest", "label"])
-        own = own.groupBy("source", "digest").agg(F.flatten(F.collect_list("places")).alias("banned"))
-        passages = materialize(copies.join(own, ["source", "digest"], "left").select("source", "doc", "tokens", "banned"), "passages")
-        hits = materialize(best(scan(passages, weigh(block, corpus, _dfs(corpus, block)), k, corpus.avg, True), k), "hits")
-        out.append(hits.select("query", "doc", "score"))
-        short = {r["query"]: r["n"] for r in hits.groupBy("query").agg(F.count("*").alias("n")).collect()}
-        lacking = [(q["query"], q["source"], i) for i, q in enumerate(block) if short.get(q["query"], 0) < k]
-        if lacking:
-            rest = passages.select("source", "doc", "banned").join(F.broadcast(spark.createDataFrame(lacking, "query bigint, source string, place int")), "source")
-            rest = rest.filter(~F.coalesce(F.array_contains("banned", F.col("place")), F.lit(False))).join(F.broadcast(hits.select("query", "doc")), ["query", "doc"], "left_anti")
-            rest = rest.withColumn("_o", order_key(seed, F.col("query"), F.col("doc"))).withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("_o", "doc"))).filter(F.col("_n") <= k)
-            out.append(rest.select("query", "doc", F.lit(-1.0).alias("score"), (F.col("_n") - 1).alias("_n")))
+        if block:
+            places: dict[tuple[str, str], list[int]] = {}
+            for i, q in enumerate(block):
+                places.setdefault((q["source"], q["label"] or ""), []).append(i)
+            found.append(scan(passages, weigh(block, corpus, corpus.df(block)), k, corpus.avg, places))
+    hits = materialize(best(_union(found, pairs), k).select("query", "doc", "score"), "hits")
+    out = [hits.withColumn("_o", F.lit(""))]
+    have = hits.groupBy("query").agg(F.count("*").alias("n"))
+    lacking = queries.select("query", "source", label.alias("label")).join(have, "query", "left").filter(f"coalesce(n, 0) < {k}").drop("n")
+    order = materialize(passages.select("source", "doc", "banned", order_key(seed, F.col("doc")).alias("_o")), "order")
+    most = POOL
+    while True:  # nearly always once: a query goes on only if what was looked at is banned or a hit
+        lacking = materialize(lacking, "lacking")
+        if lacking.isEmpty():
+            break
+        pool = order.join(small(lacking.select("source").distinct()), "source", "left_semi").withColumn("_part", F.pmod(F.xxhash64("doc"), F.lit(64)))
+        for by in (["source", "_part"], ["source"]):
+            pool = pool.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_o", "doc"))).filter(F.col("_n") <= most)
+        pool = materialize(pool.drop("_part"), "pool")  # at most `most` rows a source
+        free = lacking.join(pool, "source").filter(~F.coalesce(F.array_contains("banned", F.col("label")), F.lit(False))).join(hits.select("query", "doc"), ["query", "doc"], "left_anti")
+        free = free.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("_o", "doc"))).filter(F.col("_n") <= k)
+        free = materialize(free.select("query", "doc", F.lit(-1.0).alias("score"), "_o"), "free")
+        full = pool.groupBy("source").agg(F.count("*").alias("_c")).filter(F.col("_c") >= most).select("source")  # there is more
+        enough = free.unionByName(out[0].select("query", "doc", "score", "_o")).groupBy("query").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query")
+        rest = lacking.join(full, "source", "left_semi").join(enough, "query", "left_anti")
+        out.append(free.join(rest, "query", "left_anti"))
+        lacking, most = rest, most * 16
     padded = _union(out, pairs)
-    order = [F.desc("score"), F.col("_n") if "_n" in padded.columns else F.lit(0), F.col("doc")]
-    return padded.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter(F.col("rank") <= k).select("query", "rank", "doc", "score")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "_o", "doc")
+    return padded.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", "rank", "doc", "score")
+
+
+def search(queries: DataFrame, corpus: DataFrame, relevant: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(hits, metrics) of text queries (query, tokens) against a corpus (doc, tokens), with the relevant pairs (query, doc).
+
+    hits: (query, rank, doc, score, relevant); metrics: one row with the queries, their mean reciprocal rank and recall among
+    the first k. A query without a relevant passage among them counts 0."""
+    one = F.lit("all").alias("source")
+    c = Corpus.__new__(Corpus)
+    c.rows = materialize(corpus.select(one, "doc", "tokens"), "corpus")
+    s = c.rows.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg")).first()
+    c.n, c.avg = {"all": s["n"]}, {"all": s["avg"] or 1.0}
+    c.dfs = materialize(c.rows.select("source", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("source", "term").agg(F.count("*").alias("df")), "df")
+    found = [scan(c.rows, weigh(b, c, c.df(b)), k, c.avg) for b in blocks_of(queries.select("query", one, "tokens"), "query") if b]
+    hits = best(_union(found, corpus), k).join(relevant.select("query", "doc").distinct().withColumn("_r", F.lit(True)), ["query", "doc"], "left")
+    hits = materialize(hits.select("query", "rank", "doc", "score", F.coalesce("_r", F.lit(False)).alias("relevant")), "hits")
+    own = relevant.select("query", "doc").distinct().groupBy("query").agg(F.count("*").alias("m"))
+    per = own.join(hits.filter("relevant").groupBy("query").agg(F.min("rank").alias("first"), F.count("*").alias("n")), "query", "left")
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    return hits, per.agg(F.count("*").alias("n_queries"), F.round(F.avg(zero(1 / F.col("first"))), 9).alias("mrr"), F.round(F.avg(zero(F.col("n") / F.col("m"))), 9).alias("recall"))
 
 
 def _union(found: list[DataFrame], like: DataFrame) -> DataFrame:

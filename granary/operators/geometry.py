@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from granary.functions.vectors import doubles, unit
 from granary.operators.retrieval import matrix, units
-from granary.session import small
+from granary.session import materialize
+
+#: Classes whose centroids may be broadcast.
+MAX_CLASSES = 100_000
 
 
 def coordinates(vectors: DataFrame, *keep: str, vector: str = "embedding", normalise: bool = False) -> DataFrame:
@@ -48,8 +51,40 @@ def gini(var: DataFrame) -> DataFrame:
 
 
 def centroids(vectors: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
-    """(label, pos, c): the mean vector of each class, one row per coordinate."""
-    return coordinates(vectors, label, vector=vector).groupBy(label, "pos").agg(F.avg("x").alias("c"))
+    """(label, pos, c): the mean vector of each class, one row per coordinate. Each task adds up its own vectors per class first."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for b in batches:
+            m, names = matrix(b.column(1)), np.array(b.column(0).to_pylist(), object)
+            for name in dict.fromkeys(names.tolist()):
+                own = m[np.array([x == name for x in names], bool)]
+                s, n = sums.get(name, (0, 0))
+                sums[name] = s + own.sum(0), n + len(own)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([s.tolist() for s, _ in sums.values()], pa.list_(pa.float64())), pa.array([n for _, n in sums.values()])], names=["label", "s", "n"])
+
+    rows = vectors.filter(F.col(vector).isNotNull()).select(F.col(label).cast("string").alias("label"), doubles(F.col(vector)).alias("v"))
+    parts = rows.mapInArrow(add, "label string, s array<double>, n bigint").select(F.col("label").cast(vectors.schema[label].dataType).alias(label), "n", F.posexplode("s").alias("pos", "x"))
+    return parts.groupBy(label, "pos").agg((F.sum("x") / F.sum("n")).alias("c"))
+
+
+def _by_centroid(vectors: DataFrame, cents: DataFrame, label: str, key: str, vector: str, kind: str, of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(key, label, value): `of` (vectors, the place of each one's class, centroids) per Arrow batch, with the centroids broadcast.
+    Vectors without a label are left out."""
+    rows = cents.filter(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("label")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]).alias("v")).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    shared = vectors.sparkSession.sparkContext.broadcast(({r["label"]: i for i, r in enumerate(rows)}, np.array([r["v"] for r in rows], np.float64)))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, c = shared.value
+        for b in batches:
+            own = np.array([place[x] for x in b.column(1).to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(of(matrix(b.column(2), c.shape[1]), own, c))], names=["k", "label", "value"])
+
+    v = vectors.filter(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("string").alias("label"), doubles(F.col(vector)).alias("v"))
+    return v.mapInArrow(each, f"k {v.schema['k'].dataType.simpleString()}, label string, value {kind}").select(F.col("k").alias(key), F.col("label").cast(vectors.schema[label].dataType).alias(label), "value")
 
 
 def centroid_pairs(cents: DataFrame, label: str = "label") -> DataFrame:
@@ -61,19 +96,28 @@ def centroid_pairs(cents: DataFrame, label: str = "label") -> DataFrame:
 
 def fisher(vectors: DataFrame, label: str = "label", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """One row: n_classes, within (mean over classes of the mean distance to the centroid), between (mean distance of two centroids), fisher = between / within."""
-    c = centroids(vectors, label, vector)
-    d = coordinates(vectors, key, label, vector=vector).join(small(c), [label, "pos"]).groupBy(label, key).agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("c"), 2))).alias("d"))
+    c = materialize(centroids(vectors, label, vector), "centroids")
+    d = _by_centroid(vectors, c, label, key, vector, "double", lambda m, own, cents: np.linalg.norm(m - cents[own], axis=1)).withColumnRenamed("value", "d")
     within = d.groupBy(label).agg(F.avg("d").alias("d")).agg(F.avg("d").alias("within"), F.count("*").alias("n_classes"))
     both = within.select("n_classes", "within", centroid_pairs(c, label).agg(F.avg("distance")).scalar().alias("between"))
     return both.select("n_classes", F.round("within", 8).alias("within"), F.round("between", 8).alias("between"), F.round(F.col("between") / F.greatest("within", F.lit(1e-9)), 8).alias("fisher"))
 
 
 def centroid_ranks(vectors: DataFrame, label: str = "label", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, label, rank): the competition rank of each vector's own class among all classes, by cosine to their centroids. Centroids are few and joined by coordinate position; each vector's sums are combined where it lies."""
-    c = centroids(vectors, label, vector).select(F.col(label).alias("class"), "pos", "c")
-    s = coordinates(vectors, key, label, vector=vector).join(small(c), "pos").groupBy(key, label, "class").agg((F.sum(F.col("x") * F.col("c")) / F.sqrt(F.sum(F.col("c") * F.col("c")))).alias("s"))
-    own = F.max(F.when(F.col("class") == F.col(label), F.round("s", 9))).over(Window.partitionBy(key))
-    return s.withColumn("_own", own).groupBy(key, label).agg((F.sum((F.round("s", 9) > F.col("_own")).cast("int")) + 1).alias("rank"))
+    """(key, label, rank): the competition rank of each vector's own class among all classes, by cosine to their centroids: one
+    matrix product per Arrow batch."""
+
+    def ranks(m: np.ndarray, own: np.ndarray, cents: np.ndarray) -> np.ndarray:
+        s = np.round(m @ units(cents).T, 9)
+        return (s > s[np.arange(len(own)), own][:, None]).sum(1) + 1
+
+    c = materialize(centroids(vectors, label, vector), "centroids")
+    return _by_centroid(vectors, c, label, key, vector, "bigint", ranks).withColumnRenamed("value", "rank")
+
+
+def class_pair(cents: DataFrame, a: str, b: str, label: str = "label") -> DataFrame:
+    """(a, b, cosine, distance) of the centroids of two named classes."""
+    return centroid_pairs(cents.filter(F.col(label).isin(a, b)), label)
 
 
 def moments(vectors: DataFrame, vector: str = "embedding") -> tuple[int, np.ndarray, np.ndarray]:

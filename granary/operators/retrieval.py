@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from granary.functions.vectors import TINY
 from granary.session import materialize, small
 
-#: Queries that are multiplied with the vectors at a time.
-BLOCK = 2048
+#: Queries and vectors that are multiplied with each other at a time.
+BLOCK, SLICE = 2048, 1024
 
 
 def matrix(col: pa.Array, dim: int | None = None) -> np.ndarray:
@@ -67,14 +67,17 @@ def scan(vectors: DataFrame, dims: list[int], k: int, key: str = "vec_id", label
         def near(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, labels, queries = shared.value
             best: dict[tuple[int, str], list] = {}
-            for b in batches:
+            for b in (x.slice(i, SLICE) for x in batches for i in range(0, len(x), SLICE)):
                 doc, m = b.column("id").to_numpy(), matrix(b.column("v"), None)
                 same = labels[:, None] == np.array(b.column("label").to_pylist(), object)[None, :]
                 other = ids[:, None] != doc[None, :]
                 for d in dims:
                     s = np.round(queries[d] @ units(m[:, :d]).T, 9)
                     for kind, ok, n in (("near", other, k), ("own", other & same, 1)):
-                        q, j = np.nonzero(ok)
+                        open_ = np.where(ok, s, -np.inf)
+                        # of each row what is not under its n-th highest: n, or more only where scores are equal
+                        bar = np.partition(open_, -n, axis=1)[:, -n] if open_.shape[1] > n else np.full(len(ids), -np.inf)
+                        q, j = np.nonzero(ok & (open_ >= bar[:, None]))
                         old = best.get((d, kind))
                         q, dd, sc, sm = q, doc[j], s[q, j], same[q, j]
                         if old:
@@ -117,7 +120,7 @@ def first_relevant(vectors: DataFrame, hits: DataFrame, dims: list[int], key: st
         def before(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, queries, bar = shared.value
             n = {d: np.zeros(len(ids), np.int64) for d in dims}
-            for b in batches:
+            for b in (x.slice(i, SLICE) for x in batches for i in range(0, len(x), SLICE)):
                 doc, m = b.column("id").to_numpy(), matrix(b.column("v"), None)
                 other = ids[:, None] != doc[None, :]
                 for d in dims:

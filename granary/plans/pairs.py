@@ -88,7 +88,7 @@ def bm25_okapi_rank(spark: SparkSession, where: str) -> DataFrame:
     + """, bt as (select distinct source, coalesce(label, '') as label, t from p where t is not null),
 el as (select q.id as query, d.id as doc from p q join p d using (source) where q.id % 100 = 0 and q.a is not null and d.t is not null and not exists (from bt where bt.source = q.source and bt.label = coalesce(q.label, '') and bt.t = d.t)),
 cp as (select id, row_number() over (partition by source, t order by id) as nth from p where t is not null),
-c as (select el.query, el.doc, coalesce(case when s.score > 0 then s.score end, -1.0) as score, md5('11|' || el.query || '|' || el.doc) as o from el join cp on cp.id = el.doc and nth <= 2 left join s on s.query = el.query and s.doc = el.doc),
+c as (select el.query, el.doc, coalesce(case when s.score > 0 then s.score end, -1.0) as score, md5('11|' || el.doc) as o from el join cp on cp.id = el.doc and nth <= 2 left join s on s.query = el.query and s.doc = el.doc),
 r as (select *, row_number() over (partition by query order by score desc, case when score > 0 then '' else o end, doc) as rank from c) select query, rank, doc, round(score, 6) as score from r where rank <= 2"""
 )
 def bm25_hard_negatives(spark: SparkSession, where: str) -> DataFrame:
