@@ -115,6 +115,11 @@ def lexical_tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def marked_tokens(c: Column, start: str = "[CLS]", end: str = "[SEP]") -> Column:
+    """Lexical tokens between two marks, in the place of a subword tokenizer's template."""
+    return F.concat(F.array(F.lit(start)), lexical_tokens(c), F.array(F.lit(end)))
+
+
 def space_tokens(c: Column) -> Column:
     """Lower case, cut at white space."""
     return F.filter(F.split(F.lower(c), SPACE), lambda w: w != "")
@@ -144,6 +149,13 @@ def pick(options: list[str], *key: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, options)), F.pmod(F.xxhash64(*key), F.lit(len(options))).cast("int") + 1)
 
 
+def weighted_pick(first: list[str], share: float, others: list[str], seed: int, *key: Column) -> Column:
+    """One of the first options with a chance of `share`, else one of the others, by hash of seed and key."""
+    h = lambda name, n: F.pmod(F.conv(F.substring(order_key(seed, F.lit(name), *key), 1, 8), 16, 10).cast("bigint"), F.lit(n))
+    of = lambda options, name: F.element_at(F.array(*map(F.lit, options)), (h(name, len(options)) + 1).cast("int"))
+    return F.when(h("which", 1000) < round(1000 * share), of(first, "first")).otherwise(of(others, "other"))
+
+
 def order_key(seed: int, *cols: Column) -> Column:
     """A place in a seeded order that is the same in every engine and partitioning."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(c.cast("string") for c in cols)))

@@ -45,6 +45,11 @@ def sigmoid_margin(yes: Column, no: Column) -> Column:
     return 1 / (1 + F.exp(no - yes))
 
 
+def teacher_margin(positive: Column, negative: Column) -> Column:
+    """How much higher the positive scores; a row without a negative has a margin of 0."""
+    return positive - F.coalesce(negative, positive)
+
+
 def activation(logit: Column) -> Column:
     """A sparse weight: log(1 + max(x, 0))."""
     return F.log1p(F.greatest(logit, F.lit(0.0)))

@@ -51,7 +51,7 @@ def documents(docs: DataFrame, marked: DataFrame, order: list[str], text: str =
 
 
 def stats(marked: DataFrame, by: str = "source", doc: str = "doc_id", min_doc: int = MIN_DOC) -> DataFrame:
-    """Per source and in total (`by` null, is_total 1): documents in and out, kept and dropped characters, dropped share, unique long units.
+    """Per source and in total (`by` null, is_total 1): documents in and out, kept and dropped characters, dropped share, unique long units, and the share of all kept characters (the mix).
 
     Documents are summed up first, so that the counts per source need no distinct."""
     n = F.col("n_chars")
@@ -63,7 +63,7 @@ def stats(marked: DataFrame, by: str = "source", doc: str = "doc_id", min_doc: i
         F.sum(F.when(F.col("kept"), n + 2).otherwise(0)).alias("_joined"),
     )
     total = F.sum("kept_chars") + F.sum("dropped_chars")
-    return per.rollup(by).agg(
+    out = per.rollup(by).agg(
         F.grouping(by).cast("int").alias("is_total"),
         F.count("*").alias("docs_in"),
         F.sum((F.col("_joined") - 2 >= min_doc).cast("bigint")).alias("docs_out"),
@@ -72,6 +72,9 @@ def stats(marked: DataFrame, by: str = "source", doc: str = "doc_id", min_doc: i
         F.round(100.0 * F.sum("dropped_chars") / total, 6).alias("dropped_pct"),
         F.sum("unique_units").alias("unique_units"),
     )
+    out = materialize(out, "stats")
+    all_ = out.agg(F.max(F.when(F.col("is_total") == 1, F.col("kept_chars")))).scalar()
+    return out.withColumn("kept_share", F.round(F.col("kept_chars") / all_, 9))
 
 
 def count_guard(raw: DataFrame, read: DataFrame, by: str = "source") -> DataFrame:
@@ -79,3 +82,9 @@ def count_guard(raw: DataFrame, read: DataFrame, by: str = "source") -> DataFram
     side = lambda df, name: df.groupBy(F.coalesce(by, F.lit("(none)")).alias(by)).agg(F.count("*").alias(name))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return side(raw, "n_raw").join(side(read, "n_read"), by, "full").select(by, zero("n_raw"), zero("n_read")).withColumn("n_missing", F.col("n_raw") - F.col("n_read"))
+
+
+def guarded(counts: DataFrame) -> DataFrame:
+    """The counts of `count_guard`, or an error that names the first source of which a document is missing."""
+    bad = F.raise_error(F.concat(F.lit("documents are missing of source "), F.col("source"), F.lit(": "), F.col("n_missing").cast("string")))
+    return counts.withColumn("n_missing", F.when(F.col("n_missing") == 0, F.col("n_missing")).otherwise(bad.cast("bigint")))

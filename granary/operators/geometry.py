@@ -13,6 +13,8 @@ from granary.functions.vectors import doubles, unit
 from granary.operators.retrieval import matrix, units
 from granary.session import materialize
 
+#: Classes whose sums a task holds before it hands them on.
+HELD = 4096
 #: Classes whose centroids may be broadcast.
 MAX_CLASSES = 100_000
 
@@ -55,14 +57,25 @@ def centroids(vectors: DataFrame, label: str = "label", vector: str = "embedding
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([s.tolist() for s, _ in sums.values()], pa.list_(pa.float64())), pa.array([n for _, n in sums.values()])], names=["label", "s", "n"])
+
         for b in batches:
             m, names = matrix(b.column(1)), np.array(b.column(0).to_pylist(), object)
-            for name in dict.fromkeys(names.tolist()):
-                own = m[np.array([x == name for x in names], bool)]
+            known = dict.fromkeys(names.tolist())
+            place = {x: i for i, x in enumerate(known)}
+            of = np.array([place[x] for x in names.tolist()], np.int64)
+            order = np.argsort(of, kind="stable")
+            total = np.add.reduceat(m[order], np.flatnonzero(np.r_[True, np.diff(of[order]) > 0])) if len(of) else m
+            for name, t, c in zip(known, total, np.bincount(of)):
                 s, n = sums.get(name, (0, 0))
-                sums[name] = s + own.sum(0), n + len(own)
+                sums[name] = s + t, n + int(c)
+            if len(sums) > HELD:
+                yield out()
+                sums.clear()
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([s.tolist() for s, _ in sums.values()], pa.list_(pa.float64())), pa.array([n for _, n in sums.values()])], names=["label", "s", "n"])
+            yield out()
 
     rows = vectors.filter(F.col(vector).isNotNull()).select(F.col(label).cast("string").alias("label"), doubles(F.col(vector)).alias("v"))
     parts = rows.mapInArrow(add, "label string, s array<double>, n bigint").select(F.col("label").cast(vectors.schema[label].dataType).alias(label), "n", F.posexplode("s").alias("pos", "x"))
@@ -115,7 +128,7 @@ def centroid_ranks(vectors: DataFrame, label: str = "label", key: str = "vec_id"
     return _by_centroid(vectors, c, label, key, vector, "bigint", ranks).withColumnRenamed("value", "rank")
 
 
-def class_pair(cents: DataFrame, a: str, b: str, label: str = "label") -> DataFrame:
+def class_pair(cents: DataFrame, a: object, b: object, label: str = "label") -> DataFrame:
     """(a, b, cosine, distance) of the centroids of two named classes."""
     return centroid_pairs(cents.filter(F.col(label).isin(a, b)), label)
 
@@ -169,8 +182,8 @@ def linear_probe(vectors: DataFrame, label: str = "label", key: str = "vec_id",
 
 
 def mean_pool(states: DataFrame, by: str, mask: str, vector: str) -> DataFrame:
-    """(by, pos, mean): the mean of the unmasked state vectors of each text, one row per coordinate."""
-    return coordinates(states.filter(F.col(mask)), by, vector=vector).groupBy(by, "pos").agg(F.avg("x").alias("mean"))
+    """(by, pos, mean): the mean of the unmasked state vectors of each text, one row per coordinate. A text that is masked as a whole has none."""
+    return centroids(states.filter(F.col(mask)), by, vector).withColumnRenamed("c", "mean")
 
 
 def sparse_pool(logits: DataFrame, by: str, term: str, logit: str, mask: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.vectors import cosine
 from granary.operators.ranges import ranked
 from granary.operators.retrieval import matrix, units
 
@@ -35,11 +36,15 @@ def _log_softmax(s: np.ndarray) -> np.ndarray:
     return s - top - np.log(np.exp(s - top).sum(1, keepdims=True))
 
 
-def relational(rows: DataFrame, student: str, teacher: str, tau: float = 0.05, w_kl: float = 1.0, w_mse: float = 10.0) -> DataFrame:
-    """(batch_no, kl, mse, loss): how far the similarities within a batch are from the teacher's; a row's similarity to itself is left out."""
+def relational(rows: DataFrame, student: str, teacher: str, tau: float = 0.05, w_kl: float = 1.0, w_mse: float = 10.0, dims: list[int] | None = None) -> DataFrame:
+    """(batch_no, kl, mse, loss): how far the similarities within a batch are from the teacher's; a row's similarity to itself is left
+    out. With `dims` the mean over these nested sizes of the student's vectors."""
 
-    def f(t: pa.Table) -> tuple[float, float, float]:
-        s, g = units(matrix(t.column(student))), units(matrix(t.column(teacher)))
+    def f(t: pa.Table) -> tuple[float, ...]:
+        m, g = matrix(t.column(student)), units(matrix(t.column(teacher)))
+        return tuple(np.mean([one(units(m[:, :d]), g) for d in dims or [m.shape[1]]], axis=0))
+
+    def one(s: np.ndarray, g: np.ndarray) -> tuple[float, float, float]:
         ss, st = s @ s.T, g @ g.T
         off = ~np.eye(len(ss), dtype=bool)
         a, b = _log_softmax(np.where(off, ss / tau, -1e4)), _log_softmax(np.where(off, st / tau, -1e4))
@@ -50,6 +55,13 @@ def relational(rows: DataFrame, student: str, teacher: str, tau: float = 0.05, w
     return _each(rows, f, ["kl", "mse", "loss"])
 
 
+def margin_mse(rows: DataFrame, query: str, positive: str, negative: str, teacher: str) -> DataFrame:
+    """One row: n, the mean margin (cosine to the positive less that to the negative), and the mean square of its distance from the teacher's."""
+    q, p, n = F.col(query), F.col(positive), F.col(negative)
+    m = rows.select((cosine(q, p) - cosine(q, n)).alias("m"), F.col(teacher).alias("t"))
+    return m.agg(F.count("*").alias("n"), F.avg("m").alias("mean_margin"), F.avg(F.pow(F.col("m") - F.col("t"), 2)).alias("margin_mse"))
+
+
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """(batch_no, rho): rank correlation of the similarities off the diagonal under two vectors of each row, ties in order of place."""
 

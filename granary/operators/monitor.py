@@ -44,10 +44,15 @@ def median_rate(events: DataFrame, series: str, ts: str, key: str, last: int = 1
     return newest.withColumn("_gap", gap / 1e6).filter("_gap > 0").groupBy(series).agg(F.count("*").alias("n_gaps"), F.round(F.median(1 / F.col("_gap")), 9).alias("median_rate"))
 
 
-def flops_per_token(seq: Column, hidden: int = 768, layers: int = 22, inner: int = 1152, every: int = 3, local: int = 128) -> Column:
-    """Training FLOPs of one token: six per weight, and attention, of which only the global layers grow with the sequence."""
-    wide = layers // every
-    return F.lit(6 * layers * (4 * hidden * hidden + 3 * hidden * inner)) + F.lit(12 * hidden) * (F.lit(wide) * seq + F.lit((layers - wide) * local))
+#: Kinds of layers of the encoder: how many there are, and how far a token sees (None: the whole sequence).
+LAYERS: list[tuple[int, int | None]] = [(7, None), (15, 128)]
+
+
+def flops_per_token(seq: Column, hidden: int = 768, inner: int = 1152, layers: list[tuple[int, int | None]] = LAYERS) -> Column:
+    """Training FLOPs of one token, three passes of two operations each. A layer multiplies by its weights (four square matrices
+    of attention, three of the gated inner layer), and forms and applies one attention score per token that is seen."""
+    weights = 4 * hidden**2 + 3 * hidden * inner
+    return F.lit(3) * sum(F.lit(n) * (F.lit(2 * weights) + F.lit(4 * hidden) * (seq if span is None else F.lit(span))) for n, span in layers)
 
 
 def throughput(rows: DataFrame, peak_tflops: float, seq: str = "seq", rate: str = "tok_s") -> DataFrame:
@@ -81,6 +86,16 @@ def not_done(targets: DataFrame, done: DataFrame, key: str = "step") -> DataFram
     return targets.join(done.select(key).distinct(), key, "left_anti")
 
 
+def completion(targets: DataFrame, done: DataFrame, key: str = "step") -> DataFrame:
+    """One row: n_open, the targets that are not done, and whether all are (complete)."""
+    return not_done(targets.select(key).distinct(), done, key).agg(F.count("*").alias("n_open")).withColumn("complete", F.col("n_open") == 0)
+
+
+def id_sets(rows: DataFrame, label: str, key: str) -> DataFrame:
+    """(label, ids): the distinct ids of each class in order. For classes of a vocabulary, whose sets fit a row."""
+    return rows.filter(F.col(label).isNotNull()).groupBy(label).agg(F.array_sort(F.collect_set(key)).alias("ids"))
+
+
 def milestones(rows: DataFrame, order: list[str], parts: int = 10) -> DataFrame:
     """Adds the number of tenths that are done with a row, and keeps the first row of each tenth from 1 on."""
     n = rows.count()

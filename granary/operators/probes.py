@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions.columns import let
 from granary.functions.text import lexical_tokens
 from granary.operators.ranges import ranked
+from granary.session import small
 
 #: Upper ends of the frequency ranks of a bucket, and its name.
 BUCKETS = [(100, "top_100"), (1000, "100_1k"), (10000, "1k_10k")]
@@ -60,8 +61,10 @@ def term_contexts(docs: DataFrame, placed: DataFrame, terms: list[str], per_term
 
 
 def weighted_loss(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(by, loss, n, mean_loss, top1): sums of `loss` and shares of `hit`."""
-    return rows.groupBy(*by).agg(F.sum("loss").alias("loss"), F.count("*").alias("n"), F.round(F.sum("loss") / F.count("*"), 6).alias("mean_loss"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("top1"))
+    """(by, loss, n, mean_loss, top1[, top5]): sums of `loss` and shares of `hit`, and of `hit5` where the rows have it."""
+    share = lambda c, name: F.round(F.avg(F.col(c).cast("double")), 6).alias(name)
+    more = [share("hit5", "top5")] if "hit5" in rows.columns else []
+    return rows.groupBy(*by).agg(F.sum("loss").alias("loss"), F.count("*").alias("n"), F.round(F.sum("loss") / F.count("*"), 6).alias("mean_loss"), share("hit", "top1"), *more)
 
 
 def unweighted_mean(losses: DataFrame) -> DataFrame:
@@ -92,6 +95,24 @@ def concept_rollup(ranks: DataFrame, by: str = "label") -> DataFrame:
     return ranks.rollup(by).agg(F.grouping(by).cast("int").alias("is_total"), F.count("*").alias("n"), F.median("rank").alias("median_rank"), F.round(F.avg((F.col("rank") <= 1).cast("double")), 9).alias("top1"), F.round(F.avg((F.col("rank") <= 5).cast("double")), 9).alias("top5"))
 
 
+def concept_leads(rows: DataFrame, label: str, term: str, exact: str, of_class: str) -> DataFrame:
+    """(label, term, level, n, median_rank, exact_top1, class_top1, class_top5, concept_lead): per term (level 0), per class (1) and
+    over all (2). `exact` is the rank of the right token, `of_class` that of the best token of its class; the lead is how much
+    more often the class comes first than the token."""
+    share = lambda c, n: F.avg((F.col(c) <= n).cast("double"))
+    level = (F.grouping(label) + F.grouping(term)).cast("int").alias("level")
+    own = [F.round(share(exact, 1), 9).alias("exact_top1"), F.round(share(of_class, 1), 9).alias("class_top1"), F.round(share(of_class, 5), 9).alias("class_top5")]
+    return rows.rollup(label, term).agg(level, F.count("*").alias("n"), F.median(exact).alias("median_rank"), *own, F.round(share(of_class, 1) - share(exact, 1), 9).alias("concept_lead"))
+
+
+def by_frequency(rows: DataFrame, counts: DataFrame, token: str = "token") -> DataFrame:
+    """(bucket, n, loss, mean_loss, top1): losses by the frequency rank of their token. rows are summed per token before they are joined with the ranks."""
+    per = rows.groupBy(token).agg(F.sum("loss").alias("loss"), F.count("*").alias("n"), F.sum(F.col("hit").cast("int")).alias("hits"))
+    r = ranked(counts, [-F.col("n"), F.col("token")]).select(F.col("token").alias(token), bucket(F.col("rank")).alias("bucket"))
+    s = per.join(r, token).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"), F.sum("hits").alias("_hits"))
+    return s.select("bucket", "n", "loss", F.round(F.col("loss") / F.col("n"), 6).alias("mean_loss"), F.round(F.col("_hits") / F.col("n"), 6).alias("top1"))
+
+
 def by_position(rows: DataFrame, pos: str, length: int) -> DataFrame:
     """(quarter, n, mean_loss, top1): losses by the quarter of a block in which their position is."""
     return weighted_loss(rows.withColumn("quarter", position_quarter(F.col(pos), F.lit(length))), ["quarter"])
@@ -104,4 +125,4 @@ def unmasked(rows: DataFrame, label: str = "label", ignored: int = -100) -> Data
 
 def without_tasks(results: DataFrame, contaminated: DataFrame, task: str = "task") -> DataFrame:
     """Results of tasks that no training data touched."""
-    return results.join(F.broadcast(contaminated.select(task).distinct()), task, "left_anti")
+    return results.join(small(contaminated.select(task).distinct()), task, "left_anti")

@@ -186,3 +186,8 @@ def macro_average(metric: DataFrame, by: str, value: str, baselines: DataFrame |
     mean = metric.groupBy(by).agg(F.round(F.avg(value), 9).alias("average"))
     mean = mean if baselines is None else mean.unionByName(baselines)
     return mean.withColumn("place", F.rank().over(Window.orderBy(F.desc("average"))))  # one row per system
+
+
+def lift(metrics: DataFrame, metric: str = "p") -> DataFrame:
+    """(dim, lift): a metric over that of a random order (`chance`)."""
+    return metrics.select("dim", (F.col(metric) / F.col("chance")).alias("lift"))

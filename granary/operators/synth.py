@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.text import order_key
+from granary.session import small
 
 CLUSTER = "struct<passage:string,queries:array<string>,hard_negative:string>"
 
@@ -20,9 +21,16 @@ def cells(spark: SparkSession, n: int, seed: int, options: dict[str, list[str]])
     return spark.range(n).withColumnRenamed("id", "cell_id").select("cell_id", *(F.element_at(F.array(*map(F.lit, o)), draw(seed, k, len(o), F.col("cell_id")).cast("int") + 1).alias(k) for k, o in options.items()))
 
 
+def with_attribute(cells: DataFrame, options: DataFrame, by: str, several: str, name: str, seed: int, key: str = "cell_id") -> DataFrame:
+    """Cells joined with the options of their category (by, several), of which each draws one as `name`."""
+    j = cells.join(small(options.select(by, several)), by)
+    h = F.conv(F.substring(order_key(seed, F.lit(name), F.col(key)), 1, 8), 16, 10).cast("bigint")
+    return j.withColumn(name, F.element_at(several, (F.pmod(h, F.size(several)) + 1).cast("int"))).drop(several)
+
+
 def coverage(rows: DataFrame, by: str, options: DataFrame) -> DataFrame:
     """(by, n): how often each option occurs, those that don't with 0."""
-    return F.broadcast(options).join(rows.groupBy(by).agg(F.count("*").alias("n")), by, "left").select(by, F.coalesce("n", F.lit(0)).alias("n"))
+    return options.join(rows.groupBy(by).agg(F.count("*").alias("n")), by, "left").select(by, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def prompt(template: str, *parts: Column) -> Column:

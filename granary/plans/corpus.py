@@ -55,8 +55,8 @@ def near_dedup_digit_mode(spark: SparkSession, where: str) -> DataFrame:
     + """, o as (select doc_id from k where kept group by doc_id having length(string_agg(unit, chr(10) || chr(10) order by unit_pos)) >= 200)
 select source, cast(grouping(source) as integer) as is_total, count(distinct doc_id) as docs_in, count(distinct case when doc_id in (from o) then doc_id end) as docs_out,
 cast(sum(case when kept then length(unit) else 0 end) as bigint) as kept_chars, cast(sum(case when not kept then length(unit) else 0 end) as bigint) as dropped_chars,
-round(100.0 * sum(case when not kept then length(unit) else 0 end) / sum(length(unit)), 6)::double as dropped_pct, cast(sum(case when kept and norm is not null then 1 else 0 end) as bigint) as unique_units
-from k group by rollup (source)"""
+round(100.0 * sum(case when not kept then length(unit) else 0 end) / sum(length(unit)), 6)::double as dropped_pct, cast(sum(case when kept and norm is not null then 1 else 0 end) as bigint) as unique_units,
+round(sum(case when kept then length(unit) else 0 end) / (select sum(length(unit)) from k where kept)::double, 9) as kept_share from k group by rollup (source)"""
 )
 def dedup_stats_by_source(spark: SparkSession, where: str) -> DataFrame:
     return dedup.stats(_marked(spark, where, T.PARAGRAPH))
@@ -73,6 +73,14 @@ def dedup_doc_count_guard(spark: SparkSession, where: str) -> DataFrame:
     return dedup.count_guard(docs, read)
 
 
+@query("select coalesce(source, '(none)') as source, count(*) as n_raw, count(*) as n_read, 0 as n_missing from documents where text is not null group by all")
+def dedup_guard_holds(spark: SparkSession, where: str) -> DataFrame:
+    """Each source's documents are all among those that the marking of units has read, or the query ends with an error."""
+    docs = documents(spark, where)
+    read = docs.select("source", "doc_id", F.explode(dedup.unit_array(F.col("text")))).select("source", "doc_id").distinct()
+    return dedup.guarded(dedup.count_guard(docs, read))
+
+
 @query(
     """with e as (select doc_id, source, length(text) as n, sum(length(text)) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding) as b
 from documents where length(trim(text)) >= 200 and source is not null) select doc_id, source, cast(n as bigint) as n_chars, cast(coalesce(b, 0) as bigint) as before from e where coalesce(b, 0) < 40000"""
@@ -303,12 +311,71 @@ def distinct_counts(spark: SparkSession, where: str) -> DataFrame:
 
 @query(
     """with q as (select domain, doc_id, length(text) as n, ntile(4) over (order by doc_id) as quarter from documents where text is not null)
-select coalesce(domain, '(none)') as domain, cast(sum(n) as bigint) as loss, count(*) as n, round(sum(n) / count(*)::double, 6) as mean_loss, round(avg(case when n > 1000 then 1.0 else 0.0 end), 6)::double as top1 from q group by 1"""
+select coalesce(domain, '(none)') as domain, cast(sum(n) as bigint) as loss, count(*) as n, round(sum(n) / count(*)::double, 6) as mean_loss, round(avg(case when n > 1000 then 1.0 else 0.0 end), 6)::double as top1, round(avg(case when n > 400 then 1.0 else 0.0 end), 6)::double as top5 from q group by 1"""
 )
 def loss_by_domain(spark: SparkSession, where: str) -> DataFrame:
     """Weighted loss and accuracy per domain, with a text's length in the place of a loss."""
-    d = texts(spark, where, "documents").filter("text is not null").select(F.coalesce("domain", F.lit("(none)")).alias("domain"), F.length("text").cast("bigint").alias("loss"), (F.length("text") > 1000).alias("hit"))
-    return probes.weighted_loss(d, ["domain"])
+    return probes.weighted_loss(_losses(spark, where), ["domain"])
+
+
+def _losses(spark: SparkSession, where: str) -> DataFrame:
+    n = F.length("text")
+    return texts(spark, where, "documents").filter("text is not null").select(F.coalesce("domain", F.lit("(none)")).alias("domain"), n.cast("bigint").alias("loss"), (n > 1000).alias("hit"), (n > 400).alias("hit5"))
+
+
+@query("select round(avg(m), 6) as mean_loss, count(*) as n_groups from (select round(avg(length(text)), 6) as m from documents where text is not null group by coalesce(domain, '(none)'))")
+def loss_unweighted(spark: SparkSession, where: str) -> DataFrame:
+    """The mean over domains, each counting the same."""
+    return probes.unweighted_mean(probes.weighted_loss(_losses(spark, where), ["domain"])).withColumn("mean_loss", F.round("mean_loss", 6))
+
+
+@query("select count(*) as n, cast(sum(n_chars) as bigint) as loss from documents where n_chars is not null and n_chars <> 0")
+def loss_of_unmasked(spark: SparkSession, where: str) -> DataFrame:
+    """Rows whose label counts; a length of 0 stands for the mark of what doesn't."""
+    d = table(spark, where, "documents").filter("n_chars is not null").select(F.col("n_chars").alias("label"))
+    return probes.unmasked(d, "label", 0).agg(F.count("*").alias("n"), F.sum("label").alias("loss"))
+
+
+@query(
+    f"""with {_TOKENS}, r as (select token, n, row_number() over (order by n desc, token) as rank from f), b as (select case when rank <= 100 then 'top_100' when rank <= 1000 then '100_1k' when rank <= 10000 then '1k_10k' else '10k_up' end as bucket, * from r)
+select bucket, cast(sum(n) as bigint) as n, cast(sum(n * length(token)) as bigint) as loss, round(sum(n * length(token)) / sum(n)::double, 6) as mean_loss, round(sum(case when length(token) > 4 then n else 0 end) / sum(n)::double, 6) as top1 from b group by bucket"""
+)
+def loss_by_frequency(spark: SparkSession, where: str) -> DataFrame:
+    """A token's length in the place of its loss, by its rank in frequency."""
+    d = texts(spark, where, "documents")
+    t = d.filter("text is not null").select(F.explode(T.lexical_tokens(F.col("text"))).alias("token"))
+    return probes.by_frequency(t.select("token", F.length("token").cast("bigint").alias("loss"), (F.length("token") > 4).alias("hit")), probes.token_counts(d))
+
+
+@query(_STREAM + f""", t as (select unnest({tokens("text")}) as token, token_start + 1 + unnest(range(n_tokens - 2)) as pos from o where text is not null) select cast(pos as bigint) as token_ord, token from t where pos % 64 = 0 and pos < 64 * 500""")
+def token_stride_sample(spark: SparkSession, where: str) -> DataFrame:
+    """Every 64th token of the stream, 500 at most; marks at such places are left out."""
+    placed = _stream(spark, where).filter("n_tokens > 0").select("doc_id", "token_start")
+    rows = _docs(spark, where).filter("text is not null").join(placed, "doc_id")
+    got = sampling.strided_tokens(rows, T.marked_tokens(F.col("text"), "<s>", "</s>"), 64, 500)
+    return got.filter("token not in ('<s>', '</s>')")
+
+
+_BLOCKS = (
+    _STREAM
+    + f""", t as (select unnest(list_concat(list_concat(['<s>'], {tokens("text")}), ['</s>'])) as token, token_start + unnest(range(n_tokens)) as pos from o where text is not null),
+b as (select cast(pos // 512 as bigint) as block_id, md5(array_to_string(list(token order by pos), ' ')) as digest from t group by 1 having count(*) = 512)"""
+)
+
+
+@query(_BLOCKS + " select block_id, digest from b where block_id in (0, 7, 11)")
+def blocks_by_id(spark: SparkSession, where: str) -> DataFrame:
+    """Three blocks read by their numbers from the written table."""
+    b = materialize(pack.blocks(_docs(spark, where), "doc_id", ["src", "doc_id"], 512), "blocks")
+    return pack.by_id(b, 0, 7, 11).select("block_id", F.md5(F.array_join("tokens", " ")).alias("digest"))
+
+
+@query(_BLOCKS + ", n as (select count(*) as n from b) select block_id, digest from b, n where block_id >= n - least(20, n) and block_id < n - least(20, n) + 5")
+def validation_blocks_head(spark: SparkSession, where: str) -> DataFrame:
+    """The first five of the twenty validation blocks."""
+    train = pack.meta(_stream(spark, where), 512, 20, 50257).first()["train_blocks"]
+    b = materialize(pack.blocks(_docs(spark, where), "doc_id", ["src", "doc_id"], 512), "blocks")
+    return pack.validation_head(b, train, 5).select("block_id", F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 
 @query("select doc_id, coalesce(source, '') as src from (select doc_id, source, row_number() over (order by coalesce(source, ''), doc_id) as n from documents) where n % 7 = 1 and n <= 7 * 99 + 1")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions import vectors as V
 from granary.operators import geometry, losses, probes, retrieval
 from granary.plans.registry import query
-from granary.session import materialize, table
+from granary.session import materialize, small, table
 
 DIMS = V.ladder(64)
 
@@ -58,7 +58,7 @@ def retrieval_recall_at_k(spark: SparkSession, where: str) -> DataFrame:
     v = _vectors(spark, where)
     near = retrieval.neighbours(retrieval.scan(v, DIMS, 100), 100)
     sizes = v.groupBy("label").agg((F.count("*") - 1).alias("n_rel"))
-    rel = retrieval.stated(v).join(F.broadcast(sizes), "label").select(F.col("vec_id").alias("query"), "n_rel")
+    rel = retrieval.stated(v).join(small(sizes), "label").select(F.col("vec_id").alias("query"), "n_rel")
     return retrieval.at_k(near, rel, [1, 10, 100]).select("dim", "k", *(F.round(c, 7).alias(c) for c in ("recall", "precision", "accuracy", "mrr")))
 
 
@@ -218,14 +218,82 @@ select count(*) as n, round(avg(m), 7) as mean_margin, round(avg((m - 0.1) ** 2)
 def margin_mse(spark: SparkSession, where: str) -> DataFrame:
     """Parts of each vector in the place of a query, its positive and its negative, against a margin of 0.1."""
     e = F.col("embedding")
-    q, p, n = F.slice(e, 1, 16), F.slice(e, 17, 16), F.slice(e, 33, 16)
-    m = _vectors(spark, where).select((V.cosine(q, p) - V.cosine(q, n)).alias("m"))
-    return m.agg(F.count("*").alias("n"), F.round(F.avg("m"), 7).alias("mean_margin"), F.round(F.avg(F.pow(F.col("m") - 0.1, 2)), 7).alias("margin_mse"))
+    rows = _vectors(spark, where).select(F.slice(e, 1, 16).alias("q"), F.slice(e, 17, 16).alias("p"), F.slice(e, 33, 16).alias("n"), F.lit(0.1).alias("m"))
+    return losses.margin_mse(rows, "q", "p", "n", "m").select("n", *(F.round(c, 7).alias(c) for c in ("mean_margin", "margin_mse")))
 
 
-@query(f"with {_COORD} select label, pos::integer as pos, round(avg(x), 7) as mean from x group by label, pos")
+@query(f"with {_COORD} select vec_id // 8 as text_id, pos::integer as pos, round(avg(x), 7) as mean from x where vec_id % 8 < 5 group by 1, 2")
 def mean_pooling(spark: SparkSession, where: str) -> DataFrame:
-    return geometry.centroids(_vectors(spark, where)).select("label", "pos", F.round("c", 7).alias("mean"))
+    """Vectors in the place of a text's states, eight a text, of which the mask leaves five."""
+    states = _vectors(spark, where).select(F.expr("vec_id div 8").alias("text_id"), (F.col("vec_id") % 8 < 5).alias("mask"), "embedding")
+    return geometry.mean_pool(states, "text_id", "mask", "embedding").select("text_id", "pos", F.round("mean", 7).alias("mean"))
+
+
+@query("select vec_id, round(1 / (1 + exp(embedding[2]::double - embedding[1]::double)), 9) as score from embeddings")
+def rerank_scores(spark: SparkSession, where: str) -> DataFrame:
+    """Two coordinates in the place of the logits of yes and no."""
+    v = F.col("embedding").cast("array<double>")
+    return _vectors(spark, where).select("vec_id", F.round(V.sigmoid_margin(v[0], v[1]), 9).alias("score"))
+
+
+@query(
+    """with s as (select vec_id, 1 / (1 + exp(embedding[2]::double - embedding[1]::double)) as pos, case when vec_id % 3 > 0 then 1 / (1 + exp(embedding[4]::double - embedding[3]::double)) end as neg from embeddings)
+select vec_id, round(pos - coalesce(neg, pos), 9) as margin from s"""
+)
+def teacher_margins(spark: SparkSession, where: str) -> DataFrame:
+    """Margins of scores; a row without a negative has its positive in its place, and so a margin of 0."""
+    v = F.col("embedding").cast("array<double>")
+    s = _vectors(spark, where).select("vec_id", V.sigmoid_margin(v[0], v[1]).alias("pos"), F.when(F.col("vec_id") % 3 > 0, V.sigmoid_margin(v[2], v[3])).alias("neg"))
+    return s.select("vec_id", F.round(V.teacher_margin(F.col("pos"), F.col("neg")), 9).alias("margin"))
+
+
+@query(_METRICS + " select dim, round(p / chance, 6) as lift from m")
+def lift_over_chance(spark: SparkSession, where: str) -> DataFrame:
+    """The precision of each size over that of a random order."""
+    return retrieval.lift(retrieval.metrics(_vectors(spark, where), DIMS)).select("dim", F.round("lift", 6).alias("lift"))
+
+
+@query("select cast(count(*) as bigint) as n, 64 as dims, true as is_ordered, true as is_bounded from embeddings")
+def spectrum_bounds(spark: SparkSession, where: str) -> DataFrame:
+    """The spectrum's numbers keep their bounds: 1 <= rank <= dims, and 90 % need no more dimensions than 95, nor these than 99."""
+    s = geometry.spectrum(_vectors(spark, where))
+    ordered = (F.col("dims_90") <= F.col("dims_95")) & (F.col("dims_95") <= F.col("dims_99")) & (F.col("dims_99") <= F.col("dims"))
+    return s.select("n", "dims", ordered.alias("is_ordered"), F.col("effective_rank").between(1, F.col("dims")).alias("is_bounded"))
+
+
+@query("select cast(sum(n) as bigint) as n, 3 as folds, round(1.0 / count(*), 9)::double as chance, true as is_share from (select count(*) as n from embeddings where label is not null group by label)")
+def linear_probe_folds(spark: SparkSession, where: str) -> DataFrame:
+    """All rows are tested once over the folds; chance is one over the classes, and accuracies are shares."""
+    p = geometry.linear_probe(_vectors(spark, where))
+    return p.agg(F.sum("n").alias("n"), F.count("*").cast("int").alias("folds"), F.round(F.max("chance"), 9).alias("chance"), F.bool_and(F.col("accuracy").between(0, 1)).alias("is_share"))
+
+
+@query(
+    f"""with {_COORD}, c as (select label, pos, avg(x) as c from x where label in (1, 2) group by label, pos), j as (select a.c as x, b.c as y from c a join c b using (pos) where a.label = 1 and b.label = 2)
+select 1 as a, 2 as b, round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 7) as cosine, round(sqrt(sum((x - y) ** 2)), 7) as distance from j"""
+)
+def centroids_of_two_classes(spark: SparkSession, where: str) -> DataFrame:
+    c = geometry.class_pair(geometry.centroids(_vectors(spark, where)), 1, 2)
+    return c.select("a", "b", F.round("cosine", 7).alias("cosine"), F.round("distance", 7).alias("distance"))
+
+
+@query(_METRICS + " select dim, round(ndcg, 7) as ndcg from m where dim not in (8, 32)")
+def results_without_contaminated(spark: SparkSession, where: str) -> DataFrame:
+    """Sizes in the place of tasks, of which two are contaminated."""
+    from granary.operators import probes
+
+    m = retrieval.metrics(_vectors(spark, where), DIMS)
+    return probes.without_tasks(m, spark.createDataFrame([(8,), (32,)], "dim int"), "dim").select("dim", F.round("ndcg", 7).alias("ndcg"))
+
+
+@query("select e.vec_id, e.label, user_id, p.source from embeddings e join events on event_id = vec_id join pairs p on p.id = vec_id")
+def three_tables_by_row(spark: SparkSession, where: str) -> DataFrame:
+    """Vectors, events and pairs with the same row number beside each other."""
+    from granary.operators.pairs import by_row
+
+    v = _vectors(spark, where).select(F.col("vec_id").alias("row_id"), "label")
+    e = table(spark, where, "events").select(F.col("event_id").alias("row_id"), "user_id")
+    return by_row(v, e, table(spark, where, "pairs").select(F.col("id").alias("row_id"), "source")).withColumnRenamed("row_id", "vec_id")
 
 
 @query(f"with {_COORD} select label, pos::integer as pos, round(max(ln(1 + greatest(x, 0))), 7) as weight from x where vec_id % 2 = 0 group by all having max(x) > 0")
@@ -243,3 +311,20 @@ def positional_join(spark: SparkSession, where: str) -> DataFrame:
     v = _vectors(spark, where).select(F.col("vec_id").alias("row_id"), "label", F.round(V.norm(F.col("embedding")), 6).alias("length"))
     e = table(spark, where, "events").select(F.col("event_id").alias("row_id"), "user_id")
     return by_row(v, e).withColumnRenamed("row_id", "vec_id")
+
+
+_LEADS = "r as (select label, vec_id % 5 as term, vec_id * 7 % 13 + 1 as exact, vec_id * 3 % 7 + 1 as class from embeddings where label is not null)"
+
+
+@query(
+    f"""with {_LEADS} select label, term, cast(grouping(label) + grouping(term) as integer) as level, count(*) as n, median(exact) as median_rank, round(avg(case when exact = 1 then 1.0 else 0.0 end), 9)::double as exact_top1,
+round(avg(case when class = 1 then 1.0 else 0.0 end), 9)::double as class_top1, round(avg(case when class <= 5 then 1.0 else 0.0 end), 9)::double as class_top5,
+round(avg(case when class = 1 then 1.0 else 0.0 end) - avg(case when exact = 1 then 1.0 else 0.0 end), 9)::double as concept_lead from r group by rollup (label, term)"""
+)
+def concept_leads(spark: SparkSession, where: str) -> DataFrame:
+    """Ranks of the exact token and of its class, per term, per class and over all. Numbers of the rows stand for the ranks."""
+    from granary.operators import probes
+
+    v = F.col("vec_id")
+    rows = _vectors(spark, where).filter("label is not null").select("label", (v % 5).alias("term"), (v * 7 % 13 + 1).alias("exact"), (v * 3 % 7 + 1).alias("class"))
+    return probes.concept_leads(rows, "label", "term", "exact", "class")

@@ -41,40 +41,50 @@ def within_budget(files: DataFrame, budget: int) -> list[str]:
     return out
 
 
-def xz_jsonl(spark: SparkSession, path: str, subset: str = "", field: str = "text") -> DataFrame:
-    """(id, text, path): the texts of xz-compressed JSON lines, one file a task; `id` is subset:path:line, which is unique.
+def xz_jsonl(spark: SparkSession, path: str, subset: str = "", field: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(records, skipped). records: (id, text, path), the texts of xz-compressed JSON lines, one file a task; `id` is
+    subset:file:line, which is unique. skipped: (path, line, error), the lines that aren't UTF-8 or JSON or have no text, and
+    files that can't be unpacked to their end, at the line where they break.
 
-    Lines that aren't UTF-8 or JSON, or have no text, are skipped; a file that can't be unpacked ends where it breaks. Files
-    are unpacked as a stream, so that memory doesn't follow their size."""
+    Tasks get the files' names, open them and unpack them as a stream, so that neither size nor memory follows a file's."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                ids, texts = [], []
+            for name in b.column(0).to_pylist():
+                rows: list[tuple] = []
+                i = -1
+                system, at = fs.FileSystem.from_uri(name)
                 try:
-                    for i, line in enumerate(lzma.LZMAFile(pa.BufferReader(content.as_buffer()))):
+                    for i, line in enumerate(lzma.LZMAFile(system.open_input_stream(at, compression=None))):
                         try:
                             t = json.loads(line.decode()).get(field)
+                            rows.append((i, t, None) if isinstance(t, str) else (i, None, "no text"))
                         except (ValueError, AttributeError):
-                            continue
-                        if isinstance(t, str):
-                            ids.append(f"{subset}:{name.rsplit('/', 1)[-1]}:{i}")
-                            texts.append(t)
-                        if len(ids) >= 1000:
-                            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts), pa.array([name] * len(ids))], names=["id", "text", "path"])
-                            ids, texts = [], []
+                            rows.append((i, None, "not JSON"))
+                        if len(rows) >= 1000:
+                            yield batch(name, rows)
+                            rows = []
                 except (lzma.LZMAError, EOFError):
-                    pass
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts), pa.array([name] * len(ids))], names=["id", "text", "path"])
+                    rows.append((i + 1, None, "broken file"))
+                if rows:
+                    yield batch(name, rows)
+
+    def batch(name: str, rows: list[tuple]) -> pa.RecordBatch:
+        line, text, error = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(line, pa.int64()), pa.array(text, pa.string()), pa.array(error, pa.string())], names=["path", "line", "text", "error"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xz").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(read, "id string, text string, path string")
+    files = shards(spark, path, "*.xz").select("path")
+    n = files.count()
+    all_ = files.repartition(max(1, min(n, 10_000)), "path").mapInArrow(read, "path string, line bigint, text string, error string")
+    own = F.concat_ws(":", F.lit(subset), F.substring_index("path", "/", -1), "line")
+    return all_.filter("error is null").select(own.alias("id"), "text", "path"), all_.filter("error is not null").select("path", "line", "error")
 
 
-def parquet_field(spark: SparkSession, path: str, field: str = "text", config: str | None = None, split: str = "train") -> DataFrame:
+def parquet_field(spark: SparkSession, path: str | list[str], field: str = "text", config: str | None = None, split: str = "train") -> DataFrame:
     """One column of the parquet shards of a config and split, found by their names; all shards if none has such a name."""
-    names = [r["path"] for r in shards(spark, path, "*.parquet").select("path").collect()]
+    names = path if isinstance(path, list) else [r["path"] for r in shards(spark, path, "*.parquet").select("path").collect()]
     chosen = [n for n in names if (config is None or f"/{config}/" in n) and split in n.rsplit("/", 1)[-1]] or names
     return spark.read.parquet(*chosen).select(field)
 
@@ -93,3 +103,14 @@ def log_numbers(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 def prefix_rows(vectors: DataFrame, key: str, *limits: int) -> DataFrame:
     """Rows below the least of some limits: what a cache that is still being written has for certain."""
     return vectors.filter(F.col(key) < min(limits))
+
+
+def labelled(spark: SparkSession, path: str, split: str, column: str = "split") -> DataFrame:
+    """The rows of one split of a table that is written by split; other splits' files are not read."""
+    return spark.read.parquet(path).filter(F.col(column) == split)
+
+
+def cached_vectors(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(key, data): the rows of a vector cache below its progress; what a batch that isn't marked yet has left is not read."""
+    done = spark.read.text(f"{path}.progress").first()
+    return prefix_rows(spark.read.parquet(path), key, int(done[0]) if done else 0)

@@ -53,6 +53,32 @@ def append_missing(results: DataFrame, path: str, key: str = "step", force: bool
     results.write.mode("append").parquet(path)
 
 
+def cache_vectors(vectors: DataFrame, path: str, batch: int, key: str, vector: str = "embedding", mark: bool = True) -> None:
+    """Writes one batch of vectors in half precision to a folder of its own, which a batch that runs again replaces, and then the
+    progress: the first key that isn't there yet. Batches come in order of their keys; `mark` False leaves the progress as it was."""
+
+    def half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.asarray(v, "<f2").tobytes() for v in b.column(1).to_pylist()], pa.binary())], names=["k", "data"])
+
+    rows = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("k"), vector)
+    rows.mapInArrow(half, "k bigint, data binary").withColumnRenamed("k", key).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    if mark:
+        spark = vectors.sparkSession
+        done = spark.read.parquet(f"{path}/batch={batch}").agg(F.coalesce(F.max(key) + 1, F.lit(0)))
+        write_text(spark, f"{path}.progress", str(done.first()[0]))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, in any file system that the session knows; an older one is replaced."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+
+
 def status(row: DataFrame, title: str = "Status") -> str:
     """A one-row table as Markdown."""
     r = row.first()

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from granary.session import small
+
 
 def files(spark: SparkSession, path: str, schema, fmt: str = "parquet", per_batch: int | None = None) -> DataFrame:
     """A stream of the files under a path (which may be a pattern); `per_batch` files a batch hold back the rest."""
@@ -53,6 +55,22 @@ def distinct(stream: DataFrame, key: str, event_time: str | None = None, delay:
     return stream.dropDuplicates([key])
 
 
+def distinct_into(stream: DataFrame, key: str, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Appends the first arrival of each key to a table, of which one folder is written per batch. What has come is known from the
+    table itself, so that no state is kept in memory however many keys there are; a batch that runs again replaces its folder."""
+
+    def on_batch(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        new = rows.filter(F.col(key).isNotNull()).dropDuplicates([key])
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            old = spark.read.schema(f"`{key}` {rows.schema[key].dataType.simpleString()}, batch_no bigint").parquet(path)
+            new = new.join(old.filter(F.col("batch_no") < batch).select(key), key, "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/batch_no={batch}")
+
+    return _start(stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint), every)
+
+
 def probe(stream: DataFrame, results: str, compute: Callable[[DataFrame], DataFrame], checkpoint: str, key: str = "step", every: str | None = None) -> StreamingQuery:
     """Runs `compute` on the keys of each batch that have no result yet, and appends what it returns."""
     from granary.sources.sinks import append_missing
@@ -65,7 +83,7 @@ def probe(stream: DataFrame, results: str, compute: Callable[[DataFrame], DataFr
 
 def archive(stream: DataFrame, targets: DataFrame, store: str, checkpoint: str, key: str = "step", every: str | None = None) -> StreamingQuery:
     """Keeps the rows whose key is a target and isn't kept yet. A batch that runs again adds nothing twice."""
-    return probe(stream.join(F.broadcast(targets.select(key).distinct()), key), store, lambda rows: rows, checkpoint, key, every)
+    return probe(stream.join(small(targets.select(key).distinct()), key), store, lambda rows: rows, checkpoint, key, every)
 
 
 ALERT = "series string, kind string, step bigint, value double"

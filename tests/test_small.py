@@ -93,3 +93,33 @@ def test_unions_and_shares(spark, rows):
 def test_a_short_last_batch_is_dropped(spark, rows):
     d = losses.batches(rows("i int", [(i,) for i in range(7)]), [F.col("i")], 3)
     assert d.count() == 6 and losses.batches(rows("i int", []), [F.col("i")], 3).count() == 0
+
+
+def test_relational_loss_over_nested_sizes(spark, rows):
+    import numpy as np
+
+    m = np.random.default_rng(2).normal(size=(6, 4))
+    d = rows("batch_no bigint, slot int, v array<double>", [(0, i, x.tolist()) for i, x in enumerate(m)])
+    one = {n: losses.relational(d, "v", "v", dims=[n]).first() for n in (2, 4)}
+    both = losses.relational(d, "v", "v", dims=[2, 4]).first()
+    assert abs(one[4]["loss"]) < 1e-9 and one[2]["loss"] > 0 and math.isclose(both["loss"], (one[2]["loss"] + one[4]["loss"]) / 2)
+
+
+def test_guard_names_the_source(spark, rows):
+    import pytest
+
+    from granary.operators import dedup
+
+    raw, read = rows("source string, doc_id int", [("a", 1), ("b", 2), (None, 3)]), rows("source string, doc_id int", [("a", 1), (None, 3)])
+    assert {r["source"]: r["n_missing"] for r in dedup.guarded(dedup.count_guard(raw, raw)).collect()} == {"a": 0, "b": 0, "(none)": 0}
+    with pytest.raises(Exception, match="missing of source b: 1"):
+        dedup.guarded(dedup.count_guard(raw, read)).collect()
+
+
+def test_negatives_are_filled_up_beyond_the_pool(spark, rows, monkeypatch):
+    from granary.operators import bm25
+
+    monkeypatch.setattr(bm25, "POOL", 1)
+    data = [(0, "red fish", "own", "L", "s")] + [(i, "x", f"other{i}", "L" if i < 5 else "M", "s") for i in range(1, 9)]
+    got = bm25.hard_negatives(rows("id bigint, anchor string, positive string, label string, source string", data), 3).filter("query = 0").orderBy("rank").collect()
+    assert [r["rank"] for r in got] == [1, 2, 3] and {r["doc"] for r in got} < {5, 6, 7, 8} and {r["score"] for r in got} == {-1.0}

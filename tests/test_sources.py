@@ -21,8 +21,9 @@ def test_xz(spark, tmp_path):
     with lzma.open(tmp_path / "x.jsonl.xz", "wb") as f:
         f.write(b'{"text": "one"}\n\xff\xfe\n{"no": 1}\n{"text": "two"}\n')
     (tmp_path / "bad.jsonl.xz").write_bytes(b"not xz")
-    got = readers.xz_jsonl(spark, str(tmp_path), "sub").collect()
-    assert sorted((r["id"], r["text"]) for r in got) == [("sub:x.jsonl.xz:0", "one"), ("sub:x.jsonl.xz:3", "two")]
+    rows, skipped = readers.xz_jsonl(spark, str(tmp_path), "sub")
+    assert sorted((r["id"], r["text"]) for r in rows.collect()) == [("sub:x.jsonl.xz:0", "one"), ("sub:x.jsonl.xz:3", "two")]
+    assert sorted((r["line"], r["error"]) for r in skipped.collect()) == [(0, "broken file"), (1, "not JSON"), (2, "no text")]
 
 
 def test_budget_of_files_and_parquet_field(spark, tmp_path):
