@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLASSES = ["empty", "copied", "refusal", "language", "truncated"]
@@ -35,11 +36,13 @@ _TAILS = ["", "", "", "", ",", ";", " -", " –", " —", "…", "...", " …",
 # Words and patterns from which refusals are put together; x is a topic.
 _REFUSALS = {
     "start": ["", "", "", "I'm sorry, but ", "I am sorry, ", "Sorry, ", "Unfortunately, ", "Unfortunately ", "I apologize, but ", "My apologies, ", "Regrettably, ", "Thank you for your question, but ", "I'm afraid ", "As an AI language model, ", "As an AI, ", "As an AI assistant, ", "As a language model, "],
-    "core": ["I can't help with that", "I cannot help with that request", "I can't assist with this request", "I cannot answer this", "I cannot answer questions about x", "I can't answer that", "I am unable to answer this question", "I'm unable to help with x", "I'm not able to assist with questions about x", "I am unable to provide legal advice on x", "I am not able to provide that information", "I can't provide that information", "I cannot provide details about x", "I do not have access to the document you mention", "I don't have access to x, so I can't say", "I don't have enough information to answer", "I have no information about x", "I must decline to comment on x", "I must decline to answer", "I'd rather not speculate about x", "I would rather not answer this", "I won't be able to answer that", "I will not answer this", "I decline to answer", "I prefer not to discuss x", "we are unable to help you with x", "we cannot disclose information about x", "it would not be appropriate for me to answer this", "that is not something I can discuss", "this is outside my scope", "that goes beyond what I'm permitted to discuss", "my guidelines do not allow me to discuss x", "my policy prevents me from answering", "I am not allowed to discuss x", "I'm not permitted to answer questions about x", "answering this would violate my guidelines", "I cannot answer this from the material given", "I don't know the answer to this question", "I am not qualified to give advice on x", "I can neither confirm nor deny anything about x", "request refused: this topic is outside my scope", "request denied: I may not talk about x", "this question cannot be answered by me"],
+    "core": ["I can't help with that", "I cannot help with that request", "I can't assist with this request", "I cannot answer this", "I cannot answer questions about x", "I can't answer that", "I am unable to answer this question", "I'm unable to help with x", "I'm not able to assist with questions about x", "I am unable to provide legal advice on x", "I am not able to provide that information", "I can't provide that information", "I cannot provide details about x", "I do not have access to the document you mention", "I don't have access to x, so I can't say", "I don't have enough information to answer", "I have no information about x", "I must decline to comment on x", "I must decline to answer", "I'd rather not speculate about x", "I would rather not answer this", "I won't be able to answer that", "I will not answer this", "I decline to answer", "I prefer not to discuss x", "we are unable to help you with x", "we cannot disclose information about x", "it would not be appropriate for me to answer this", "that is not something I can discuss", "this is outside my scope", "that goes beyond what I'm permitted to discuss", "my guidelines do not allow me to discuss x", "my policy prevents me from answering", "I am not allowed to discuss x", "I'm not permitted to answer questions about x", "answering this would violate my guidelines", "I cannot answer this from the material given", "I don't know the answer to this question", "I am not qualified to give advice on x", "I can neither confirm nor deny anything about x", "request refused: this topic is outside my scope", "request denied: I may not talk about x", "this question cannot be answered by me", "no comment will be given on x", "no answer can be provided to this question", "it is not possible to answer questions of this kind here", "this request cannot be fulfilled", "this topic falls outside of what this assistant covers", "assistance with x is not available", "an answer to this question is not something that can be given here", "this assistant does not give opinions on x", "information on x will not be disclosed", "questions about x are not answered here", "I have to pass on this one", "I do not feel comfortable answering this", "I am only able to help with other topics", "nothing can be said about x at this point", "we do not respond to questions on x", "my instructions keep me from talking about x", "I am not in a position to comment on x", "we have nothing to add on x", "that is not a matter I can speak to", "I can't offer guidance on x", "I have nothing to say about that", "x is not a topic that we are able to discuss", "no opinion on x can be offered", "I would have to pass on questions like that"],
     "end": [".", ".", ".", ".", "!", "; please consult a lawyer.", ". Please rephrase.", ". Please rephrase your question.", ". Is there anything else I can do?", ". Thank you for understanding.", ". Please consult a professional.", ". Try another question.", ". Can I help you with something else?"],
-    "other": ["Es tut mir leid, dabei kann ich nicht helfen", "Leider kann ich diese Frage nicht beantworten", "Tut mir leid, ich kann Ihnen dabei nicht helfen", "Ich kann dazu keine Auskunft geben", "Dazu darf ich mich nicht äußern", "Als KI-Sprachmodell kann ich keine Fragen zu x beantworten", "Ich bin nicht in der Lage, diese Anfrage zu beantworten", "Entschuldigung, das liegt außerhalb meiner Möglichkeiten", "Ich habe keinen Zugriff auf dieses Dokument", "Diese Anfrage kann ich leider nicht bearbeiten", "Je suis désolé, je ne peux pas répondre à cette demande", "Désolé, je ne peux pas vous aider avec cette question", "Je ne suis pas en mesure de répondre à cette question", "Malheureusement, je ne peux pas fournir cette information", "En tant que modèle de langage, je ne peux pas parler de x", "Je n'ai pas accès à ce document", "Je préfère ne pas répondre", "Il m'est impossible de répondre à cela", "Je dois refuser de commenter x", "Cette demande dépasse ce que je suis autorisé à traiter", "Lo siento, no puedo ayudar con esa solicitud", "Lo siento, pero no puedo responder a esa pregunta", "Lamentablemente, no puedo proporcionar esa información", "No estoy en condiciones de responder a esta pregunta", "Como modelo de lenguaje, no puedo hablar de x", "No tengo acceso a ese documento", "Prefiero no responder", "Disculpe, eso queda fuera de mi alcance", "Debo negarme a comentar sobre x", "Mis directrices no me permiten hablar de x"],
+    "other": ["Es tut mir leid, dabei kann ich nicht helfen", "Leider kann ich diese Frage nicht beantworten", "Tut mir leid, ich kann Ihnen dabei nicht helfen", "Ich kann dazu keine Auskunft geben", "Dazu darf ich mich nicht äußern", "Als KI-Sprachmodell kann ich keine Fragen zu x beantworten", "Ich bin nicht in der Lage, diese Anfrage zu beantworten", "Entschuldigung, das liegt außerhalb meiner Möglichkeiten", "Ich habe keinen Zugriff auf dieses Dokument", "Diese Anfrage kann ich leider nicht bearbeiten", "Je suis désolé, je ne peux pas répondre à cette demande", "Désolé, je ne peux pas vous aider avec cette question", "Je ne suis pas en mesure de répondre à cette question", "Malheureusement, je ne peux pas fournir cette information", "En tant que modèle de langage, je ne peux pas parler de x", "Je n'ai pas accès à ce document", "Je préfère ne pas répondre", "Il m'est impossible de répondre à cela", "Je dois refuser de commenter x", "Cette demande dépasse ce que je suis autorisé à traiter", "Lo siento, no puedo ayudar con esa solicitud", "Lo siento, pero no puedo responder a esa pregunta", "Lamentablemente, no puedo proporcionar esa información", "No estoy en condiciones de responder a esta pregunta", "Como modelo de lenguaje, no puedo hablar de x", "No tengo acceso a ese documento", "Prefiero no responder", "Disculpe, eso queda fuera de mi alcance", "Debo negarme a comentar sobre x", "Mis directrices no me permiten hablar de x", "Zu diesem Thema wird keine Stellungnahme abgegeben", "Diese Frage kann hier nicht beantwortet werden", "Il n'est pas possible de répondre à cette question ici", "Aucun commentaire ne sera fait à ce sujet", "No es posible responder a esta pregunta", "No se harán comentarios sobre este asunto", "Mi dispiace, non posso rispondere a questa domanda", "Non sono in grado di aiutarti con questa richiesta", "Purtroppo non posso fornire queste informazioni", "Lamento, mas não posso responder a essa pergunta", "Desculpe, não consigo ajudar com esse pedido", "Het spijt me, ik kan deze vraag niet beantwoorden", "Helaas kan ik u daar niet mee helpen", "Przykro mi, nie mogę odpowiedzieć na to pytanie", "Извините, я не могу ответить на этот вопрос", "抱歉，我无法回答这个问题。", "申し訳ありませんが、その質問にはお答えできません。"],
+    "before": ["The question of x is an interesting one, and many people ask about it, but ", "Thank you for asking about x. ", "You raise a point about x that deserves a careful look, however ", "I understand that you would like to know more about x, and that it matters to you, yet ", "While I see why x is of interest, ", "Questions such as this one come up often. "],
+    "after": [" I understand that this may be frustrating.", " If you have other questions about general topics, feel free to ask them at any time.", " For matters of this kind it is best to speak with someone who knows the facts of your case.", " Please look at the original document, or contact the office that issued it, for reliable details.", " I appreciate your patience and hope that you find what you need elsewhere.", " There may be other sources that cover it in more depth."],
 }
-_PARTIES = ["x may refuse any request and shall then say why it cannot help.", "x declined to comment on the award.", "x said that it was sorry for the delay and could not deliver the report.", "x is unable to provide any assurance that the event will not recur.", "x must decline any offer below the price and is not permitted to discuss it.", "The witness said “I cannot answer that” when asked about x.", "x hat die Zahlung verweigert und kann die Frist nicht einhalten.", "x lehnt das Angebot ab.", "x refuse de payer et ne peut pas livrer le rapport.", "x se niega a pagar y no puede entregar el informe."]
+_PARTIES = ["x may refuse any request and shall then say why it cannot help.", "x declined to comment on the award.", "x said that it was sorry for the delay and could not deliver the report.", "x is unable to provide any assurance that the event will not recur.", "x must decline any offer below the price and is not permitted to discuss it.", "The witness said “I cannot answer that” when asked about x.", "x hat die Zahlung verweigert und kann die Frist nicht einhalten.", "x lehnt das Angebot ab.", "x refuse de payer et ne peut pas livrer le rapport.", "x se niega a pagar y no puede entregar el informe.", "The request of x for more time was denied by the court.", "The court declined to answer the question that x had put.", "x could not be reached, and no comment was given on the sale.", "This question was not raised below, and x cannot raise it now.", "It is not possible for x to assign the lease without consent.", "x is not permitted to disclose the terms.", "Die Frage von x wurde vom Gericht nicht beantwortet.", "La demande de x ne peut pas être accueillie.", "La solicitud de x no puede ser atendida."]
 # Sound pairs that are added to a small sample.
 _SOUND = [
     ("When does the lease of the warehouse end?", "The lease ends on 31 May 2021, unless the tenant renews it in writing at least 60 days before. The deposit is then returned."),
@@ -55,21 +58,32 @@ _SOUND = [
     ("Is the buyer bound by the clause on arbitration?", "Yes. The buyer signed the agreement on 4 March 2018, and the clause on arbitration binds both parties and their successors."),
     ("Which risks does the company disclose?", "The company depends on three suppliers, and the loss of any of them would harm its results. It also faces risks from currency effects."),
 ]
-#: A sample with fewer usable rows is filled up with them.
-LEAST_ROWS = 200
-_PREFIX = regex.compile(r"^\s*\[(?:QUERY|PASSAGE)\]\s?", regex.I)
-_WORD = regex.compile(r"[^\W_]+(?:['’][^\W_]+)?")
-_MARK = regex.compile(r"^\W*(?:n\W?a|none|null|nil|nan|undefined|empty|blank|tbd|no (?:answer|response)(?: (?:given|provided|available))?|not (?:available|applicable|answered)|unanswered|deleted|removed|no text|keine (?:antwort|angabe)|sans réponse|(?:pas de|aucune) réponse|sin respuesta|néant|no aplica)?\W*$", regex.I)
-_SELF = regex.compile(r"\b(?:i|i['’]m|i['’]d|i['’]ve|we|my|me|our)\b[^.;:“”\"]{0,40}\b(?:can['’]?t|can ?not|unable|not able|won['’]t|will not|decline|rather not|not allowed|not permitted|do not allow|don['’]t have|do not have|sorry|afraid|apologi[sz]e|permitted|scope|guidelines|refuse|don['’]t know|prefer not)\b|\b(?:sorry|apologi[sz]e)\b[^.]{0,30}\bi\b|\bfor me to\b|\bich\b[^.]{0,40}\b(?:nicht|keine?n?)\b|\bleid\b|\bje\b[^.]{0,30}\bpas\b|\bdésolé|\blo siento\b|^\W*no (?:puedo|tengo|estoy)\b|\bno (?:puedo|me permiten)\b|\bai language model\b|\bas an ai\b|\brequest (?:refused|denied)\b", regex.I)
+_MARK = r"(?iu)^[^\p{L}\p{N}]*(?:n\W?a|none|null|nil|nan|undefined|empty|blank|tbd|no (?:answer|response)(?: (?:given|provided|available))?|not (?:available|applicable|answered)|unanswered|deleted|removed|no text|keine (?:antwort|angabe)|sans réponse|(?:pas de|aucune) réponse|sin respuesta|néant|no aplica)?[^\p{L}\p{N}]*$"
+#: A sentence that speaks for the one who answers, or of the question itself, and declines.
+_NOT = r"(?:can['’]?t|can ?not|unable|not able|only able|won['’]t|will not|not allowed|not permitted|not authori[sz]ed|not in a position|not qualified|not comfortable|not feel comfortable|declin(?:e|ing)|rather not|prefer not|refuse|(?:do|does) not allow|prevents? me|keep me from|don['’]t|do not|nothing to|no way to|neither)"
+_ACT = r"(?:answer\w*|help|assist|comment\w*|discuss\w*|disclos\w*|provid\w*|respon\w*|speak|say|advi[cs]e|share|talk\w*|giv(?:e|ing)|offer|address|speculat\w*|confirm|explain|know|access|information|enough|tell|fulfil\w*|process|complet\w*|handle|add|do (?:that|this|so))"
+_SELF = (
+    rf"(?iu)\b(?:i|i['’](?:m|d|ve|ll)|my|me)\b[^.;:“”\"]{{0,60}}\b{_NOT}\b|\b(?:we|our|us|this assistant)\b[^.;:“”\"]{{0,30}}\b{_NOT}\b[^.;:“”\"]{{0,20}}\b{_ACT}\b|\b(?:i|i['’](?:m|ve)|we) (?:have )?(?:no (?:information|access|comment|answer|knowledge)|pass on|must pass|have to pass)\b"
+    r"|\b(?:i['’]?m|i am|we['’]re|we are|so|very) (?:so |very |really |truly )?(?:sorry|afraid)\b|\bi (?:must |do )?apologi[sz]e\b|^\W*(?:sorry|apologies|my apologies|unfortunately|regrettably)\b[^.]{0,40}\b(?:i|we|this|that|no)\b|\bfor me to\b|\bai (?:language )?model\b|\bas an ai\b|\brequest (?:refused|denied)\b"
+    rf"|\b(?:this|that|your|such) (?:question|request|query|topic|inquiry)s?\b[^.]{{0,40}}\b(?:can['’]?t|cannot|can not|not possible|unable|outside|beyond|not answered)\b|\bno (?:comment|answer|response|details?|advice|opinion) (?:will|can) be \w+|\bnot an? \w+ (?:that |which )?(?:i|we) (?:can|could|am|are)\b|\bnot something (?:that )?(?:i|we|can)\b|\bquestions about\b[^.]{{0,40}}\bnot answered\b|\bassistance with\b[^.]{{0,40}}\bnot available\b|\bnothing can be said\b|\bwill not be disclosed\b|\bit is not possible to {_ACT}\b"
+    r"|\bich\b[^.]{0,40}\b(?:nicht|nichts|keine?n?)\b|\b(?:nicht|nichts|keine?n?)\b[^.]{0,20}\bich\b|\b(?:kann|darf|möchte) ich\b[^.]{0,40}\b(?:nicht|nichts|keine?n?)\b|\b(?:mir|uns) leid\b|\bkeine stellungnahme\b|\bfrage kann\b[^.]{0,20}\bnicht\b|\bje\b[^.]{0,40}\b(?:pas|refuser|impossible)\b|\bdésolé|\baucun commentaire\b|\bpas possible de répondre\b|\bm['’]est impossible\b|\blo siento\b|^\W*(?:lamentablemente\W+)?no (?:puedo|tengo|estoy|es posible|se harán|podemos)\b|\bno (?:puedo|me permiten)\b|\bdisculpe\b|\bnegarme\b|\bprefiero no\b"
+    r"|\bmi dispiace\b|\bspiacente\b|\bnon (?:posso|sono in grado)\b|\bnão (?:posso|consigo)\b|\bspijt me\b|\bkan ik u?\b[^.]{0,20}\bniet\b|\bik kan\b[^.]{0,40}\bniet\b|\bprzykro mi\b|\bnie mogę\b|\bне могу\b|抱歉|申し訳"
+)
+_QUOTES = r"[“„«\"][^“”„«»\"]{1,300}[”“»\"]"
 _END = regex.compile(r"[.!?。！？](?:[”\"'’»)\]]|\s)*$")
 _ABBREVIATED = regex.compile(r"(?<![^\W_])(?:no|nos|sec|secs|art|arts|par|para|cl|ch|p|pp|vol|fig|vs|v|cf|e\.g|i\.e|approx|mr|mrs|ms|dr|st|nr|abs|bzw|z\.b|núm|pág|ed|al|inc|art)\.\W*$", regex.I)
+_QUOTING = regex.compile(r"(?:^|[\s(])[\"'“„«‘]$")
 _LISTED = regex.compile(r"\((?:[ivx]+|[a-z]|\d)\)\W*$", regex.I)
+_PREFIX = regex.compile(r"^\s*\[(?:QUERY|PASSAGE)\]\s?", regex.I)
+_WORD = regex.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 #: Of the function words those of one language only.
 _SETS = {k: frozenset(v.split()) - {w for j, u in FUNCTION_WORDS.items() if j != k for w in u.split()} for k, v in FUNCTION_WORDS.items()}
 #: Letters that of the four languages only one has.
-_LETTERS = [frozenset(), frozenset("äöüß"), frozenset("çœêèàâîôûë"), frozenset("ñáíóú")]
-_LANGUAGE_OF = {w: i for i, s in enumerate(_SETS.values()) for w in s}
-DENSE = 52
+_LETTERS = ["", "äöüß", "çœêèàâîôûë", "ñáíóú¿¡"]
+#: Characters at the end of a text that tell how it ends.
+TAIL = 64
+#: A sample with fewer usable rows is filled up with them.
+LEAST_ROWS = 200
 
 
 def body(text: str | None) -> str:
@@ -78,114 +92,174 @@ def body(text: str | None) -> str:
 
 
 def languages(words: list[str]) -> list[float]:
-    """For each language the share of the words that are its function words, or (half) have a letter that is its own."""
-    out = [0.0] * len(_SETS)
-    for w in words:
-        if (i := _LANGUAGE_OF.get(w)) is not None:
-            out[i] += 1
-        if not w.isascii():
-            for i, own in enumerate(_LETTERS):
-                if not own.isdisjoint(w):
-                    out[i] += 0.5
-    return [x / max(1, len(words)) for x in out]
-
-
-def features(anchor: str | None, positive: str | None) -> tuple[list[float], list[int]]:
-    """The pair's own features, and the places of the positive's hashed n-grams."""
-    a, p = body(anchor), body(positive)
-    wa, wp = _WORD.findall(a.lower()), _WORD.findall(p.lower())
-    sa = set(wa)
-    n_new = sum(w not in sa for w in wp)
-    own = len(sa.intersection(wp)) / max(1, len(sa))
-    la, lp = languages(wa), languages(wp)
-    top_a, top_p = max(la), max(lp)
-    best_a, best_p = la.index(top_a), lp.index(top_p)
-    some, several = bool(wp), len(wp) > 3
-    opening = _SELF.search(p[:60]) is not None
-    speaks = len(wp) < 45 and (opening or _SELF.search(p) is not None)
-    end, tail = _END.search(p) is not None, p[-1:]
-    loose = not end and some
-    lower, upper, digit = loose and tail.isalpha() and tail.islower(), loose and tail.isalpha() and not tail.islower(), loose and tail.isdigit()
-    opened = tail != "" and tail in "(“„«[" or _LISTED.search(p) is not None
-    short = _ABBREVIATED.search(p) is not None and not p.endswith(("Inc.", "Inc.."))
-    broken = lower or upper or digit or tail != "" and tail in ",;:-–—/&" or opened or p.endswith(("...", "…")) or short
-    other = top_p > 0 and top_a > 0 and best_p != best_a and top_p > lp[best_a] + 0.05
-    shared = sum(map(min, la, lp))
+    """For each language the share of the words that are its function words."""
+    return [sum(w in s for w in words) / max(1, len(words)) for s in _SETS.values()]
+
+
+def prepared(pairs: DataFrame, *keep: str) -> DataFrame:
+    """What the features are made of, from columns a and p, in Spark's own expressions: the hashes of both texts' words, the end of
+    the positive, and numbers (see `_NUMBERS`) of it, among them how many of its sentences decline outside of quotations."""
+    bare = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?iu)^[\s\p{Z}]*\[(?:QUERY|PASSAGE)\]|^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    hashed = lambda c: F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.xxhash64(w))
+    r = pairs.select(*keep, F.regexp_replace(bare("a"), r"^[\s\p{Z}]+", "").alias("a"), F.regexp_replace(bare("p"), r"^[\s\p{Z}]+", "").alias("p"))
+    r = r.select(*keep, "a", "p", F.filter(F.split(F.regexp_replace("p", _QUOTES, " “ "), r"(?<=[.!?…。])[\s\p{Z}]*(?=[^.!?…。])|\n+"), lambda x: x.rlike(r"[\p{L}\p{N}]")).alias("s"))
+    r = r.withColumn("d", F.transform("s", lambda x: x.rlike(_SELF)))
+    letters = lambda c, own: F.length(c) - F.length(F.translate(c, own, "")) if own else F.lit(0)
+    count = lambda ch: F.length("p") - F.length(F.translate("p", ch, ""))
+    numbers = [F.col("p").rlike(_MARK).cast("int"), F.size("s"), F.size(F.filter("d", lambda x: x)), F.coalesce(F.get("d", F.lit(0)), F.lit(False)).cast("int"), F.coalesce(F.get("d", F.size("d") - 1), F.lit(False)).cast("int"), count("(") - count(")"), count("“") - count("”"), count("[") - count("]"), *(letters("a", x) for x in _LETTERS), *(letters("p", x) for x in _LETTERS)]
+    return r.select(*keep, hashed("a").alias("wa"), hashed("p").alias("wp"), F.right("p", F.lit(TAIL)).alias("tail"), F.array(*(x.cast("int") for x in numbers)).alias("numbers"))
+
+
+_NUMBERS = ["mark", "sentences", "declining", "first", "last", "round", "quote", "square", *(f"{t}{k}" for t in "ap" for k in range(4))]
+
+
+@dataclass
+class Rows:
+    """dense: one row of features each. sparse: the places of all rows' n-grams, and how many each row has."""
+
+    dense: np.ndarray
+    sparse: np.ndarray
+    counts: np.ndarray
+
+    def take(self, rows: np.ndarray) -> Rows:
+        start = np.cumsum(self.counts) - self.counts
+        n = self.counts[rows]
+        at = np.repeat(start[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return Rows(self.dense[rows], self.sparse[at], n)
+
+
+def function_words(spark: SparkSession) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the function words in order, and the language of each."""
+    words = [(w, i) for i, s in enumerate(_SETS.values()) for w in sorted(s)]
+    got = spark.createDataFrame(words, "w string, i int").select(F.xxhash64("w").alias("h"), "i").orderBy("h").collect()
+    return np.array([r["h"] for r in got], np.int64), np.array([r["i"] for r in got], np.int64)
+
+
+def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    n = np.asarray(pc.fill_null(pc.list_value_length(col), 0)).astype(np.int64)
+    return np.asarray(col.flatten()).view(np.uint64), n
+
+
+def _mix(x: np.ndarray, y: np.ndarray | int) -> np.ndarray:
+    z = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.asarray(y, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return z ^ (z >> np.uint64(32))
+
+
+def _ends(tail: str) -> list[float]:
+    """How a text ends: one number for each of the ways in which it breaks off, or not."""
+    last = tail[-1:]
+    end = _END.search(tail) is not None
+    loose = not end and last != ""
+    ellipsis, opened = tail.endswith(("...", "…")), last != "" and last in "(“„«[" or _QUOTING.search(tail) is not None or _LISTED.search(tail) is not None
+    short = _ABBREVIATED.search(tail) is not None and not tail.endswith(("Inc.", "Inc.."))
+    ways = [loose and last.islower(), loose and last.isalpha() and not last.islower(), loose and last.isdigit(), last != "" and last in ",;:", last != "" and last in "-–—/&", opened, ellipsis, short]
+    return [end, *ways, last == "|", loose and not opened and last in "”\"'’»)]", any(ways)]
+
+
+def features(batch: pa.RecordBatch | pa.Table, known: tuple[np.ndarray, np.ndarray]) -> Rows:
+    """The features of rows of `prepared`. No feature switches by a text's length: counts come as shares, logarithms or inverses."""
+    if isinstance(batch, pa.Table):
+        batch = batch.combine_chunks().to_batches()[0] if len(batch) else pa.RecordBatch.from_pylist([], batch.schema)
+    rows = len(batch)
+    (wa, na), (wp, np_) = _flat(batch.column("wa")), _flat(batch.column("wp"))
+    of_a, of_p = np.repeat(np.arange(rows), na), np.repeat(np.arange(rows), np_)
+    per = lambda of, w=None: np.bincount(of, w, rows)
+    key_a, key_p = _mix(wa, of_a), _mix(wp, of_p)
+    new = ~np.isin(key_p, key_a)
+    n_new, some = per(of_p, new), np_ > 0
+    only_a, first = np.unique(key_a, return_index=True)
+    own = per(of_a[first], np.isin(only_a, key_p)) / np.maximum(1, per(of_a[first]))
+
+    def language(w: np.ndarray, of: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(known[0], w.view(np.int64)), len(known[0]) - 1)
+        hit = known[0][at] == w.view(np.int64)
+        return np.bincount(of[hit] * 4 + known[1][at[hit]], minlength=rows * 4).reshape(rows, 4).astype(float)
+
+    m = dict(zip(_NUMBERS, np.asarray(batch.column("numbers").flatten(), float).reshape(rows, len(_NUMBERS)).T))
+    la, lp = language(wa, of_a) + 0.5 * np.stack([m[f"a{k}"] for k in range(4)], 1), language(wp, of_p) + 0.5 * np.stack([m[f"p{k}"] for k in range(4)], 1)
+    best_a, best_p, i = la.argmax(1), lp.argmax(1), np.arange(rows)
+    known_a, known_p = la[i, best_a] > 0, lp[i, best_p] > 0
+    gap = np.where(known_a, lp[i, best_p] - lp[i, best_a], 0)  # words for another language beyond those for the anchor's
+    sure = gap / np.sqrt(np.maximum(1, np_))
+    sa, sp = la / np.maximum(1, na)[:, None], lp / np.maximum(1, np_)[:, None]
+    other = known_a & known_p & (best_a != best_p)
+    ends = np.array([_ends(t) for t in batch.column("tail").to_pylist()], float).reshape(rows, 12)
+    broken = ends[:, -1] * some
+    sentences = np.maximum(1, m["sentences"])
+    says = m["declining"] > 0
     x = [
-        1, not wp, _MARK.match(p) is not None, len(wp) in (1, 2), min(len(wp), 100) / 50, n_new / max(1, len(wp)), some and not n_new, several and 0 < n_new <= 2 and own > 0.8, own, some and not n_new and own > 0.6,
-        speaks, opening, end, lower, upper, digit, tail != "" and tail in ",;:", tail != "" and tail in "-–—/&", opened, tail == "|",
-        p.endswith(("...", "…")), not end and not opened and tail != "" and tail in "”\"'’»)]", short, p.count("(") > p.count(")") or p.count("“") > p.count("”") or p.count("[") > p.count("]"), loose and len(wp) > 5, some and broken and n_new > 0,
-        other, sum(abs(u - v) for u, v in zip(la, lp)) if several else 0, lp[best_a] if top_a > 0 and several else 0.3, other and len(wp) > 6 and lp[best_a] < 0.04,
-        shared, top_p - lp[best_a] if top_a > 0 and several else 0, other and len(wp) > 6 and lp[best_a] < 0.04 and shared < 0.02, other and top_p > 0.15 and len(wp) > 8,
-        speaks and opening and len(wp) < 30, some and broken and n_new > 0 and not speaks,
+        np.ones(rows), ~some, m["mark"], np.log1p(np_) / 3, 1 / (1 + np_), n_new / np.maximum(1, np_), some & (n_new == 0), some / (1 + n_new), own, own * some / (1 + n_new), own * (some & (n_new == 0)),
+        says, m["declining"] / sentences, m["first"], m["last"], m["first"] * m["last"], says / sentences,
+        *ends.T, (m["round"] > 0) | (m["quote"] > 0) | (m["square"] > 0), broken * (n_new > 0), broken * (n_new > 0) * ~says,
+        other, other * sure, sure, gap / np.maximum(1, np_), np.abs(sa - sp).sum(1), np.minimum(sa, sp).sum(1), np.where(known_a, sp[i, best_a], 0.1), other * ~says, other * sure * ~says,
     ]
-    pairing = [0.0] * 16
-    if top_a > 0 and top_p > 0 and several:  # which language answers which
-        pairing[4 * best_a + best_p] = 1.0
-    grams = [*wp, "<end>"]
-    names = ["1" + w for w in grams]
-    names += ["2" + u + " " + v for u, v in zip(["<s>", *grams], grams)]
-    names += ["3" + u + " " + v + " " + w for u, v, w in zip(grams, grams[1:], grams[2:])]
-    if len(wp) <= 4:
-        names.append("=" + p.lower())
-    last = p[-80:].split()[-2:]
-    names += ["e" + " ".join(last[-1:]).lower()[-12:], "f" + " ".join(last).lower()[-20:]]
-    return [float(v) for v in x] + pairing, [zlib.crc32(n.encode()) & (PLACES - 1) for n in dict.fromkeys(names)]
-
-
-def _scale(n: np.ndarray) -> np.ndarray:
-    """The weight of each of n n-grams: they add up as a root of their number, and in texts of over 300 only as their mean."""
-    n = np.maximum(n, 1)
-    return np.minimum(1 / np.sqrt(n), np.sqrt(300) / n)
+    pairing = np.zeros((rows, 16))
+    pairing[i, 4 * best_a + best_p] = (known_a & known_p) * np.tanh(np.abs(sure))
+    dense = np.concatenate([np.stack([np.asarray(v, float) for v in x], 1), pairing], 1)
+
+    # n-grams of one to three words between a start and an end, each once per row
+    n = np_ + 2
+    begin = np.cumsum(n) - n
+    seq, row = np.zeros(n.sum(), np.uint64), np.repeat(i, n)
+    seq[np.repeat(begin + 1, np_) + np.arange(len(wp)) - np.repeat(np.cumsum(np_) - np_, np_)] = wp
+    seq[begin], seq[begin + n - 1] = 1, 2
+    grams = [(_mix(seq, 1), row)]
+    two = row[1:] == row[:-1]
+    grams.append((_mix(_mix(seq[:-1], 2), seq[1:])[two], row[1:][two]))
+    three = row[2:] == row[:-2]
+    grams.append((_mix(_mix(_mix(seq[:-2], 3), seq[1:-1]), seq[2:])[three], row[2:][three]))
+    place = np.unique(np.concatenate([r * PLACES + (g >> np.uint64(20)).astype(np.int64) % PLACES for g, r in grams]))
+    return Rows(dense, place % PLACES, np.bincount(place // PLACES, minlength=rows))
 
 
 class Model:
-    """One linear classifier per defect, on the same features, and the threshold of each."""
+    """One linear classifier per defect, on the same features, and the threshold of each: a pair may have several labels."""
 
     def __init__(self, dense: np.ndarray, sparse: np.ndarray, limits: np.ndarray):
         self.dense, self.sparse, self.limits = dense, sparse, limits
 
-    def scores(self, rows: list[tuple[list[float], list[int]]]) -> np.ndarray:
-        n = np.array([len(s) for _, s in rows])
-        x, at = np.array([d for d, _ in rows]).reshape(len(rows), DENSE), np.array([i for _, s in rows for i in s], np.int64)
-        of = np.repeat(np.arange(len(rows)), n)
-        scale = _scale(n)
-        return x @ self.dense + np.stack([np.bincount(of, self.sparse[at, c], len(rows)) * scale for c in range(len(CLASSES))], axis=1)
-
-    def label(self, rows: list[tuple[list[float], list[int]]]) -> list[str | None]:
-        """The defect whose score is furthest over its threshold, if any is."""
-        if not rows:
-            return []
+    def scores(self, rows: Rows) -> np.ndarray:
+        of, scale = np.repeat(np.arange(len(rows.counts)), rows.counts), 1 / np.sqrt(np.maximum(1, rows.counts))
+        return rows.dense @ self.dense + np.stack([np.bincount(of, self.sparse[rows.sparse, c], len(rows.counts)) * scale for c in range(len(CLASSES))], axis=1)
+
+    def labels(self, rows: Rows) -> list[list[str]]:
+        """All defects of each row whose score is over its threshold, the furthest first."""
         over = self.scores(rows) - self.limits
-        best = over.argmax(1)
-        return [CLASSES[c] if over[i, c] > 0 else None for i, c in enumerate(best)]
+        return [[CLASSES[c] for c in np.argsort(-o) if o[c] > 0] for o in over]
+
+    def label(self, rows: Rows) -> list[str | None]:
+        """The one defect of each row that is furthest over its threshold, if any is."""
+        return [found[0] if found else None for found in self.labels(rows)]
 
 
-def fit(rows: list[tuple[list[float], list[int]]], y: np.ndarray, steps: int, l2: float = 1e-4) -> Model:
-    """Logistic regression by full gradient steps with adaptive rates; the same rows give the same model."""
-    n = np.array([len(s) for _, s in rows])
-    x, at = np.array([d for d, _ in rows]), np.array([i for _, s in rows for i in s], np.int64)
-    of, weight = np.repeat(np.arange(len(rows)), n), np.repeat(_scale(n), n)[:, None]
+def fit(rows: Rows, y: np.ndarray, steps: int, l2: float = 1e-4) -> Model:
+    """Logistic regression for each label by full gradient steps with adaptive rates; the same rows give the same model. Places
+    that one row alone has get no weight. Each row must have one, as start and end are n-grams too."""
+    x, at = rows.dense.astype(np.float32), rows.sparse
+    of, weight = np.repeat(np.arange(len(x)), rows.counts), np.repeat(1 / np.sqrt(np.maximum(1, rows.counts)), rows.counts).astype(np.float32)
+    keep = np.bincount(at, minlength=PLACES)[at] > 1
+    of, weight = of[keep], weight[keep]
+    places, at = np.unique(at[keep], return_inverse=True)
     by_place = np.argsort(at, kind="stable")  # the same entries, once by row and once by place
-    places, first = np.unique(at[by_place], return_index=True)
-    starts, of_place, weight_place = np.cumsum(n) - n, of[by_place], weight[by_place]
-    m = Model(np.zeros((DENSE, len(CLASSES))), np.zeros((PLACES, len(CLASSES))), np.zeros(len(CLASSES)))
+    first, starts = np.searchsorted(at[by_place], np.arange(len(places))), np.searchsorted(of, np.arange(len(x)))
+    of_place, weight_place = of[by_place], weight[by_place]
+    y = y.astype(np.float32)
     rare = 1 + 2 * y * (1 - y.mean(0))  # positives weigh more, as they are fewer
-    sums = [np.full_like(m.dense, 1e-8), np.full_like(m.sparse[places], 1e-8)]
-    sparse = np.zeros((len(places), len(CLASSES)))
+    dense, sparse = np.zeros((x.shape[1], len(CLASSES)), np.float32), np.zeros((len(places), len(CLASSES)), np.float32)
+    sums = [np.full_like(dense, 1e-8), np.full_like(sparse, 1e-8)]
     for _ in range(steps):
-        m.sparse[places] = sparse
-        s = x @ m.dense + np.add.reduceat(m.sparse[at] * weight, starts)
-        error = rare * (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y) / len(rows)
-        grads = [x.T @ error + l2 * m.dense, np.add.reduceat(error[of_place] * weight_place, first) + l2 * sparse]
-        for w, g, total in zip((m.dense, sparse), grads, sums):
+        s = x @ dense + np.stack([np.add.reduceat(sparse[at, c] * weight, starts) for c in range(len(CLASSES))], 1)
+        error = rare * (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y) / len(x)
+        grads = [x.T @ error + l2 * dense, np.stack([np.add.reduceat(error[of_place, c] * weight_place, first) for c in range(len(CLASSES))], 1) + l2 * sparse]
+        for w, g, total in zip((dense, sparse), grads, sums):
             total += g * g
             w -= 0.5 * g / np.sqrt(total)
+    m = Model(dense.astype(float), np.zeros((PLACES, len(CLASSES))), np.zeros(len(CLASSES)))
     m.sparse[places] = sparse
     return m
 
 
-def calibrate(m: Model, rows: list[tuple[list[float], list[int]]], y: np.ndarray) -> None:
+def calibrate(m: Model, rows: Rows, y: np.ndarray) -> None:
     """Sets each threshold to the lowest score at which the F1 on held-out rows is within 0.0005 of the highest, as real defects vary more than made ones."""
     s = m.scores(rows)
     for c in range(len(CLASSES)):
@@ -197,9 +271,9 @@ def calibrate(m: Model, rows: list[tuple[list[float], list[int]]], y: np.ndarray
         m.limits[c] = max((s[order[best[-1]], c] + s[lo, c]) / 2, -0.5)
 
 
-def synthetic(pairs: list[tuple[str, str]], rng: random.Random) -> list[tuple[str, str, str | None]]:
-    """(anchor, positive, defect or None): responses that are truncated, copied, swapped, refused or emptied, and such that only look like it."""
-    out: list[tuple[str, str, str | None]] = []
+def synthetic(pairs: list[tuple[str, str]], rng: random.Random) -> list[tuple[str, str, str | None, int]]:
+    """(anchor, positive, defect or None, number of the pair it is made of): responses that are truncated, copied, swapped, refused or emptied, and such that only look like it."""
+    made: list[tuple[str, str, str | None, int]] = []
     by_lang: dict[int, list[str]] = {}
     known = []
     for a, p in pairs:
@@ -207,7 +281,8 @@ def synthetic(pairs: list[tuple[str, str]], rng: random.Random) -> list[tuple[st
         known.append((la, lp))
         if max(lp) > 0.1 and len(body(p)) > 40:
             by_lang.setdefault(lp.index(max(lp)), []).append(body(p))
-    for (a, p), (la, _) in zip(pairs, known):
+    for number, ((a, p), (la, _)) in enumerate(zip(pairs, known)):
+        out: list[tuple[str, str, str | None]] = []
         q, b = body(a), body(p)
         topic = " ".join(rng.choices(_WORD.findall(q) or ["this"], k=2)) if rng.random() < 0.4 else " ".join((_WORD.findall(q) or ["this"])[-3:])
         pick = rng.random()
@@ -226,7 +301,10 @@ def synthetic(pairs: list[tuple[str, str]], rng: random.Random) -> list[tuple[st
         if pick < 0.5:
             r = _REFUSALS
             text = rng.choice(r["other"]) if rng.random() < 0.35 else (lambda s, c: s + (c if not s or c[:2] in ("I ", "I'") else c[0].lower() + c[1:]) if s else c[0].upper() + c[1:])(rng.choice(r["start"]), rng.choice(r["core"]))
-            out.append((a, regex.sub(r"\bx\b", topic, text) + rng.choice(r["end"]), "refusal"))
+            if rng.random() < 0.3:  # with a lead-in, which may be long
+                text = (lead := rng.choice(r["before"])) + (text if lead.endswith(". ") or text[:2] in ("I ", "I'") else text[0].lower() + text[1:])
+            after = "".join(rng.sample(r["after"], rng.randint(1, 5))) if rng.random() < 0.3 else ""
+            out.append((a, regex.sub(r"\bx\b", topic, text) + rng.choice(r["end"]) + after, "refusal"))
         elif pick < 0.6:
             name = " ".join(_WORD.findall(b)[:2]).title() or "The Seller"
             out.append((a, rng.choice([b + " ", "", ""]) + rng.choice(_PARTIES).replace("x", name, 1), None))
@@ -249,30 +327,39 @@ def synthetic(pairs: list[tuple[str, str]], rng: random.Random) -> list[tuple[st
             out.append((a, q + " " + b, None))  # restates the question first
         if pick > 0.93:
             out.append((a, rng.choice(["Yes.", "No.", "Yes, on 30 days' notice.", "None; the right was waived in 2001.", "$41.1 million.", "11 June 1996.", "As of May 2020.", " ".join(_WORD.findall(b)[:2]).title() + ".", "Ja.", "Nein.", "Oui.", "Non.", "Sí.", "Never.", "Twice a year."]), None))
-    return out
+        made += [(*x, number) for x in out]
+    return made
 
 
-def train(pairs: list[tuple[str, str]], seed: int = SEED) -> Model:
+def _rows_of(spark: SparkSession, cases: list[tuple[str, str]], known: tuple[np.ndarray, np.ndarray]) -> Rows:
+    """The features of some cases (anchor, positive), of a bounded number."""
+    t = prepared(spark.createDataFrame([(i, a, p) for i, (a, p) in enumerate(cases)], "k bigint, a string, p string"), "k").orderBy("k").toArrow()
+    return features(t, known)
+
+
+def train(spark: SparkSession, pairs: list[tuple[str, str]], seed: int = SEED) -> Model:
     """The model for some pairs. They are taken as sound at first; those that a first model finds rather defective than not
-    (thresholds 0, so that little is missed) are left out for the second, whose thresholds are then set on sound rows."""
-    rng = random.Random(seed)
+    (thresholds 0, so that little is missed) are left out for the second. Thresholds are set on cases made of other pairs
+    than those that the model is fitted on."""
+    rng, known = random.Random(seed), function_words(spark)
     pairs = [(a, p) for a, p in pairs if a is not None and p is not None and len(body(p)) > 0]
     if len(pairs) < LEAST_ROWS:
         pairs = pairs + [(f"[QUERY] {q}", f"[PASSAGE] {b}") for q, b in _SOUND] * -(-(LEAST_ROWS - len(pairs)) // len(_SOUND))
-    sound = pairs
-    m = None
+    sound, m = pairs, None
+    own = _rows_of(spark, pairs, known)
     for steps in ROUNDS:
-        cases = [(a, p, None) for a, p in sound] + synthetic(sound, rng)
-        rows = [features(a, p) for a, p, _ in cases]
-        y = np.array([[d == c for c in CLASSES] for _, _, d in cases], float)
-        held = np.array([rng.random() < 0.3 for _ in cases]) if len(cases) > 50 else np.ones(len(cases), bool)
-        own = ~held if len(cases) > 50 else held
-        m = fit([r for r, o in zip(rows, own) if o], y[own], steps)
+        cases = [(a, p, None, i) for i, (a, p) in enumerate(sound)] + synthetic(sound, rng)
+        rows = _rows_of(spark, [c[:2] for c in cases], known)
+        y = np.array([[d == c for c in CLASSES] for _, _, d, _ in cases], float)
+        text = {x: rng.random() < 0.3 for x in dict.fromkeys(sound)}  # a pair that comes again is on the same side
+        held = np.array([text[sound[i]] for *_, i in cases])
+        if not 0.1 < held.mean() < 0.9:  # hardly any pairs
+            held = np.arange(len(cases)) % 3 == 0
+        m = fit(rows.take(np.flatnonzero(~held)), y[~held], steps)
         if steps == ROUNDS[-1]:
-            calibrate(m, [r for r, h in zip(rows, held) if h], y[held])
+            calibrate(m, rows.take(np.flatnonzero(held)), y[held])
             break
-        clean = [q for q, d in zip(pairs, m.label([features(a, p) for a, p in pairs])) if d is None]
-        sound = clean or pairs
+        sound = [q for q, d in zip(pairs, m.label(own)) if d is None] or pairs
     return m
 
 
@@ -287,22 +374,25 @@ def _sample(rows: DataFrame, most: int, seed: int) -> DataFrame:
 
 
 def defects(pairs: DataFrame, key: str = "id", anchor: str = "anchor", positive: str = "positive", sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """(id, defect): the defective pairs, each with the type it fits best.
-
-    Method: a linear classifier per defect on hashed n-grams of the positive and features of the pair, fitted on a bounded
-    sample of the pairs (at most `sample` rows, by hash of the key) and on responses truncated, copied, swapped, refused or
-    emptied from them, with thresholds set on held-out rows. Every pair is then classified where it lies. A null positive is
-    empty, a null anchor an empty one; repeated rows give repeated rows; an empty table gives no rows."""
+    """(id, defect, defects): the defective pairs, each with all its types of defect, and with the one it fits best.
+
+    Method: a linear classifier for each of the labels on hashed n-grams of the positive and features of the pair, fitted on a
+    bounded sample of the pairs (at most `sample` rows, by hash of the key) and on responses truncated, copied, swapped,
+    refused or emptied from them, with thresholds set on held-out rows. A pair has each label whose score is over its
+    threshold (`defects`, the furthest first); `defect` is the first of them. Words are hashed and sentences looked at in
+    Spark's own expressions; n-grams, shares and scores are arrays per batch. Every pair is classified where it lies. A null
+    positive is empty, a null anchor an empty one; repeated rows give repeated rows; an empty table gives no rows."""
     spark = pairs.sparkSession
     rows = pairs.select(F.col(key).alias("k"), F.col(anchor).alias("a"), F.col(positive).alias("p"))
     got = _sample(rows, sample, seed).select("a", "p").collect()
-    model = spark.sparkContext.broadcast(train([(r["a"], r["p"]) for r in got], seed))
+    shared = spark.sparkContext.broadcast((train(spark, [(r["a"], r["p"]) for r in got], seed), function_words(spark)))
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, known = shared.value
         for b in batches:
-            found = model.value.label([features(a, p) for a, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())])
+            found = model.labels(features(b, known)) if len(b) else []
             at = [i for i, d in enumerate(found) if d]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array([found[i] for i in at], pa.string())], names=["k", "defect"])
+            yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(at, pa.int64())), pa.array([found[i][0] for i in at], pa.string()), pa.array([found[i] for i in at], pa.list_(pa.string()))], names=["k", "defect", "defects"])
 
     kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(classify, f"k {kind}, defect string").withColumnRenamed("k", key)
+    return prepared(rows, "k").mapInArrow(classify, f"k {kind}, defect string, defects array<string>").withColumnRenamed("k", key)

@@ -44,7 +44,12 @@ def p2_delta(spark: SparkSession, where: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, where: str) -> DataFrame:
-    return defects.defects(texts(spark, where, "pairs"))
+    return defects.defects(texts(spark, where, "pairs")).select("id", "defect")
+
+
+def p3_labels(spark: SparkSession, where: str) -> DataFrame:
+    """All labels of each defective pair."""
+    return defects.defects(texts(spark, where, "pairs")).select("id", F.explode("defects").alias("label"))
 
 
 def p4_pack(spark: SparkSession, where: str) -> DataFrame:
@@ -100,7 +105,7 @@ def p9_kinds(spark: SparkSession, where: str) -> DataFrame:
     return residue.residue(texts(spark, where, "documents")).select("doc_id", F.explode("kinds").alias("kind"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_distinct, p2_token_cube, p2_token_update, p2_delta, p3_found, p4_pack, p4_fill, p5_found, p5_clean_texts, p6_mix, p6_shares, p7_ids, p7_round_trip, p8_found, p8_leaked_items, p9_found, p9_kinds)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_distinct, p2_token_cube, p2_token_update, p2_delta, p3_found, p3_labels, p4_pack, p4_fill, p5_found, p5_clean_texts, p6_mix, p6_shares, p7_ids, p7_round_trip, p8_found, p8_leaked_items, p9_found, p9_kinds)}
 
 SQL: dict[str, str] = {}
 

@@ -33,19 +33,57 @@ def made(n):
 
 
 @pytest.fixture(scope="module")
-def model():
-    return D.train(made(800))
+def model(spark):
+    return D.train(spark, made(800))
 
 
-def test_held_out_accuracy(model):
-    cases = [(a, p, None) for a, p in made(300)] + D.synthetic(made(300), random.Random(99))
-    got = model.label([D.features(a, p) for a, p, _ in cases])
+def labels(spark, model, cases, several=False):
+    rows = D._rows_of(spark, cases, D.function_words(spark))
+    return model.labels(rows) if several else model.label(rows)
+
+
+def test_held_out_accuracy(spark, model):
+    cases = [(a, p, None) for a, p in made(300)] + [c[:3] for c in D.synthetic(made(300), random.Random(99))]
+    got = labels(spark, model, [c[:2] for c in cases])
     for c in [*D.CLASSES, None]:
         own = [g == c for g, (_, _, d) in zip(got, cases) if d == c]
         assert np.mean(own) > 0.9, c
         assert np.mean([d == c for g, (_, _, d) in zip(got, cases) if g == c]) > 0.9, c
 
 
+#: Refusals that no part of the generator has: of 60 words, late, without a speaker, in other languages.
+LATE = "Many tenants and landlords have asked what Harrow said about the rent over the years, and it is easy to see why, "
+REFUSALS = [
+    "No comment will be given on this matter.", "Unfortunately we have nothing to say on rent.", LATE + "but I cannot help with that request.", "I'm not in a position to answer that.", "Sorry - I can't give advice about a particular lease.", "This is not a question I can answer.",
+    "Mi dispiace, ma non posso rispondere.", "Spiacente, non posso aiutarti.", "Não posso responder a isso, lamento.", "Dazu kann ich leider nichts sagen.", "Je ne suis malheureusement pas autorisé à en parler.", "No puedo ayudarle con ese tema.",
+    "I'm sorry, but I am not able to answer this question. Rent is a matter of the lease, and each lease differs from the next one in many ways. What holds for one tenant may not hold for another, and the date on which it was signed matters too. I would suggest that you read your own copy with care, and that you ask someone who knows it well before you decide.",
+]
+SOUND = ["Harrow said it was sorry for the delay and could not pay the rent before May.", "The tenant refused to pay the rent, and Harrow declined the offer.", "The witness said “I cannot answer that” when asked about Harrow.", "Rent is due on the first day of each month, in advance, at the office of Harrow.", "Harrow cannot raise the rent more than once a year."]
+
+
+def test_refusals_of_other_kinds(spark, model):
+    got = labels(spark, model, [("[QUERY] What does Harrow say about rent in 2001?", p) for p in REFUSALS + SOUND])
+    assert sum(g == "refusal" for g in got[: len(REFUSALS)]) >= len(REFUSALS) - 2, got
+    assert "refusal" not in got[len(REFUSALS) :], got
+
+
+def test_length_makes_no_difference(spark, model):
+    """A defect stays one however long the positive is."""
+    q = "[QUERY] What does Harrow say about rent in 2001?"
+    for n in (1, 10, 100):
+        cut = "The Harrow company shall pay the rent within 30 days of the notice. " * n + "Under this agreement the fees of Harrow are due on the"
+        german = "Die Harrow GmbH zahlt die Kaution, die nach dem Ende der Laufzeit in der Stadt erstattet wird. " * n
+        assert labels(spark, model, [(q, cut), (q, german), (q, cut.rsplit(" Under", 1)[0])]) == ["truncated", "language", None], n
+
+
+def test_a_pair_may_have_several_labels(spark, model):
+    several = labels(spark, model, [("[QUERY] What does Harrow say about rent?", p) for p in ("Es tut mir leid, dabei kann ich", "I cannot help with that, and the")], True)
+    assert all(isinstance(x, list) for x in several) and all(set(x) <= set(D.CLASSES) for x in several)
+    m = D.Model(np.ones((2, len(D.CLASSES))), np.zeros((D.PLACES, len(D.CLASSES))), np.array([0.0, 1, 5, 9, 9]))
+    rows = D.Rows(np.array([[1.0, 1.0], [0.0, -1.0]]), np.zeros(2, np.int64), np.array([1, 1]))
+    assert m.labels(rows) == [["empty", "copied"], []] and m.label(rows) == ["empty", None]
+
+
 @pytest.mark.parametrize(
     "positive, defect",
     [
@@ -57,8 +95,8 @@ def test_held_out_accuracy(model):
         ("[PASSAGE] The Harrow company shall pay the rent within 30 days.", None), ("No.", None), ("Yes, on 30 days' notice.", None), ("[PASSAGE] What does Harrow say about rent in 2001? The rent of Harrow is due on the first day of each month.", None),
     ],
 )
-def test_single_pairs(model, positive, defect):
-    assert model.label([D.features("[QUERY] What does Harrow say about rent in 2001?", positive)]) == [defect]
+def test_single_pairs(spark, model, positive, defect):
+    assert labels(spark, model, [("[QUERY] What does Harrow say about rent in 2001?", positive)]) == [defect]
 
 
 def test_rows(spark, rows):
@@ -71,4 +109,6 @@ def test_rows(spark, rows):
 
 
 def test_query_runs(spark):
-    assert set(queries.p3_found(spark, DATA).columns) == {"id", "defect"}
+    found = queries.p3_found(spark, DATA)
+    assert found.columns == ["id", "defect"] and found.count() > 0
+    assert {r["label"] for r in queries.p3_labels(spark, DATA).select("label").distinct().collect()} <= set(D.CLASSES)
