@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import boilerplate, bpe, copies, defects, leaks, mixture, packing, residue, tokens
-from granary.session import scratch, table, texts
+from granary.session import materialize, scratch, small, table, texts
 
 
 def p1_found(spark: SparkSession, where: str) -> DataFrame:
@@ -61,6 +61,19 @@ def p4_fill(spark: SparkSession, where: str) -> DataFrame:
     return packing.block_fill(packing.pack(texts(spark, where, "raw_records"), settings), settings)
 
 
+def p4_checked(spark: SparkSession, where: str) -> DataFrame:
+    """Per profile the texts that don't stand in blocks with all their tokens once, and the blocks that hold more than they may or other than they say."""
+    raw, settings = texts(spark, where, "raw_records"), table(spark, where, "pack_settings")
+    packed = materialize(packing.pack(raw, settings), "packed")
+    sizes = settings.filter("block_size > 0").select("profile", "block_size")
+    want = tokens.token_counts(raw, "doc_ord").filter("n_tokens > 0").withColumnRenamed("n_tokens", "want").crossJoin(small(sizes.select("profile")))  # four profiles
+    have = packed.groupBy("profile", "doc_ord").agg(F.sum("n_tokens").alias("have"))
+    wrong = want.join(have, ["profile", "doc_ord"], "full").groupBy("profile").agg(F.count_if(~F.col("want").eqNullSafe(F.col("have"))).alias("n_wrong"))
+    blocks = packed.groupBy("profile", "block_id").agg(F.sum("n_tokens").alias("n"), F.max("fill").alias("fill")).join(small(sizes), "profile")
+    over = blocks.groupBy("profile").agg(F.count_if((F.col("n") != F.col("fill")) | (F.col("n") > F.col("block_size"))).alias("n_over"))
+    return wrong.join(over, "profile")
+
+
 def p5_found(spark: SparkSession, where: str) -> DataFrame:
     return boilerplate.repeated_lines(texts(spark, where, "raw_records")).select("doc_ord", "line_no")
 
@@ -77,6 +90,17 @@ def p6_shares(spark: SparkSession, where: str) -> DataFrame:
     return mixture.mix(texts(spark, where, "raw_records"), table(spark, where, "source_targets"))[1]
 
 
+def p6_checked(spark: SparkSession, where: str) -> DataFrame:
+    """The records that are used more often than they may be, whether the shares add up to 1, and whether they are those of the chosen records."""
+    targets = table(spark, where, "source_targets")
+    chosen, shares = mixture.mix(texts(spark, where, "raw_records"), targets)
+    most = small(targets.select("source", "max_repeats"))
+    over = chosen.join(most, "source").agg(F.count_if(F.col("times") > F.col("max_repeats")).alias("n_over"))
+    mass = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("m"))
+    same = shares.join(mass, "source", "left").agg((F.abs(F.sum("actual_share") - 1) < 1e-6).alias("is_whole"), F.bool_and(F.col("mix_tokens") == F.coalesce("m", F.lit(0))).alias("is_same"))
+    return over.crossJoin(F.broadcast(same))  # one row each
+
+
 def p7_ids(spark: SparkSession, where: str) -> DataFrame:
     return bpe.encode(texts(spark, where, "documents"))
 
@@ -105,7 +129,7 @@ def p9_kinds(spark: SparkSession, where: str) -> DataFrame:
     return residue.residue(texts(spark, where, "documents")).select("doc_id", F.explode("kinds").alias("kind"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_distinct, p2_token_cube, p2_token_update, p2_delta, p3_found, p3_labels, p4_pack, p4_fill, p5_found, p5_clean_texts, p6_mix, p6_shares, p7_ids, p7_round_trip, p8_found, p8_leaked_items, p9_found, p9_kinds)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_distinct, p2_token_cube, p2_token_update, p2_delta, p3_found, p3_labels, p4_pack, p4_fill, p4_checked, p5_found, p5_clean_texts, p6_mix, p6_shares, p6_checked, p7_ids, p7_round_trip, p8_found, p8_leaked_items, p9_found, p9_kinds)}
 
 SQL: dict[str, str] = {}
 
@@ -150,4 +174,6 @@ SQL["p8_found"] = f"with {_WINDOWS} select distinct doc_id, item_id from dw join
 SQL["p8_leaked_items"] = f"with {_WINDOWS} select item_id, count(distinct doc_id) as n_docs from dw join iw using (n, win) group by item_id"
 _LANG = "coalesce(nullif(trim(lower(split_part(split_part(lang, '-', 1), '_', 1))), ''), 'und')"
 SQL["p2_delta"] = f"select true as same, count(*) as n_cells from (select distinct r.source, {_LANG} as lang, t.domain from raw_records r left join (select source, min(domain) as domain from source_targets group by source) t using (source))"
+SQL["p4_checked"] = "select profile, 0 as n_wrong, 0 as n_over from pack_settings where block_size > 0"
+SQL["p6_checked"] = "select 0 as n_over, true as is_whole, true as is_same"
 SQL["p7_round_trip"] = "select true as same, count(*) as n_docs from documents"

@@ -198,3 +198,8 @@ def test_a_ledger_lasts(spark, rows, tmp_path):
     second = tokens.update_at(path, spark.read.parquet(source), targets)
     assert _cube(second) == _cube(tokens.update(rows(RAW, v2), targets)) and tokens.version(spark, path) == 2
     assert [r["n_tokens"] for r in spark.read.parquet(f"{path}/counts/2").collect()] == [3]
+
+
+@pytest.mark.parametrize("name", ["p4_checked", "p6_checked"])
+def test_checks_hold(spark, name):
+    assert actual(queries.QUERIES[name](spark, DATA)) == expected(queries.SQL[name])
