@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CLASSES = ["empty", "copied", "refusal", "language", "truncated"]
@@ -58,28 +59,34 @@ _SOUND = [
     ("Is the buyer bound by the clause on arbitration?", "Yes. The buyer signed the agreement on 4 March 2018, and the clause on arbitration binds both parties and their successors."),
     ("Which risks does the company disclose?", "The company depends on three suppliers, and the loss of any of them would harm its results. It also faces risks from currency effects."),
 ]
-_MARK = r"(?iu)^[^\p{L}\p{N}]*(?:n\W?a|none|null|nil|nan|undefined|empty|blank|tbd|no (?:answer|response)(?: (?:given|provided|available))?|not (?:available|applicable|answered)|unanswered|deleted|removed|no text|keine (?:antwort|angabe)|sans réponse|(?:pas de|aucune) réponse|sin respuesta|néant|no aplica)?[^\p{L}\p{N}]*$"
+_MARK = regex.compile(r"(?i)^[^\p{L}\p{N}]*(?:n\W?a|none|null|nil|nan|undefined|empty|blank|tbd|no (?:answer|response)(?: (?:given|provided|available))?|not (?:available|applicable|answered)|unanswered|deleted|removed|no text|keine (?:antwort|angabe)|sans réponse|(?:pas de|aucune) réponse|sin respuesta|néant|no aplica)?[^\p{L}\p{N}]*$")
 #: A sentence that speaks for the one who answers, or of the question itself, and declines.
 _NOT = r"(?:can['’]?t|can ?not|unable|not able|only able|won['’]t|will not|not allowed|not permitted|not authori[sz]ed|not in a position|not qualified|not comfortable|not feel comfortable|declin(?:e|ing)|rather not|prefer not|refuse|(?:do|does) not allow|prevents? me|keep me from|don['’]t|do not|nothing to|no way to|neither)"
 _ACT = r"(?:answer\w*|help|assist|comment\w*|discuss\w*|disclos\w*|provid\w*|respon\w*|speak|say|advi[cs]e|share|talk\w*|giv(?:e|ing)|offer|address|speculat\w*|confirm|explain|know|access|information|enough|tell|fulfil\w*|process|complet\w*|handle|add|do (?:that|this|so))"
-_SELF = (
-    rf"(?iu)\b(?:i|i['’](?:m|d|ve|ll)|my|me)\b[^.;:“”\"]{{0,60}}\b{_NOT}\b|\b(?:we|our|us|this assistant)\b[^.;:“”\"]{{0,30}}\b{_NOT}\b[^.;:“”\"]{{0,20}}\b{_ACT}\b|\b(?:i|i['’](?:m|ve)|we) (?:have )?(?:no (?:information|access|comment|answer|knowledge)|pass on|must pass|have to pass)\b"
-    r"|\b(?:i['’]?m|i am|we['’]re|we are|so|very) (?:so |very |really |truly )?(?:sorry|afraid)\b|\bi (?:must |do )?apologi[sz]e\b|^\W*(?:sorry|apologies|my apologies|unfortunately|regrettably)\b[^.]{0,40}\b(?:i|we|this|that|no)\b|\bfor me to\b|\bai (?:language )?model\b|\bas an ai\b|\brequest (?:refused|denied)\b"
-    rf"|\b(?:this|that|your|such) (?:question|request|query|topic|inquiry)s?\b[^.]{{0,40}}\b(?:can['’]?t|cannot|can not|not possible|unable|outside|beyond|not answered)\b|\bno (?:comment|answer|response|details?|advice|opinion) (?:will|can) be \w+|\bnot an? \w+ (?:that |which )?(?:i|we) (?:can|could|am|are)\b|\bnot something (?:that )?(?:i|we|can)\b|\bquestions about\b[^.]{{0,40}}\bnot answered\b|\bassistance with\b[^.]{{0,40}}\bnot available\b|\bnothing can be said\b|\bwill not be disclosed\b|\bit is not possible to {_ACT}\b"
-    r"|\bich\b[^.]{0,40}\b(?:nicht|nichts|keine?n?)\b|\b(?:nicht|nichts|keine?n?)\b[^.]{0,20}\bich\b|\b(?:kann|darf|möchte) ich\b[^.]{0,40}\b(?:nicht|nichts|keine?n?)\b|\b(?:mir|uns) leid\b|\bkeine stellungnahme\b|\bfrage kann\b[^.]{0,20}\bnicht\b|\bje\b[^.]{0,40}\b(?:pas|refuser|impossible)\b|\bdésolé|\baucun commentaire\b|\bpas possible de répondre\b|\bm['’]est impossible\b|\blo siento\b|^\W*(?:lamentablemente\W+)?no (?:puedo|tengo|estoy|es posible|se harán|podemos)\b|\bno (?:puedo|me permiten)\b|\bdisculpe\b|\bnegarme\b|\bprefiero no\b"
-    r"|\bmi dispiace\b|\bspiacente\b|\bnon (?:posso|sono in grado)\b|\bnão (?:posso|consigo)\b|\bspijt me\b|\bkan ik u?\b[^.]{0,20}\bniet\b|\bik kan\b[^.]{0,40}\bniet\b|\bprzykro mi\b|\bnie mogę\b|\bне могу\b|抱歉|申し訳"
-)
-_QUOTES = r"[“„«\"][^“”„«»\"]{1,300}[”“»\"]"
+#: Tried at the beginnings of words, in a sentence in lower case.
+_SAYS = [
+    rf"(?:i|my|me)\b[^.;:“”\"]{{0,60}}\b{_NOT}\b", rf"(?:we|our|us|this assistant)\b[^.;:“”\"]{{0,30}}\b{_NOT}\b[^.;:“”\"]{{0,20}}\b{_ACT}\b", r"(?:i|we)(?:['’](?:m|d|ve|ll))? (?:have )?(?:no (?:information|access|comment|answer|knowledge)|pass on|must pass|have to pass)\b",
+    r"(?:i['’]?m|i am|we['’]re|we are|so|very) (?:so |very |really |truly )?(?:sorry|afraid)\b", r"i (?:must |do )?apologi[sz]e\b", r"for me to\b", r"ai (?:language )?model\b", r"as an ai\b", r"request (?:refused|denied)\b",
+    r"(?:this|that|your|such) (?:question|request|query|topic|inquiry)s?\b[^.]{0,40}\b(?:can['’]?t|cannot|can not|not possible|unable|outside|beyond|not answered)\b", r"no (?:comment|answer|response|details?|advice|opinion) (?:will|can) be \w+", r"not an? \w+ (?:that |which )?(?:i|we) (?:can|could|am|are)\b", r"not something (?:that )?(?:i|we|can)\b",
+    r"questions about\b[^.]{0,40}\bnot answered\b", r"assistance with\b[^.]{0,40}\bnot available\b", r"nothing can be said\b", r"will not be disclosed\b", rf"it is not possible to {_ACT}\b",
+    r"ich\b[^.]{0,40}\b(?:nicht|nichts|keine?n?)\b", r"(?:nicht|nichts|keine?n?)\b[^.]{0,20}\bich\b", r"(?:mir|uns) leid\b", r"keine stellungnahme\b", r"frage kann\b[^.]{0,20}\bnicht\b", r"je\b[^.]{0,40}\b(?:pas|refuser|impossible)\b", r"désolé", r"aucun commentaire\b", r"pas possible de répondre\b", r"m['’]est impossible\b",
+    r"lo siento\b", r"no (?:puedo|me permiten)\b", r"disculpe\b", r"negarme\b", r"prefiero no\b", r"mi dispiace\b", r"spiacente\b", r"non (?:posso|sono in grado)\b", r"não (?:posso|consigo)\b", r"spijt me\b", r"kan ik u?\b[^.]{0,20}\bniet\b", r"ik kan\b[^.]{0,40}\bniet\b", r"przykro mi\b", r"nie mogę\b", r"не могу\b",
+]
+_SELF = re.compile(rf"\b(?:{'|'.join(_SAYS)})|^\W*(?:(?:sorry|apologies|my apologies|unfortunately|regrettably)\b[^.]{{0,40}}\b(?:i|we|this|that|no)\b|(?:lamentablemente\W+)?no (?:tengo|estoy|es posible|se harán|podemos)\b)|抱歉|申し訳")
+_QUOTES = re.compile(r"[“„«\"][^“”„«»\"]{1,300}[”“»\"]")
+_SENTENCE = re.compile(r"(?<=[.!?…。])\s*(?=[^.!?…。])|\n+")
 _END = regex.compile(r"[.!?。！？](?:[”\"'’»)\]]|\s)*$")
 _ABBREVIATED = regex.compile(r"(?<![^\W_])(?:no|nos|sec|secs|art|arts|par|para|cl|ch|p|pp|vol|fig|vs|v|cf|e\.g|i\.e|approx|mr|mrs|ms|dr|st|nr|abs|bzw|z\.b|núm|pág|ed|al|inc|art)\.\W*$", regex.I)
 _QUOTING = regex.compile(r"(?:^|[\s(])[\"'“„«‘]$")
 _LISTED = regex.compile(r"\((?:[ivx]+|[a-z]|\d)\)\W*$", regex.I)
 _PREFIX = regex.compile(r"^\s*\[(?:QUERY|PASSAGE)\]\s?", regex.I)
-_WORD = regex.compile(r"[^\W_]+(?:['’][^\W_]+)?")
+_WORD = re.compile(r"[^\W_]+")
 #: Of the function words those of one language only.
 _SETS = {k: frozenset(v.split()) - {w for j, u in FUNCTION_WORDS.items() if j != k for w in u.split()} for k, v in FUNCTION_WORDS.items()}
 #: Letters that of the four languages only one has.
 _LETTERS = ["", "äöüß", "çœêèàâîôûë", "ñáíóú¿¡"]
+#: Pairs whose features are computed at a time.
+STEP = 2000
 #: Characters at the end of a text that tell how it ends.
 TAIL = 64
 #: A sample with fewer usable rows is filled up with them.
@@ -96,21 +103,37 @@ def languages(words: list[str]) -> list[float]:
     return [sum(w in s for w in words) / max(1, len(words)) for s in _SETS.values()]
 
 
-def prepared(pairs: DataFrame, *keep: str) -> DataFrame:
-    """What the features are made of, from columns a and p, in Spark's own expressions: the hashes of both texts' words, the end of
-    the positive, and numbers (see `_NUMBERS`) of it, among them how many of its sentences decline outside of quotations."""
-    bare = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?iu)^[\s\p{Z}]*\[(?:QUERY|PASSAGE)\]|^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-    hashed = lambda c: F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.xxhash64(w))
-    r = pairs.select(*keep, F.regexp_replace(bare("a"), r"^[\s\p{Z}]+", "").alias("a"), F.regexp_replace(bare("p"), r"^[\s\p{Z}]+", "").alias("p"))
-    r = r.select(*keep, "a", "p", F.filter(F.split(F.regexp_replace("p", _QUOTES, " “ "), r"(?<=[.!?…。])[\s\p{Z}]*(?=[^.!?…。])|\n+"), lambda x: x.rlike(r"[\p{L}\p{N}]")).alias("s"))
-    r = r.withColumn("d", F.transform("s", lambda x: x.rlike(_SELF)))
-    letters = lambda c, own: F.length(c) - F.length(F.translate(c, own, "")) if own else F.lit(0)
-    count = lambda ch: F.length("p") - F.length(F.translate("p", ch, ""))
-    numbers = [F.col("p").rlike(_MARK).cast("int"), F.size("s"), F.size(F.filter("d", lambda x: x)), F.coalesce(F.get("d", F.lit(0)), F.lit(False)).cast("int"), F.coalesce(F.get("d", F.size("d") - 1), F.lit(False)).cast("int"), count("(") - count(")"), count("“") - count("”"), count("[") - count("]"), *(letters("a", x) for x in _LETTERS), *(letters("p", x) for x in _LETTERS)]
-    return r.select(*keep, hashed("a").alias("wa"), hashed("p").alias("wp"), F.right("p", F.lit(TAIL)).alias("tail"), F.array(*(x.cast("int") for x in numbers)).alias("numbers"))
+_MEMO: dict[str, int] = {}
+_HELD = 1 << 20
 
 
-_NUMBERS = ["mark", "sentences", "declining", "first", "last", "round", "quote", "square", *(f"{t}{k}" for t in "ap" for k in range(4))]
+def hashed(words: list[str]) -> list[int]:
+    """64 bits of hash for each word, the same in every process. The words seen are remembered, up to a million of them."""
+    if len(_MEMO) > _HELD:
+        _MEMO.clear()
+    out = []
+    for w in words:
+        h = _MEMO.get(w)
+        if h is None:
+            h = _MEMO[w] = int.from_bytes(hashlib.blake2b(w.encode(errors="replace"), digest_size=8).digest())
+        out.append(h)
+    return out
+
+
+#: The hashes of the function words in order, and the language of each.
+_FUNCTION = sorted((hashed([w])[0], i) for i, s in enumerate(_SETS.values()) for w in s)
+_FUNCTION_HASHES, _FUNCTION_LANGUAGES = (np.array(x, k) for x, k in zip(zip(*_FUNCTION), (np.uint64, np.int64)))
+#: Of these words every sentence that declines has one; only texts with one are looked at by sentences.
+_HINTS = frozenset("i we my me our us assistant ai sorry afraid apologise apologize apologies unfortunately regrettably lamentablemente request question questions query queries topic topics inquiry inquiries comment answer response detail details advice opinion not nothing disclosed ich leid stellungnahme frage je désolé désolée commentaire possible impossible siento no disculpe negarme prefiero dispiace spiacente non não spijt ik przykro nie не".split())
+
+
+def declining(p: str, words: list[str]) -> tuple[int, int, bool, bool]:
+    """The sentences of a text, how many of them decline outside of quotations, and whether the first and the last do."""
+    parts = [x for x in _SENTENCE.split(_QUOTES.sub(" “ ", p)) if x and any(map(str.isalnum, x))]
+    if _HINTS.isdisjoint(words) and "抱歉" not in p and "申し訳" not in p:
+        return len(parts), 0, False, False
+    d = [_SELF.search(x.lower()) is not None for x in parts]
+    return len(d), sum(d), bool(d) and d[0], bool(d) and d[-1]
 
 
 @dataclass
@@ -128,18 +151,6 @@ class Rows:
         return Rows(self.dense[rows], self.sparse[at], n)
 
 
-def function_words(spark: SparkSession) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the function words in order, and the language of each."""
-    words = [(w, i) for i, s in enumerate(_SETS.values()) for w in sorted(s)]
-    got = spark.createDataFrame(words, "w string, i int").select(F.xxhash64("w").alias("h"), "i").orderBy("h").collect()
-    return np.array([r["h"] for r in got], np.int64), np.array([r["i"] for r in got], np.int64)
-
-
-def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    n = np.asarray(pc.fill_null(pc.list_value_length(col), 0)).astype(np.int64)
-    return np.asarray(col.flatten()).view(np.uint64), n
-
-
 def _mix(x: np.ndarray, y: np.ndarray | int) -> np.ndarray:
     z = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.asarray(y, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return z ^ (z >> np.uint64(32))
@@ -156,12 +167,14 @@ def _ends(tail: str) -> list[float]:
     return [end, *ways, last == "|", loose and not opened and last in "”\"'’»)]", any(ways)]
 
 
-def features(batch: pa.RecordBatch | pa.Table, known: tuple[np.ndarray, np.ndarray]) -> Rows:
-    """The features of rows of `prepared`. No feature switches by a text's length: counts come as shares, logarithms or inverses."""
-    if isinstance(batch, pa.Table):
-        batch = batch.combine_chunks().to_batches()[0] if len(batch) else pa.RecordBatch.from_pylist([], batch.schema)
-    rows = len(batch)
-    (wa, na), (wp, np_) = _flat(batch.column("wa")), _flat(batch.column("wp"))
+def features(anchors: list[str | None], positives: list[str | None]) -> Rows:
+    """The features of pairs. No feature switches by a text's length: counts come as shares, logarithms or inverses."""
+    rows = len(anchors)
+    a, p = list(map(body, anchors)), list(map(body, positives))
+    words_a, words_p = [_WORD.findall(t.lower()) for t in a], [_WORD.findall(t.lower()) for t in p]
+    na, np_ = (np.array(list(map(len, w)), np.int64) for w in (words_a, words_p))
+    wa, wp = (np.array([h for w in ws for h in hashed(w)], np.uint64) for ws in (words_a, words_p))
+    numbers = np.array([(_MARK.match(t) is not None, *declining(t, w)) for t, w in zip(p, words_p)], float).reshape(rows, 5)
     of_a, of_p = np.repeat(np.arange(rows), na), np.repeat(np.arange(rows), np_)
     per = lambda of, w=None: np.bincount(of, w, rows)
     key_a, key_p = _mix(wa, of_a), _mix(wp, of_p)
@@ -171,26 +184,27 @@ def features(batch: pa.RecordBatch | pa.Table, known: tuple[np.ndarray, np.ndarr
     own = per(of_a[first], np.isin(only_a, key_p)) / np.maximum(1, per(of_a[first]))
 
     def language(w: np.ndarray, of: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(known[0], w.view(np.int64)), len(known[0]) - 1)
-        hit = known[0][at] == w.view(np.int64)
-        return np.bincount(of[hit] * 4 + known[1][at[hit]], minlength=rows * 4).reshape(rows, 4).astype(float)
+        at = np.minimum(np.searchsorted(_FUNCTION_HASHES, w), len(_FUNCTION_HASHES) - 1)
+        hit = _FUNCTION_HASHES[at] == w
+        return np.bincount(of[hit] * 4 + _FUNCTION_LANGUAGES[at[hit]], minlength=rows * 4).reshape(rows, 4).astype(float)
 
-    m = dict(zip(_NUMBERS, np.asarray(batch.column("numbers").flatten(), float).reshape(rows, len(_NUMBERS)).T))
-    la, lp = language(wa, of_a) + 0.5 * np.stack([m[f"a{k}"] for k in range(4)], 1), language(wp, of_p) + 0.5 * np.stack([m[f"p{k}"] for k in range(4)], 1)
+    letters = lambda texts: np.array([[0] * 4 if t.isascii() else [sum(map(t.count, own)) for own in _LETTERS] for t in texts], float).reshape(rows, 4)
+    la, lp = language(wa, of_a) + 0.5 * letters(a), language(wp, of_p) + 0.5 * letters(p)
+    open_ = np.array([any(t.count(u) > t.count(v) for u, v in ("()", "“”", "[]")) for t in p], float)
     best_a, best_p, i = la.argmax(1), lp.argmax(1), np.arange(rows)
     known_a, known_p = la[i, best_a] > 0, lp[i, best_p] > 0
     gap = np.where(known_a, lp[i, best_p] - lp[i, best_a], 0)  # words for another language beyond those for the anchor's
     sure = gap / np.sqrt(np.maximum(1, np_))
     sa, sp = la / np.maximum(1, na)[:, None], lp / np.maximum(1, np_)[:, None]
     other = known_a & known_p & (best_a != best_p)
-    ends = np.array([_ends(t) for t in batch.column("tail").to_pylist()], float).reshape(rows, 12)
+    ends = np.array([_ends(t[-TAIL:]) for t in p], float).reshape(rows, 12)
     broken = ends[:, -1] * some
-    sentences = np.maximum(1, m["sentences"])
-    says = m["declining"] > 0
+    mark, sentences, n_says, first_says, last_says = numbers.T
+    sentences, says = np.maximum(1, sentences), n_says > 0
     x = [
-        np.ones(rows), ~some, m["mark"], np.log1p(np_) / 3, 1 / (1 + np_), n_new / np.maximum(1, np_), some & (n_new == 0), some / (1 + n_new), own, own * some / (1 + n_new), own * (some & (n_new == 0)),
-        says, m["declining"] / sentences, m["first"], m["last"], m["first"] * m["last"], says / sentences,
-        *ends.T, (m["round"] > 0) | (m["quote"] > 0) | (m["square"] > 0), broken * (n_new > 0), broken * (n_new > 0) * ~says,
+        np.ones(rows), ~some, mark, np.log1p(np_) / 3, 1 / (1 + np_), n_new / np.maximum(1, np_), some & (n_new == 0), some / (1 + n_new), own, own * some / (1 + n_new), own * (some & (n_new == 0)),
+        says, n_says / sentences, first_says, last_says, first_says * last_says, says / sentences,
+        *ends.T, open_, broken * (n_new > 0), broken * (n_new > 0) * ~says,
         other, other * sure, sure, gap / np.maximum(1, np_), np.abs(sa - sp).sum(1), np.minimum(sa, sp).sum(1), np.where(known_a, sp[i, best_a], 0.1), other * ~says, other * sure * ~says,
     ]
     pairing = np.zeros((rows, 16))
@@ -208,7 +222,8 @@ def features(batch: pa.RecordBatch | pa.Table, known: tuple[np.ndarray, np.ndarr
     grams.append((_mix(_mix(seq[:-1], 2), seq[1:])[two], row[1:][two]))
     three = row[2:] == row[:-2]
     grams.append((_mix(_mix(_mix(seq[:-2], 3), seq[1:-1]), seq[2:])[three], row[2:][three]))
-    place = np.unique(np.concatenate([r * PLACES + (g >> np.uint64(20)).astype(np.int64) % PLACES for g, r in grams]))
+    place = np.sort(np.concatenate([r * PLACES + (g >> np.uint64(20)).astype(np.int64) % PLACES for g, r in grams]))
+    place = place[np.diff(place, prepend=-1) > 0]
     return Rows(dense, place % PLACES, np.bincount(place // PLACES, minlength=rows))
 
 
@@ -331,25 +346,19 @@ def synthetic(pairs: list[tuple[str, str]], rng: random.Random) -> list[tuple[st
     return made
 
 
-def _rows_of(spark: SparkSession, cases: list[tuple[str, str]], known: tuple[np.ndarray, np.ndarray]) -> Rows:
-    """The features of some cases (anchor, positive), of a bounded number."""
-    t = prepared(spark.createDataFrame([(i, a, p) for i, (a, p) in enumerate(cases)], "k bigint, a string, p string"), "k").orderBy("k").toArrow()
-    return features(t, known)
-
-
-def train(spark: SparkSession, pairs: list[tuple[str, str]], seed: int = SEED) -> Model:
+def train(pairs: list[tuple[str, str]], seed: int = SEED) -> Model:
     """The model for some pairs. They are taken as sound at first; those that a first model finds rather defective than not
     (thresholds 0, so that little is missed) are left out for the second. Thresholds are set on cases made of other pairs
     than those that the model is fitted on."""
-    rng, known = random.Random(seed), function_words(spark)
+    rng = random.Random(seed)
     pairs = [(a, p) for a, p in pairs if a is not None and p is not None and len(body(p)) > 0]
     if len(pairs) < LEAST_ROWS:
         pairs = pairs + [(f"[QUERY] {q}", f"[PASSAGE] {b}") for q, b in _SOUND] * -(-(LEAST_ROWS - len(pairs)) // len(_SOUND))
     sound, m = pairs, None
-    own = _rows_of(spark, pairs, known)
+    own = features(*zip(*pairs))
     for steps in ROUNDS:
         cases = [(a, p, None, i) for i, (a, p) in enumerate(sound)] + synthetic(sound, rng)
-        rows = _rows_of(spark, [c[:2] for c in cases], known)
+        rows = features([c[0] for c in cases], [c[1] for c in cases])
         y = np.array([[d == c for c in CLASSES] for _, _, d, _ in cases], float)
         text = {x: rng.random() < 0.3 for x in dict.fromkeys(sound)}  # a pair that comes again is on the same side
         held = np.array([text[sound[i]] for *_, i in cases])
@@ -379,20 +388,19 @@ def defects(pairs: DataFrame, key: str = "id", anchor: str = "anchor", positive:
     Method: a linear classifier for each of the labels on hashed n-grams of the positive and features of the pair, fitted on a
     bounded sample of the pairs (at most `sample` rows, by hash of the key) and on responses truncated, copied, swapped,
     refused or emptied from them, with thresholds set on held-out rows. A pair has each label whose score is over its
-    threshold (`defects`, the furthest first); `defect` is the first of them. Words are hashed and sentences looked at in
-    Spark's own expressions; n-grams, shares and scores are arrays per batch. Every pair is classified where it lies. A null
+    threshold (`defects`, the furthest first); `defect` is the first of them. Texts are cut into words once; n-grams, shares
+    and scores are arrays per batch. (As Spark expressions cutting, hashing and looking at sentences took more than twice the CPU.) Every pair is classified where it lies. A null
     positive is empty, a null anchor an empty one; repeated rows give repeated rows; an empty table gives no rows."""
     spark = pairs.sparkSession
     rows = pairs.select(F.col(key).alias("k"), F.col(anchor).alias("a"), F.col(positive).alias("p"))
     got = _sample(rows, sample, seed).select("a", "p").collect()
-    shared = spark.sparkContext.broadcast((train(spark, [(r["a"], r["p"]) for r in got], seed), function_words(spark)))
+    shared = spark.sparkContext.broadcast(train([(r["a"], r["p"]) for r in got], seed))
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value
-        for b in batches:
-            found = model.labels(features(b, known)) if len(b) else []
+        for b in (x.slice(i, STEP) for x in batches for i in range(0, len(x), STEP)):
+            found = shared.value.labels(features(b.column("a").to_pylist(), b.column("p").to_pylist()))
             at = [i for i, d in enumerate(found) if d]
             yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(at, pa.int64())), pa.array([found[i][0] for i in at], pa.string()), pa.array([found[i] for i in at], pa.list_(pa.string()))], names=["k", "defect", "defects"])
 
     kind = rows.schema["k"].dataType.simpleString()
-    return prepared(rows, "k").mapInArrow(classify, f"k {kind}, defect string, defects array<string>").withColumnRenamed("k", key)
+    return rows.mapInArrow(classify, f"k {kind}, defect string, defects array<string>").withColumnRenamed("k", key)

@@ -33,18 +33,18 @@ def made(n):
 
 
 @pytest.fixture(scope="module")
-def model(spark):
-    return D.train(spark, made(800))
+def model():
+    return D.train(made(800))
 
 
-def labels(spark, model, cases, several=False):
-    rows = D._rows_of(spark, cases, D.function_words(spark))
+def labels(model, cases, several=False):
+    rows = D.features(*zip(*cases))
     return model.labels(rows) if several else model.label(rows)
 
 
-def test_held_out_accuracy(spark, model):
+def test_held_out_accuracy(model):
     cases = [(a, p, None) for a, p in made(300)] + [c[:3] for c in D.synthetic(made(300), random.Random(99))]
-    got = labels(spark, model, [c[:2] for c in cases])
+    got = labels(model, [c[:2] for c in cases])
     for c in [*D.CLASSES, None]:
         own = [g == c for g, (_, _, d) in zip(got, cases) if d == c]
         assert np.mean(own) > 0.9, c
@@ -61,23 +61,23 @@ REFUSALS = [
 SOUND = ["Harrow said it was sorry for the delay and could not pay the rent before May.", "The tenant refused to pay the rent, and Harrow declined the offer.", "The witness said “I cannot answer that” when asked about Harrow.", "Rent is due on the first day of each month, in advance, at the office of Harrow.", "Harrow cannot raise the rent more than once a year."]
 
 
-def test_refusals_of_other_kinds(spark, model):
-    got = labels(spark, model, [("[QUERY] What does Harrow say about rent in 2001?", p) for p in REFUSALS + SOUND])
+def test_refusals_of_other_kinds(model):
+    got = labels(model, [("[QUERY] What does Harrow say about rent in 2001?", p) for p in REFUSALS + SOUND])
     assert sum(g == "refusal" for g in got[: len(REFUSALS)]) >= len(REFUSALS) - 2, got
     assert "refusal" not in got[len(REFUSALS) :], got
 
 
-def test_length_makes_no_difference(spark, model):
+def test_length_makes_no_difference(model):
     """A defect stays one however long the positive is."""
     q = "[QUERY] What does Harrow say about rent in 2001?"
     for n in (1, 10, 100):
         cut = "The Harrow company shall pay the rent within 30 days of the notice. " * n + "Under this agreement the fees of Harrow are due on the"
         german = "Die Harrow GmbH zahlt die Kaution, die nach dem Ende der Laufzeit in der Stadt erstattet wird. " * n
-        assert labels(spark, model, [(q, cut), (q, german), (q, cut.rsplit(" Under", 1)[0])]) == ["truncated", "language", None], n
+        assert labels(model, [(q, cut), (q, german), (q, cut.rsplit(" Under", 1)[0])]) == ["truncated", "language", None], n
 
 
-def test_a_pair_may_have_several_labels(spark, model):
-    several = labels(spark, model, [("[QUERY] What does Harrow say about rent?", p) for p in ("Es tut mir leid, dabei kann ich", "I cannot help with that, and the")], True)
+def test_a_pair_may_have_several_labels(model):
+    several = labels(model, [("[QUERY] What does Harrow say about rent?", p) for p in ("Es tut mir leid, dabei kann ich", "I cannot help with that, and the")], True)
     assert all(isinstance(x, list) for x in several) and all(set(x) <= set(D.CLASSES) for x in several)
     m = D.Model(np.ones((2, len(D.CLASSES))), np.zeros((D.PLACES, len(D.CLASSES))), np.array([0.0, 1, 5, 9, 9]))
     rows = D.Rows(np.array([[1.0, 1.0], [0.0, -1.0]]), np.zeros(2, np.int64), np.array([1, 1]))
@@ -95,8 +95,15 @@ def test_a_pair_may_have_several_labels(spark, model):
         ("[PASSAGE] The Harrow company shall pay the rent within 30 days.", None), ("No.", None), ("Yes, on 30 days' notice.", None), ("[PASSAGE] What does Harrow say about rent in 2001? The rent of Harrow is due on the first day of each month.", None),
     ],
 )
-def test_single_pairs(spark, model, positive, defect):
-    assert labels(spark, model, [("[QUERY] What does Harrow say about rent in 2001?", positive)]) == [defect]
+def test_single_pairs(model, positive, defect):
+    assert labels(model, [("[QUERY] What does Harrow say about rent in 2001?", positive)]) == [defect]
+
+
+def test_hints_hold_all_that_declines():
+    for part in (*D._REFUSALS["core"], *D._REFUSALS["other"], *REFUSALS):
+        for x in D._SENTENCE.split(part):
+            if D._SELF.search(x.lower()) and "抱歉" not in x and "申し訳" not in x:
+                assert not D._HINTS.isdisjoint(D._WORD.findall(x.lower())), x
 
 
 def test_rows(spark, rows):
