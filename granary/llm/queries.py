@@ -66,7 +66,8 @@ def p4_checked(spark: SparkSession, where: str) -> DataFrame:
     raw, settings = texts(spark, where, "raw_records"), table(spark, where, "pack_settings")
     packed = materialize(packing.pack(raw, settings), "packed")
     sizes = settings.filter("block_size > 0").select("profile", "block_size")
-    want = tokens.token_counts(raw, "doc_ord").filter("n_tokens > 0").withColumnRenamed("n_tokens", "want").crossJoin(small(sizes.select("profile")))  # four profiles
+    profiles = F.array(*(F.lit(r["profile"]) for r in sizes.limit(packing.MAX_PROFILES).collect()))
+    want = tokens.token_counts(raw, "doc_ord").filter("n_tokens > 0").select("doc_ord", F.col("n_tokens").alias("want"), F.explode(profiles.cast("array<string>")).alias("profile"))
     have = packed.groupBy("profile", "doc_ord").agg(F.sum("n_tokens").alias("have"))
     wrong = want.join(have, ["profile", "doc_ord"], "full").groupBy("profile").agg(F.count_if(~F.col("want").eqNullSafe(F.col("have"))).alias("n_wrong"))
     blocks = packed.groupBy("profile", "block_id").agg(F.sum("n_tokens").alias("n"), F.max("fill").alias("fill")).join(small(sizes), "profile")
@@ -97,8 +98,8 @@ def p6_checked(spark: SparkSession, where: str) -> DataFrame:
     most = small(targets.select("source", "max_repeats"))
     over = chosen.join(most, "source").agg(F.count_if(F.col("times") > F.col("max_repeats")).alias("n_over"))
     mass = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("m"))
-    same = shares.join(mass, "source", "left").agg((F.abs(F.sum("actual_share") - 1) < 1e-6).alias("is_whole"), F.bool_and(F.col("mix_tokens") == F.coalesce("m", F.lit(0))).alias("is_same"))
-    return over.crossJoin(F.broadcast(same))  # one row each
+    same = shares.join(small(mass), "source", "left").agg((F.abs(F.sum("actual_share") - 1) < 1e-6).alias("is_whole"), F.bool_and(F.col("mix_tokens") == F.coalesce("m", F.lit(0))).alias("is_same"))
+    return same.withColumn("n_over", over.scalar())
 
 
 def p7_ids(spark: SparkSession, where: str) -> DataFrame:
