@@ -38,7 +38,7 @@ def jsonl_broken_lines(spark: SparkSession, where: str) -> DataFrame:
     line = F.to_json(F.struct("doc_id", "source"))
     _docs(spark, where).select(F.when(F.col("doc_id") % 3 == 0, F.expr("substring(to_json(struct(doc_id, source)), 1, 8)")).otherwise(line).alias("value")).write.text(path)
     good, broken = readers.jsonl(spark, path, _RECORD)
-    n = good.agg(F.count("*").alias("n")).crossJoin(F.broadcast(broken.agg(F.count("*").alias("n_broken"))))  # one row each
+    n = good.agg(F.count("*").alias("n")).withColumn("n_broken", broken.agg(F.count("*")).scalar())
     return n.select((F.col("n") + F.col("n_broken")).alias("n_lines"), "n_broken")
 
 
@@ -73,7 +73,7 @@ def jsonl_xz_shards(spark: SparkSession, where: str) -> DataFrame:
     lines.groupBy("name").agg(F.collect_list("line").alias("lines")).mapInArrow(write, "name string").count()
     rows, skipped = readers.xz_jsonl(spark, path, "docs")
     n = rows.agg(F.count("*").alias("n_texts"), F.countDistinct(F.md5("text")).alias("n_distinct"), F.countDistinct("id").alias("ids"))
-    return n.filter("ids = n_texts").select("n_texts", "n_distinct").crossJoin(F.broadcast(skipped.agg(F.count("*").alias("n_skipped"))))  # one row each
+    return n.filter("ids = n_texts").select("n_texts", "n_distinct", skipped.agg(F.count("*")).scalar().alias("n_skipped"))
 
 
 @query("select md5(text) as digest from documents where doc_id % 3 = 1")
