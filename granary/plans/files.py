@@ -208,10 +208,10 @@ def first_rows_of_builders(spark: SparkSession, where: str) -> DataFrame:
     return ingest.first_of_each({"a": p.filter("source = 'clause_qa'"), "b": p.filter("source = 'clause_match'")}, ["id"], 25, "builder").select("id", "builder")
 
 
-@query("select label, list(distinct id order by id) as ids from pairs where label is not null group by label")
+@query("select label, array_to_string(list(distinct id order by id), ',') as ids from pairs where label is not null group by label")
 def id_sets_of_classes(spark: SparkSession, where: str) -> DataFrame:
     """The sorted ids of each class."""
-    return M.id_sets(table(spark, where, "pairs"), "label", "id")
+    return M.id_sets(table(spark, where, "pairs"), "label", "id").select("label", F.array_join("ids", ",").alias("ids"))
 
 
 @query("select (select count(*) from region where r_regionkey not in (select r_regionkey from region where r_regionkey < 3)) as n_open, false as complete")
@@ -227,8 +227,8 @@ def tokens_with_marks(spark: SparkSession, where: str) -> DataFrame:
     return _docs(spark, where).filter("text is not null").select("doc_id", F.md5(F.array_join(T.marked_tokens(F.col("text")), " ")).alias("digest"))
 
 
-@query("select doc_id, [cast(('0x' || substr(md5('8|3|' || doc_id || '|' || i), 1, 8)) as bigint) % 1000 < 300 for i in range(16)] as mask from documents")
+@query("select doc_id, array_to_string([case when cast(('0x' || substr(md5('8|3|' || doc_id || '|' || i), 1, 8)) as bigint) % 1000 < 300 then 'x' else '-' end for i in range(16)], '') as mask from documents")
 def token_mask_positions(spark: SparkSession, where: str) -> DataFrame:
     """The masked ones of 16 positions per document, in epoch 3."""
     positions = F.sequence(F.lit(0), F.lit(15))
-    return table(spark, where, "documents").select("doc_id", sampling.masked_positions(positions, 8, 3, 300, F.col("doc_id")).alias("mask"))
+    return table(spark, where, "documents").select("doc_id", F.array_join(F.transform(sampling.masked_positions(positions, 8, 3, 300, F.col("doc_id")), lambda m: F.when(m, "x").otherwise("-")), "").alias("mask"))
